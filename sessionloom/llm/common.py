@@ -4,11 +4,16 @@ from __future__ import annotations
 
 import os
 import tempfile
+import unicodedata
 import uuid
+from array import array
 from collections.abc import Iterator
+from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
 
 
 def work_path(spark: SparkSession, name: str) -> str:
@@ -32,6 +37,11 @@ def stored(df: DataFrame, name: str, partition_by: str | None = None) -> DataFra
     return spark.read.schema(df.schema).parquet(path) if partition_by is None else spark.read.parquet(path)
 
 
+def with_column(df: DataFrame, name: str, kind: str) -> T.StructType:
+    """The schema of ``df`` and one more column."""
+    return T.StructType([*df.schema.fields, T.StructField(name, T._parse_datatype_string(kind))])
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -49,41 +59,113 @@ def arrow_schema(ddl: str) -> pa.Schema:
     return pa.schema([(n, kinds[k]) for n, k in (x.split() for x in ddl.split(","))])
 
 
-class ChunkEncoder:
+class TextEncoder:
     """Token ids of whole texts by the ``tokenizers`` library, as little-endian blobs.
 
-    This vocabulary's normaliser and pre-tokeniser never join text across a blank, so a text's ids are those of
-    its blank-separated chunks in turn; each distinct chunk is encoded once by the library and kept while the
-    cache has room. ``tests/llm`` holds this against encoding whole texts.
+    This vocabulary lower-cases a normalised text, drops white space, and cuts the rest into runs of letters, single
+    digits, runs of other signs and some endings after an apostrophe; no piece's ids depend on its neighbours. So
+    the texts of a batch are cut by numpy, the library encodes each distinct piece once, and a text's ids
+    are those of its pieces in turn. Texts for which cutting first isn't safe (special tokens' strings, characters
+    beyond the first plane) are encoded as a whole. ``tests/llm`` holds this against encoding whole texts.
     """
 
-    def __init__(self, path: str, cache_chars: int = 8_000_000):
+    def __init__(self, path: str, most: int = 400_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import ByteLevel
 
-        self.tokenizer = Tokenizer.from_file(path)
-        self.dtype = "<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
-        self.cache: dict[str, bytes] = {}
-        self.room, self.cache_chars = cache_chars, cache_chars
+        self.whole = Tokenizer.from_file(path)
+        self.by_piece = Tokenizer.from_file(path)
+        self.by_piece.normalizer = None
+        self.by_piece.pre_tokenizer = ByteLevel(add_prefix_space=False, use_regex=False)
+        self.dtype = "<u2" if self.whole.get_vocab_size() <= 1 << 16 else "<u4"
+        self.known: dict[str, bytes] = {}
+        self.most = most
 
     def end(self, token: int) -> bytes:
         return token.to_bytes(int(self.dtype[-1]), "little")
 
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        """A null text counts as empty."""
-        import numpy as np
-
-        chunked = [(t or "").replace("\n", " ").replace("\t", " ").split(" ") for t in texts]
-        if self.room < 0:
-            self.cache, self.room = {}, self.cache_chars
-        new = sorted(set().union(*chunked) - self.cache.keys()) if chunked else []
+    def _learn(self, pieces: list[str]) -> None:
+        kind = "H" if self.dtype == "<u2" else "I"
+        if len(self.known) > self.most:
+            self.known = {}
+        new = [p for p in pieces if p not in self.known]
         for at in range(0, len(new), 4096):
             part = new[at : at + 4096]
-            for chunk, coded in zip(part, self.tokenizer.encode_batch(part, add_special_tokens=False), strict=True):
-                self.cache[chunk] = np.asarray(coded.ids, dtype=self.dtype).tobytes()
-                self.room -= 2 * len(chunk) + 100
-        get = self.cache.__getitem__
-        return [b"".join(map(get, chunks)) for chunks in chunked]
+            for piece, coded in zip(part, self.by_piece.encode_batch_fast(part, add_special_tokens=False), strict=True):
+                self.known[piece] = array(kind, coded.ids).tobytes()
+
+    def encode(self, texts: list[str | None]) -> list[bytes]:
+        """A null text counts as empty."""
+        ready, apart = [], {}
+        for k, t in enumerate(texts):
+            t = t or ""
+            if "<|" in t or not t.isascii() and max(t) > "\uffff":
+                apart[k], t = np.array(self.whole.encode(t, add_special_tokens=False).ids, self.dtype).tobytes(), ""
+            elif not t.isascii():
+                t = unicodedata.normalize("NFC", t).replace("\u03a3", "\u03c3")
+            ready.append(t.lower())
+        joined = "".join(ready)
+        if not joined:
+            return [apart.get(k, b"") for k in range(len(texts))]
+        doc_at = np.concatenate([[0], np.cumsum([len(t) for t in ready])])
+        starts, byte_at = cut(joined, doc_at)
+        pieces = pa.StringArray.from_buffers(len(starts), pa.py_buffer(np.append(byte_at[starts], byte_at[-1]).astype(np.int32)), pa.py_buffer(joined.encode("utf-8", "surrogatepass"))).dictionary_encode()
+        distinct = pieces.dictionary.to_pylist()
+        spaces = np.array([SPACE[ord(p[0])] for p in distinct])
+        self._learn([p for p, blank in zip(distinct, spaces, strict=True) if not blank])
+        coded = [b"" if blank else self.known[p] for p, blank in zip(distinct, spaces, strict=True)]
+        flat = np.frombuffer(b"".join(coded), self.dtype)
+        lengths = np.array([len(c) for c in coded]) // int(self.dtype[-1])
+        first = np.cumsum(lengths) - lengths
+        order = pieces.indices.to_numpy()
+        n = lengths[order]
+        ends = np.concatenate([[0], np.cumsum(n)])
+        ids = flat[np.repeat(first[order] - ends[:-1], n) + np.arange(ends[-1])].tobytes()
+        doc_ends = ends[np.searchsorted(starts, doc_at)] * int(self.dtype[-1])
+        return [apart[k] if k in apart else ids[a:b] for k, (a, b) in enumerate(zip(doc_ends[:-1].tolist(), doc_ends[1:].tolist(), strict=True))]
+
+
+def _kinds() -> np.ndarray:
+    """Of every character of the first plane: 0 white space, 1 letter, 2 number, 3 other."""
+    names = {"L": 1, "N": 2}
+    kinds = np.array([names.get(unicodedata.category(chr(c))[0], 3) for c in range(1 << 16)], np.uint8)
+    kinds[[*range(9, 14), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]] = 0
+    return kinds
+
+
+KINDS = _kinds()
+SPACE = KINDS == 0
+
+
+def cut(text: str, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where the pieces of ``text`` start (white space is a piece too) and each character's place in UTF-8.
+
+    A piece also starts at each of ``bounds``. An apostrophe that starts a run of signs and is followed by
+    s, t, m, d, re, ve or ll is a piece together with those letters.
+    """
+    points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    byte_at = np.concatenate([[0], np.cumsum(1 + (points >= 0x80) + (points >= 0x800))])
+    kind = KINDS[points]
+    start = np.empty(len(points), bool)
+    start[0] = True
+    np.not_equal(kind[1:], kind[:-1], out=start[1:])
+    start |= kind == 2
+    start[bounds[bounds < len(points)]] = True
+    for p in np.flatnonzero((points == 39) & start).tolist():
+        end = bounds[np.searchsorted(bounds, p, side="right")]
+        after = text[p + 1 : min(p + 3, end)]
+        n = 1 if after[:1] in ("s", "t", "m", "d") else 2 if after in ("re", "ve", "ll") else 0
+        if n:
+            start[p + 1] = False
+            start[p + n + 1 : p + n + 2] = True
+    return np.flatnonzero(start), byte_at
+
+
+@lru_cache(maxsize=2)
+def text_encoder(path: str) -> TextEncoder:
+    """One for all tasks of a Python worker."""
+    return TextEncoder(path)
 
 
 def word_vocabulary() -> str:

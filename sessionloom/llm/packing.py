@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sessionloom.llm.common import ChunkEncoder, arrow_schema, partitions, slices, stored, word_vocabulary
+from sessionloom.llm.common import arrow_schema, partitions, slices, stored, text_encoder, word_vocabulary
 
 SIZE = 2048
 END_ID = 0
@@ -35,9 +35,9 @@ def pieces(docs: DataFrame, tokenizer: str, size: int = SIZE, end_id: int = END_
     schema = arrow_schema(_PIECES)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = ChunkEncoder(tokenizer)
+        encoder = text_encoder(tokenizer)
         end = encoder.end(end_id)
-        for part in slices(batches):
+        for part in slices(batches, 2048):
             out: dict[str, list] = {n: [] for n in schema.names}
             for doc_id, blob in zip(part["doc_id"], encoder.encode(part["text"]), strict=True):
                 raw = memoryview(np.frombuffer(blob + end, encoder.dtype).astype("<u4").tobytes())

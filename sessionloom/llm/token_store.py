@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from sessionloom.llm.common import ChunkEncoder, arrow_schema, partitions, slices, word_vocabulary, work_path
+from sessionloom.llm.common import arrow_schema, partitions, slices, text_encoder, word_vocabulary, work_path
 
 END_ID = 1
 SAMPLE = 256
@@ -128,7 +128,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_I
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        shard, encoder = TaskContext.get().partitionId(), ChunkEncoder(tokenizer)
+        shard, encoder = TaskContext.get().partitionId(), text_encoder(tokenizer)
         width, end, written, number = int(encoder.dtype[-1]), encoder.end(end_id), 0, 0
         ids: list = []
         blobs: list[bytes] = []
@@ -138,7 +138,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_I
             return pa.RecordBatch.from_pydict({"shard": [shard], "segment": [number], "n_docs": [len(blobs)], "n_ids": [n], "start_in_shard": [written], "data": [Segment.pack(ids, blobs, width)]}, schema=schema)
 
         held = 0
-        for part in slices(batches):
+        for part in slices(batches, 2048):
             for doc_id, blob in zip(part["doc_id"], encoder.encode(part["text"]), strict=True):
                 ids.append(doc_id)
                 blobs.append(blob + end)
