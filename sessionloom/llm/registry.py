@@ -1,7 +1,7 @@
 """Queries and SQL of this subpackage."""
 
-from sessionloom.llm import packing, token_store
+from sessionloom.llm import audio, language_id, packing, secret_scan, token_store, toxicity
 
-MODULES = (token_store, packing)
+MODULES = (toxicity, token_store, language_id, secret_scan, packing, audio)
 QUERIES = {name: query for module in MODULES for name, query in module.QUERIES.items()}
 ORACLES = {name: sql for module in MODULES for name, sql in getattr(module, "ORACLES", {}).items()}
