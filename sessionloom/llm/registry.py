@@ -1,7 +1,7 @@
 """Queries and SQL of this subpackage."""
 
-from sessionloom.llm import audio, language_id, packing, secret_scan, substring_dedup, token_store, toxicity
+from sessionloom.llm import audio, language_id, ngram_join, packing, secret_scan, substring_dedup, token_store, toxicity
 
-MODULES = (toxicity, token_store, substring_dedup, language_id, secret_scan, packing, audio)
+MODULES = (toxicity, token_store, substring_dedup, language_id, secret_scan, packing, ngram_join, audio)
 QUERIES = {name: query for module in MODULES for name, query in module.QUERIES.items()}
 ORACLES = {name: sql for module in MODULES for name, sql in getattr(module, "ORACLES", {}).items()}
