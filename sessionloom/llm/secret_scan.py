@@ -45,7 +45,8 @@ def triggers(rules=RULES, depth: int = DEPTH) -> list[str]:
         if least and pattern.endswith("]+") or group and pattern.endswith("]+)"):
             fixed = 4 if pattern.startswith("AKIA") else 0
             pattern = pattern.removesuffix(")" if group else "").removesuffix("+") + f"{{{least - fixed}}}" + (")" if group else "")
-        pattern = re.sub(r"\{(\d+),?\}", lambda m: f"{{{min(int(m[1]), depth)}}}", pattern)
+        pattern = re.sub(r"\{(\d+),\}(?!\)?$)", lambda m: f"{{{min(int(m[1]), depth)},}}", pattern)
+        pattern = re.sub(r"\{(\d+),?\}(?=\)?$)", lambda m: f"{{{min(int(m[1]), depth)}}}", pattern)
         found.append(re.sub(r"\]\+$", "]", pattern))
     return found
 
