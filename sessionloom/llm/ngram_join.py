@@ -2,16 +2,18 @@
 
 Documents link when their sets of 5-word shingles have a Jaccard similarity of at least ``percent`` / 100.
 
-1. ``signatures``: each document's set size and a 128-bit digest of its set. Equal sets are one class from here on.
-2. ``prefix_lists``: of each set the rarest shingles, as many as any linked set must meet one of (size minus required
-   overlap plus one). Rarity is a count by hash slot over all documents, in an array of fixed size. Postings go
-   to hash buckets as arrays, once per class and chunk. A shingle's list answers with candidate pairs: all pairs
-   that size and place allow while the list is short; pairs with its smallest class where it is long.
-3. ``verify``: for each class and a block of its candidates, a T-occurrence search: short inverted lists are merged on
+1. ``frequencies``: how many documents hold each shingle. Documents stand in a written table of chunks, which send
+   distinct shingles to hash buckets and get a byte for each back.
+2. ``prefix_postings``: each document's set size and a 128-bit digest of its set, equal sets being one class from here
+   on; and of each set the rarest shingles, as many as any linked set must meet one of (size minus required overlap
+   plus one), without those of one document only. ``candidate_lists``: a shingle's list gives all pairs that size and
+   place allow while it is short, and pairs with its likeliest origin where it is long.
+3. ``search``: for each class and a block of its candidates, a T-occurrence search: short inverted lists are merged on
    a heap, long ones probed by binary search, and documents reaching the required overlap are kept.
-4. Links are closed to components by alternating large-star and small-star rounds. Long lists that then still hold
-   several components give all pairs across components, which are verified too. Pairs within a component need no
-   check, so no link between components is lost, and groups of near copies are never expanded into all pairs.
+4. Links are closed to components by alternating large-star and small-star rounds. In long lists that then still hold
+   several components, members outside of the main one are searched against all members, block by block. Pairs
+   within a component need no check, so no link between components is lost, and groups of near copies are never
+   expanded into all pairs.
 
 Nulls: a null text has no shingles and links with nothing, as does a document without words; one of fewer than five
 words has its whole sequence as its only shingle. A null doc_id belongs to a class but is never its name. Repeated
@@ -32,13 +34,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sessionloom.llm.common import arrow_schema, partitions, slices, stored
-from sessionloom.llm.words import Flat, WordHashes, bucket_of, mix, split_words, windows
+from sessionloom.llm.substring_dedup import NULL_ID, Chunk, by_bucket, chunks
+from sessionloom.llm.words import Flat, WordHashes, mix, split_words, windows
 
 SHINGLE, PERCENT = 5, 75
-SLOTS = 1 << 20
-SHORT_LIST = 12
+SHORT_LIST = 64
 BLOCK = 256
-CHUNK_DOCS = 2048
 
 
 def least_overlap(a: int, b: int, percent: int = PERCENT) -> int:
@@ -75,83 +76,108 @@ def _texts(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
 
-def signatures(docs: DataFrame, size: int = SHINGLE, slots: int = SLOTS) -> tuple[DataFrame, np.ndarray]:
-    """(doc_id, n, d1, d2) as a written table, and the number of occurrences by hash slot over all documents.
+def frequency_class(df: np.ndarray) -> np.ndarray:
+    """Document frequencies as one byte that never falls: exact to 200, by quarters of a power of two beyond."""
+    return np.where(df <= 200, df, np.minimum(255, 200 + 4 * np.log2(np.maximum(df, 200) / 200)).astype(np.int64)).astype(np.uint8)
 
-    Each task sends its slot counts once, in pieces, and the pieces are added up by Spark, so what reaches the
-    driver is one array of ``slots`` numbers, whatever the input.
-    """
-    ddl, width = "doc_id long,n long,d1 long,d2 long,piece int,counts binary", 1 << 14
-    schema = arrow_schema(ddl)
 
-    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, counts = WordHashes(), np.zeros(slots, np.uint32)
-        for part in slices(batches, CHUNK_DOCS):
-            found, sizes = shingle_sets(part["text"], hashes, size)
-            counts += np.bincount((found & np.uint64(slots - 1)).astype(np.int64), minlength=slots).astype(np.uint32)
-            d1, d2 = set_digests(found, sizes)
-            none = [None] * len(sizes)
-            yield pa.RecordBatch.from_pydict({"doc_id": part["doc_id"], "n": sizes, "d1": d1.view(np.int64), "d2": d2.view(np.int64), "piece": none, "counts": none}, schema=schema)
-        if counts.any():
-            at = range(0, slots, width)
-            none = [None] * len(at)
-            yield pa.RecordBatch.from_pydict({"doc_id": none, "n": none, "d1": none, "d2": none, "piece": [a // width for a in at], "counts": [counts[a : a + width].tobytes() for a in at]}, schema=schema)
-
-    both = stored(_texts(docs).mapInArrow(sign, ddl), "signatures")
-
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        totals: dict[int, np.ndarray] = {}
-        for batch in batches:
-            for piece, raw in zip(batch.column("piece").to_pylist(), batch.column("counts"), strict=True):
-                more = np.frombuffer(raw.as_py(), np.uint64 if len(raw.as_py()) == 8 * width else np.uint32).astype(np.uint64)
-                totals[piece] = totals[piece] + more if piece in totals else more
-        yield pa.RecordBatch.from_pydict({"piece": list(totals), "counts": [t.tobytes() for t in totals.values()]}, schema=arrow_schema("piece int,counts binary"))
-
-    parts = both.filter("piece is not null").select("piece", "counts").mapInArrow(add, "piece int,counts binary")
-    rows = parts.repartition(partitions(docs.sparkSession), "piece").mapInArrow(add, "piece int,counts binary").collect()
-    counts = np.zeros(slots, np.uint64)
-    for r in rows:  # slots / width pieces
-        counts[r["piece"] * width : (r["piece"] + 1) * width] = np.frombuffer(r["counts"], np.uint64)
-    return both.filter("piece is null").select("doc_id", "n", "d1", "d2"), counts
-
-
-def candidate_lists(docs: DataFrame, counts: np.ndarray, size: int = SHINGLE, percent: int = PERCENT, short: int = SHORT_LIST) -> DataFrame:
-    """Written rows (a, b, hash, members): pairs of class digests to verify, and the members of long lists.
+class ChunkSets:
+    """Shingle sets of a chunk's documents; equal sets within it count once."""
+
+    def __init__(self, payload: bytes, hashes: WordHashes, size: int):
+        self.chunk = Chunk.unpack(payload)
+        self.found, self.sizes = shingle_sets(self.chunk.texts, hashes, size)
+        self.d1, self.d2 = set_digests(self.found, self.sizes)
+        order = np.lexsort((self.d2, self.d1))
+        first = np.zeros(len(order), bool)
+        if len(order):
+            first[order] = np.concatenate([[True], (self.d1[order][1:] != self.d1[order][:-1]) | (self.d2[order][1:] != self.d2[order][:-1])])
+        doc = np.repeat(np.arange(len(self.sizes)), self.sizes)
+        keep = first[doc]
+        self.own, self.doc = self.found[keep], doc[keep]
+        self.kept = np.where(first, self.sizes, 0)
+        #: The upper 40 bits stand for a shingle where only its frequency matters.
+        self.keys, self.back, self.counts = np.unique(self.own >> np.uint64(24), return_inverse=True, return_counts=True)
 
-    A pair row has ``a`` and ``b``; a row of a long list has its ``hash`` and ``members`` (d1, size, place).
+
+def frequencies(table: DataFrame, size: int) -> DataFrame:
+    """(chunk, answers): for each chunk, by bucket, the frequency class of each of its distinct shingles, in order.
+
+    Chunks send distinct shingles as sorted differences, with counts; a bucket adds the counts up and answers with
+    a byte for each. A shingle enters a bucket once per chunk, however many documents hold it.
     """
-    spark = docs.sparkSession
-    buckets, slots = partitions(spark), len(counts)
-    rank = np.minimum(counts, np.iinfo(np.uint32).max).astype(np.uint32)
-    shared = spark.sparkContext.broadcast(rank)  # slots numbers, whatever the input
-    sent = arrow_schema("bucket int,hashes binary,classes binary,sizes binary,places binary")
+    buckets = partitions(table.sparkSession)
+    ddl = "bucket int,chunk long,first long,gaps binary,counts binary"
+    sent, answered = arrow_schema(ddl), arrow_schema("chunk long,bucket int,classes binary")
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
-        for part in slices(batches, CHUNK_DOCS):
-            found, sizes = shingle_sets(part["text"], hashes, size)
-            d1, d2 = set_digests(found, sizes)
-            order = np.lexsort((d2, d1))
-            first = np.zeros(len(order), bool)
-            first[order] = np.concatenate([[True], (d1[order][1:] != d1[order][:-1]) | (d2[order][1:] != d2[order][:-1])])
-            doc = np.repeat(np.arange(len(sizes)), sizes)
-            keep = first[doc]
-            found, doc = found[keep], doc[keep]
-            by_rarity = np.lexsort((found, shared.value[(found & np.uint64(slots - 1)).astype(np.int64)], doc))
-            found = found[by_rarity]
-            kept = np.where(first, sizes, 0)
-            place = np.arange(len(found)) - (np.cumsum(kept) - kept)[doc]
-            prefix = sizes - -(-percent * sizes // 100) + 1
-            use = place < prefix[doc]
+        for part in slices(batches, 1):
+            sets = ChunkSets(part["payload"][0], hashes, size)
+            runs = list(by_bucket(sets.keys << np.uint64(24), buckets))
+            gaps = [np.diff(sets.keys[r]) for _, r in runs]
+            gaps = [g.astype("<u4" if not len(g) or g.max() < 1 << 32 else "<u8").tobytes() for g in gaps]
+            yield pa.RecordBatch.from_pydict({"bucket": [b for b, _ in runs], "chunk": part["chunk"] * len(runs), "first": [int(sets.keys[r.start]) for _, r in runs], "gaps": gaps, "counts": [sets.counts[r].astype("<u4").tobytes() for _, r in runs]}, schema=sent)
+
+    def meet(rows: pa.Table) -> pa.Table:
+        keys, counts = [], []
+        for first, gaps, n in zip(rows.column("first").to_pylist(), rows.column("gaps"), rows.column("counts"), strict=True):
+            counts.append(np.frombuffer(n.as_py(), "<u4").astype(np.int64))
+            raw = gaps.as_py()
+            wide = len(counts[-1]) > 1 and len(raw) == 8 * (len(counts[-1]) - 1)
+            keys.append(np.cumsum(np.concatenate([[first], np.frombuffer(raw, "<u8" if wide else "<u4").astype(np.int64)])))
+        _, back = np.unique(np.concatenate(keys), return_inverse=True)
+        classes = frequency_class(np.bincount(back, np.concatenate(counts)).astype(np.int64))[back]
+        ends = np.cumsum([len(k) for k in keys]).tolist()
+        return pa.table({"chunk": rows.column("chunk"), "bucket": rows.column("bucket"), "classes": pa.array([classes[e - len(k) : e].tobytes() for e, k in zip(ends, keys, strict=True)], pa.binary())}).cast(answered)
+
+    answers = table.mapInArrow(send, ddl).groupBy("bucket").applyInArrow(meet, "chunk long,bucket int,classes binary")
+    return answers.groupBy("chunk").agg(F.sort_array(F.collect_list(F.struct("bucket", "classes"))).alias("answers"))
+
+
+_POSTINGS = "doc_id long,n long,d1 long,d2 long,bucket int,hashes binary,classes binary,sizes binary,places binary"
+
+
+def prefix_postings(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
+    """Signatures (doc_id, n, d1, d2) of all documents, and postings of the rarest shingles of each set by bucket.
+
+    Shingles of one document only are in no list.
+    """
+    buckets = partitions(docs.sparkSession)
+    schema = arrow_schema(_POSTINGS)
+    table = chunks(docs)
+
+    def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = WordHashes()
+        for part in slices(batches, 1):
+            sets = ChunkSets(part["payload"][0], hashes, size)
+            rarity = np.frombuffer(b"".join(x["classes"] for x in part["answers"][0] or []), np.uint8)[sets.back]
+            order = np.lexsort((sets.own, rarity, sets.doc))
+            found, doc, rarity = sets.own[order], sets.doc[order], rarity[order]
+            place = np.arange(len(found)) - (np.cumsum(sets.kept) - sets.kept)[doc]
+            prefix = sets.sizes - -(-percent * sets.sizes // 100) + 1
+            use = (place < prefix[doc]) & (rarity > 1)
             found, doc, place = found[use], doc[use], place[use]
             order = np.argsort(found, kind="stable")
             found, doc, place = found[order], doc[order], place[order]
-            b = bucket_of(found, buckets)
-            edges = np.flatnonzero(np.diff(b)) + 1
-            runs = [(lo, hi) for lo, hi in zip([0, *edges.tolist()], [*edges.tolist(), len(b)], strict=True) if hi > lo]
-            own, n = d1[doc], sizes[doc]
-            yield pa.RecordBatch.from_pydict({"bucket": [int(b[lo]) for lo, _ in runs]} | {name: [a[lo:hi].astype(k).tobytes() for lo, hi in runs] for name, a, k in (("hashes", found, "<u8"), ("classes", own, "<u8"), ("sizes", n, "<u4"), ("places", place, "<u4"))}, schema=sent)
+            ids = [None if x == NULL_ID else x for x in sets.chunk.doc_ids.tolist()]
+            none = [None] * len(ids)
+            yield pa.RecordBatch.from_pydict({"doc_id": ids, "n": sets.sizes, "d1": sets.d1.view(np.int64), "d2": sets.d2.view(np.int64)} | {c: none for c in schema.names[4:]}, schema=schema)
+            runs = list(by_bucket(found, buckets))
+            none = [None] * len(runs)
+            columns = (("hashes", found, "<u8"), ("classes", sets.d1[doc], "<u8"), ("sizes", sets.sizes[doc], "<u4"), ("places", place, "<u4"))
+            yield pa.RecordBatch.from_pydict({c: none for c in schema.names[:4]} | {"bucket": [b for b, _ in runs]} | {c: [a[r].astype(k).tobytes() for _, r in runs] for c, a, k in columns}, schema=schema)
+
+    both = stored(table.join(frequencies(table, size), "chunk", "left").mapInArrow(post, _POSTINGS), "postings")
+    return both.filter("bucket is null").select("doc_id", "n", "d1", "d2"), both.filter("bucket is not null").select("bucket", "hashes", "classes", "sizes", "places")
+
 
+def candidate_lists(postings: DataFrame, percent: int = PERCENT, short: int = SHORT_LIST) -> DataFrame:
+    """Written rows (a, b, hash, members): pairs of class digests to verify, and the members of long lists.
+
+    A pair row has ``a`` and ``b``; a row of a long list has its ``hash`` and ``members`` (d1, size, place). A long list
+    gives pairs with the member of least place only: it has the fewest rarer shingles, so it is the likeliest origin.
+    """
     members = pa.list_(pa.struct([("d1", pa.int64()), ("n", pa.int64()), ("place", pa.int64())]))
     out = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("hash", pa.int64()), ("members", members)])
 
@@ -172,22 +198,24 @@ def candidate_lists(docs: DataFrame, counts: np.ndarray, size: int = SHINGLE, pe
             own = list(zip(cls[lo:hi].tolist(), n[lo:hi].tolist(), place[lo:hi].tolist(), strict=True))
             if len(own) > short:
                 lists.append((int(h[lo].view(np.int64)), [{"d1": c, "n": m, "place": p} for c, m, p in own]))
+                own.sort(key=lambda x: (x[2], x[0]))
             for i, x in enumerate(own[:1] if len(own) > short else own):
-                pairs.update((x[0], y[0]) for y in own[i + 1 :] if possible(x, y, percent))
+                pairs.update((min(x[0], y[0]), max(x[0], y[0])) for y in own[i + 1 :] if possible(x, y, percent))
         table = {"a": [p[0] for p in pairs], "b": [p[1] for p in pairs], "hash": [None] * len(pairs), "members": [None] * len(pairs)}
         for name, values in (("a", [None] * len(lists)), ("b", [None] * len(lists)), ("hash", [x[0] for x in lists]), ("members", [x[1] for x in lists])):
             table[name] += values
         return pa.table(table, schema=out)
 
     kind = "a long,b long,hash long,members array<struct<d1:long,n:long,place:long>>"
-    postings = _texts(docs).mapInArrow(send, "bucket int,hashes binary,classes binary,sizes binary,places binary")
     return stored(postings.groupBy("bucket").applyInArrow(meet, kind), "lists")
 
 
 def possible(x: tuple[int, int, int], y: tuple[int, int, int], percent: int = PERCENT) -> bool:
-    """Whether sizes, and what is left behind the shared shingle, allow a link; x and y are (class, size, place)."""
-    need = least_overlap(x[1], y[1], percent)
-    return need <= min(x[1], y[1]) and 1 + min(x[2], y[2]) + min(x[1] - x[2] - 1, y[1] - y[2] - 1) >= need
+    """Whether x and y (class, size, place) can link if this shingle is the rarest that they share.
+
+    Every linked pair passes in the list of its rarest shared shingle, so no other list needs to give it.
+    """
+    return 1 + min(x[1] - x[2] - 1, y[1] - y[2] - 1) >= least_overlap(x[1], y[1], percent)
 
 
 def divide_skip(query: list[int], lists: dict[int, list[int]], sizes: list[int], percent: int = PERCENT) -> list[int]:
@@ -226,43 +254,66 @@ def divide_skip(query: list[int], lists: dict[int, list[int]], sizes: list[int],
     return found
 
 
-def verify(pairs: DataFrame, docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT, block: int = BLOCK) -> DataFrame:
-    """The pairs (a, b) of document ids that link, out of candidate pairs.
+def search(groups: DataFrame, docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
+    """Written pairs (a, b), a < b, that link, out of groups (g, part, doc_id, query, label).
 
-    A document with many candidates is searched against blocks of about ``block`` of them, in separate groups.
+    In each (g, part) every query is searched in the inverted lists of the other documents; those of its own label
+    are known to be connected and left out.
     """
-    spark = docs.sparkSession
-    blocks = F.ceil(F.count("*") / block).alias("blocks")
-    cut = pairs.join(pairs.groupBy("a").agg(blocks), "a").withColumn("part", F.pmod(F.xxhash64("b"), F.col("blocks"))).select("a", "b", "part")
-    sides = cut.select("a", "part", F.col("b").alias("doc_id"), F.lit(False).alias("query")).unionByName(cut.select("a", "part", F.col("a").alias("doc_id"), F.lit(True).alias("query")).distinct())
     ddl = "a long,b long"
     schema = arrow_schema(ddl)
 
-    def search(rows: pa.Table) -> pa.Table:
-        hashes, groups = WordHashes(), defaultdict(list)
-        a, part, ids, is_query = (rows.column(c).to_pylist() for c in ("a", "part", "doc_id", "query"))
-        for k, key in enumerate(zip(a, part, strict=True)):
-            groups[key].append(k)
-        texts, out = rows.column("text"), ([], [])
-        for (query_id, _), own in groups.items():
-            found, sizes = shingle_sets([texts[k].as_py() for k in own], hashes, size)
+    def run(rows: pa.Table) -> pa.Table:
+        hashes, own_rows = WordHashes(), defaultdict(list)
+        g, part, ids, is_query, labels = (rows.column(c).to_pylist() for c in ("g", "part", "doc_id", "query", "label"))
+        for k, key in enumerate(zip(g, part, strict=True)):
+            own_rows[key].append(k)
+        texts, found = rows.column("text"), set()
+        for own in own_rows.values():
+            hashed, sizes = shingle_sets([texts[k].as_py() for k in own], hashes, size)
             ends = np.cumsum(sizes).tolist()
-            sets = [found[e - n : e].tolist() for e, n in zip(ends, sizes.tolist(), strict=True)]
-            query = next(s for k, s in zip(own, sets, strict=True) if is_query[k])
-            members = [(ids[k], s) for k, s in zip(own, sets, strict=True) if not is_query[k]]
-            lists: dict[int, list[int]] = {h: [] for h in query}
+            sets = [hashed[e - n : e].tolist() for e, n in zip(ends, sizes.tolist(), strict=True)]
+            queries = [(k, s) for k, s in zip(own, sets, strict=True) if is_query[k]]
+            members = [(k, s) for k, s in zip(own, sets, strict=True) if not is_query[k]]
+            wanted = set().union(*(s for _, s in queries))
+            lists: dict[int, list[int]] = defaultdict(list)
             for m, (_, s) in enumerate(members):
                 for h in s:
-                    if h in lists:
+                    if h in wanted:
                         lists[h].append(m)
-            hit = divide_skip(query, lists, [len(s) for _, s in members], percent)
-            out[0].extend([query_id] * len(hit))
-            out[1].extend(members[m][0] for m in hit)
-        return pa.table({"a": out[0], "b": out[1]}, schema=schema)
+            for k, s in queries:
+                for m in divide_skip(s, lists, [len(x) for _, x in members], percent):
+                    other = members[m][0]
+                    if ids[other] != ids[k] and (labels[k] is None or labels[k] != labels[other]):
+                        found.add((min(ids[k], ids[other]), max(ids[k], ids[other])))
+        return pa.table({"a": [x for x, _ in found], "b": [y for _, y in found]}, schema=schema)
+
+    with_text = groups.join(_texts(docs), "doc_id")
+    keyed = with_text.withColumn("key", F.pmod(F.xxhash64("g", "part"), F.lit(8 * partitions(docs.sparkSession))))
+    return stored(keyed.groupBy("key").applyInArrow(lambda t: run(t.drop_columns(["key"])), ddl), "links")
+
+
+def pair_groups(pairs: DataFrame, block: int = BLOCK) -> DataFrame:
+    """Groups to search for candidate pairs (a, b): each ``a`` against blocks of about ``block`` of its candidates."""
+    blocks = pairs.groupBy("a").agg(F.ceil(F.count("*") / block).alias("blocks"))
+    cut = pairs.join(blocks, "a").select(F.col("a").alias("g"), F.pmod(F.xxhash64("b"), F.col("blocks")).alias("part"), "b")
+    no_label = F.lit(None).cast("long").alias("label")
+    queries = cut.select("g", "part", F.col("g").alias("doc_id"), F.lit(True).alias("query"), no_label).distinct()
+    return cut.select("g", "part", F.col("b").alias("doc_id"), F.lit(False).alias("query"), no_label).unionByName(queries)
 
-    with_text = sides.join(_texts(docs), "doc_id")
-    groups = with_text.withColumn("key", F.pmod(F.xxhash64("a", "part"), F.lit(8 * partitions(spark))))
-    return stored(groups.groupBy("key").applyInArrow(lambda t: search(t.drop_columns(["key"])), ddl), "links")
+
+def list_groups(lists: DataFrame, percent: int = PERCENT, block: int = BLOCK) -> DataFrame:
+    """Groups to search for long lists (hash, rep, n, place, label) that hold several components.
+
+    Members outside of a list's most frequent component are queries against blocks of all members, where size and place
+    allow any link in this list at all. Rows grow with the members, not with their pairs.
+    """
+    sums = lists.groupBy("hash").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.mode("label").alias("main"), F.min("n").alias("least_n"), F.ceil(F.count("*") / block).alias("blocks"))
+    mixed = lists.join(sums.filter("low <> high").drop("low", "high"), "hash")
+    able = mixed.filter(F.col("n") - F.col("place") >= F.ceil(percent * (F.col("n") + F.col("least_n")) / (100 + percent)))
+    members = able.select(F.col("hash").alias("g"), F.pmod(F.xxhash64("rep"), F.col("blocks")).alias("part"), F.col("rep").alias("doc_id"), F.lit(False).alias("query"), "label")
+    asked = able.filter(F.col("label") != F.col("main")).select(F.col("hash").alias("g"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("part"), F.col("rep").alias("doc_id"), F.lit(True).alias("query"), "label")
+    return members.join(asked.select("g").distinct(), "g", "left_semi").unionByName(asked)
 
 
 def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
@@ -288,9 +339,9 @@ def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
 
 def near_groups(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id: the smallest doc_id that links lead to."""
-    signed, counts = signatures(docs, size)
+    signed, postings = prefix_postings(docs, size, percent)
     classes = stored(signed.filter("n > 0").groupBy("d1", "d2").agg(F.min("doc_id").alias("rep")), "classes")
-    found = candidate_lists(docs, counts, size, percent)
+    found = candidate_lists(postings, percent)
     named = classes.filter("rep is not null").select("d1", "rep")
 
     def by_name(pairs: DataFrame) -> DataFrame:
@@ -298,22 +349,13 @@ def near_groups(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) ->
         ends = pairs.join(named.select(F.col("d1").alias("a"), F.col("rep").alias("x")), "a").join(named.select(F.col("d1").alias("b"), F.col("rep").alias("y")), "b")
         return ends.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
-    links = verify(by_name(found.filter("hash is null").select("a", "b").distinct()), docs, size, percent)
+    links = search(pair_groups(by_name(found.filter("hash is null").select("a", "b").distinct())), docs, size, percent)
     labels = components(links)
     lists = found.filter("hash is not null").select("hash", F.explode("members").alias("m")).select("hash", "m.*")
     labelled = named.join(labels, F.col("rep") == F.col("node"), "left").select("d1", "rep", F.coalesce("label", "rep").alias("label"))
-    lists = lists.join(labelled, "d1")
-    mixed = lists.groupBy("hash").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.mode("label").alias("main")).filter("low <> high").select("hash", "main")
-    open_lists = lists.join(mixed, "hash")
-    if not open_lists.isEmpty():
-        x = open_lists.filter("label <> main").select("hash", F.struct("rep", "n", "place", "label").alias("x"))
-        y = open_lists.select("hash", F.struct("rep", "n", "place", "label").alias("y"))
-        need = F.ceil(percent * (F.col("x.n") + F.col("y.n")) / (100 + percent))
-        allowed = (F.least("x.n", "y.n") >= need) & (1 + F.least("x.place", "y.place") + F.least(F.col("x.n") - F.col("x.place"), F.col("y.n") - F.col("y.place")) - 1 >= need)
-        across = x.join(y, "hash").filter((F.col("x.label") != F.col("y.label")) & allowed)
-        more = across.select(F.least("x.rep", "y.rep").alias("a"), F.greatest("x.rep", "y.rep").alias("b")).distinct()
-        links = links.unionByName(verify(more, docs, size, percent))
-        labels = components(links)
+    across = search(list_groups(lists.join(labelled, "d1"), percent), docs, size, percent)
+    if not across.isEmpty():
+        labels = components(links.unionByName(across))
     reps = classes.join(labels, F.col("rep") == F.col("node"), "left").select("d1", "d2", F.coalesce("label", "rep").alias("component"))
     out = signed.join(reps, ["d1", "d2"], "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("doc_id")).alias("component_id"))

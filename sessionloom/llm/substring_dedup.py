@@ -105,7 +105,7 @@ def anchors(flat: Flat, window: int, period: int, cover: tuple[int, ...]) -> tup
     return places, found[places] if len(places) else found[:0]
 
 
-def _by_bucket(h: np.ndarray, buckets: int) -> Iterator[tuple[int, slice]]:
+def by_bucket(h: np.ndarray, buckets: int) -> Iterator[tuple[int, slice]]:
     """Runs of equal bucket in ascending hashes."""
     b = bucket_of(h, buckets)
     edges = np.flatnonzero(np.diff(b)) + 1
@@ -126,7 +126,7 @@ def repeated_windows(table: DataFrame, window: int = WINDOW, period: int = PERIO
             _, flat = Chunk.unpack(part["payload"][0]).flat(hashes)
             found, counts = np.unique(anchors(flat, window, period, cover)[1], return_counts=True)
             del counts
-            runs = list(_by_bucket(found, buckets))
+            runs = list(by_bucket(found, buckets))
             yield pa.RecordBatch.from_pydict({"bucket": [b for b, _ in runs], "chunk": part["chunk"] * len(runs), "hashes": [found[r].astype("<u8").tobytes() for _, r in runs]}, schema=sent)
 
     answered = arrow_schema("chunk long,bucket int,bits binary")
@@ -152,7 +152,7 @@ def repeated_windows(table: DataFrame, window: int = WINDOW, period: int = PERIO
             places, h = anchors(flat, window, period, cover)
             found, back, counts = np.unique(h, return_inverse=True, return_counts=True)
             known = counts > 1
-            sizes = dict(_by_bucket(found, buckets))
+            sizes = dict(by_bucket(found, buckets))
             for answer in part["answers"][0] or []:
                 run = sizes[answer["bucket"]]
                 known[run] |= np.unpackbits(np.frombuffer(answer["bits"], np.uint8), count=run.stop - run.start).astype(bool)
@@ -166,7 +166,7 @@ def repeated_windows(table: DataFrame, window: int = WINDOW, period: int = PERIO
             earliest = (ids[order] == ids[head]) & (at[order] == at[head])
             here = np.sort(starts[order[~earliest]])
             first = order[earliest]  # ascending in high
-            runs = list(_by_bucket(high[first], buckets))
+            runs = list(by_bucket(high[first], buckets))
             columns = {"places": (starts, "<u4"), "ids": (ids, "<i8"), "starts": (at, "<u4"), "high": (high, "<u8"), "low": (low, "<u4")}
             out = {"bucket": [-1] + [b for b, _ in runs], "chunk": part["chunk"] * (len(runs) + 1)}
             out |= {n: [here.astype("<u4").tobytes() if n == "places" else b""] + [a[first[r]].astype(k).tobytes() for _, r in runs] for n, (a, k) in columns.items()}
