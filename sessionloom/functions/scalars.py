@@ -185,14 +185,14 @@ def extension(path: Column) -> Column:
 
 def file_kind(path: Column, text: Column) -> Column:
     """json, jsonl, tsv, csv, code or text; structure counts before the extension."""
-    is_json = lambda c: c.rlike(r"^\s*[{\[]") & F.try_parse_json(c).isNotNull()
+    is_json = lambda c: c.rlike(r"^\s*[{\[]") & c.rlike(r"[}\]]\s*$") & F.try_parse_json(c).isNotNull()
     lines = F.filter(F.split(text, "\n"), lambda x: trimmed(x) != "")
     first = F.slice(lines, 1, 20)
     columns = lambda x, d: F.size(F.split(x, d))
     table = lambda d: (F.size(lines) >= 2) & (columns(F.get(first, F.lit(0)), d) >= 2) & F.forall(first, lambda x: columns(x, d) == columns(F.get(first, F.lit(0)), d))
     return (
-        F.when(is_json(text), "json")
-        .when((F.size(lines) >= 2) & F.forall(lines, is_json), "jsonl")
+        F.when((F.size(lines) >= 2) & F.forall(lines, is_json), "jsonl")  # the parser would stop after a first line
+        .when(is_json(text), "json")
         .when(table("\t"), "tsv")
         .when(table(","), "csv")
         .when(extension(path).isin(*CODE_EXTENSIONS), "code")
