@@ -73,3 +73,21 @@ def test_streams(spark, tmp_path):
     q = N.running_samples(stream).writeStream.format("memory").queryName("running").outputMode("update").option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start()
     q.awaitTermination()
     assert [tuple(r) for r in spark.sql("select * from running").collect()] == [("s", 8, 4.0)]
+
+
+def test_seeded_sessions():
+    from sessionloom.operators.evaluation import draws, session_rows
+
+    assert [int(x * 1000) for x in draws(1, 3)] == [627, 2, 527]
+    rows = session_rows(20260915, 48, 6, 400)
+    assert [r[1] for r in rows if r[4]] == ["e0000", "e0008", "e0016", "e0024", "e0032", "e0040"]
+    assert all(r[4] in r[3] for r in rows if r[4])
+
+
+def test_heal_windows_end_at_breaks(spark):
+    from sessionloom.operators.views import heal_windows
+
+    text = "word " * 500
+    got = heal_windows(spark.createDataFrame([(1, text), (2, ""), (3, "x" * 250)], "node long, text string"), 100).orderBy("node", "window").collect()
+    assert "".join(text[r["start"] : r["end"]] for r in got if r["node"] == 1) == text
+    assert [(r["start"], r["end"]) for r in got if r["node"] == 3] == [(0, 100), (100, 200), (200, 250)]
