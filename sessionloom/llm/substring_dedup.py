@@ -245,4 +245,15 @@ def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return drop_repeats(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("kept")
 
 
+_ORACLE = r"""
+WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+g AS (SELECT doc_id, unnest(range(1, len(w) - 18)) AS pos, w FROM w WHERE len(w) >= 20),
+k AS (SELECT doc_id, pos, sha256(array_to_string(w[pos:pos + 19], ' ')) AS h FROM g),
+f AS (SELECT doc_id, pos, first_value(doc_id) OVER o AS d, first_value(pos) OVER o AS a FROM k WINDOW o AS (PARTITION BY h ORDER BY doc_id, pos)),
+x AS (SELECT DISTINCT doc_id, unnest(range(pos, pos + 20)) AS pos FROM f WHERE d < doc_id OR d = doc_id AND a < pos),
+p AS (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS pos FROM w),
+j AS (SELECT p.doc_id, string_agg(p.word, ' ' ORDER BY p.pos) FILTER (x.pos IS NULL) AS kept, count(x.pos) AS gone FROM p LEFT JOIN x ON x.doc_id = p.doc_id AND x.pos = p.pos GROUP BY p.doc_id)
+SELECT w.doc_id, len(w.w) AS n_words, coalesce(j.gone, 0) AS n_removed, sha256(coalesce(j.kept, '')) AS kept_sha256 FROM w LEFT JOIN j ON j.doc_id = w.doc_id
+"""
 QUERIES = {"op4_substring_dedup": op4_substring_dedup}
+ORACLES = {"op4_substring_dedup": _ORACLE}
