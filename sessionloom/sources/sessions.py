@@ -102,3 +102,43 @@ def compaction_marks(entries: DataFrame) -> DataFrame:
     """(session_id, mark, n): 24 hex digits of the digest of a session's ordered ids, and how many there are."""
     ids = F.transform(F.sort_array(F.collect_list(F.struct("pos", "entry_id"))), lambda x: x["entry_id"])
     return entries.groupBy("session_id").agg(F.left(F.sha2(F.array_join(ids, ":"), 256), F.lit(24)).alias("mark"), F.count("*").alias("n"))
+
+
+def bus_entries(events: DataFrame) -> DataFrame:
+    """Entries (session_id, entry_id, pos, role, text) of bus events as JSON; other and malformed events are skipped."""
+    e = F.from_json("event", "id string,type string,data struct<sessionID:string,assistantMessageID:string,ordinal:long,text:string,reason:string>")
+    parsed = events.withColumn("e", e)
+    ended, compacted = F.col("e.type") == "session.text.ended", F.col("e.type") == "session.compaction.ended"
+    d = "e.data"
+    text_id = F.concat_ws(":", f"{d}.sessionID", F.lit("text"), f"{d}.assistantMessageID", F.col(f"{d}.ordinal").cast("string"))
+    id_ = F.when(ended & F.col(f"{d}.assistantMessageID").isNotNull() & F.col(f"{d}.ordinal").isNotNull(), text_id).when(compacted, F.concat_ws(":", f"{d}.sessionID", F.lit("compaction"), "e.id"))
+    role = F.when(ended, "assistant").otherwise("custom")
+    return parsed.select(F.col(f"{d}.sessionID").alias("session_id"), id_.alias("entry_id"), "pos", role.alias("role"), F.col(f"{d}.text").alias("text")).filter("session_id is not null and entry_id is not null and text is not null")
+
+
+def checkpoints(messages: DataFrame) -> DataFrame:
+    """Sessions whose first message is a finished compaction with a usable marker."""
+    first = messages.groupBy("session_id").agg(F.min_by(F.struct("type", "status", "metadata"), "pos").alias("m"))
+    v = F.try_parse_json("m.metadata")
+    nodes = F.try_variant_get(v, "$.nodes", "array<bigint>")
+    return first.withColumn("nodes", nodes).filter((F.col("m.type") == "compaction") & ~F.coalesce(F.col("m.status"), F.lit("")).isin("running", "failed") & (F.size("nodes") > 0)).select("session_id", "nodes")
+
+
+def render_part(kind: Column, name: Column, arguments: Column, text: Column) -> Column:
+    return F.when(kind == "text", text).when(kind == "tool-call", F.concat(F.lit("tool-call: "), name, F.lit(" "), arguments)).when(kind == "tool-result", text)
+
+
+def sanitize_path(value: Column, home: str) -> Column:
+    """A home folder becomes ``~``; another absolute path ``<path>``."""
+    return F.when(value.startswith(home), F.concat(F.lit("~"), F.substring(value, len(home) + 1, 1 << 30))).when(value.rlike("^(/|[A-Za-z]:\\\\)"), "<path>").otherwise(value)
+
+
+def structure_line(kind: Column, text: Column) -> Column:
+    """A table's rows and columns; of other texts lines, paragraphs and Markdown headings."""
+    lines = F.filter(F.split(text, "\n"), lambda x: S.trimmed(x) != "")
+    columns = lambda sep: F.size(F.split(F.get(lines, F.lit(0)), sep))
+    table = lambda sep: F.concat(F.size(lines).cast("string"), F.lit(" rows x "), columns(sep).cast("string"), F.lit(" columns"))
+    headings = F.size(F.filter(lines, lambda x: x.rlike(r"^#{1,6}\s")))
+    paragraphs = F.size(F.filter(F.split(text, r"\n\s*\n"), lambda x: S.trimmed(x) != ""))
+    plain = F.concat(F.size(lines).cast("string"), F.lit(" lines, "), paragraphs.cast("string"), F.lit(" paragraphs, "), headings.cast("string"), F.lit(" headings"))
+    return F.when(kind == "csv", table(",")).when(kind == "tsv", table("\t")).otherwise(plain)
