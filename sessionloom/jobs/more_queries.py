@@ -8,11 +8,14 @@ import uuid
 from pyspark.sql import functions as F
 
 from sessionloom.jobs.dag_queries import _graph
+from sessionloom.functions import scalars as S
 from sessionloom.operators import compact as P
 from sessionloom.operators import dag as D
+from sessionloom.operators import evaluation as L
 from sessionloom.operators import ingest as C
 from sessionloom.operators import policy as G
 from sessionloom.operators import transfer as H
+from sessionloom.operators import views as V
 from sessionloom.registry import query
 from sessionloom.sources import sessions as A
 from sessionloom.sources import telemetry
@@ -129,3 +132,56 @@ def summarizer(spark, d):
     return P.summarize(rows, lambda s: s.str.replace(r"\s+", " ", regex=True).str.strip().str[:60]).select("session_id", "row_id", "l1")
 
 
+
+
+@query("d16_entry_span", "SELECT session_id, arg_min(entry_id, row_id) AS first_entry_id, arg_max(entry_id, row_id) AS last_entry_id FROM fx_messages GROUP BY session_id")
+def entry_span(spark, d):
+    m = view(spark, d, "fx_messages")
+    return D.span_bounds(m, m)
+
+
+@query("e14_read_message", "SELECT session_id, row_id, substring(text, 11, 50) AS slice FROM fx_messages WHERE row_id = 2 AND row_id < 8")
+def read_message(spark, d):
+    """A window of one message of each session, if a summary covers it."""
+    m, s, p = _graph(spark, d)
+    covered = D.covering_leaf(m, p, s).filter("row_id = 2")
+    part, *_ = S.char_window(F.col("text"), F.lit(10), 50)
+    return m.join(covered, ["session_id", "row_id"], "left_semi").select("session_id", "row_id", part.alias("slice"))
+
+
+@query(
+    "k08_heal_totals",
+    "SELECT coalesce(stage, '(none)') AS stage, count(*) AS n, CAST(sum(input) AS BIGINT) AS input, count(*) FILTER (kind = 'summarizer-error') AS errors FROM fx_metrics WHERE kind IN ('summarizer-usage', 'summarizer-error') GROUP BY 1",
+)
+def heal_totals(spark, d):
+    rows = view(spark, d, "fx_metrics").filter(F.col("kind").isin("summarizer-usage", "summarizer-error"))
+    return rows.groupBy(F.coalesce("stage", F.lit("(none)")).alias("stage")).agg(F.count("*").alias("n"), F.sum("input").alias("input"), F.count_if(F.col("kind") == "summarizer-error").alias("errors"))
+
+
+@query(
+    "f11_f14_final_text",
+    """SELECT session_id, CASE WHEN length(t) <= 800 THEN t ELSE concat(left(t, 560), chr(10), chr(10), '[…truncated…]', chr(10), chr(10), right(t, 160)) END AS text
+       FROM (SELECT session_id, string_agg(text, concat(chr(10), chr(10)) ORDER BY row_id) AS t FROM fx_messages WHERE row_id <= 2 GROUP BY session_id) q""",
+)
+def final_text(spark, d):
+    m = view(spark, d, "fx_messages")
+    second = m.filter("row_id = 2").select("session_id", F.col("text").alias("rendered"))
+    only = m.groupBy("session_id").agg(F.max("row_id").alias("top")).filter("top = 1").join(m, "session_id").select("session_id", F.col("text").alias("rendered"))
+    first = m.filter("row_id = 1").select("session_id", F.col("text").alias("previous")).join(second, "session_id", "left_semi")
+    return V.final_text(second.unionByName(only), first, 100)
+
+
+@query("n02_watermarks", "SELECT session_id, arg_max(entry_id, row_id) AS entry_id, count(*) FILTER (row_id > 2) AS new FROM fx_messages GROUP BY session_id HAVING max(row_id) > 2")
+def watermarks(spark, d):
+    """Each session's next watermark after a first batch of two rows, and how many rows the second batch brings."""
+    m = view(spark, d, "fx_messages").withColumn("pos", F.col("row_id"))
+    fresh = C.delta_after(m, C.next_watermark(m.filter("row_id <= 2")))
+    return C.next_watermark(fresh).join(fresh.groupBy("session_id").agg(F.count("*").alias("new")), "session_id")
+
+
+@query("l04_recall", "SELECT concat('u', user_id) AS session_id, least(6, count(*)) AS needles, least(6, count(*)) AS answered, 0 AS failed FROM events GROUP BY user_id")
+def recall(spark, d):
+    """Planted needles that the leaves show, or that ranked search finds in the log."""
+    e = spark.read.parquet(f"{d}/events.parquet").groupBy("user_id").agg(F.count("*").alias("n"))
+    scenarios = e.select(F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("session_id"), F.col("user_id").alias("seed"), F.least(F.col("n"), F.lit(240)).alias("turns"), F.lit(6).alias("needles"), F.lit(60).alias("filler"))
+    return L.recall(L.generate(scenarios))

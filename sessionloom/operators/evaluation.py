@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from sessionloom.functions.scalars import estimate_tokens
 from sessionloom.operators import compact as P
+from sessionloom.operators.search import terms_of
 
 # Filler words, in the order in which draws choose them.
 FILLER = "the pass walked the span and stored a summary whose provenance names every message it covers".split()
@@ -71,3 +72,19 @@ def fidelity(entries: DataFrame, budget: int = 2000, target: int = 400) -> DataF
     planted = entries.filter("needle is not null").join(chunked, ["session_id", "row_id"], "left").join(leaves, ["session_id", "chunk"], "left")
     count = lambda c: F.count_if(F.coalesce(c, F.lit(False)))
     return planted.groupBy("session_id").agg(F.count("*").alias("needles"), count(F.contains("text", "needle")).alias("stored"), count(F.col("leaf").isNotNull()).alias("covered"), count(F.contains("leaf", "needle")).alias("shown"))
+
+
+def recall(entries: DataFrame, budget: int = 2000, target: int = 400) -> DataFrame:
+    """By session: needles, those answered from leaves or else by a term search of the log, and those neither finds."""
+    chunked = P.merge_chunks(P.chunk_contiguous(entries, budget))
+    leaves = P.mechanical_leaves(P.leaf_sources(entries, chunked, budget), target).groupBy("session_id").agg(F.collect_list("text").alias("leaves"))
+    asked = entries.filter("needle is not null").select("session_id", "needle")
+    name, value = F.substring_index("needle", "=", 1), F.substring_index("needle", "=", -1)
+    found = asked.join(leaves, "session_id", "left").withColumn("shown", F.exists("leaves", lambda t: F.contains(t, F.col("needle"))))
+    # a needle's name is a term of its own: the search is an equi join of asked names with the terms of the log
+    terms = entries.select("session_id", F.explode(F.array_distinct(terms_of(F.col("text")))).alias("term"))
+    logged = found.join(terms.withColumnRenamed("term", "name"), (found["session_id"] == terms["session_id"]) & (F.lower(name) == F.col("name")), "left_semi")
+    logged = logged.join(terms.withColumnRenamed("term", "value"), (logged["session_id"] == terms["session_id"]) & (value == F.col("value")), "left_semi")
+    hits = logged.select("session_id", "needle", F.lit(True).alias("searched")).distinct()
+    answered = F.coalesce(F.col("shown"), F.lit(False)) | F.coalesce(F.col("searched"), F.lit(False))
+    return found.join(hits, ["session_id", "needle"], "left").groupBy("session_id").agg(F.count("*").alias("needles"), F.count_if(answered).alias("answered"), F.count_if(~answered).alias("failed"))
