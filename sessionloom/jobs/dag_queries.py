@@ -13,10 +13,6 @@ from sessionloom.sources.fixtures import view
 
 def _graph(spark, d, bad=False):
     names = ("fx_messages", "bad_summaries", "bad_provenance") if bad else ("fx_messages", "fx_summaries", "fx_provenance")
-    if not spark.sparkContext.getCheckpointDir():
-        from tempfile import mkdtemp
-
-        spark.sparkContext.setCheckpointDir(spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or mkdtemp(prefix="sessionloom-"))
     return [view(spark, d, n) for n in names]
 
 

@@ -5,12 +5,25 @@ Every join has ``session_id`` among its keys; ranges are only compared within a
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 MOST_DEPTH = 8
 
 
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """``df`` checkpointed in the shared folder that ``spark.checkpoint.dir`` names.
+
+    Where that is unset, as in tests in local mode, the session gets a temporary folder.
+    """
+    context = df.sparkSession.sparkContext
+    if not context.getCheckpointDir():
+        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="sessionloom-"))
+    return df.checkpoint()
+
+
 def visible(run: str | None = None) -> Column:
     """Committed nodes, and those of the given open run."""
     committed = F.col("status") == "committed"
@@ -67,11 +80,12 @@ def closure(provenance: DataFrame, most_rounds: int = MOST_DEPTH + 1) -> DataFra
     """
     edges = provenance.filter("child_type = 'summary'").select("session_id", F.col("summary_id").alias("node"), F.col("child_id").alias("child"))
     own = provenance.select("session_id", F.col("summary_id").alias("node"), F.col("summary_id").alias("child"))
-    paths = edges.unionByName(own).distinct().checkpoint()
+    paths = cut_lineage(edges.unionByName(own).distinct())
     size = paths.count()
     for _ in range(most_rounds):
         step = paths.select("session_id", F.col("node").alias("child"), F.col("child").alias("far"))
-        paths = paths.unionByName(paths.join(step, ["session_id", "child"]).select("session_id", "node", F.col("far").alias("child"))).distinct().checkpoint()
+        longer = paths.join(step, ["session_id", "child"]).select("session_id", "node", F.col("far").alias("child"))
+        paths = cut_lineage(paths.unionByName(longer).distinct())
         now = paths.count()
         if now == size:
             break

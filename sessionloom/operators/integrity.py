@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sessionloom.operators.dag import MOST_DEPTH, with_rows
+from sessionloom.operators.dag import MOST_DEPTH, cut_lineage, with_rows
 
 KEY = ["session_id", "first_entry_id", "last_entry_id", "kind"]
 
@@ -76,7 +76,7 @@ def drop_orphan_parents(summaries: DataFrame, provenance: DataFrame, most_rounds
     """Summaries without those that name a missing child, again until none is left."""
     size = summaries.count()
     for _ in range(most_rounds):
-        summaries = summaries.join(orphan_parents(summaries, provenance), ["session_id", "id"], "left_anti").checkpoint()
+        summaries = cut_lineage(summaries.join(orphan_parents(summaries, provenance), ["session_id", "id"], "left_anti"))
         now = summaries.count()
         if now == size:
             break
