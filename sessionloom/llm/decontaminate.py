@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -37,68 +38,85 @@ _SLOT_HASH = {kind: np.uint64(xxhash.xxh3_64_intdigest(f"<{kind}>")) for kind in
 
 
 class Tokens:
-    """Template tokens of blank-separated chunks, remembered by chunk."""
+    """What each blank-separated chunk is, remembered by chunk: the hash of its word, and flags."""
 
-    def __init__(self, most: int = 1_000_000):
+    def __init__(self, most: int = 500_000):
         self.most = most
         self.number: dict[str, int] = {}
-        self.hashes: list[int] = []
-        self.flags: list[int] = []
-
-    def _add(self, chunk: str) -> None:
-        word = chunk.strip(OUTER)
-        low = word.lower()
-        flags = 0 if word else EMPTY
-        if word[:1].isupper() and (len(word) == 1 or word[1:].islower()):
-            flags |= TITLE
-        if word and (word[0].isdigit() or word[1:2].isdigit()) and NUMBER.fullmatch(low):
-            flags |= IS_NUMBER
-        if low in UNITS:
-            flags |= IS_UNIT
-        if chunk[-1:] in ".!?:" or chunk[-2:-1] in ".!?":
-            flags |= ENDS
-        self.number[chunk] = len(self.hashes)
-        self.hashes.append(xxhash.xxh3_64_intdigest(low))
-        self.flags.append(flags)
-
-    def template(self, text: str | None) -> tuple[np.ndarray, np.ndarray, list[str]]:
-        """Hashes of the template tokens, which of them are slots (0 none, 1 number, 2 unit, 3 name), and their chunks."""
-        chunks = (text or "").split()
-        if len(self.hashes) > self.most:
-            self.number, self.hashes, self.flags = {}, [], []
-        for c in chunks:
-            if c not in self.number:
-                self._add(c)
-        ids = list(map(self.number.__getitem__, chunks))
-        flags = np.array([self.flags[i] for i in ids], np.uint8)
-        hashes = np.array([self.hashes[i] for i in ids], np.uint64)
-        keep = flags & EMPTY == 0
-        if not keep.all():
-            chunks = [c for c, k in zip(chunks, keep.tolist(), strict=True) if k]
-            flags, hashes = flags[keep], hashes[keep]
-        number = flags & IS_NUMBER > 0
-        before = lambda a, first: np.concatenate([[first], a[:-1]]) if len(a) else a
-        unit = (flags & IS_UNIT > 0) & before(number, False).astype(bool) & ~number
-        name = (flags & TITLE > 0) & ~before(flags & ENDS > 0, True).astype(bool) & ~number & ~unit
-        kind = np.select([number, unit, name], [1, 2, 3], 0).astype(np.uint8)
-        return np.select([number, unit, name], [_SLOT_HASH["number"], _SLOT_HASH["unit"], _SLOT_HASH["name"]], hashes), kind, chunks
-
-
-_WINDOWS = "hash long,place int,n int,slots array<string>"
-_SLOTS = pa.list_(pa.string())
-
+        self.hashes, self.flags = np.empty(0, np.uint64), np.empty(0, np.uint8)
+
+    def learn(self, new: list[str]) -> None:
+        hashes, kinds = [], []
+        for chunk in new:
+            if chunk.isalpha() and chunk.islower():  # most of them
+                hashes.append(xxhash.xxh3_64_intdigest(chunk))
+                kinds.append(IS_UNIT if chunk in UNITS else 0)
+                continue
+            word = chunk.strip(OUTER)
+            low = word.lower()
+            flags = 0 if word else EMPTY
+            if word[:1].isupper() and (len(word) == 1 or word[1:].islower()):
+                flags |= TITLE
+            if (word[:1].isdigit() or word[1:2].isdigit()) and NUMBER.fullmatch(low):
+                flags |= IS_NUMBER
+            if low in UNITS:
+                flags |= IS_UNIT
+            if chunk[-1:] in ".!?:" or chunk[-2:-1] in (".", "!", "?"):
+                flags |= ENDS
+            hashes.append(xxhash.xxh3_64_intdigest(low))
+            kinds.append(flags)
+        self.number.update(zip(new, range(len(self.number), len(self.number) + len(new)), strict=True))
+        self.hashes = np.concatenate([self.hashes, np.array(hashes, np.uint64)])
+        self.flags = np.concatenate([self.flags, np.array(kinds, np.uint8)])
+
+    def of(self, chunks: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
+        if len(self.number) > self.most:
+            self.number, self.hashes, self.flags = {}, self.hashes[:0], self.flags[:0]
+        self.learn(list(set().union(*chunks).difference(self.number)))
+        ids = np.fromiter(map(self.number.__getitem__, chain.from_iterable(chunks)), np.int64, sum(map(len, chunks)))
+        return self.hashes[ids], self.flags[ids]
+
+
+class Templates:
+    """Template tokens of many texts in flat arrays.
+
+    ``hashes`` has placeholders for slots, ``kind`` says which tokens are slots (0 none, 1 number, 2 unit, 3 name);
+    ``doc`` and ``at`` give each token's text and place in it.
+    """
 
-def _slots(kind: np.ndarray, chunks: list[str], at: int, size: int) -> list[str]:
-    """The window's slot values, in order."""
-    return [chunks[at + k].strip(OUTER).lower() for k in np.flatnonzero(kind[at : at + size]).tolist()]
+    def __init__(self, texts: list[str | None], tokens: Tokens):
+        chunks = [(t or "").split() for t in texts]
+        hashes, flags = tokens.of(chunks)
+        self.all, self.kept = list(chain.from_iterable(chunks)), np.flatnonzero(flags & EMPTY == 0)
+        hashes, flags = hashes[self.kept], flags[self.kept]
+        self.doc = np.repeat(np.arange(len(texts)), [len(c) for c in chunks])[self.kept]
+        self.n = np.bincount(self.doc, minlength=len(texts))
+        self.at = np.arange(len(self.doc)) - (np.cumsum(self.n) - self.n)[self.doc]
+        first = self.at == 0
+        number, ends = flags & IS_NUMBER > 0, flags & ENDS > 0
+        after_number, after_end = np.roll(number, 1) & ~first, np.roll(ends, 1) | first  # of the token before
+        unit = (flags & IS_UNIT > 0) & after_number & ~number
+        name = (flags & TITLE > 0) & ~after_end & ~number & ~unit
+        self.kind, self.hashes = np.zeros(len(hashes), np.uint8), hashes
+        for k, (slot, where) in enumerate((("number", number), ("unit", unit), ("name", name)), 1):
+            self.kind[where] = k
+            self.hashes[where] = _SLOT_HASH[slot]
+        self.plain = np.concatenate([[0], np.cumsum(self.kind == 0)])
+
+    def windows(self, size: int) -> tuple[np.ndarray, np.ndarray]:
+        """Starts and hashes of the windows within one text that have enough plain words."""
+        found = windows(self.hashes, size)
+        starts = np.flatnonzero(self.at + size <= self.n[self.doc])
+        starts = starts[self.plain[starts + size] - self.plain[starts] >= min(LEAST_WORDS, size)]
+        return starts, found[starts] if len(starts) else found[:0]
+
+    def slots(self, start: int, size: int) -> list[str]:
+        """Slot values of a window, in order."""
+        return [self.all[self.kept[start + k]].strip(OUTER).lower() for k in np.flatnonzero(self.kind[start : start + size]).tolist()]
 
 
-def _window_hashes(hashes: np.ndarray, kind: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """Places and hashes of the windows with enough plain words."""
-    found = windows(hashes, size)
-    plain = np.concatenate([[0], np.cumsum(kind == 0)])
-    places = np.flatnonzero(plain[size:] - plain[: len(plain) - size] >= min(LEAST_WORDS, size)) if len(found) else np.empty(0, int)
-    return places, found[places] if len(places) else found[:0]
+_WINDOWS = "hash long,place int,n int,slots array<string>"
+MARKS = 1 << 22
 
 
 def template_windows(texts: DataFrame, key: str, size: int = WINDOW, only: np.ndarray | None = None, short: tuple[int, ...] = ()) -> DataFrame:
@@ -107,29 +125,33 @@ def template_windows(texts: DataFrame, key: str, size: int = WINDOW, only: np.nd
     ``short`` are further window sizes, those of items that are shorter than ``size``; without ``only`` a short text
     itself is one window.
     """
-    spark = texts.sparkSession
-    schema = pa.schema([(key, pa.int64()), ("hash", pa.int64()), ("place", pa.int32()), ("n", pa.int32()), ("slots", _SLOTS)])
-    shared = spark.sparkContext.broadcast(only)  # BLOCK hashes at most
+    schema = pa.schema([(key, pa.int64()), ("hash", pa.int64()), ("place", pa.int32()), ("n", pa.int32()), ("slots", pa.list_(pa.string()))])
+    shared = texts.sparkSession.sparkContext.broadcast(only)  # BLOCK hashes at most
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens, wanted = Tokens(), shared.value
-        marked = None
+        low = lambda h: (h & np.uint64(MARKS - 1)).astype(np.int64)
         if wanted is not None:
-            marked = np.zeros(1 << 22, bool)
-            marked[(wanted & np.uint64((1 << 22) - 1)).astype(np.int64)] = True
+            marked = np.zeros(MARKS, bool)
+            marked[low(wanted)] = True
         for part in slices(batches):
+            t = Templates(part["text"], tokens)
             out: dict[str, list] = {n: [] for n in schema.names}
-            for doc_id, text in zip(part[key], part["text"], strict=True):
-                hashes, kind, chunks = tokens.template(text)
-                for n in {size, *short} if wanted is not None else {min(size, len(hashes))} - {0}:
-                    places, found = _window_hashes(hashes, kind, n)
-                    if wanted is not None:
-                        near = np.flatnonzero(marked[(found & np.uint64((1 << 22) - 1)).astype(np.int64)])
-                        near = near[wanted[np.minimum(np.searchsorted(wanted, found[near]), len(wanted) - 1)] == found[near]]
-                        places, found = places[near], found[near]
-                    for p, h in zip(places.tolist(), found.view(np.int64).tolist(), strict=True):
-                        for name, value in zip(schema.names, (doc_id, h, p, len(hashes), _slots(kind, chunks, p, n)), strict=True):
-                            out[name].append(value)
+            for n in sorted({size, *short}) if wanted is not None else range(1, size + 1):
+                starts, found = t.windows(n)
+                if wanted is not None:
+                    near = np.flatnonzero(marked[low(found)])
+                    near = near[wanted[np.minimum(np.searchsorted(wanted, found[near]), len(wanted) - 1)] == found[near]]
+                    starts, found = starts[near], found[near]
+                elif n < size:  # whole short texts
+                    whole = t.n[t.doc[starts]] == n
+                    starts, found = starts[whole], found[whole]
+                docs = t.doc[starts]
+                out[key] += [part[key][k] for k in docs.tolist()]
+                out["hash"] += found.view(np.int64).tolist()
+                out["place"] += t.at[starts].tolist()
+                out["n"] += t.n[docs].tolist()
+                out["slots"] += [t.slots(k, n) for k in starts.tolist()]
             yield pa.RecordBatch.from_pydict(out, schema=schema)
 
     rows = texts.select(F.col(key).cast("long").alias(key), F.col("text").cast("string").alias("text"))
@@ -142,7 +164,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, bloc
     items = items.select("item_id", "hash", F.col("place").alias("item_place"), F.col("n").alias("item_n"), F.col("slots").alias("item_slots"))
     distinct = items.select("hash", "item_n").groupBy("hash").agg(F.min("item_n").alias("n"))
     short = tuple(sorted(r["n"] for r in items.filter(F.col("item_n") < size).select(F.col("item_n").alias("n")).distinct().collect()))  # below ``size``
-    blocks = max(1, -(-distinct.count() // block * 2))
+    blocks = max(1, -(-2 * distinct.count() // block))
     hits = None
     for k in range(blocks):
         rows = distinct.filter(F.pmod(F.xxhash64("hash"), F.lit(blocks)) == k).select("hash").toPandas()  # about block / 2 hashes
