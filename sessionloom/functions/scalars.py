@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 ROLES = ("user", "assistant", "toolResult", "custom")
 DEFAULT_CHARS_PER_TOKEN = 4
+# Fixed value: how marks in stored texts begin.
+MARK = "[lcm:"
 TRUNCATED = "\n\n[…truncated…]\n\n"
 # Phrases by which providers state their context window, in the order in which they are tried.
 WINDOW_PHRASES = (
@@ -120,7 +122,7 @@ def char_window(text: Column, offset: Column, most: int) -> tuple[Column, Column
 
 
 def clipped(text: Column, most: int) -> Column:
-    note = F.concat(F.lit("[lcm:more "), F.length(text) - most, F.lit(" chars]"))
+    note = F.concat(F.lit(f"{MARK}more "), F.length(text) - most, F.lit(" chars]"))
     return F.when(F.length(text) > most, F.concat(F.left(text, F.lit(most)), note)).otherwise(text)
 
 
@@ -169,7 +171,7 @@ def tool_name(text: Column, role: Column, payload: Column | None = None) -> Colu
 
 def cite_ids(answer: Column, most: int = 20) -> Column:
     """Summary marks as ``#N``, then ``[a:b]`` entry ids, each once, the first ``most``."""
-    summaries = F.transform(F.regexp_extract_all(answer, F.lit(r"\[lcm:summary #(\d+)"), 1), lambda n: F.concat(F.lit("#"), n))
+    summaries = F.transform(F.regexp_extract_all(answer, F.lit(rf"\{MARK}summary #(\d+)"), 1), lambda n: F.concat(F.lit("#"), n))
     entries = F.regexp_extract_all(answer, F.lit(r"\[([A-Za-z0-9_]+:[A-Za-z0-9_]+)\]"), 1)
     return F.slice(F.array_distinct(F.concat(summaries, entries)), 1, most)
 

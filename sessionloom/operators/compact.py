@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from sessionloom.functions import scalars as S
 
 CHUNK_TOKENS, MOST_CHUNKS, MOST_FANOUT, MOST_DEPTH, LEAF_TOKENS = 3000, 24, 8, 8, 512
-PREFIX = "[lcm:truncated]\n"
+PREFIX = f"{S.MARK}truncated]\n"
 
 
 def islands(messages: DataFrame) -> DataFrame:
@@ -130,7 +130,7 @@ def stall_report(frontier: DataFrame, target: int, most_depth: int = MOST_DEPTH)
 
 def render(frontier: DataFrame) -> DataFrame:
     """One text per session: a header and the text of each node, in order."""
-    head = F.concat(F.lit("[lcm:summary #"), F.col("id").cast("string"), F.lit(" d"), F.col("depth").cast("string"), F.lit(" span "), "first_entry_id", F.lit(".."), "last_entry_id", F.lit("]\n"), "text")
+    head = F.concat(F.lit(f"{S.MARK}summary #"), F.col("id").cast("string"), F.lit(" d"), F.col("depth").cast("string"), F.lit(" span "), "first_entry_id", F.lit(".."), "last_entry_id", F.lit("]\n"), "text")
     ordered = F.sort_array(F.collect_list(F.struct("position", head.alias("one"))))
     joined = frontier.groupBy("session_id").agg(F.array_join(F.transform(ordered, lambda x: x["one"]), "\n\n").alias("rendered"))
     return joined.withColumn("tokens", S.estimate_tokens(F.col("rendered")))

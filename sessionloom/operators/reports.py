@@ -7,11 +7,13 @@ from pyspark.sql import functions as F
 
 from sessionloom.functions.scalars import utc_day
 
+# The event of history rows in the log, and the kinds that tell of trouble.
+HISTORY = "lcm"
 HEALTH_KINDS = ("summarizer-error", "summarizer-capped", "summarizer-fallback", "summary-fallback-stored", "compaction-error", "compaction-stale", "compaction-abandoned")
 
 
 def of_kind(log: DataFrame, kind: str) -> DataFrame:
-    return log.filter((F.col("event") == "lcm") & (F.col("kind") == kind))
+    return log.filter((F.col("event") == HISTORY) & (F.col("kind") == kind))
 
 
 def log_window(log: DataFrame) -> DataFrame:
@@ -65,7 +67,7 @@ def slowest(log: DataFrame, by: str, value: str) -> DataFrame:
 
 def calls_after_swap(log: DataFrame, call_kind: str) -> DataFrame:
     """For each session its calls, those at or after its first swap, and whether it swapped."""
-    flag = (F.col("event") == "lcm") & (F.col("kind") == "swap-applied")
+    flag = (F.col("event") == HISTORY) & (F.col("kind") == "swap-applied")
     firsts = log.filter(flag).groupBy("session").agg(F.min("ts").alias("first_swap"))
     calls = of_kind(log, call_kind).groupBy("session", "ts").agg(F.count("*").alias("n"))
     both = firsts.join(calls, "session", "full")
@@ -73,7 +75,7 @@ def calls_after_swap(log: DataFrame, call_kind: str) -> DataFrame:
 
 
 def health_by_day(log: DataFrame, kinds: tuple[str, ...] = HEALTH_KINDS) -> DataFrame:
-    days = log.filter((F.col("event") == "lcm") & F.col("kind").isin(*kinds)).groupBy(utc_day(F.col("ts")).alias("day"))
+    days = log.filter((F.col("event") == HISTORY) & F.col("kind").isin(*kinds)).groupBy(utc_day(F.col("ts")).alias("day"))
     return days.pivot("kind", list(kinds)).count().na.fill(0)
 
 
@@ -86,7 +88,7 @@ def worst_ratio_by_day(log: DataFrame, top: str, bottom: str) -> DataFrame:
 
 
 def per_session(log: DataFrame) -> DataFrame:
-    kind = lambda k: F.count_if(F.coalesce((F.col("event") == "lcm") & (F.col("kind") == k), F.lit(False)))
+    kind = lambda k: F.count_if(F.coalesce((F.col("event") == HISTORY) & (F.col("kind") == k), F.lit(False)))
     decided = F.when(F.col("kind") == "context-decision", F.col("pos"))
     return log.groupBy("session").agg(
         F.count("*").alias("n_rows"),
