@@ -261,7 +261,7 @@ def test_warc(spark):
     index = warc.normalise(files)
     got = {r["page_id"]: (r["payload_bytes"], r["payload_digest"], r["record_type"], r["refers_to"]) for r in warc.read_records(index).collect()}
     digest = lambda t: hashlib.sha256((t or "").encode()).hexdigest()
-    assert got == {i: (len((h or "").encode()), digest(h), "revisit" if i in (5, 9) else "response", 2 if i in (5, 9) else None) for i, _, h in [*rows[:6], rows[7]]} | {None: (203, digest(big), "revisit", 2)} or got[None][2] in ("response", "revisit")
+    assert got == {i: (len((h or "").encode()), digest(h), "revisit" if i in (5, 9) else "response", 2 if i in (5, 9) else None) for i, _, h in rows}
     raw = warc._open(files.first()["path"])
     assert len(list(warc.split_stream(warc.inflate(raw, 100)))) == len(rows)
     first = index.orderBy("offset").first()
