@@ -69,14 +69,13 @@ class TextEncoder:
     beyond the first plane) are encoded as a whole. ``tests/llm`` holds this against encoding whole texts.
     """
 
-    def __init__(self, path: str, most: int = 400_000):
+    def __init__(self, path: str, most: int = 300_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
         from tokenizers.pre_tokenizers import ByteLevel
 
         self.whole = Tokenizer.from_file(path)
-        self.by_piece = Tokenizer.from_file(path)
-        self.by_piece.normalizer = None
+        self.by_piece = Tokenizer(self.whole.model)  # the same model, without normaliser and pre-tokeniser
         self.by_piece.pre_tokenizer = ByteLevel(add_prefix_space=False, use_regex=False)
         self.dtype = "<u2" if self.whole.get_vocab_size() <= 1 << 16 else "<u4"
         self.known: dict[str, bytes] = {}

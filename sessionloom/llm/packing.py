@@ -37,7 +37,7 @@ def pieces(docs: DataFrame, tokenizer: str, size: int = SIZE, end_id: int = END_
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = text_encoder(tokenizer)
         end = encoder.end(end_id)
-        for part in slices(batches, 2048):
+        for part in slices(batches, 768):
             out: dict[str, list] = {n: [] for n in schema.names}
             for doc_id, blob in zip(part["doc_id"], encoder.encode(part["text"]), strict=True):
                 raw = memoryview(np.frombuffer(blob + end, encoder.dtype).astype("<u4").tobytes())

@@ -12,7 +12,7 @@ an empty table gives no rows; other columns pass through ``find_secrets`` and ``
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -63,48 +63,62 @@ def spans_of(text: str, rules=RULES, seen: int = -1) -> list[tuple[str, int, int
 _SPAN = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
 
 
-def find_secrets(docs: DataFrame, text: str = "text", rules=RULES) -> DataFrame:
-    """``docs`` with ``secret_spans``, an array of (kind, start, end); an existing column of that name is replaced."""
-    kept = [c for c in docs.columns if c != "secret_spans"]
-    chosen = docs.select(*kept)
-    out = with_column(chosen, "secret_spans", "array<struct<kind:string,start:long,end:long>>")
-
+def _scanned(docs: DataFrame, text: str, rules) -> Callable[[Iterator[pa.RecordBatch]], Iterator[tuple[pa.RecordBatch, list]]]:
+    """Batches of 1024 rows at most with the spans of each row's text."""
     shared = docs.sparkSession.sparkContext.broadcast(compile_rules(triggers(rules)))  # its size depends on the rules alone
 
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list]]:
         automaton = shared.value
-        for batch in batches:
+        for batch in (b.slice(at, 1024) for b in batches for at in range(0, b.num_rows, 1024)):
             spans = []
             for value in batch.column(batch.schema.get_field_index(text)):
                 t = value.as_py() or ""
                 seen = automaton.rules_in(t.encode("utf-8", "replace"))
-                spans.append([{"kind": k, "start": s, "end": e} for k, s, e in spans_of(t, rules, seen)] if seen else [])
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(spans, _SPAN)], names=[*batch.schema.names, "secret_spans"])
+                spans.append(spans_of(t, rules, seen) if seen else [])
+            yield batch, spans
 
-    return chosen.mapInArrow(scan, out)
+    return scan
 
 
-def redact_secrets(docs: DataFrame, mask: str = "[SECRET]") -> DataFrame:
-    """Documents with each run of overlapping spans replaced by ``mask``; ``n_chars`` follows where it exists."""
+def find_secrets(docs: DataFrame, text: str = "text", rules=RULES) -> DataFrame:
+    """``docs`` with ``secret_spans``, an array of (kind, start, end); an existing column of that name is replaced."""
+    chosen = docs.select(*[c for c in docs.columns if c != "secret_spans"])
+    scan = _scanned(docs, text, rules)
 
-    @F.pandas_udf("string")
-    def masked(texts, spans):
-        def one(text, found):
-            if text is None or found is None or not len(found):
-                return text
-            out, at = [], 0
-            for x in found:
-                if x["start"] >= at:
-                    out += [text[at : x["start"]], mask]
-                at = max(at, x["end"])
-            return "".join([*out, text[at:]])
-
-        return texts.combine(spans, one)
-
-    found = find_secrets(docs).withColumn("text", F.when(F.size("secret_spans") > 0, masked("text", "secret_spans")).otherwise(F.col("text")))
-    if "n_chars" in docs.columns:
-        found = found.withColumn("n_chars", F.when(F.size("secret_spans") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return found.select(*docs.columns)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, spans in scan(batches):
+            found = pa.array([[{"kind": k, "start": s, "end": e} for k, s, e in x] for x in spans], _SPAN)
+            yield pa.RecordBatch.from_arrays([*batch.columns, found], names=[*batch.schema.names, "secret_spans"])
+
+    return chosen.mapInArrow(run, with_column(chosen, "secret_spans", "array<struct<kind:string,start:long,end:long>>"))
+
+
+def masked(text: str, spans: list[tuple[str, int, int]], mask: str) -> str:
+    """``text`` with each run of overlapping spans replaced."""
+    out, at = [], 0
+    for _, start, end in spans:
+        if start >= at:
+            out += [text[at:start], mask]
+        at = max(at, end)
+    return "".join([*out, text[at:]])
+
+
+def redact_secrets(docs: DataFrame, mask: str = "[SECRET]", rules=RULES) -> DataFrame:
+    """Documents with each run of overlapping spans replaced by ``mask``; ``n_chars`` follows where it exists."""
+    scan = _scanned(docs, "text", rules)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, spans in scan(batches):
+            columns = dict(zip(batch.schema.names, batch.columns, strict=True))
+            texts = [t.as_py() for t in columns["text"]]
+            new = [masked(t, x, mask) if x else t for t, x in zip(texts, spans, strict=True)]
+            columns["text"] = pa.array(new, columns["text"].type)
+            if "n_chars" in columns:
+                kind = columns["n_chars"].type
+                columns["n_chars"] = pa.array([len(t) if x else n for t, x, n in zip(new, spans, columns["n_chars"].to_pylist(), strict=True)], kind)
+            yield pa.RecordBatch.from_pydict(columns, schema=batch.schema)
+
+    return docs.mapInArrow(run, docs.schema)
 
 
 def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -138,7 +138,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_I
             return pa.RecordBatch.from_pydict({"shard": [shard], "segment": [number], "n_docs": [len(blobs)], "n_ids": [n], "start_in_shard": [written], "data": [Segment.pack(ids, blobs, width)]}, schema=schema)
 
         held = 0
-        for part in slices(batches, 2048):
+        for part in slices(batches, 768):
             for doc_id, blob in zip(part["doc_id"], encoder.encode(part["text"]), strict=True):
                 ids.append(doc_id)
                 blobs.append(blob + end)

@@ -12,7 +12,7 @@ _ODD = np.random.default_rng(20240229).integers(1, 1 << 63, (2, 64), dtype=np.ui
 class WordHashes(dict):
     """64-bit hash of a word (bytes), kept for words seen; emptied when it holds too many."""
 
-    def __init__(self, most: int = 1_000_000):
+    def __init__(self, most: int = 300_000):
         super().__init__()
         self.most = most
 
