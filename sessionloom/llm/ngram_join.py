@@ -40,6 +40,8 @@ from sessionloom.llm.words import Flat, WordHashes, mix, split_words, windows
 SHINGLE, PERCENT = 5, 75
 SHORT_LIST = 64
 BLOCK = 256
+#: Document ids that are broadcast at most, 8 bytes each.
+MOST_IDS = 500_000
 
 
 def least_overlap(a: int, b: int, percent: int = PERCENT) -> int:
@@ -288,7 +290,11 @@ def search(groups: DataFrame, docs: DataFrame, size: int = SHINGLE, percent: int
                         found.add((min(ids[k], ids[other]), max(ids[k], ids[other])))
         return pa.table({"a": [x for x, _ in found], "b": [y for _, y in found]}, schema=schema)
 
-    with_text = groups.join(_texts(docs), "doc_id")
+    groups = stored(groups, "groups")
+    ids, texts = groups.select("doc_id").distinct(), _texts(docs)
+    if ids.count() <= MOST_IDS:  # few documents: only their texts are shuffled; else the join alone picks them
+        texts = texts.join(F.broadcast(ids), "doc_id", "left_semi")
+    with_text = groups.join(texts, "doc_id")
     keyed = with_text.withColumn("key", F.pmod(F.xxhash64("g", "part"), F.lit(8 * partitions(docs.sparkSession))))
     return stored(keyed.groupBy("key").applyInArrow(lambda t: run(t.drop_columns(["key"])), ddl), "links")
 
