@@ -1,11 +1,12 @@
 """Best-fit packing by hierarchical residual rounds.
 
 ``pieces`` cuts documents into runs of at most ``size`` tokens. ``pack`` places the pieces: each partition packs
-its own by best fit, longest first, and emits the bins that are nearly full; underfull bins go on as single items
-to a round over fewer partitions (a tree of fan-in ``fan_in``), where they are packed with each other, until one
-partition is left or nothing is underfull. What goes on from a partition is what no other bin could take, a few
-bins, so the items of a round fall with the number of partitions. A full piece is a bin of its own from the
-start. Every round is a written table, so a lost executor repeats one task and not the rounds before it.
+its own by best fit, longest first, and closes the bins that are nearly full. Of all underfull bins only the number
+for every fill, ``size`` numbers at most, goes to the driver, which packs them as single items by best fit over these
+counts (``fit_counts``): equal bins are made all at once. Each underfull bin then finds its place by its fill and its
+rank among the bins of that fill, over many partitions, so no task reads more where more bins stay open. A full piece
+is a bin of its own from the start. Every round is a written table, so a lost executor repeats one task and not the
+rounds before it.
 
 Nulls: a null text is a document of its end id alone; a null ``doc_id`` is kept. Repeated rows are separate
 documents. An empty table gives no rows. Other columns are ignored.
@@ -18,7 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sessionloom.llm.common import arrow_schema, partitions, slices, stored, text_encoder, word_vocabulary
@@ -27,7 +28,8 @@ SIZE = 2048
 END_ID = 0
 _PIECES = "doc_id long,piece int,start long,length long,ids_crc32 long"
 _PART = "array<struct<doc_id:long,piece:int,start:long,length:long,ids_crc32:long>>"
-_BINS = f"round int,partition int,number int,fill long,closed boolean,parts {_PART}"
+_BINS = f"partition int,number int,fill long,closed boolean,rank long,parts {_PART}"
+_PLACED = f"sequence_id long,first long,parts {_PART}"
 
 
 def pieces(docs: DataFrame, tokenizer: str, size: int = SIZE, end_id: int = END_ID) -> DataFrame:
@@ -76,45 +78,101 @@ def best_fit(lengths: list[int], size: int) -> list[list[int]]:
     return bins
 
 
-def pack(pieces: DataFrame, size: int = SIZE, slack: int = 8, fan_in: int = 8) -> DataFrame:
-    """``pieces`` with sequence_id and offset; a bin is nearly full when at most ``slack`` tokens are free."""
-    spark = pieces.sparkSession
-    struct_type = pa.list_(pa.struct(list(arrow_schema(_PIECES))))
-    schema = pa.schema([("round", pa.int32()), ("partition", pa.int32()), ("number", pa.int32()), ("fill", pa.int64()), ("closed", pa.bool_()), ("parts", struct_type)])
+def fit_counts(counts: dict[int, int], size: int) -> np.ndarray:
+    """Best fit, longest first, of ``counts[length]`` items of every length, without a list of the items.
 
-    def pack_round(number: int, last: bool):
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            from pyspark import TaskContext
+    Rows (length, rank, per, bin, offset), by length and rank: items of that length from that rank on lie ``per`` to
+    a bin, from that bin and that offset on. Bins with the same lengths are kept as one group, so there are
+    about as many groups as lengths.
+    """
+    open_groups: list[list[tuple[int, list[tuple[int, int, int]]]]] = [[] for _ in range(size + 1)]
+    rooms = 0
+    for length in sorted(counts, reverse=True):
+        rank, left = 0, counts[length]
+        while left:
+            fitting = rooms >> length
+            if fitting:
+                room = length + (fitting & -fitting).bit_length() - 1
+                bins, held = open_groups[room].pop()
+            else:
+                room, bins, held = size, left, []
+            per = min(room // length, left)
+            taken = min(bins, left // per)
+            if fitting and taken < bins:
+                open_groups[room].append((bins - taken, [(n, at + taken * k, k) for n, at, k in held]))
+            if not open_groups[room]:
+                rooms &= ~(1 << room)
+            open_groups[room - per * length].append((taken, [*held, (length, rank, per)]))
+            rooms |= 1 << room - per * length
+            rank, left = rank + taken * per, left - taken * per
+    rows, number = [], 0
+    for bins, held in (g for groups in open_groups for g in groups):
+        offset = 0
+        for length, rank, per in held:
+            rows.append((length, rank, per, number, offset))
+            offset += per * length
+        number += bins
+    return np.array(sorted(rows), np.int64).reshape(-1, 5)
 
-            items = [(fill, parts) for batch in batches for fill, parts in zip(batch.column("fill").to_pylist(), batch.column("parts").to_pylist(), strict=True)]
-            items.sort(key=lambda x: (-x[0], [(p["doc_id"] is not None, p["doc_id"] or 0, p["piece"], p["ids_crc32"]) for p in x[1][:1]]))
-            bins = best_fit([x[0] for x in items], size)
-            for at in range(0, len(bins), 256):
-                some = bins[at : at + 256]
-                fills = [sum(items[i][0] for i in b) for b in some]
-                yield pa.RecordBatch.from_pydict({"round": [number] * len(some), "partition": [TaskContext.get().partitionId()] * len(some), "number": list(range(at, at + len(some))), "fill": fills, "closed": [last or f >= size - slack for f in fills], "parts": [[p for i in b for p in items[i][1]] for b in some]}, schema=schema)
 
-        return run
+def pack(pieces: DataFrame, size: int = SIZE, slack: int = 8, fan_in: int = 8) -> DataFrame:
+    """``pieces`` with sequence_id and offset; a bin is nearly full when at most ``slack`` tokens are free.
+
+    ``fan_in`` is without effect: all underfull bins are packed with each other in one round.
+    """
+    spark = pieces.sparkSession
+    struct_type = pa.list_(pa.struct(list(arrow_schema(_PIECES))))
+    schema = pa.schema([("partition", pa.int32()), ("number", pa.int32()), ("fill", pa.int64()), ("closed", pa.bool_()), ("rank", pa.int64()), ("parts", struct_type)])
+    placed_schema = pa.schema([("sequence_id", pa.int64()), ("first", pa.int64()), ("parts", struct_type)])
+
+    def pack_own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        items = [(fill, parts) for batch in batches for fill, parts in zip(batch.column("fill").to_pylist(), batch.column("parts").to_pylist(), strict=True)]
+        items.sort(key=lambda x: (-x[0], [(p["doc_id"] is not None, p["doc_id"] or 0, p["piece"], p["ids_crc32"]) for p in x[1][:1]]))
+        bins = best_fit([x[0] for x in items], size)
+        seen = [0] * (size + 1)  # bins of each fill so far
+        for at in range(0, len(bins), 256):
+            some = bins[at : at + 256]
+            fills = [sum(items[i][0] for i in b) for b in some]
+            ranks = []
+            for f in fills:
+                ranks.append(seen[f])
+                seen[f] += 1
+            yield pa.RecordBatch.from_pydict({"partition": [TaskContext.get().partitionId()] * len(some), "number": list(range(at, at + len(some))), "fill": fills, "closed": [f >= size - slack for f in fills], "rank": ranks, "parts": [[p for i in b for p in items[i][1]] for b in some]}, schema=schema)
+
+    def sequence(number: int):
+        return F.lit(number).cast("long") * F.lit(1 << 56) + F.col("partition").cast("long") * F.lit(1 << 32) + F.col("number")
 
     part = F.array(F.struct("doc_id", "piece", "start", "length", "ids_crc32"))
-    whole = pieces.filter(F.col("length") >= size).select(F.lit(-1).alias("round"), F.spark_partition_id().alias("partition"), F.monotonically_increasing_id().bitwiseAND((1 << 31) - 1).cast("int").alias("number"), "length", part.alias("parts"))
-    done = [stored(whole.select("round", "partition", "number", F.col("length").alias("fill"), F.lit(True).alias("closed"), "parts"), "packed")]
-    left, number = pieces.filter(F.col("length") < size).select(F.col("length").alias("fill"), part.alias("parts")), 0
+    whole = pieces.filter(F.col("length") >= size).select(F.spark_partition_id().alias("partition"), F.monotonically_increasing_id().bitwiseAND((1 << 31) - 1).cast("int").alias("number"), part.alias("parts"))
+    whole = stored(whole.select(sequence(0).alias("sequence_id"), F.lit(0).cast("long").alias("first"), "parts"), "packed")
+    left = pieces.filter(F.col("length") < size).select(F.col("length").alias("fill"), part.alias("parts"))
     count = max(1, min(partitions(spark), pieces.count() // 1000))
-    while True:
-        spread = left.repartition(count, F.xxhash64("parts")) if number == 0 else left.coalesce(count)
-        bins = stored(spread.mapInArrow(pack_round(number, count == 1), _BINS), "packed")
-        done.append(bins.filter("closed"))
-        if count == 1:
-            break
-        left, number, count = bins.filter(~F.col("closed")).select("fill", "parts"), number + 1, -(-count // fan_in)
-    packed = done[0]
-    for more in done[1:]:
-        packed = packed.unionByName(more)
-    sequence = (F.col("round") + 1).cast("long") * F.lit(1 << 56) + F.col("partition").cast("long") * F.lit(1 << 32) + F.col("number")
+    bins = stored(left.repartition(count, F.xxhash64("parts")).mapInArrow(pack_own, _BINS), "packed")
+    closed = bins.filter("closed").select(sequence(1).alias("sequence_id"), F.lit(0).cast("long").alias("first"), "parts")
+    underfull = bins.filter(~F.col("closed"))
+    tally = underfull.groupBy("partition", "fill").agg(F.count("*").alias("n"))
+    plan = fit_counts({r["fill"]: r["n"] for r in tally.groupBy("fill").agg(F.sum("n").alias("n")).collect()}, size)  # ``size`` rows at most
+    shared = spark.sparkContext.broadcast(plan)
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        length, rank, per, number, offset = shared.value.T
+        keys = length << 40 | rank
+        for batch in batches:
+            fills, ranks = batch.column("fill").to_numpy(), batch.column("rank").to_numpy()
+            row = np.searchsorted(keys, fills << 40 | ranks, side="right") - 1
+            after = ranks - rank[row]
+            sequences = (2 << 56) + number[row] + after // per[row]
+            yield pa.RecordBatch.from_arrays([pa.array(sequences), pa.array(offset[row] + after % per[row] * fills), batch.column("parts").cast(struct_type)], schema=placed_schema)
+
+    before_own = Window.partitionBy("fill").orderBy("partition").rowsBetween(Window.unboundedPreceding, -1)
+    bases = tally.select("partition", "fill", F.coalesce(F.sum("n").over(before_own), F.lit(0)).alias("base"))
+    ranked = underfull.join(bases, ["partition", "fill"]).select("fill", (F.col("base") + F.col("rank")).alias("rank"), "parts")
+    packed = whole.unionByName(closed).unionByName(ranked.mapInArrow(place, _PLACED))
     before = F.aggregate(F.slice("parts", F.lit(1), F.col("at")), F.lit(0).cast("long"), lambda sum_, p: sum_ + p["length"])
-    rows = packed.select(sequence.alias("sequence_id"), "parts", F.posexplode("parts").alias("at", "p"))
-    return rows.select("p.*", "sequence_id", F.when(F.col("at") == 0, F.lit(0).cast("long")).otherwise(before).alias("offset"))
+    rows = packed.select("sequence_id", "first", "parts", F.posexplode("parts").alias("at", "p"))
+    return rows.select("p.*", "sequence_id", (F.col("first") + F.when(F.col("at") == 0, F.lit(0).cast("long")).otherwise(before)).alias("offset"))
 
 
 def op8_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:

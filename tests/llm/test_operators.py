@@ -91,6 +91,55 @@ def test_best_fit_takes_the_tightest_room():
     assert packing.best_fit([7, 6, 3, 4], 10) == [[0, 2], [1, 3]]
 
 
+def test_best_fit_by_counts_equals_best_fit():
+    for seed in range(30):
+        r = random.Random(seed)
+        size = r.choice([10, 64, 300])
+        lengths = sorted((r.randint(1, size) for _ in range(r.randint(0, 200))), reverse=True)
+        counts = {n: lengths.count(n) for n in lengths}
+        bins = defaultdict(list)
+        plan = packing.fit_counts(counts, size)
+        for length, n in counts.items():
+            for rank in range(n):
+                _, at, per, number, offset = [row for row in plan.tolist() if row[0] == length and row[1] <= rank][-1]
+                bins[number + (rank - at) // per].append((offset + (rank - at) % per * length, length))
+        assert len(bins) == len(packing.best_fit(lengths, size))
+        for held in map(sorted, bins.values()):
+            assert [at for at, _ in held] == [0, *np.cumsum([n for _, n in held])[:-1]] and sum(n for _, n in held) <= size
+
+
+def test_packing_deals_underfull_bins_to_many_tasks(spark, monkeypatch):
+    """No two pieces fit together, so all bins stay underfull: no task may get them all."""
+    seen, plain = work_path(spark, "seen").removeprefix("file://"), packing.best_fit
+
+    def noted(lengths, size):
+        import os
+        import uuid
+
+        os.makedirs(seen, exist_ok=True)
+        with open(f"{seen}/{uuid.uuid4().hex}", "w") as f:
+            f.write(str(len(lengths)))
+        return plain(lengths, size)
+
+    monkeypatch.setattr(packing, "best_fit", noted)
+    parts = spark.range(8000).selectExpr("id AS doc_id", "0 AS piece", "0L AS start", "1030 + id % 900 AS length", "id AS ids_crc32")
+    got = packing.pack(stored(parts, "test")).toPandas()
+    assert len(got) == got["sequence_id"].nunique() == 8000 and (got["offset"] == 0).all()
+    import pathlib
+
+    most = [int(f.read_text()) for f in pathlib.Path(seen).iterdir()]
+    assert sum(most) == 8000 and max(most) < 4000
+
+
+def test_packing_merges_underfull_bins_of_all_partitions(spark):
+    parts = spark.range(8000).selectExpr("id AS doc_id", "0 AS piece", "0L AS start", "200 + (id * 7919) % 501 AS length", "id AS ids_crc32")
+    got = packing.pack(stored(parts, "test")).toPandas()
+    assert len(got) == got["doc_id"].nunique() == 8000
+    for _, held in got.sort_values("offset").groupby("sequence_id"):
+        assert held["offset"].tolist() == [0, *np.cumsum(held["length"])[:-1]] and held["length"].sum() <= packing.SIZE
+    assert got["sequence_id"].nunique() <= 1.1 * got["length"].sum() / packing.SIZE
+
+
 def brute_substrings(rows, window=20):
     seen, texts = {}, [(i, words(t)) for i, t in rows]
     key = lambda i: -(1 << 63) if i is None else i
