@@ -7,8 +7,15 @@ Along each alignment of a document with an item the slots must then be consisten
 one value of the document. A document is contaminated by an item when consistent windows cover enough of it.
 
 Benchmark windows are used in blocks of at most ``BLOCK`` hashes, so what is broadcast is bounded; each block is
-searched in all documents. Nulls: a null text has no tokens; null ids are kept as they are in documents and are
-ignored in the benchmark. An item shorter than a window is one shorter window, compared as a whole with windows of
+searched in all documents.
+
+A window that is mostly slots would meet too much by its template. It counts with its tokens as they stand, so that a
+verbatim copy is found, and the smallest window of twice, four times ... the size that starts there and has enough
+plain words counts with its template. Where such windows cover too little of an item, the item is one more window
+as a whole; one plain word is enough for it, a first word that would be a name within a sentence is tried as one,
+and left off where enough plain words follow. An item without any plain word is met verbatim only.
+
+Nulls: a null text has no tokens; null ids are kept as they are in documents and are ignored in the benchmark. An item shorter than a window is one shorter window, compared as a whole with windows of
 its length. Repeated rows and items are each reported. Empty tables give no rows; other columns are ignored.
 """
 
@@ -24,8 +31,8 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sessionloom.llm.common import slices
-from sessionloom.llm.words import windows
+from sessionloom.llm.common import slices, stored
+from sessionloom.llm.words import mix, windows
 
 WINDOW, LEAST_WORDS, BLOCK = 8, 4, 1 << 20
 LEAST_COVERAGE, LEAST_CONSISTENCY = 0.6, 0.75
@@ -34,6 +41,8 @@ UNITS = frozenset("% mm cm m km in ft yd mi mg g kg t lb oz ml l s sec seconds m
 OUTER = "".join(c for c in map(chr, range(33, 127)) if not c.isalnum() and c not in "%$")
 NUMBER = re.compile(r"[$€£]?[+-]?\d[\d.,:/]*[%a-z]{0,3}")
 TITLE, IS_NUMBER, IS_UNIT, ENDS, EMPTY = 1, 2, 4, 8, 16
+#: Kinds of windows: template with enough plain words, tokens as they stand, template of a whole item.
+TEMPLATE, VERBATIM, WHOLE = 0, 1, 2
 _SLOT_HASH = {kind: np.uint64(xxhash.xxh3_64_intdigest(f"<{kind}>")) for kind in ("number", "unit", "name")}
 
 
@@ -89,6 +98,7 @@ class Templates:
         hashes, flags = tokens.of(chunks)
         self.all, self.kept = list(chain.from_iterable(chunks)), np.flatnonzero(flags & EMPTY == 0)
         hashes, flags = hashes[self.kept], flags[self.kept]
+        self.words, self.title = hashes, flags & TITLE > 0
         self.doc = np.repeat(np.arange(len(texts)), [len(c) for c in chunks])[self.kept]
         self.n = np.bincount(self.doc, minlength=len(texts))
         self.at = np.arange(len(self.doc)) - (np.cumsum(self.n) - self.n)[self.doc]
@@ -97,35 +107,122 @@ class Templates:
         after_number, after_end = np.roll(number, 1) & ~first, np.roll(ends, 1) | first  # of the token before
         unit = (flags & IS_UNIT > 0) & after_number & ~number
         name = (flags & TITLE > 0) & ~after_end & ~number & ~unit
-        self.kind, self.hashes = np.zeros(len(hashes), np.uint8), hashes
+        self.kind, self.hashes = np.zeros(len(hashes), np.uint8), hashes.copy()
         for k, (slot, where) in enumerate((("number", number), ("unit", unit), ("name", name)), 1):
             self.kind[where] = k
             self.hashes[where] = _SLOT_HASH[slot]
         self.plain = np.concatenate([[0], np.cumsum(self.kind == 0)])
 
-    def windows(self, size: int) -> tuple[np.ndarray, np.ndarray]:
-        """Starts and hashes of the windows within one text that have enough plain words."""
+    def n_plain(self, starts: np.ndarray, size: int) -> np.ndarray:
+        return self.plain[starts + size] - self.plain[starts]
+
+    def within(self, starts: np.ndarray, size: int) -> np.ndarray:
+        """Those of ``starts`` whose window ends within their text."""
+        return starts[self.at[starts] + size <= self.n[self.doc[starts]]]
+
+    def windows(self, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Starts and hashes of the windows within one text that have enough plain words, and starts of the others."""
         found = windows(self.hashes, size)
         starts = np.flatnonzero(self.at + size <= self.n[self.doc])
-        starts = starts[self.plain[starts + size] - self.plain[starts] >= min(LEAST_WORDS, size)]
-        return starts, found[starts] if len(starts) else found[:0]
+        enough = self.n_plain(starts, size) >= min(LEAST_WORDS, size)
+        return starts[enough], found[starts[enough]] if len(starts) else found[:0], starts[~enough]
+
+    def hashed(self, starts: np.ndarray, size: int, kind: int, named: bool = False) -> np.ndarray:
+        """Hashes of single windows; ``named`` takes their first word for a name."""
+        source = self.words if kind == VERBATIM else self.hashes
+        odd = mix(np.arange(1, size + 1, dtype=np.uint64)) | np.uint64(1)
+        total = np.full(len(starts), 2 * kind + 1, np.uint64)
+        for k in range(size):
+            total += (_SLOT_HASH["name"] if named and k == 0 else source[starts + k]) * odd[k : k + 1]
+        return mix(total)
+
+    def longer(self, starts: np.ndarray, size: int, most: int) -> Iterator[tuple[np.ndarray, int]]:
+        """For starts of windows with few plain words the smallest windows of a doubled size that have enough."""
+        while (size := 2 * size) <= most and len(starts := self.within(starts, size)):
+            enough = self.n_plain(starts, size) >= LEAST_WORDS
+            yield starts[enough], size
+            starts = starts[~enough]
 
     def slots(self, start: int, size: int) -> list[str]:
         """Slot values of a window, in order."""
-        return [self.all[self.kept[start + k]].strip(OUTER).lower() for k in np.flatnonzero(self.kind[start : start + size]).tolist()]
+        return [self.value(start + k) for k in np.flatnonzero(self.kind[start : start + size]).tolist()]
+
+    def value(self, token: int) -> str:
+        return self.all[self.kept[token]].strip(OUTER).lower()
+
+
+def item_windows(t: Templates, size: int) -> Iterator[tuple[np.ndarray, np.ndarray, int, int, bool]]:
+    """Windows of benchmark items: starts, hashes, size, kind, and whether the first word is taken for a name."""
+    turns = (t.at == 0) & t.title & (t.kind == 0)  # the first words that are names within a sentence
+    cover = np.zeros(len(t.doc) + 1, np.int64)
+    for n in range(1, size + 1):
+        starts, found, few = t.windows(n)
+        if n < size:  # whole short texts
+            whole = t.n[t.doc[starts]] == n
+            starts, found, few = starts[whole], found[whole], few[t.n[t.doc[few]] == n]
+        yield starts, found, n, TEMPLATE, False
+        yield few, t.hashed(few, n, VERBATIM), n, VERBATIM, False
+        made = [(starts, n)]
+        if n == size:
+            for some, m in t.longer(few, size, int(t.n.max(initial=0))):
+                yield some, t.hashed(some, m, TEMPLATE), m, TEMPLATE, False
+                made.append((some, m))
+        for some, m in made:
+            some = some[~turns[some]]
+            np.add.at(cover, some, 1)
+            np.add.at(cover, some + m, -1)
+    covered = np.bincount(t.doc, np.cumsum(cover[:-1]) > 0, len(t.n))
+    first = np.flatnonzero(t.at == 0)
+    first = first[covered[t.doc[first]] < LEAST_COVERAGE * t.n[t.doc[first]]]
+    for n in sorted(set(t.n[t.doc[first]].tolist())):
+        some = first[t.n[t.doc[first]] == n]
+        for named in (False, True):
+            some = some[t.n_plain(some, n) > named]
+            some = some[turns[some]] if named else some
+            yield some, t.hashed(some, n, WHOLE, named), n, WHOLE, named
+        rest = some[t.n_plain(some + 1, n - 1) >= LEAST_WORDS] + 1  # another name may stand first, as a plain word
+        yield rest, t.hashed(rest, n - 1, WHOLE), n - 1, WHOLE, False
+
+
+class Shapes:
+    """Sizes of the windows that items have: what is to be looked for in documents."""
+
+    def __init__(self, rows: list[tuple[int, int, int]], size: int):
+        self.size = size
+        self.sizes = sorted({size} | {n for n, kind, _ in rows if kind != WHOLE and n < size})
+        self.verbatim = {n for n, kind, _ in rows if kind == VERBATIM}
+        self.most = max((n for n, kind, _ in rows if kind == TEMPLATE), default=0)
+        self.whole: dict[int, list[int]] = {}
+        for n, kind, plain in sorted(rows):
+            if kind == WHOLE:
+                self.whole.setdefault(n, []).append(plain)
+
+    def windows(self, t: Templates) -> Iterator[tuple[np.ndarray, np.ndarray, int, int, bool]]:
+        for n in self.sizes:
+            starts, found, few = t.windows(n)
+            yield starts, found, n, TEMPLATE, False
+            if n in self.verbatim:
+                yield few, t.hashed(few, n, VERBATIM), n, VERBATIM, False
+            if n == self.size:
+                for some, m in t.longer(few, n, self.most):
+                    yield some, t.hashed(some, m, TEMPLATE), m, TEMPLATE, False
+        for n, plain in self.whole.items():
+            some = t.within(np.arange(len(t.doc)), n)
+            some = some[np.isin(t.n_plain(some, n), plain)]
+            yield some, t.hashed(some, n, WHOLE), n, WHOLE, False
 
 
-_WINDOWS = "hash long,place int,n int,slots array<string>"
+_WINDOWS = "hash long,place int,n int,size int,kind int,plain int,slots array<string>"
 MARKS = 1 << 22
 
 
-def template_windows(texts: DataFrame, key: str, size: int = WINDOW, only: np.ndarray | None = None, short: tuple[int, ...] = ()) -> DataFrame:
-    """(key, hash, place, n, slots) for windows of the texts; ``only``, ascending hashes, keeps those few.
+def template_windows(texts: DataFrame, key: str, size: int = WINDOW, only: np.ndarray | None = None, shapes: Shapes | None = None) -> DataFrame:
+    """(key, hash, place, n, size, kind, plain, slots) for windows of the texts.
 
-    ``short`` are further window sizes, those of items that are shorter than ``size``; without ``only`` a short text
-    itself is one window.
+    With ``only``, ascending hashes, the texts are documents: windows of ``shapes`` with those few hashes. Otherwise
+    they are benchmark items.
     """
-    schema = pa.schema([(key, pa.int64()), ("hash", pa.int64()), ("place", pa.int32()), ("n", pa.int32()), ("slots", pa.list_(pa.string()))])
+    schema = pa.schema([(key, pa.int64()), ("hash", pa.int64()), *[(c, pa.int32()) for c in ("place", "n", "size", "kind", "plain")], ("slots", pa.list_(pa.string()))])
     shared = texts.sparkSession.sparkContext.broadcast(only)  # BLOCK hashes at most
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -137,21 +234,20 @@ def template_windows(texts: DataFrame, key: str, size: int = WINDOW, only: np.nd
         for part in slices(batches):
             t = Templates(part["text"], tokens)
             out: dict[str, list] = {n: [] for n in schema.names}
-            for n in sorted({size, *short}) if wanted is not None else range(1, size + 1):
-                starts, found = t.windows(n)
+            for starts, found, n, kind, named in item_windows(t, size) if wanted is None else shapes.windows(t):
                 if wanted is not None:
                     near = np.flatnonzero(marked[low(found)])
                     near = near[wanted[np.minimum(np.searchsorted(wanted, found[near]), len(wanted) - 1)] == found[near]]
                     starts, found = starts[near], found[near]
-                elif n < size:  # whole short texts
-                    whole = t.n[t.doc[starts]] == n
-                    starts, found = starts[whole], found[whole]
                 docs = t.doc[starts]
                 out[key] += [part[key][k] for k in docs.tolist()]
                 out["hash"] += found.view(np.int64).tolist()
                 out["place"] += t.at[starts].tolist()
                 out["n"] += t.n[docs].tolist()
-                out["slots"] += [t.slots(k, n) for k in starts.tolist()]
+                out["size"] += [n] * len(starts)
+                out["kind"] += [kind] * len(starts)
+                out["plain"] += (t.n_plain(starts, n) - named).tolist()
+                out["slots"] += [[] if kind == VERBATIM else [t.value(k)] * named + t.slots(k, n) for k in starts.tolist()]
             yield pa.RecordBatch.from_pydict(out, schema=schema)
 
     rows = texts.select(F.col(key).cast("long").alias(key), F.col("text").cast("string").alias("text"))
@@ -161,30 +257,30 @@ def template_windows(texts: DataFrame, key: str, size: int = WINDOW, only: np.nd
 def contaminated(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, block: int = BLOCK) -> DataFrame:
     """(doc_id, item_id, n_windows, coverage, consistency) for every document and item that it holds."""
     items = template_windows(benchmark.filter("item_id is not null"), "item_id", size)
-    items = items.select("item_id", "hash", F.col("place").alias("item_place"), F.col("n").alias("item_n"), F.col("slots").alias("item_slots"))
-    distinct = items.select("hash", "item_n").groupBy("hash").agg(F.min("item_n").alias("n"))
-    short = tuple(sorted(r["n"] for r in items.filter(F.col("item_n") < size).select(F.col("item_n").alias("n")).distinct().collect()))  # below ``size``
+    shapes = Shapes([tuple(r) for r in items.select("size", "kind", F.when(F.col("kind") == WHOLE, F.col("plain")).otherwise(0)).distinct().collect()], size)  # by item lengths, not by items
+    items = items.select("item_id", "hash", F.col("place").alias("item_place"), F.col("n").alias("item_n"), F.col("size").alias("length"), F.col("slots").alias("item_slots"))
+    distinct = items.select("hash").distinct()
     blocks = max(1, -(-2 * distinct.count() // block))
     hits = None
     for k in range(blocks):
         rows = distinct.filter(F.pmod(F.xxhash64("hash"), F.lit(blocks)) == k).select("hash").toPandas()  # about block / 2 hashes
         wanted = np.sort(rows["hash"].to_numpy(np.int64).view(np.uint64))
         if len(wanted):
-            some = template_windows(docs, "doc_id", size, wanted, short)
+            some = template_windows(docs, "doc_id", size, wanted, shapes).select("doc_id", "hash", "place", "slots")
             hits = some if hits is None else hits.unionByName(some)
     if hits is None:
         return docs.sparkSession.createDataFrame([], "doc_id long,item_id long,n_windows long,coverage double,consistency double")
+    hits = stored(hits, "template-hits")  # they are used twice, and documents are read once
     met = hits.join(items, "hash").filter(F.size("slots") == F.size("item_slots")).withColumn("shift", F.col("place") - F.col("item_place"))
-    length = F.least(F.lit(size), F.col("item_n"))
     pairs = met.select("doc_id", "item_id", "shift", F.explode(F.arrays_zip("item_slots", "slots")).alias("s")).groupBy("doc_id", "item_id", "shift", "s.item_slots", "s.slots").agg(F.count("*").alias("n"))
     by_value = pairs.groupBy("doc_id", "item_id", "shift", "item_slots").agg(F.max("n").alias("best"), F.sum("n").alias("n"))
     agreed = by_value.groupBy("doc_id", "item_id", "shift").agg((F.sum("best") / F.sum("n")).alias("consistency"))
     agreed = agreed.select(F.col("doc_id").alias("own"), F.col("item_id").alias("item"), F.col("shift").alias("by"), "consistency")
     same = F.col("doc_id").eqNullSafe(F.col("own")) & (F.col("item_id") == F.col("item")) & (F.col("shift") == F.col("by"))
-    sound = met.join(agreed, same, "left").select("doc_id", "item_id", "item_place", "item_n", length.alias("length"), F.coalesce("consistency", F.lit(1.0)).alias("consistency"))
+    sound = met.join(agreed, same, "left").select("doc_id", "item_id", "item_place", "item_n", "length", F.coalesce("consistency", F.lit(1.0)).alias("consistency"))
     sound = sound.filter(F.col("consistency") >= LEAST_CONSISTENCY)
-    found = sound.groupBy("doc_id", "item_id").agg(F.count("*").alias("n_windows"), F.collect_set("item_place").alias("at"), F.first("length").alias("length"), F.first("item_n").alias("item_n"), F.min("consistency").alias("consistency"))
-    covered = F.size(F.array_distinct(F.flatten(F.transform("at", lambda p: F.sequence(p, p + F.col("length") - 1)))))
+    found = sound.groupBy("doc_id", "item_id").agg(F.count("*").alias("n_windows"), F.collect_set(F.struct("item_place", "length")).alias("at"), F.first("item_n").alias("item_n"), F.min("consistency").alias("consistency"))
+    covered = F.size(F.array_distinct(F.flatten(F.transform("at", lambda w: F.sequence(w["item_place"], w["item_place"] + w["length"] - 1)))))
     return found.select("doc_id", "item_id", "n_windows", (covered / F.col("item_n")).alias("coverage"), "consistency").filter(F.col("coverage") >= LEAST_COVERAGE)
 
 

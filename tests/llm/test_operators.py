@@ -333,6 +333,18 @@ def test_decontamination(spark):
     assert none.count() == 0 and decontaminate.contaminated(docs(spark, rows), bench.limit(0)).count() == 0
 
 
+def test_decontamination_of_items_full_of_slots(spark):
+    items = {20: "What is 12 times 7?", 21: "Compute 3 + 4 * 5", 22: "Solve 17 x 23", 23: "Tom has 3 kg, Ann has 5 kg, Bob has 7 kg, Sue has 9 kg", 24: "31 47 55 62 70 88 93 14 26 77"}
+    other = {20: "What is 31 times 9?", 21: "Compute 8 + 2 * 6", 22: "Solve 4 x 88", 23: "Jim has 2 kg, Eve has 4 kg, Max has 6 kg, Ida has 8 kg"}
+    rows = [(k, "some words before this: " + t + " and more after it") for k, t in items.items()]
+    rows += [(k + 100, "words go before, so " + t + " and more after it") for k, t in items.items()]
+    rows += [(k + 200, "some words before this. " + t + " and more after it") for k, t in other.items()]
+    rows += [(1, "quiet plain words without any of those " * 9), (2, "1 2 3 4 5 6 7 8 9 10 11 12 13 14"), (3, "He sold 17 y 23 in May"), (4, "Some have 3 kg, Ann had 5 kg")]
+    bench = spark.createDataFrame(list(items.items()), "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]) for r in decontaminate.contaminated(docs(spark, rows), bench).collect()}
+    assert got == {(k, k) for k in items} | {(k + 100, k) for k in items} | {(k + 200, k) for k in other}
+
+
 def test_toxicity_learns_misspellings(spark):
     r = random.Random(4)
     clean = lambda n: [f"{r.choice('bcdfg')}{r.choice('aeiou')}{r.choice('lmnr')}{r.choice('aeiou')}{r.choice('st')}" for _ in range(n)]
