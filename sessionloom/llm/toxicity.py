@@ -6,6 +6,9 @@ softmax are trained jointly in numpy, so an unseen misspelling shares most of it
 A document scores as its worst span, so a long text does not dilute an insult; training alternates between
 choosing the spans that speak for a document's label and gradient steps on them.
 
+Words stand between blanks. A chunk of more than ``LONG`` characters, as in texts without blanks, is read as overlapping
+words of ``PART`` characters each, so that all of its n-grams count and a span stays short.
+
 The fit sees at most ``per_class`` labelled documents of each class, those with the smallest hash of doc_id; the
 model has a fixed size. Scoring reads every whole text.
 
@@ -31,15 +34,24 @@ GRAMS = (3, 4, 5)
 #: An average is taken over this many rows at least, so that a lone word isn't a whole span.
 LEAST = 30
 PER_CLASS = 1500
+LONG, PART, STEP = 64, 16, 8
 EDGE = "".join(c for c in map(chr, range(33, 127)) if not c.isalnum())
 
 
+def distinct_words(text: str) -> list[str]:
+    """Distinct words in order of first use: blank-separated chunks, long ones cut."""
+    words = list(dict.fromkeys(text.split()))
+    if len(text) <= LONG or max(map(len, words), default=0) <= LONG:
+        return words
+    return list(dict.fromkeys(w for c in words for w in ([c] if len(c.strip(EDGE)) <= LONG else (c[at : at + PART] for at in range(0, len(c) - PART + STEP, STEP)))))
+
+
 def subwords(chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Buckets of blank-separated chunks one after the other, and how many each chunk has.
+    """Buckets of words (``distinct_words``) one after the other, and how many each has.
 
     They are those of the word without outer punctuation and of its character n-grams, ends being marked.
     """
-    words = [f"<{c.strip(EDGE).lower()[:64]}>" for c in chunks]
+    words = [f"<{c.strip(EDGE).lower()}>" for c in chunks]
     lengths = np.array([len(w) for w in words], np.int64)
     points = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
     word = np.repeat(np.arange(len(words)), lengths)
@@ -64,7 +76,7 @@ class Bags:
 
     def __init__(self, texts: list[str]):
         words: dict[str, int] = {}
-        ids = [[words.setdefault(c, len(words)) for c in dict.fromkeys(t.split())] for t in texts]
+        ids = [[words.setdefault(c, len(words)) for c in distinct_words(t)] for t in texts]
         parts = [subwords(p) for p in (list(words)[at : at + 50_000] for at in range(0, len(words), 50_000))]
         self.rows = np.concatenate([np.empty(0, np.int32), *(p[0].astype(np.int32) for p in parts)])
         self.sizes = np.concatenate([np.empty(0, np.int64), *(p[1] for p in parts)])
@@ -200,7 +212,7 @@ def score_texts(docs: DataFrame, model: Model | None, column: str = "toxicity")
         for batch in batches:
             for lo in range(0, batch.num_rows, 512):
                 some, scores = batch.slice(lo, 512), []
-                docs_chunks = [list(dict.fromkeys((t.as_py() or "").split())) for t in some.column(some.schema.get_field_index("text"))]
+                docs_chunks = [distinct_words(t.as_py() or "") for t in some.column(some.schema.get_field_index("text"))]
                 if m is None:
                     yield pa.RecordBatch.from_arrays([*some.columns, pa.array([0.0] * some.num_rows, pa.float64())], names=[*some.schema.names, column])
                     continue

@@ -362,6 +362,17 @@ def test_toxicity_learns_misspellings(spark):
     assert toxicity.fit(["a"], [1]) is None and toxicity.score_texts(docs(spark, rows), None).filter("toxicity = 0").count() == 4
 
 
+def test_toxicity_reads_texts_without_blanks(spark):
+    r = random.Random(4)
+    word = lambda: f"{r.choice('bcdfg')}{r.choice('aeiou')}{r.choice('lmnr')}{r.choice('aeiou')}{r.choice('st')}"
+    texts = [" ".join([*(word() for _ in range(59)), "worthless" if k % 3 == 0 else word()]) for k in range(300)]
+    model = toxicity.fit(texts, [int(k % 3 == 0) for k in range(300)])
+    clean = lambda by: by.join(word() for _ in range(60))
+    rows = [(k, clean(by) + by + "worthless" + by + clean(by)) for k, by in enumerate("_/,-")] + [(k + 10, clean(by)) for k, by in enumerate("_/,-")]
+    got = {r["doc_id"]: r["toxicity"] for r in toxicity.score_texts(docs(spark, rows), model).collect()}
+    assert min(got[k] for k in range(4)) > 0.5 > max(got[k] for k in range(10, 14)), got
+
+
 def test_suffix_automaton_knows_all_substrings():
     text = [1, 2, 1, 3, 1, 2, 2, 1]
     moves = language_id.suffix_automaton(text)
