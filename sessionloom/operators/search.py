@@ -7,22 +7,23 @@ from pyspark.sql import functions as F
 
 from sessionloom.functions import scalars as S
 
-INDEXED_CHARS, SCANNED_CHARS, MOST_MATCHES = 100_000, 200_000, 100
 K1, B = 1.2, 0.75
 
 
-def terms_of(text: Column) -> Column:
-    return F.filter(F.split(F.lower(F.substring(text, 1, INDEXED_CHARS)), r"[^\p{L}\p{N}]+"), lambda t: t != "")
+def terms_of(text: Column, indexed_chars: int | None = None) -> Column:
+    """Terms of whole texts, or of their first ``indexed_chars`` characters."""
+    part = text if indexed_chars is None else F.substring(text, 1, indexed_chars)
+    return F.filter(F.split(F.lower(part), r"[^\p{L}\p{N}]+"), lambda t: t != "")
 
 
-def ranked_search(messages: DataFrame, terms: list[str], any_term: bool = False, role: str | None = None, removed: bool = False) -> DataFrame:
+def ranked_search(messages: DataFrame, terms: list[str], any_term: bool = False, role: str | None = None, removed: bool = False, indexed_chars: int | None = None) -> DataFrame:
     """(session_id, row_id, score): BM25 by session over messages that hold all (or any) terms.
 
     Texts are tokenised where they stand; only counts of the query's terms, one row per hit, and one row of
     totals per session are shuffled. A term ending in ``*`` matches by prefix.
     """
     own = messages if removed or "removed_at_ms" not in messages.columns else messages.filter("removed_at_ms is null")
-    tokens = own.select("session_id", "row_id", "role", terms_of(F.col("text")).alias("t"))
+    tokens = own.select("session_id", "row_id", "role", terms_of(F.col("text"), indexed_chars).alias("t"))
 
     def count(term: str) -> Column:
         hit = (lambda t: t.startswith(term[:-1])) if term.endswith("*") else (lambda t: t == term)
@@ -40,11 +41,10 @@ def ranked_search(messages: DataFrame, terms: list[str], any_term: bool = False,
     return hits.select("session_id", "row_id", F.round(score, 6).alias("score"))
 
 
-def phrase_hits(messages: DataFrame, phrase: list[str]) -> DataFrame:
+def phrase_hits(messages: DataFrame, phrase: list[str], indexed_chars: int | None = None) -> DataFrame:
     """Messages that hold the words of a phrase one after the other."""
-    t = terms_of(F.col("text"))
-    starts = F.sequence(F.lit(1), F.greatest(F.size(t) - len(phrase) + 1, F.lit(1)))
-    return messages.filter(F.exists(starts, lambda i: F.slice(t, i, len(phrase)) == F.array(*map(F.lit, phrase)))).select("session_id", "row_id")
+    joined = F.concat(F.lit("\0"), F.array_join(terms_of(F.col("text"), indexed_chars), "\0"), F.lit("\0"))  # terms are letters and digits
+    return messages.filter(F.contains(joined, F.lit("\0" + "".join(f"{w}\0" for w in phrase)))).select("session_id", "row_id")
 
 
 def top_per_session(hits: DataFrame, per_session: int = 10, sessions: DataFrame | None = None, most_sessions: int = 20, most: int = 40) -> DataFrame:
@@ -57,13 +57,19 @@ def top_per_session(hits: DataFrame, per_session: int = 10, sessions: DataFrame
     return best.join(F.broadcast(newest), "session_id").orderBy(F.desc("when_ms"), "session_id", "rank").limit(most)
 
 
-def regex_scan(messages: DataFrame, pattern: str, after_row: int = 0) -> DataFrame:
-    """(session_id, row_id, at, matches, partial): first place and number of matches within the scanned part."""
-    part = F.substring("text", 1, SCANNED_CHARS)
+def regex_scan(messages: DataFrame, pattern: str, after_row: int = 0, scanned_chars: int | None = None, most_matches: int | None = None) -> DataFrame:
+    """(session_id, row_id, at, matches, partial): first place and number of matches in whole texts.
+
+    ``scanned_chars`` scans that many first characters only (``partial`` tells where more follow), ``most_matches`` bounds the count.
+    """
+    part = F.col("text") if scanned_chars is None else F.substring("text", 1, scanned_chars)
+    partial = F.lit(False) if scanned_chars is None else F.length("text") > scanned_chars
     regex = f"(?i){pattern}"
     rows = messages.filter((F.col("row_id") > after_row) & part.rlike(regex))
     at = F.position(F.regexp_substr(part, F.lit(regex)), part) - 1
-    return rows.select("session_id", "row_id", at.alias("at"), F.least(F.regexp_count(part, F.lit(regex)), F.lit(MOST_MATCHES)).alias("matches"), (F.length("text") > SCANNED_CHARS).alias("partial"))
+    matches = F.regexp_count(part, F.lit(regex))
+    matches = matches if most_matches is None else F.least(matches, F.lit(most_matches))
+    return rows.select("session_id", "row_id", at.alias("at"), matches.alias("matches"), partial.alias("partial"))
 
 
 def tool_scope(messages: DataFrame, tool: str) -> DataFrame:

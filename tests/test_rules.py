@@ -7,6 +7,7 @@ from sessionloom.functions import scalars as S
 from sessionloom.operators import compact as P
 from sessionloom.operators import heal as J
 from sessionloom.operators import ingest as C
+from sessionloom.operators import search as E
 from sessionloom.streaming import ingest as N
 
 
@@ -91,3 +92,12 @@ def test_heal_windows_end_at_breaks(spark):
     got = heal_windows(spark.createDataFrame([(1, text), (2, ""), (3, "x" * 250)], "node long, text string"), 100).orderBy("node", "window").collect()
     assert "".join(text[r["start"] : r["end"]] for r in got if r["node"] == 1) == text
     assert [(r["start"], r["end"]) for r in got if r["node"] == 3] == [(0, 100), (100, 200), (200, 250)]
+
+
+def test_search_reads_whole_texts(spark):
+    long = "x " * 110_000 + "needle end " + "the " * 150
+    rows = spark.createDataFrame([("s", 1, "user", long), ("s", 2, "user", "short text")], "session_id string, row_id long, role string, text string")
+    assert [r["row_id"] for r in E.ranked_search(rows, ["needle"]).collect()] == [1] == [r["row_id"] for r in E.phrase_hits(rows, ["needle", "end"]).collect()]
+    assert E.ranked_search(rows, ["needle"], indexed_chars=1000).count() == E.phrase_hits(rows, ["needle", "end"], indexed_chars=1000).count() == 0
+    assert [tuple(r) for r in E.regex_scan(rows, "the").collect()] == [("s", 1, long.index("the"), 150, False)]
+    assert [tuple(r) for r in E.regex_scan(rows, "x", scanned_chars=400, most_matches=100).collect() if r["row_id"] == 1] == [("s", 1, 0, 100, True)]
