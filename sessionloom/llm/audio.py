@@ -3,7 +3,8 @@
 ``store_media`` writes WAV files (8-bit PCM, one per row) as a binary column in the shared folder and
 ``audio_features`` computes, from the stored bytes: polyphase resampling by ``UP / DOWN``, overlapped frames,
 log-mel filterbanks in patches of ``PATCH`` frames (Arrow's fixed-shape tensor type, as an IPC stream, each patch
-with its time span), and segments of high energy by hysteresis. Long files are worked on some thousand frames at a time.
+with its time span), and segments of high energy by hysteresis; all of it is written too. ``media_digests`` reads the
+written tensors and spans. Long files are worked on some thousand frames at a time.
 
 Nulls: a null or empty text is 64 zero samples. Null and repeated ids stay; an empty table gives no rows; other
 columns are ignored. Frames past the end are filled with silence.
@@ -141,47 +142,59 @@ def store_media(docs: DataFrame, unit: int = UNIT) -> DataFrame:
     return stored(rows.mapInArrow(encode, _MEDIA), "media")
 
 
+def from_tensor_stream(raw: bytes) -> np.ndarray:
+    """Frames by filters of a stored stream, without the frames that fill the last patch; the time spans say how many."""
+    table = pa.ipc.open_stream(raw).read_all()
+    patches = table["log_mel"].combine_chunks().to_numpy_ndarray()
+    frames = table["end_ms"][-1].as_py() // millis(1)
+    return np.rint(16 * patches.reshape(-1, MELS)[:frames]).astype(np.int16)
+
+
+_SEGMENTS = "array<struct<start_ms:long,end_ms:long>>"
+_STORED = "doc_id long,n_bytes long,payload_bytes long,payload_sha256 string,tail_crc32 long,media_bytes long,media_sha256 string"
+
+
 def audio_features(media: DataFrame) -> DataFrame:
-    """For each stored file its tensors (an Arrow stream) and its loud segments with their time spans."""
+    """For each stored file what its bytes hold, its tensors (an Arrow stream) and its loud segments with their time spans; written and opened again."""
     struct_type = pa.list_(pa.struct([("start_ms", pa.int64()), ("end_ms", pa.int64())]))
-    schema = pa.schema([("doc_id", pa.int64()), ("tensors", pa.binary()), ("segments", struct_type)])
+    schema = pa.schema([*arrow_schema(_STORED), ("tensors", pa.binary()), ("segments", struct_type)])
+
+    def features(doc_id: int | None, n_bytes: int, wav: bytes) -> tuple:
+        payload, _ = from_wav(wav)
+        mel = log_mel(np.frombuffer(payload, np.uint8))
+        spans = [{"start_ms": millis(a), "end_ms": millis(b)} for a, b in loud_spans(mel)]
+        return (doc_id, n_bytes, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-UNIT:]), len(wav), hashlib.sha256(wav).hexdigest(), tensor_stream(mel), spans)
 
     def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, 64):
-            mels = [log_mel(np.frombuffer(from_wav(m)[0], np.uint8)) for m in part["media"]]
-            spans = [[{"start_ms": millis(a), "end_ms": millis(b)} for a, b in loud_spans(m)] for m in mels]
-            yield pa.RecordBatch.from_pydict({"doc_id": part["doc_id"], "tensors": [tensor_stream(m) for m in mels], "segments": spans}, schema=schema)
-
-    return media.mapInArrow(compute, "doc_id long,tensors binary,segments array<struct<start_ms:long,end_ms:long>>")
-
+            rows = [features(*row) for row in zip(part["doc_id"], part["n_bytes"], part["media"], strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*rows, strict=True), schema.types, strict=True)], schema=schema)
 
-_DIGEST = "doc_id long,n_bytes long,payload_bytes long,payload_sha256 string,tail_crc32 long,media_bytes long,media_sha256 string,feature string"
+    return stored(media.mapInArrow(compute, f"{_STORED},tensors binary,segments {_SEGMENTS}"), "audio-features")
 
 
-def media_digests(media: DataFrame) -> DataFrame:
-    """What the stored bytes hold, and a digest of the features computed from them."""
-    schema = arrow_schema(_DIGEST)
+def media_digests(features: DataFrame) -> DataFrame:
+    """What the stored files hold, and ``feature``, a digest of the stored tensors and time spans."""
+    schema = arrow_schema(f"{_STORED},feature string")
+    kept = schema.names[:-1]
 
-    def digest(row: tuple) -> tuple:
-        doc_id, n_bytes, wav = row
-        payload, _ = from_wav(wav)
-        mel = log_mel(np.frombuffer(payload, np.uint8))
-        spans = loud_spans(mel)
+    def feature(raw: bytes, segments: list[dict]) -> str:
+        mel = from_tensor_stream(raw)
+        spans = [(s["start_ms"] // millis(1), s["end_ms"] // millis(1)) for s in segments]
         loud = sum(b - a for a, b in spans)
-        feature = f"frames={len(mel)};patches={-(-len(mel) // PATCH)}x{PATCH}x{MELS};mean={mel.mean(dtype=np.float64):.3f};segments={len(spans)};loud={loud};spans_crc={zlib.crc32(np.array(spans, '<i8').tobytes()):08x};mel_crc={zlib.crc32(mel.tobytes()):08x}"
-        return (doc_id, n_bytes, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-UNIT:]), len(wav), hashlib.sha256(wav).hexdigest(), feature)
+        return f"frames={len(mel)};patches={-(-len(mel) // PATCH)}x{PATCH}x{MELS};mean={mel.mean(dtype=np.float64):.3f};segments={len(spans)};loud={loud};spans_crc={zlib.crc32(np.array(spans, '<i8').tobytes()):08x};mel_crc={zlib.crc32(mel.tobytes()):08x}"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, 256):
-            rows = [digest(row) for row in zip(part["doc_id"], part["n_bytes"], part["media"], strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*rows, strict=True), schema.types, strict=True)], schema=schema)
+            found = [feature(raw, segments) for raw, segments in zip(part["tensors"], part["segments"], strict=True)]
+            yield pa.RecordBatch.from_pydict({c: part[c] for c in kept} | {"feature": found}, schema=schema)
 
-    return media.mapInArrow(run, _DIGEST)
+    return features.mapInArrow(run, f"{_STORED},feature string")
 
 
 def op10_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All ``documents`` stored as audio, read back and digested with their features; one row per document."""
-    return media_digests(store_media(spark.read.parquet(f"{sf_dir}/documents.parquet")))
+    """All ``documents`` stored as audio; tensors and time spans stored beside them, read back and digested; one row per document."""
+    return media_digests(audio_features(store_media(spark.read.parquet(f"{sf_dir}/documents.parquet"))))
 
 
 QUERIES = {"op10_audio": op10_audio}

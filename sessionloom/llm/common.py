@@ -8,11 +8,12 @@ import unicodedata
 import uuid
 from array import array
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import lru_cache, reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
@@ -37,6 +38,24 @@ def stored(df: DataFrame, name: str, partition_by: str | None = None) -> DataFra
     return spark.read.schema(df.schema).parquet(path) if partition_by is None else spark.read.parquet(path)
 
 
+def hot_join(left: DataFrame, right: DataFrame, keys: list[str], count: str, spread_by: list[str], total: int | None = None) -> DataFrame:
+    """``left`` with the columns of ``right``, which has one row for a key, by a left join that no frequent key clogs.
+
+    ``count`` says how many rows of ``left`` (or more) have the key. Keys with over a thousandth of ``total``, the sum
+    of counts, are fewer than a thousand, so their rows are broadcast; rows of ``left`` with such a key are
+    shuffled by ``spread_by``, all others by key. Null keys join nothing.
+    """
+    if total is None:
+        total = right.agg(F.sum(count)).first()[0] or 0
+    values = [c for c in right.columns if c not in keys and c != count]
+    hot = right.filter(F.col(count) * 1000 > total).select(*keys, *[F.col(c).alias(f"hot_{c}") for c in values], F.lit(True).alias("is_hot"))
+    cold = right.filter(F.col(count) * 1000 <= total).select(*keys, *values, F.lit(0).alias("salt"))
+    apart = F.coalesce("is_hot", F.lit(False)) | reduce(lambda a, b: a | b, [F.col(k).isNull() for k in keys])
+    marked = left.join(F.broadcast(hot), keys, "left").withColumn("salt", F.when(apart, 1 + F.pmod(F.xxhash64(*spread_by), F.lit(4096)).cast("int")).otherwise(0))
+    joined = marked.join(cold, [*keys, "salt"], "left")
+    return joined.select(*left.columns, *[F.coalesce(f"hot_{c}", c).alias(c) for c in values])
+
+
 def with_column(df: DataFrame, name: str, kind: str) -> T.StructType:
     """The schema of ``df`` and one more column."""
     return T.StructType([*df.schema.fields, T.StructField(name, T._parse_datatype_string(kind))])

@@ -32,8 +32,8 @@ _HEAD = struct.Struct("<4sBqqqqq")
 class EliasFano:
     """A non-decreasing sequence of integers from 0 in about ``2 + log2(u / n)`` bits each.
 
-    The low bits stand packed; the high bits in unary, with the place of every 256th one, so that ``select``
-    reads a few bytes only.
+    The low bits stand packed; the high bits in unary, with the place of every 256th one (``samples``), so that
+    ``select`` reads a few words only. Nothing is ever unpacked as a whole.
     """
 
     def __init__(self, n: int, low_bits: int, low: bytes, high: bytes, samples: np.ndarray):
@@ -63,21 +63,16 @@ class EliasFano:
         n_samples = -(-n // SAMPLE)
         return cls(n, low_bits, low, high, np.frombuffer(raw, "<i8", n_samples, at)), at + 8 * n_samples
 
-    def all(self) -> np.ndarray:
-        places = np.flatnonzero(np.unpackbits(np.frombuffer(self.high, np.uint8), bitorder="little"))[: self.n]
-        high = (places - np.arange(self.n)) << self.low_bits
-        bits = np.unpackbits(np.frombuffer(self.low, np.uint8), bitorder="little")[: self.n * self.low_bits].reshape(self.n, self.low_bits)
-        return high + (bits.astype(np.int64) << np.arange(self.low_bits)).sum(axis=1)
-
     def select(self, i: int) -> int:
-        """Value ``i``, by the nearest sampled one and the bytes after it."""
+        """Value ``i``: from the nearest sampled place on, words of 64 high bits are counted until its bit is met."""
         if not 0 <= i < self.n:
             raise IndexError(i)
         place, left = int(self.samples[i // SAMPLE]), i % SAMPLE
-        byte, word = place // 8, self.high[place // 8] >> (place % 8) << (place % 8)
+        byte = place // 8
+        word = int.from_bytes(self.high[byte : byte + 8], "little") >> place % 8 << place % 8
         while (ones := word.bit_count()) <= left:
-            left, byte = left - ones, byte + 1
-            word = self.high[byte]
+            left, byte = left - ones, byte + 8
+            word = int.from_bytes(self.high[byte : byte + 8], "little")
         for _ in range(left):
             word &= word - 1
         high = 8 * byte + (word & -word).bit_length() - 1 - i
@@ -106,12 +101,17 @@ class Segment:
         head = _HEAD.pack(b"EFT1", width, len(blobs), len(doc_ids) - len(known), first, int(ends[-1]) if len(ends) else 0, 0)
         return b"".join([head, EliasFano.of(ends).to_bytes(), EliasFano.of(known - first).to_bytes(), *blobs])
 
+    def bounds(self, i: int) -> tuple[int, int]:
+        """Where document ``i`` begins and ends; two selects, no table of offsets."""
+        return self.ends.select(i - 1) if i else 0, self.ends.select(i)
+
     def doc(self, i: int) -> np.ndarray:
-        """The ids of document ``i``; two selects, no table."""
-        return self.ids[self.ends.select(i - 1) if i else 0 : self.ends.select(i)]
+        """The ids of document ``i``."""
+        begin, end = self.bounds(i)
+        return self.ids[begin:end]
 
-    def doc_ids(self) -> list[int | None]:
-        return [None] * self.n_null + (self.doc_codes.all() + self.first_id).tolist()
+    def doc_id(self, i: int) -> int | None:
+        return None if i < self.n_null else self.first_id + self.doc_codes.select(i - self.n_null)
 
 
 _SEGMENTS = "shard long,segment int,n_docs long,n_ids long,start_in_shard long,data binary"
@@ -178,15 +178,14 @@ def read_tokens(spark: SparkSession, path: str, each: Callable[[Segment, int], d
 
 
 def digests(segment: Segment, start: int) -> dict[str, list]:
-    ends = segment.ends.all()
-    begins = np.concatenate([[0], ends[:-1]])
+    """One row for each document of a segment; every boundary is a select in the stored codes."""
     raw = memoryview(segment.ids.astype("<u4").tobytes())
-    return {
-        "doc_id": segment.doc_ids(),
-        "start": (begins + start).tolist(),
-        "n_tokens": (ends - begins).tolist(),
-        "ids_crc32": [zlib.crc32(raw[4 * a : 4 * b]) for a, b in zip(begins.tolist(), ends.tolist(), strict=True)],
-    }
+    out: dict[str, list] = {"doc_id": [], "start": [], "n_tokens": [], "ids_crc32": []}
+    for i in range(segment.n_docs):
+        begin, end = segment.bounds(i)
+        for name, value in zip(out, (segment.doc_id(i), start + begin, end - begin, zlib.crc32(raw[4 * begin : 4 * end])), strict=True):
+            out[name].append(value)
+    return out
 
 
 def op2_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -26,7 +26,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sessionloom.llm.common import arrow_schema, slices, stored, work_path
+from sessionloom.llm.common import arrow_schema, hot_join, slices, stored, work_path
 
 LEAST, FILE_BYTES, LEVEL = 100, 64 << 20, 1
 DATE = "1970-01-01T00:00:00Z"
@@ -59,22 +59,23 @@ def parse(raw: bytes) -> tuple[dict[str, str], bytes]:
 
 
 def split_stream(chunks: Iterator[bytes]) -> Iterator[bytes]:
-    """The records of an inflated WARC stream, whatever its pieces."""
-    held = b""
-    need = None
+    """The records of an inflated WARC stream, whatever its pieces; what is read stays until its chunk is done."""
+    held, at, need = bytearray(), 0, None
     for chunk in chunks:
+        del held[:at]
+        at = 0
         held += chunk
         while True:
             if need is None:
-                end = held.find(b"\r\n\r\n")
+                end = held.find(b"\r\n\r\n", at)
                 if end < 0:
                     break
-                need = end + 8 + int(re.search(rb"\r\nContent-Length: (\d+)", held[:end], re.I)[1])
-            if len(held) < need:
+                need = end + 8 - at + int(re.search(rb"\r\nContent-Length: (\d+)", held[at:end], re.I)[1])
+            if len(held) - at < need:
                 break
-            yield held[:need]
-            held, need = held[need:], None
-    if held.strip():
+            yield bytes(held[at : at + need])
+            at, need = at + need, None
+    if held[at:].strip():
         raise ValueError("the archive ends within a record")
 
 
@@ -96,8 +97,9 @@ def with_revisits(pages: DataFrame, least: int = LEAST) -> DataFrame:
     """page_id, url, payload, digest, refers_to."""
     payload = F.coalesce(F.col("html").cast("string"), F.lit("")).cast("binary")
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), payload.alias("payload")).withColumn("digest", F.sha2("payload", 256))
-    first = rows.filter(F.octet_length("payload") >= least).groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).filter("n > 1").select("digest", "first")
-    return rows.join(first, "digest", "left").withColumn("refers_to", F.when(F.col("page_id") != F.col("first"), F.col("first"))).drop("first")
+    sizes = rows.groupBy("digest").agg(F.min(F.when(F.octet_length("payload") >= least, F.col("page_id"))).alias("first"), F.count("*").alias("n"))
+    joined = hot_join(rows, stored(sizes.filter("n > 1"), "digests"), ["digest"], "n", ["page_id", "url"])
+    return joined.withColumn("refers_to", F.when(F.col("page_id") != F.col("first"), F.col("first"))).select("page_id", "url", "payload", "digest", "refers_to")
 
 
 def write_archives(pages: DataFrame, file_bytes: int = FILE_BYTES) -> DataFrame:
@@ -127,7 +129,7 @@ def write_archives(pages: DataFrame, file_bytes: int = FILE_BYTES) -> DataFrame:
             out.close()
             yield pa.RecordBatch.from_pydict({"path": [f"{folder}/{name}"], "n": [n]}, schema=schema)
 
-    return stored(with_revisits(pages).select("page_id", "url", "payload", "digest", "refers_to").mapInArrow(write, "path string,n long"), "warc-files")
+    return stored(with_revisits(pages).mapInArrow(write, "path string,n long"), "warc-files")
 
 
 def _open(store_path: str) -> bytes:
@@ -163,7 +165,7 @@ def normalise(files: DataFrame) -> DataFrame:
                 out.write("".join(json.dumps(r) + "\n" for r in rows).encode())
             yield pa.RecordBatch.from_pylist(rows, schema=schema)
 
-    return stored(files.select("path").repartition(max(1, min(200, files.count())), "path").mapInArrow(rewrite, ddl), "warc-index")
+    return stored(files.select("path").repartition(max(1, files.count()), "path").mapInArrow(rewrite, ddl), "warc-index")
 
 
 def read_records(index: DataFrame) -> DataFrame:

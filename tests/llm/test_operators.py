@@ -51,8 +51,9 @@ def test_encoder_equals_whole_texts(texts):
 def test_elias_fano(steps):
     values = np.cumsum(steps) if steps else np.empty(0, int)
     code, end = token_store.EliasFano.parse(memoryview(b"xx" + token_store.EliasFano.of(values).to_bytes() + b"y"), 2)
-    assert code.all().tolist() == values.tolist()
-    assert [code.select(i) for i in range(0, len(values), 7)] == values[::7].tolist()
+    assert [code.select(i) for i in range(len(values))] == values.tolist()
+    with pytest.raises(IndexError):
+        code.select(len(values))
 
 
 def test_token_store(spark, encoder):
@@ -71,6 +72,16 @@ def test_token_store(spark, encoder):
     assert sum(len(segment.doc(i)) for i in range(segment.n_docs)) == segment.n_ids
 
 
+def test_offsets_come_from_the_stored_codes(monkeypatch):
+    """A digest follows what select says of the stored codes, and asks for each document's bounds only."""
+    raw = token_store.Segment.pack([3, 5, 9], [b"\1\0\2\0", b"\3\0", b"\4\0\5\0\6\0"], 2)
+    asked, plain = [], token_store.EliasFano.select
+    monkeypatch.setattr(token_store.EliasFano, "select", lambda self, i: asked.append(i) or plain(self, i))
+    got = token_store.digests(token_store.Segment(raw), 100)
+    assert (got["doc_id"], got["start"], got["n_tokens"]) == ([3, 5, 9], [100, 102, 103], [2, 1, 3]) and sorted(asked) == [0, 0, 0, 1, 1, 1, 2, 2]
+    assert not hasattr(token_store.EliasFano, "all")
+
+
 def test_packing(spark, encoder):
     rows = [(i, "word " * random.Random(i).randint(0, 900)) for i in range(300)] + ODD
     parts = packing.pieces(docs(spark, rows), word_vocabulary())
@@ -277,7 +288,8 @@ def test_automaton_finds_what_re_finds(text):
 
 def test_audio(spark):
     got = {}
-    for r in audio.media_digests(audio.store_media(docs(spark, ODD))).collect():
+    stored_features = audio.audio_features(audio.store_media(docs(spark, ODD)))
+    for r in audio.media_digests(stored_features).collect():
         got.setdefault(r["doc_id"], r)
     for i, t in ODD:
         raw = (t or "").encode()
@@ -285,9 +297,17 @@ def test_audio(spark):
         r = got[i]
         assert (r["n_bytes"], r["payload_bytes"], r["payload_sha256"], r["tail_crc32"]) == (len(raw), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]))
     assert got[1]["feature"] == got[2]["feature"] and got[3]["feature"] == got[4]["feature"]
-    features = audio.audio_features(audio.store_media(docs(spark, ODD[3:4]))).first()
-    table = pa.ipc.open_stream(features["tensors"]).read_all()
-    assert table.schema.field("log_mel").type.shape == [audio.PATCH, audio.MELS] and table["start_ms"][0].as_py() == 0
+    for r in stored_features.collect():  # the feature is brute-forced from the text; tensors and spans are what is stored
+        text = next(t for i, t in ODD if i == r["doc_id"])
+        mel = audio.log_mel(np.frombuffer((text or "").encode().ljust(max(1, -(-len((text or "").encode()) // 64)) * 64, b"\0"), np.uint8))
+        table = pa.ipc.open_stream(r["tensors"]).read_all()
+        assert table.schema.field("log_mel").type.shape == [audio.PATCH, audio.MELS] and table["start_ms"][0].as_py() == 0
+        assert np.array_equal(audio.from_tensor_stream(r["tensors"]), mel)
+        assert [(s["start_ms"], s["end_ms"]) for s in r["segments"]] == [(20 * a, 20 * b) for a, b in audio.loud_spans(mel)]
+        spans = np.array(audio.loud_spans(mel), "<i8")
+        assert f"frames={len(mel)};" in got[r["doc_id"]]["feature"] and got[r["doc_id"]]["feature"].endswith(f"spans_crc={zlib.crc32(spans.tobytes()):08x};mel_crc={zlib.crc32(mel.tobytes()):08x}")
+    other = stored_features.filter("doc_id = 6").withColumn("tensors", F.lit(bytearray(audio.tensor_stream(np.ones((3, audio.MELS), np.int16)))))
+    assert audio.media_digests(other).first()["feature"].startswith("frames=3;")  # digests follow the stored tensors
 
 
 def test_audio_blocks_and_resampling(monkeypatch):
@@ -412,6 +432,6 @@ def test_held_out_accuracy(spark):
         assert got.filter(F.col(column) == F.col("lang")).count() >= least * got.count()
 
 
-@pytest.mark.parametrize("run", [lambda d: token_store.write_tokens(d, work_path(d.sparkSession, "t"), word_vocabulary()), lambda d: packing.pack(stored(packing.pieces(d, word_vocabulary()), "t")).count(), lambda d: substring_dedup.drop_repeats(d).count(), lambda d: ngram_join.near_groups(d).count(), lambda d: secret_scan.find_secrets(d).count(), lambda d: audio.media_digests(audio.store_media(d)).count(), lambda d: language_id.identify(d, language_id.sample_languages(d.withColumn("lang", F.col("extra")))).count()])
+@pytest.mark.parametrize("run", [lambda d: token_store.write_tokens(d, work_path(d.sparkSession, "t"), word_vocabulary()), lambda d: packing.pack(stored(packing.pieces(d, word_vocabulary()), "t")).count(), lambda d: substring_dedup.drop_repeats(d).count(), lambda d: ngram_join.near_groups(d).count(), lambda d: secret_scan.find_secrets(d).count(), lambda d: audio.media_digests(audio.audio_features(audio.store_media(d))).count(), lambda d: language_id.identify(d, language_id.sample_languages(d.withColumn("lang", F.col("extra")))).count()])
 def test_empty_tables(spark, run):
     assert not run(docs(spark, []))
