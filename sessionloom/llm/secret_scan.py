@@ -1,9 +1,14 @@
-"""Secret scans by one combined automaton.
+"""Secret scans by combined automata.
 
-All rules are compiled into one minimal byte automaton (``automaton``); each text is read once, byte by byte, and
-the pass tells which rules match somewhere. Only for those rules are exact spans then taken from the text. Long
-counted repetitions are cut to ``DEPTH`` in the automaton, which keeps it small: what it then finds is a
-necessary part of any match, so no match is lost.
+All rules are compiled into one minimal deterministic automaton over bytes (``automaton``) of the reversed rules. One
+pass over a text, last byte first, tells every place at which a match of some rule starts. A second minimal automaton
+of all rules, which matches from one place on, then reads the bytes of those matches only and gives their
+ends, so spans come from transition arrays alone. The longest match at a place counts; matches of one rule do not overlap.
+A repetition at the end of a rule is asked for ``DEPTH`` times only in the first automaton, which keeps it small; the second
+one counts in full.
+
+Rules are (kind, pattern, counted): of leftmost non-overlapping matches of ``pattern`` those stay that ``counted``, where
+given, matches from end to end. A match that fails still takes up its bytes. Patterns are over UTF-8 bytes.
 
 Spans are code points, end exclusive. Nulls: a null text has no spans; null and repeated ids stay as they are;
 an empty table gives no rows; other columns pass through ``find_secrets`` and ``redact_secrets``.
@@ -11,53 +16,78 @@ an empty table gives no rows; other columns pass through ``find_secrets`` and ``
 
 from __future__ import annotations
 
-import re
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sessionloom.llm.automaton import compile_rules
+from sessionloom.llm.automaton import backwards, bits_of, compile_rules, parsed, shortened
 from sessionloom.llm.common import with_column
 
 DEPTH = 6
-# Rule name, pattern, group whose length counts, and its least length. Base rules come first.
+_ASSIGN = r"""([pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY])["']?\x20*[:=]\x20*["']?[A-Za-z0-9+/_.=\-]"""
+# Kind, pattern, and what a match must be to count. Base rules come first. A run of too few hex digits, or of
+# too few signs after AKIA, hides no longer one, so these patterns have their least length.
 RULES = (
-    ("assign", r"""([pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=\-]+)""", 2, 6),
-    ("access", r"AKIA[A-Z0-9]+", 0, 20),
-    ("hex", r"[0-9a-f]+", 0, 24),
-    ("github", r"gh[opsu]_[A-Za-z0-9]{36,}", 0, 40),
-    ("slack", r"xox[abprs]-[A-Za-z0-9\-]{10,}", 0, 15),
-    ("google", r"AIza[A-Za-z0-9_\-]{35}", 0, 39),
-    ("stripe", r"sk_live_[A-Za-z0-9]{24,}", 0, 32),
-    ("jwt", r"eyJ[A-Za-z0-9_\-]{10,}\.[A-Za-z0-9_\-]{10,}\.[A-Za-z0-9_\-]+", 0, 0),
-    ("pem", r"-----BEGIN [A-Z ]*PRIVATE KEY-----", 0, 0),
+    ("assign", _ASSIGN + "+", _ASSIGN + "{6,}"),
+    ("access", r"AKIA[A-Z0-9]{16,}", None),
+    ("hex", r"[0-9a-f]{24,}", None),
+    ("github", r"gh[opsu]_[A-Za-z0-9]{36,}", None),
+    ("slack", r"xox[abprs]-[A-Za-z0-9\-]{10,}", None),
+    ("google", r"AIza[A-Za-z0-9_\-]{35}", None),
+    ("stripe", r"sk_live_[A-Za-z0-9]{24,}", None),
+    ("jwt", r"eyJ[A-Za-z0-9_\-]{10,}\.[A-Za-z0-9_\-]{10,}\.[A-Za-z0-9_\-]+", None),
+    ("pem", r"-----BEGIN [A-Z ]*PRIVATE KEY-----", None),
 )
 BASE = 3
-KIND_ORDER = {name: k for k, (name, *_) in enumerate(RULES)}
-
-
-def triggers(rules=RULES, depth: int = DEPTH) -> list[str]:
-    """What the automaton looks for: each rule with its least length written as a repetition, cut to ``depth``."""
-    found = []
-    for _, pattern, group, least in rules:
-        if least and pattern.endswith("]+") or group and pattern.endswith("]+)"):
-            fixed = 4 if pattern.startswith("AKIA") else 0
-            pattern = pattern.removesuffix(")" if group else "").removesuffix("+") + f"{{{least - fixed}}}" + (")" if group else "")
-        pattern = re.sub(r"\{(\d+),\}(?!\)?$)", lambda m: f"{{{min(int(m[1]), depth)},}}", pattern)
-        pattern = re.sub(r"\{(\d+),?\}(?=\)?$)", lambda m: f"{{{min(int(m[1]), depth)}}}", pattern)
-        found.append(re.sub(r"\]\+$", "]", pattern))
-    return found
 
 
-def spans_of(text: str, rules=RULES, seen: int = -1) -> list[tuple[str, int, int]]:
-    """Spans of the rules whose bits are in ``seen``, by start and then by the rules' order."""
-    found = []
-    for k, (name, pattern, group, least) in enumerate(rules):
-        if seen >> k & 1:
-            found += [(m.start(), k, name, m.end()) for m in re.finditer(pattern, text) if m.end(group) - m.start(group) >= least]
-    return [(name, start, end) for start, _, name, end in sorted(found)]
+class Scanner:
+    """Both automata of a set of rules; its size depends on the rules alone."""
+
+    def __init__(self, rules=RULES, depth: int = DEPTH):
+        self.kinds = [kind for kind, *_ in rules]
+        trees = [parsed(pattern) for _, pattern, _ in rules]
+        self.starts = compile_rules([backwards(shortened(t, depth)) for t in trees])
+        counted = [(k, parsed(c)) for k, (_, _, c) in enumerate(rules) if c]
+        self.whole = compile_rules([*trees, *(t for _, t in counted)], anchored=True)
+        self.counts = {k: 1 << len(trees) + n for n, (k, _) in enumerate(counted)}
+
+    def spans(self, text: str | None) -> list[tuple[str, int, int]]:
+        """(kind, start, end) by start, then in the rules' order."""
+        data = (text or "").encode("utf-8", "replace")
+        marks = self.starts.ends(data[::-1])
+        if not marks:
+            return []
+        found, free = [], [0] * len(self.kinds)
+        columns = data.translate(self.whole.columns)
+        for n, mask in reversed(marks):
+            at = len(data) - n
+            for k, (end, bits) in self._ends(columns, at, sum(1 << k for k in bits_of(mask) if free[k] <= at)).items():
+                free[k] = end
+                if bits & self.counts.get(k, bits):
+                    found.append((at, k, end))
+        if not text.isascii():
+            before = np.concatenate([[0], np.cumsum((np.frombuffer(data, np.uint8) & 0xC0) != 0x80)])
+            found = [(int(before[a]), k, int(before[b])) for a, k, b in found]
+        return [(self.kinds[k], a, b) for a, k, b in sorted(found)]
+
+    def _ends(self, columns: bytes, at: int, wanted: int) -> dict[int, tuple[int, int]]:
+        """For each wanted rule that matches from ``at`` on, the longest end and all bits of the state there."""
+        ends: dict[int, tuple[int, int]] = {}
+        if not wanted:
+            return ends
+        table, first, found, state, dead = self.whole.table, self.whole.first_accepting, self.whole.found, self.whole.start, self.whole.dead
+        for place in range(at, len(columns)):
+            state = table[state + columns[place]]
+            if state == dead:
+                break
+            if state >= first:
+                for k in bits_of(found[state] & wanted):
+                    ends[k] = (place + 1, found[state])
+        return ends
 
 
 _SPAN = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
@@ -65,17 +95,12 @@ _SPAN = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end"
 
 def _scanned(docs: DataFrame, text: str, rules) -> Callable[[Iterator[pa.RecordBatch]], Iterator[tuple[pa.RecordBatch, list]]]:
     """Batches of 1024 rows at most with the spans of each row's text."""
-    shared = docs.sparkSession.sparkContext.broadcast(compile_rules(triggers(rules)))  # its size depends on the rules alone
+    shared = docs.sparkSession.sparkContext.broadcast(Scanner(rules))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list]]:
-        automaton = shared.value
+        scanner = shared.value
         for batch in (b.slice(at, 1024) for b in batches for at in range(0, b.num_rows, 1024)):
-            spans = []
-            for value in batch.column(batch.schema.get_field_index(text)):
-                t = value.as_py() or ""
-                seen = automaton.rules_in(t.encode("utf-8", "replace"))
-                spans.append(spans_of(t, rules, seen) if seen else [])
-            yield batch, spans
+            yield batch, [scanner.spans(value.as_py()) for value in batch.column(batch.schema.get_field_index(text))]
 
     return scan
 
