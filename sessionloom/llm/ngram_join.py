@@ -6,17 +6,22 @@ Documents link when their sets of 5-word shingles have a Jaccard similarity of a
    distinct shingles to hash buckets and get a byte for each back.
 2. ``prefix_postings``: each document's set size and a 128-bit digest of its set, equal sets being one class from here
    on; and of each set the rarest shingles, as many as any linked set must meet one of (size minus required overlap
-   plus one), without those of one document only. ``candidate_lists``: a shingle's list gives all pairs that size and
-   place allow while it is short, and pairs with its likeliest origin where it is long.
+   plus one), without those of one document only. A class is named by the place of one of its documents in the table
+   of chunks, so it needs no doc_id. ``short_lists`` and ``long_lists``: a shingle's list gives all pairs that size
+   and place allow while it is short, and pairs with its likeliest origin where it is long. Lists of more than 200
+   documents are rows of a Spark table and never stand in one task.
 3. ``search``: for each class and a block of its candidates, a T-occurrence search: short inverted lists are merged on
    a heap, long ones probed by binary search, and documents reaching the required overlap are kept.
 4. Links are closed to components by alternating large-star and small-star rounds. In long lists that then still hold
-   several components, members outside of the main one are searched against all members, block by block. Pairs
-   within a component need no check, so no link between components is lost, and groups of near copies are never
-   expanded into all pairs.
+   several components, members outside of the main one are searched against those members, block by block, whose
+   sizes can link with theirs. Pairs within a component need no check, so no link between components is lost, and
+   groups of near copies are never expanded into all pairs.
+
+Joins on shingles, classes, hubs and labels go through ``hot_join``, so no frequent one lands in a single task.
 
 Nulls: a null text has no shingles and links with nothing, as does a document without words; one of fewer than five
-words has its whole sequence as its only shingle. A null doc_id belongs to a class but is never its name. Repeated
+words has its whole sequence as its only shingle. A document with a null doc_id links like any other, but its id is
+never the name of a component; a component of such documents alone has none. Repeated
 rows are equal sets. An empty table gives no rows; other columns are ignored.
 """
 
@@ -33,15 +38,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sessionloom.llm.common import arrow_schema, partitions, slices, stored
-from sessionloom.llm.substring_dedup import NULL_ID, Chunk, by_bucket, chunks
+from sessionloom.llm.common import arrow_schema, hot_join, partitions, slices, stored
+from sessionloom.llm.substring_dedup import NULL_ID, PLACE_BITS, Chunk, bucket_count, by_bucket, chunks
 from sessionloom.llm.words import Flat, WordHashes, mix, split_words, windows
 
 SHINGLE, PERCENT = 5, 75
 SHORT_LIST = 64
 BLOCK = 256
-#: Document ids that are broadcast at most, 8 bytes each.
-MOST_IDS = 500_000
+#: Frequencies up to this are exact in a byte; the lists of more frequent shingles are rows of a table.
+EXACT = 200
 
 
 def least_overlap(a: int, b: int, percent: int = PERCENT) -> int:
@@ -74,13 +79,9 @@ def set_digests(found: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.nd
     return sums[0], sums[1]
 
 
-def _texts(docs: DataFrame) -> DataFrame:
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-
-
 def frequency_class(df: np.ndarray) -> np.ndarray:
-    """Document frequencies as one byte that never falls: exact to 200, by quarters of a power of two beyond."""
-    return np.where(df <= 200, df, np.minimum(255, 200 + 4 * np.log2(np.maximum(df, 200) / 200)).astype(np.int64)).astype(np.uint8)
+    """Document frequencies as one byte that never falls: exact to ``EXACT``, by quarters of a power of two beyond, where it is larger."""
+    return np.where(df <= EXACT, df, np.minimum(255, EXACT + 1 + 4 * np.log2(np.maximum(df, EXACT) / EXACT)).astype(np.int64)).astype(np.uint8)
 
 
 class ChunkSets:
@@ -102,13 +103,12 @@ class ChunkSets:
         self.keys, self.back, self.counts = np.unique(self.own >> np.uint64(24), return_inverse=True, return_counts=True)
 
 
-def frequencies(table: DataFrame, size: int) -> DataFrame:
+def frequencies(table: DataFrame, size: int, buckets: int) -> DataFrame:
     """(chunk, answers): for each chunk, by bucket, the frequency class of each of its distinct shingles, in order.
 
     Chunks send distinct shingles as sorted differences, with counts; a bucket adds the counts up and answers with
     a byte for each. A shingle enters a bucket once per chunk, however many documents hold it.
     """
-    buckets = partitions(table.sparkSession)
     ddl = "bucket int,chunk long,first long,gaps binary,counts binary"
     sent, answered = arrow_schema(ddl), arrow_schema("chunk long,bucket int,classes binary")
 
@@ -133,21 +133,22 @@ def frequencies(table: DataFrame, size: int) -> DataFrame:
         ends = np.cumsum([len(k) for k in keys]).tolist()
         return pa.table({"chunk": rows.column("chunk"), "bucket": rows.column("bucket"), "classes": pa.array([classes[e - len(k) : e].tobytes() for e, k in zip(ends, keys, strict=True)], pa.binary())}).cast(answered)
 
-    answers = table.mapInArrow(send, ddl).groupBy("bucket").applyInArrow(meet, "chunk long,bucket int,classes binary")
+    answers = table.mapInArrow(send, ddl).repartition(buckets, "bucket").groupBy("bucket").applyInArrow(meet, "chunk long,bucket int,classes binary")
     return answers.groupBy("chunk").agg(F.sort_array(F.collect_list(F.struct("bucket", "classes"))).alias("answers"))
 
 
-_POSTINGS = "doc_id long,n long,d1 long,d2 long,bucket int,hashes binary,classes binary,sizes binary,places binary"
+_POSTINGS = "node long,doc_id long,n long,d1 long,d2 long,bucket int,hashes binary,classes binary,sizes binary,places binary,hash long,place long"
 
 
-def prefix_postings(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
-    """Signatures (doc_id, n, d1, d2) of all documents, and postings of the rarest shingles of each set by bucket.
+def prefix_postings(table: DataFrame, size: int, percent: int, buckets: int) -> DataFrame:
+    """Written rows of three kinds: of every document its ``node``, doc_id, n, d1 and d2; postings of the rarest shingles of each set by bucket; and single postings (hash, d1, n, place) of frequent ones.
 
     Shingles of one document only are in no list.
     """
-    buckets = partitions(docs.sparkSession)
     schema = arrow_schema(_POSTINGS)
-    table = chunks(docs)
+
+    def rows(count: int, columns: dict) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) if f.name in columns else pa.nulls(count, f.type) for f in schema], schema=schema)
 
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
@@ -159,29 +160,27 @@ def prefix_postings(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT
             place = np.arange(len(found)) - (np.cumsum(sets.kept) - sets.kept)[doc]
             prefix = sets.sizes - -(-percent * sets.sizes // 100) + 1
             use = (place < prefix[doc]) & (rarity > 1)
-            found, doc, place = found[use], doc[use], place[use]
-            order = np.argsort(found, kind="stable")
-            found, doc, place = found[order], doc[order], place[order]
+            found, doc, place, often = found[use], doc[use], place[use], rarity[use] > EXACT
             ids = [None if x == NULL_ID else x for x in sets.chunk.doc_ids.tolist()]
-            none = [None] * len(ids)
-            yield pa.RecordBatch.from_pydict({"doc_id": ids, "n": sets.sizes, "d1": sets.d1.view(np.int64), "d2": sets.d2.view(np.int64)} | {c: none for c in schema.names[4:]}, schema=schema)
-            runs = list(by_bucket(found, buckets))
-            none = [None] * len(runs)
-            columns = (("hashes", found, "<u8"), ("classes", sets.d1[doc], "<u8"), ("sizes", sets.sizes[doc], "<u4"), ("places", place, "<u4"))
-            yield pa.RecordBatch.from_pydict({c: none for c in schema.names[:4]} | {"bucket": [b for b, _ in runs]} | {c: [a[r].astype(k).tobytes() for _, r in runs] for c, a, k in columns}, schema=schema)
-
-    both = stored(table.join(frequencies(table, size), "chunk", "left").mapInArrow(post, _POSTINGS), "postings")
-    return both.filter("bucket is null").select("doc_id", "n", "d1", "d2"), both.filter("bucket is not null").select("bucket", "hashes", "classes", "sizes", "places")
-
-
-def candidate_lists(postings: DataFrame, percent: int = PERCENT, short: int = SHORT_LIST) -> DataFrame:
-    """Written rows (a, b, hash, members): pairs of class digests to verify, and the members of long lists.
-
-    A pair row has ``a`` and ``b``; a row of a long list has its ``hash`` and ``members`` (d1, size, place). A long list
-    gives pairs with the member of least place only: it has the fewest rarer shingles, so it is the likeliest origin.
-    """
-    members = pa.list_(pa.struct([("d1", pa.int64()), ("n", pa.int64()), ("place", pa.int64())]))
-    out = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("hash", pa.int64()), ("members", members)])
+            nodes = (part["chunk"][0] << PLACE_BITS) + np.arange(len(ids))
+            yield rows(len(ids), {"node": nodes, "doc_id": ids, "n": sets.sizes, "d1": sets.d1.view(np.int64), "d2": sets.d2.view(np.int64)})
+            few, many = doc[~often], doc[often]
+            for at in range(0, len(many), 100_000):
+                some = slice(at, at + 100_000)
+                yield rows(len(many[some]), {"hash": found[often][some].view(np.int64), "d1": sets.d1[many[some]].view(np.int64), "n": sets.sizes[many[some]], "place": place[often][some]})
+            order = np.argsort(found[~often], kind="stable")
+            few, h, place = few[order], found[~often][order], place[~often][order]
+            runs = list(by_bucket(h, buckets))
+            columns = (("hashes", h, "<u8"), ("classes", sets.d1[few], "<u8"), ("sizes", sets.sizes[few], "<u4"), ("places", place, "<u4"))
+            yield rows(len(runs), {"bucket": [b for b, _ in runs]} | {c: [a[r].astype(k).tobytes() for _, r in runs] for c, a, k in columns})
+
+    return stored(table.join(frequencies(table, size, buckets), "chunk", "left").mapInArrow(post, _POSTINGS), "postings")
+
+
+def short_lists(postings: DataFrame, buckets: int, percent: int = PERCENT, short: int = SHORT_LIST) -> DataFrame:
+    """Written rows of lists of at most about ``EXACT`` members: pairs (a, b) of class digests to verify, or members (hash, d1, n, place) of those over ``short``."""
+    ddl = "a long,b long,hash long,d1 long,n long,place long"
+    out = arrow_schema(ddl)
 
     def meet(rows: pa.Table) -> pa.Table:
         column = lambda n, k: np.concatenate([np.frombuffer(x.as_py(), k) for x in rows.column(n)])
@@ -191,33 +190,32 @@ def candidate_lists(postings: DataFrame, percent: int = PERCENT, short: int = SH
         new = np.ones(len(h), bool)
         new[1:] = (h[1:] != h[:-1]) | (cls[1:] != cls[:-1])
         h, cls, n, place = h[new], cls[new], n[new], place[new]
-        edges = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1], [True]])) if len(h) else np.zeros(1, int)
-        pairs: set[tuple[int, int]] = set()
-        lists = []
-        for lo, hi in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
-            if hi - lo < 2:
-                continue
-            own = list(zip(cls[lo:hi].tolist(), n[lo:hi].tolist(), place[lo:hi].tolist(), strict=True))
-            if len(own) > short:
-                lists.append((int(h[lo].view(np.int64)), [{"d1": c, "n": m, "place": p} for c, m, p in own]))
-                own.sort(key=lambda x: (x[2], x[0]))
-            for i, x in enumerate(own[:1] if len(own) > short else own):
-                pairs.update((min(x[0], y[0]), max(x[0], y[0])) for y in own[i + 1 :] if possible(x, y, percent))
-        table = {"a": [p[0] for p in pairs], "b": [p[1] for p in pairs], "hash": [None] * len(pairs), "members": [None] * len(pairs)}
-        for name, values in (("a", [None] * len(lists)), ("b", [None] * len(lists)), ("hash", [x[0] for x in lists]), ("members", [x[1] for x in lists])):
-            table[name] += values
-        return pa.table(table, schema=out)
-
-    kind = "a long,b long,hash long,members array<struct<d1:long,n:long,place:long>>"
-    return stored(postings.groupBy("bucket").applyInArrow(meet, kind), "lists")
-
-
-def possible(x: tuple[int, int, int], y: tuple[int, int, int], percent: int = PERCENT) -> bool:
-    """Whether x and y (class, size, place) can link if this shingle is the rarest that they share.
-
-    Every linked pair passes in the list of its rarest shared shingle, so no other list needs to give it.
-    """
-    return 1 + min(x[1] - x[2] - 1, y[1] - y[2] - 1) >= least_overlap(x[1], y[1], percent)
+        starts = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]])) if len(h) else np.empty(0, int)
+        sizes = np.diff(np.append(starts, len(h)))
+        pairs = np.empty((0, 2), np.int64)
+        for length in np.unique(sizes[(sizes > 1) & (sizes <= short)]).tolist():
+            own, (i, j) = starts[sizes == length], np.triu_indices(length, 1)
+            step = max(1, 2_000_000 // len(i))
+            for at in range(0, len(own), step):
+                x, y = ((own[at : at + step, None] + k).ravel() for k in (i, j))
+                able = 1 + np.minimum(n[x] - place[x] - 1, n[y] - place[y] - 1) >= -(-percent * (n[x] + n[y]) // (100 + percent))
+                some = np.column_stack([cls[x[able]], cls[y[able]]])  # classes ascend within a list
+                pairs = np.unique(np.concatenate([pairs, some]), axis=0)
+        long = np.repeat(sizes > short, sizes)
+        none, pad = pa.nulls(len(pairs), pa.int64()), pa.nulls(int(long.sum()), pa.int64())
+        columns = [pa.chunked_array([pairs[:, k], pad]) for k in (0, 1)] + [pa.chunked_array([none, pa.array(c[long])]) for c in (h.view(np.int64), cls, n, place)]
+        return pa.table(columns, schema=out)
+
+    return stored(postings.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(meet, ddl), "lists")
+
+
+def long_lists(lists: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """Pairs (a, b) of members (hash, node, n, place) of long lists with ``a``, the member of least place in each: it has the fewest rarer shingles, so it is the likeliest origin."""
+    origin = lists.groupBy("hash").agg(F.min_by(F.struct("node", "n", "place"), F.struct("place", "node")).alias("o"), F.count("*").alias("c"))
+    origin = stored(origin.select("hash", F.col("o.node").alias("a"), F.col("o.n").alias("o_n"), F.col("o.place").alias("o_place"), "c"), "origins")
+    met = hot_join(lists, origin, ["hash"], "c", ["node"])
+    able = F.least(F.col("n") - F.col("place"), F.col("o_n") - F.col("o_place")) * (100 + percent) >= percent * (F.col("n") + F.col("o_n"))
+    return met.filter((F.col("a") != F.col("node")) & able).select("a", F.col("node").alias("b"))
 
 
 def divide_skip(query: list[int], lists: dict[int, list[int]], sizes: list[int], percent: int = PERCENT) -> list[int]:
@@ -256,18 +254,35 @@ def divide_skip(query: list[int], lists: dict[int, list[int]], sizes: list[int],
     return found
 
 
-def search(groups: DataFrame, docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """Written pairs (a, b), a < b, that link, out of groups (g, part, doc_id, query, label).
+def texts_of(nodes: DataFrame, table: DataFrame) -> DataFrame:
+    """(node, salt, text) of ``nodes`` (node, copies), ``copies`` rows each, out of the table of chunks."""
+    schema = arrow_schema("node long,salt long,text string")
+    held = nodes.groupBy(F.shiftright("node", PLACE_BITS).alias("chunk")).agg(F.collect_list(F.struct(F.col("node"), F.col("copies"))).alias("wanted"))
 
-    In each (g, part) every query is searched in the inverted lists of the other documents; those of its own label
-    are known to be connected and left out.
+    def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches, 1):
+            texts = Chunk.unpack(part["payload"][0]).texts
+            wanted = sorted((w["node"], salt) for w in part["wanted"][0] for salt in range(w["copies"]))
+            for at in range(0, len(wanted), 1024):
+                some = wanted[at : at + 1024]
+                yield pa.RecordBatch.from_pydict({"node": [n for n, _ in some], "salt": [k for _, k in some], "text": [texts[n & (1 << PLACE_BITS) - 1] for n, _ in some]}, schema=schema)
+
+    return table.join(held, "chunk").mapInArrow(pick, "node long,salt long,text string")
+
+
+def search(groups: DataFrame, table: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
+    """Written pairs (a, b), a < b, of nodes that link, out of groups (g, part, node, query, label).
+
+    In each (g, part) every query is searched in the inverted lists of the other nodes; those of its own label
+    are known to be connected and left out. A node of over a thousandth of all rows has its text copied, so that its
+    rows are dealt to several tasks; fewer than a thousand nodes are so frequent, and their numbers are broadcast.
     """
     ddl = "a long,b long"
     schema = arrow_schema(ddl)
 
     def run(rows: pa.Table) -> pa.Table:
         hashes, own_rows = WordHashes(), defaultdict(list)
-        g, part, ids, is_query, labels = (rows.column(c).to_pylist() for c in ("g", "part", "doc_id", "query", "label"))
+        g, part, nodes, is_query, labels = (rows.column(c).to_pylist() for c in ("g", "part", "node", "query", "label"))
         for k, key in enumerate(zip(g, part, strict=True)):
             own_rows[key].append(k)
         texts, found = rows.column("text"), set()
@@ -286,84 +301,110 @@ def search(groups: DataFrame, docs: DataFrame, size: int = SHINGLE, percent: int
             for k, s in queries:
                 for m in divide_skip(s, lists, [len(x) for _, x in members], percent):
                     other = members[m][0]
-                    if ids[other] != ids[k] and (labels[k] is None or labels[k] != labels[other]):
-                        found.add((min(ids[k], ids[other]), max(ids[k], ids[other])))
+                    if nodes[other] != nodes[k] and (labels[k] is None or labels[k] != labels[other]):
+                        found.add((min(nodes[k], nodes[other]), max(nodes[k], nodes[other])))
         return pa.table({"a": [x for x, _ in found], "b": [y for _, y in found]}, schema=schema)
 
     groups = stored(groups, "groups")
-    ids, texts = groups.select("doc_id").distinct(), _texts(docs)
-    if ids.count() <= MOST_IDS:  # few documents: only their texts are shuffled; else the join alone picks them
-        texts = texts.join(F.broadcast(ids), "doc_id", "left_semi")
-    with_text = groups.join(texts, "doc_id")
-    keyed = with_text.withColumn("key", F.pmod(F.xxhash64("g", "part"), F.lit(8 * partitions(docs.sparkSession))))
+    total = groups.count()
+    if not total:
+        return groups.select(F.col("node").alias("a"), F.col("node").alias("b"))
+    copies = F.when(F.col("c") * 1000 > total, F.ceil(F.col("c") * 1000 / total)).otherwise(1).cast("long")
+    needed = groups.groupBy("node").agg(F.count("*").alias("c")).select("node", copies.alias("copies"))
+    hot = needed.filter("copies > 1")
+    dealt = groups.join(F.broadcast(hot), "node", "left").withColumn("salt", F.coalesce(F.pmod(F.xxhash64("g", "part"), "copies"), F.lit(0).cast("long"))).drop("copies")
+    with_text = dealt.join(texts_of(needed, table), ["node", "salt"]).drop("salt")
+    keys = max(8 * partitions(table.sparkSession), total // 512)
+    keyed = with_text.withColumn("key", F.pmod(F.xxhash64("g", "part"), F.lit(keys)))
     return stored(keyed.groupBy("key").applyInArrow(lambda t: run(t.drop_columns(["key"])), ddl), "links")
 
 
 def pair_groups(pairs: DataFrame, block: int = BLOCK) -> DataFrame:
-    """Groups to search for candidate pairs (a, b): each ``a`` against blocks of about ``block`` of its candidates."""
-    blocks = pairs.groupBy("a").agg(F.ceil(F.count("*") / block).alias("blocks"))
-    cut = pairs.join(blocks, "a").select(F.col("a").alias("g"), F.pmod(F.xxhash64("b"), F.col("blocks")).alias("part"), "b")
+    """Groups to search for candidate pairs (a, b), a written table: each ``a`` against blocks of about ``block`` of its candidates."""
+    blocks = pairs.groupBy("a").agg(F.count("*").alias("c"), F.ceil(F.count("*") / block).alias("blocks"))
+    cut = hot_join(pairs, blocks, ["a"], "c", ["b"], pairs.count()).select(F.col("a").alias("g"), F.pmod(F.xxhash64("b"), F.col("blocks")).alias("part"), "b")
     no_label = F.lit(None).cast("long").alias("label")
-    queries = cut.select("g", "part", F.col("g").alias("doc_id"), F.lit(True).alias("query"), no_label).distinct()
-    return cut.select("g", "part", F.col("b").alias("doc_id"), F.lit(False).alias("query"), no_label).unionByName(queries)
+    queries = cut.select("g", "part", F.col("g").alias("node"), F.lit(True).alias("query"), no_label).distinct()
+    return cut.select("g", "part", F.col("b").alias("node"), F.lit(False).alias("query"), no_label).unionByName(queries)
 
 
 def list_groups(lists: DataFrame, percent: int = PERCENT, block: int = BLOCK) -> DataFrame:
-    """Groups to search for long lists (hash, rep, n, place, label) that hold several components.
+    """Groups to search for long lists (hash, node, n, place, label), a written table, that hold several components.
 
-    Members outside of a list's most frequent component are queries against blocks of all members, where size and place
-    allow any link in this list at all. Rows grow with the members, not with their pairs.
+    A member of size n that meets others at its place can link with sizes from ``low`` to ``high`` only. Members
+    stand in bands of sizes, those of the list's largest component apart, and bands in blocks. A
+    member outside of that component is a query against the blocks of the bands it can link with; two
+    such members meet from the larger band to the smaller one. Rows grow with the queries times the blocks that
+    sizes and places admit, which are few unless very many documents of like size share most of their shingles' frequency order without linking.
     """
-    sums = lists.groupBy("hash").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.mode("label").alias("main"), F.min("n").alias("least_n"), F.ceil(F.count("*") / block).alias("blocks"))
-    mixed = lists.join(sums.filter("low <> high").drop("low", "high"), "hash")
-    able = mixed.filter(F.col("n") - F.col("place") >= F.ceil(percent * (F.col("n") + F.col("least_n")) / (100 + percent)))
-    members = able.select(F.col("hash").alias("g"), F.pmod(F.xxhash64("rep"), F.col("blocks")).alias("part"), F.col("rep").alias("doc_id"), F.lit(False).alias("query"), "label")
-    asked = able.filter(F.col("label") != F.col("main")).select(F.col("hash").alias("g"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("part"), F.col("rep").alias("doc_id"), F.lit(True).alias("query"), "label")
-    return members.join(asked.select("g").distinct(), "g", "left_semi").unionByName(asked)
-
-
-def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
+    band_of = lambda n: F.floor(F.log(n.cast("double")) * 16).cast("long")
+    by_label = lists.groupBy("hash", "label").agg(F.count("*").alias("c"))
+    mixed = by_label.groupBy("hash").agg(F.max_by("label", F.struct("c", "label")).alias("main"), F.count("*").alias("labels"), F.sum("c").alias("c")).filter("labels > 1").drop("labels")
+    own = hot_join(lists, stored(mixed, "mixed-lists"), ["hash"], "c", ["node"]).filter("main is not null")
+    low, high = F.ceil(F.col("n") * percent / 100), F.floor((F.col("n") - F.col("place")) * (100 + percent) / percent) - F.col("n")
+    able = own.withColumn("low", low).withColumn("high", F.least(high, F.floor(F.col("n") * 100 / percent))).filter("low <= high").withColumn("band", band_of(F.col("n"))).withColumn("other", F.col("label") != F.col("main"))
+    able = stored(able, "mixed-members")
+    size = lambda other: F.ceil(F.count_if(F.col("other") == other) / block)
+    cells = able.groupBy("hash", "band").agg(size(False).alias("mains"), size(True).alias("others"), F.min("n").alias("least_n"), F.max("n").alias("most_n"), F.min("low").alias("least_low"), F.max("high").alias("most_high"), F.count("*").alias("c"))
+    cells = stored(cells, "cells")
+    part = lambda band, other, k: band * F.lit(1 << 40) + other.cast("long") * F.lit(1 << 39) + k
+    placed = hot_join(able, cells.select("hash", "band", "mains", "others", "c"), ["hash", "band"], "c", ["node"])
+    salt = F.pmod(F.xxhash64("node"), F.when(F.col("other"), F.col("others")).otherwise(F.col("mains")))
+    members = placed.select(F.col("hash").alias("g"), part(F.col("band"), F.col("other"), salt).alias("part"), "node", F.lit(False).alias("query"), "label")
+    asked = able.filter("other").select("hash", "node", "n", "low", "high", "label", F.col("band").alias("own_band"), F.explode(F.sequence(band_of(F.col("low")), band_of(F.col("high")))).alias("band"))
+    asked = hot_join(asked, cells, ["hash", "band"], "c", ["node"]).filter("least_n <= high and most_n >= low and n between least_low and most_high")
+    others = F.when(F.col("band") <= F.col("own_band"), F.col("others")).otherwise(0)
+    blocks = lambda other, k: F.transform(F.sequence(F.lit(0).cast("long"), k - 1), lambda x: part(F.col("band"), F.lit(other), x))
+    parts = F.concat(F.when(F.col("mains") > 0, blocks(False, F.col("mains"))).otherwise(F.array().cast("array<long>")), F.when(others > 0, blocks(True, F.greatest(others, F.lit(1)))).otherwise(F.array().cast("array<long>")))
+    asked = asked.select(F.col("hash").alias("g"), F.explode(parts).alias("part"), "node", F.lit(True).alias("query"), "label")
+    return members.join(asked.select("g", "part").distinct(), ["g", "part"], "left_semi").unionByName(asked)
+
+
+def components(links: DataFrame) -> DataFrame:
     """(node, label): for every end of a link the smallest node of its component.
 
-    Large-star and small-star rounds until the edges no longer change; each round is a written table.
+    Large-star and small-star rounds until the edges no longer change; each round is a written table. A hub's edges
+    are dealt to several tasks.
     """
     edges = stored(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct(), "edges")
-    total = None
-    for _ in range(most_rounds):
+    state = lambda: tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+    before, now = None, state()
+    while now != before:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
+        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count("*").alias("c"))
+        large = hot_join(both.filter("v > u"), least, ["u"], "c", ["v"], 2 * now[0]).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        least = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("c"))
+        small = hot_join(large, least, ["u"], "c", ["v"], now[0]).filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
         edges = stored(small.filter("u <> v").distinct(), "edges")
-        now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if now == total:
-            break
-        total = now
-    return edges.select(F.col("u").alias("node"), F.col("v").alias("label"))
+        before, now = now, state()
+    roots = edges.select(F.col("v").alias("node"), F.col("v").alias("label")).distinct()
+    return edges.select(F.col("u").alias("node"), F.col("v").alias("label")).unionByName(roots)
 
 
 def near_groups(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id: the smallest doc_id that links lead to."""
-    signed, postings = prefix_postings(docs, size, percent)
-    classes = stored(signed.filter("n > 0").groupBy("d1", "d2").agg(F.min("doc_id").alias("rep")), "classes")
-    found = candidate_lists(postings, percent)
-    named = classes.filter("rep is not null").select("d1", "rep")
-
-    def by_name(pairs: DataFrame) -> DataFrame:
-        """Pairs of digests as pairs of representatives, the smaller first."""
-        ends = pairs.join(named.select(F.col("d1").alias("a"), F.col("rep").alias("x")), "a").join(named.select(F.col("d1").alias("b"), F.col("rep").alias("y")), "b")
-        return ends.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-
-    links = search(pair_groups(by_name(found.filter("hash is null").select("a", "b").distinct())), docs, size, percent)
+    table = chunks(docs)
+    buckets = bucket_count(table)
+    postings = prefix_postings(table, size, percent, buckets)
+    signed = postings.filter("node is not null").select("node", "doc_id", "n", "d1", "d2")
+    classes = stored(signed.filter("n > 0").groupBy("d1", "d2").agg(F.min("node").alias("node"), F.min("doc_id").alias("rep"), F.count("*").alias("c")), "classes")
+    named = classes.select("d1", "node")
+
+    found = short_lists(postings.filter("bucket is not null").select("bucket", "hashes", "classes", "sizes", "places"), buckets, percent)
+    ends = lambda c, to: named.select(F.col("d1").alias(c), F.col("node").alias(to))
+    short = found.filter("hash is null").select("a", "b").distinct().join(ends("a", "x"), "a").join(ends("b", "y"), "b").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+    often = postings.filter("hash is not null").select("hash", "d1", "n", "place").unionByName(found.filter("hash is not null").select("hash", "d1", "n", "place"))
+    lists = stored(often.join(named, "d1").select("hash", "node", "n", "place").distinct(), "long-lists")
+    links = search(pair_groups(stored(short.unionByName(long_lists(lists, percent)).distinct(), "pairs")), table, size, percent)
     labels = components(links)
-    lists = found.filter("hash is not null").select("hash", F.explode("members").alias("m")).select("hash", "m.*")
-    labelled = named.join(labels, F.col("rep") == F.col("node"), "left").select("d1", "rep", F.coalesce("label", "rep").alias("label"))
-    across = search(list_groups(lists.join(labelled, "d1"), percent), docs, size, percent)
+    labelled = lists.join(labels, "node", "left").select("hash", "node", "n", "place", F.coalesce("label", "node").alias("label"))
+    across = search(list_groups(stored(labelled, "labelled-lists"), percent), table, size, percent)
     if not across.isEmpty():
         labels = components(links.unionByName(across))
-    reps = classes.join(labels, F.col("rep") == F.col("node"), "left").select("d1", "d2", F.coalesce("label", "rep").alias("component"))
-    out = signed.join(reps, ["d1", "d2"], "left")
+    members = classes.join(labels, "node", "left")
+    names = members.filter("label is not null").groupBy("label").agg(F.min("rep").alias("name"), F.count("*").alias("k"))
+    reps = hot_join(members, names, ["label"], "k", ["node"], classes.count()).select("d1", "d2", F.when(F.col("label").isNull(), F.col("rep")).otherwise(F.col("name")).alias("component"), "c")
+    out = hot_join(signed, reps, ["d1", "d2"], "c", ["node"], signed.count())
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("doc_id")).alias("component_id"))
 
 

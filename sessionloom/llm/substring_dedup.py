@@ -38,6 +38,10 @@ WINDOW, PERIOD = 20, 13
 #: Residues whose differences give every residue modulo 13 (a perfect difference set).
 COVER = (0, 1, 3, 9)
 CHUNK_WORDS = 500_000
+#: Chunks of a partition, and documents of a chunk, are fewer than two to this power.
+PLACE_BITS = 20
+#: Hash buckets are at least the number of chunks by this, so what one bucket holds doesn't grow with the table.
+CHUNKS_A_BUCKET = 32
 NULL_ID = -(1 << 63)
 _CHUNKS = "chunk long,payload binary"
 _RESULT = "doc_id long,n_words long,n_removed long,kept_sha256 string,kept string"
@@ -76,7 +80,7 @@ def chunks(docs: DataFrame, words: int = CHUNK_WORDS) -> DataFrame:
         from pyspark import TaskContext
 
         held: list[tuple[int, str]] = []
-        size, number = 0, TaskContext.get().partitionId() << 32
+        size, number = 0, TaskContext.get().partitionId() << PLACE_BITS
 
         def chunk() -> pa.RecordBatch:
             held.sort()
@@ -86,7 +90,7 @@ def chunks(docs: DataFrame, words: int = CHUNK_WORDS) -> DataFrame:
         for part in slices(batches):
             for doc_id, text in zip(part["doc_id"], part["text"], strict=True):
                 held.append((NULL_ID if doc_id is None else doc_id, text or ""))
-                size += len(text or "") // 6
+                size += 1 + len(text or "") // 6
                 if size >= words:
                     yield chunk()
                     held, size, number = [], 0, number + 1
@@ -105,6 +109,10 @@ def anchors(flat: Flat, window: int, period: int, cover: tuple[int, ...]) -> tup
     return places, found[places] if len(places) else found[:0]
 
 
+def bucket_count(table: DataFrame) -> int:
+    return max(partitions(table.sparkSession), -(-table.count() // CHUNKS_A_BUCKET))
+
+
 def by_bucket(h: np.ndarray, buckets: int) -> Iterator[tuple[int, slice]]:
     """Runs of equal bucket in ascending hashes."""
     b = bucket_of(h, buckets)
@@ -116,16 +124,14 @@ def by_bucket(h: np.ndarray, buckets: int) -> Iterator[tuple[int, slice]]:
 
 def repeated_windows(table: DataFrame, window: int = WINDOW, period: int = PERIOD, cover: tuple[int, ...] = COVER) -> DataFrame:
     """(chunk, places): the places in each chunk's word array at which a window starts that also starts earlier."""
-    spark = table.sparkSession
-    buckets = partitions(spark)
+    buckets = bucket_count(table)
     sent = arrow_schema("bucket int,chunk long,hashes binary")
 
     def send_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
         for part in slices(batches, 1):
             _, flat = Chunk.unpack(part["payload"][0]).flat(hashes)
-            found, counts = np.unique(anchors(flat, window, period, cover)[1], return_counts=True)
-            del counts
+            found = np.unique(anchors(flat, window, period, cover)[1])
             runs = list(by_bucket(found, buckets))
             yield pa.RecordBatch.from_pydict({"bucket": [b for b, _ in runs], "chunk": part["chunk"] * len(runs), "hashes": [found[r].astype("<u8").tobytes() for _, r in runs]}, schema=sent)
 
@@ -139,7 +145,7 @@ def repeated_windows(table: DataFrame, window: int = WINDOW, period: int = PERIO
         return pa.table({"chunk": rows.column("chunk"), "bucket": rows.column("bucket"), "bits": bits}).cast(answered)
 
     anchored = table.mapInArrow(send_anchors, "bucket int,chunk long,hashes binary")
-    bits = anchored.groupBy("bucket").applyInArrow(meet_anchors, "chunk long,bucket int,bits binary")
+    bits = anchored.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(meet_anchors, "chunk long,bucket int,bits binary")
     bits = bits.groupBy("chunk").agg(F.sort_array(F.collect_list(F.struct("bucket", "bits"))).alias("answers"))
 
     full = arrow_schema("bucket int,chunk long,places binary,ids binary,starts binary,high binary,low binary")
@@ -190,7 +196,7 @@ def repeated_windows(table: DataFrame, window: int = WINDOW, period: int = PERIO
 
     sent_windows = table.join(bits, "chunk", "left").mapInArrow(send_windows, "bucket int,chunk long,places binary,ids binary,starts binary,high binary,low binary")
     local = sent_windows.withColumn("key", F.when(F.col("bucket") < 0, -1 - F.pmod("chunk", F.lit(buckets)).cast("int")).otherwise(F.col("bucket")))
-    return local.groupBy("key").applyInArrow(lambda t: meet_windows(t.drop_columns(["key"])), "chunk long,places binary")
+    return local.repartition(2 * buckets, "key").groupBy("key").applyInArrow(lambda t: meet_windows(t.drop_columns(["key"])), "chunk long,places binary")
 
 
 def _member(values: np.ndarray, ascending: np.ndarray) -> np.ndarray:

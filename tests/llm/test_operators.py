@@ -214,7 +214,7 @@ def brute_groups(rows):
     for x in range(len(sets)):
         for y in range(x):
             a, b = sets[x][1], sets[y][1]
-            if a and b and 100 * len(a & b) >= 75 * len(a | b):
+            if a and b and 4 * min(len(a), len(b)) >= 3 * max(len(a), len(b)) and find(x) != find(y) and 100 * len(a & b) >= 75 * len(a | b):
                 parent[find(x)] = find(y)
     smallest = defaultdict(list)
     for x in range(len(sets)):
@@ -260,7 +260,43 @@ def test_divide_skip(sets):
 def test_components(spark):
     pairs = [(i, i + 1) for i in range(0, 40)] + [(100, 105), (105, 103), (200, 200)]
     got = {r["node"]: r["label"] for r in ngram_join.components(spark.createDataFrame(pairs, "a long, b long")).collect()}
-    assert got == {i: 0 for i in range(1, 41)} | {103: 100, 105: 100}
+    assert got == {i: 0 for i in range(41)} | {100: 100, 103: 100, 105: 100}
+
+
+def test_ngram_join_links_through_documents_without_id(spark):
+    """1 and 2 link only through a document without an id; three near copies without ids are a component without a name."""
+    base = [f"w{k}" for k in range(40)]
+    tail, head = [f"x{k}" for k in range(5)], [f"y{k}" for k in range(5)]
+    bridge = " ".join([*base[:35], *tail])
+    rows = [(1, " ".join(base)), (None, bridge), (2, " ".join([*head, *base[5:35], *tail])), (None, bridge), (5, "five words that stand alone here")]
+    rows += [(None, " ".join(f"v{k}" for k in range(30 + n))) for n in range(3)] + [(7, None), (7, ""), (8, " ".join([*base[:39], "z"]))]
+    got = [tuple(r) for r in ngram_join.near_groups(docs(spark, rows).repartition(3)).collect()]
+    assert sorted(got, key=str) == brute_groups(rows)
+    assert {i: c for i, _, c in got if i in (1, 2, 8)} == {1: 1, 2: 1, 8: 1}
+
+
+def test_ngram_join_long_lists_of_several_components(spark, monkeypatch):
+    """Some thousand documents share the rarest shingles that they link by; most are one chain or star, others stand apart or bridge."""
+    r = random.Random(11)
+    shared, rows = [f"s{k}" for k in range(60)], []
+    for k in range(2400):
+        w = list(shared)
+        if k % 3 == 0:
+            w += [f"g{k % 7}t{j}" for j in range(40)]  # seven groups that share 60 of 100 words
+        elif k % 3 == 1:
+            w[50:] = [f"u{k}v{j}" for j in range(r.randint(5, 30))]
+        w.append(f"e{k}")
+        rows.append((k, " ".join(w)))
+    monkeypatch.setattr(ngram_join.list_groups, "__defaults__", (ngram_join.PERCENT, 40))
+    got = [tuple(r) for r in ngram_join.near_groups(docs(spark, rows)).collect()]
+    assert sorted(got, key=str) == brute_groups(rows)
+
+
+def test_lists_over_the_exact_frequencies_stay_rows(spark, monkeypatch):
+    monkeypatch.setattr(ngram_join, "EXACT", 4)
+    rows = list(enumerate(near_copies(1, 60) + near_copies(2, 9, 12) + near_copies(3, 30, 25)))
+    got = [tuple(r) for r in ngram_join.near_groups(docs(spark, rows)).collect()]
+    assert sorted(got, key=str) == brute_groups(rows)
 
 
 SECRETS = ['token = "33e61083db5dbdf4bd2369d2f80176e57f7fda21"', "PASSWORD:abc", "api_key=abcdef and apikey = 'zzzzzz'", "AKIA" + "B" * 16 + " AKIAB", "f" * 23 + " " + "0a" * 12, "ghp_" + "a1" * 20, "tokenſecret=abcdefgh", "secret  :  \n abcdefg", "secret=ab.cd secret=secret=abcdef", "AIza" + "x" * 35, "xoxb-12345-abcdef", "sk_live_" + "a1" * 12, "-----BEGIN RSA PRIVATE KEY-----", "eyJ" + "a" * 12 + "." + "b" * 12 + ".c"]
