@@ -61,6 +61,13 @@ def with_column(df: DataFrame, name: str, kind: str) -> T.StructType:
     return T.StructType([*df.schema.fields, T.StructField(name, T._parse_datatype_string(kind))])
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that ``df`` doesn't have."""
+    while name.lower() in {c.lower() for c in df.columns}:
+        name += "_"
+    return name
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

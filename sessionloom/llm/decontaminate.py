@@ -6,8 +6,9 @@ hash-joined with those of the benchmark, so a question whose numbers and names w
 Along each alignment of a document with an item the slots must then be consistent: one value of the item stands for
 one value of the document. A document is contaminated by an item when consistent windows cover enough of it.
 
-Benchmark windows are used in blocks of at most ``BLOCK`` hashes, so what is broadcast is bounded; each block is
-searched in all documents.
+Documents are read once: their windows first meet a bit array of the benchmark's hashes, of ``MOST_BITS`` at most, built in
+tasks and broadcast; those that pass it are joined with the items' windows by hash, frequent hashes being dealt to
+several tasks. A larger benchmark lets more windows pass to the join, which drops them.
 
 A window that is mostly slots would meet too much by its template. It counts with its tokens as they stand, so that a
 verbatim copy is found, and the smallest window of twice, four times ... the size that starts there and has enough
@@ -31,10 +32,12 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sessionloom.llm.common import slices, stored
+from sessionloom.llm.common import arrow_schema, hot_join, slices, stored
 from sessionloom.llm.words import mix, windows
 
-WINDOW, LEAST_WORDS, BLOCK = 8, 4, 1 << 20
+WINDOW, LEAST_WORDS = 8, 4
+#: Powers of two: bits of the array at least and at most, and of the parts in which tasks make it.
+LEAST_BITS, MOST_BITS, PART_BITS = 22, 30, 20
 LEAST_COVERAGE, LEAST_CONSISTENCY = 0.6, 0.75
 # Words that are units where they follow a number.
 UNITS = frozenset("% mm cm m km in ft yd mi mg g kg t lb oz ml l s sec seconds min minutes h hours days weeks months years euro euros dollar dollars cents percent degrees".split())
@@ -213,31 +216,70 @@ class Shapes:
 
 
 _WINDOWS = "hash long,place int,n int,size int,kind int,plain int,slots array<string>"
-MARKS = 1 << 22
 
 
-def template_windows(texts: DataFrame, key: str, size: int = WINDOW, only: np.ndarray | None = None, shapes: Shapes | None = None) -> DataFrame:
+class HashBits:
+    """A bit array in which each hash of a set has two bits."""
+
+    def __init__(self, bits: np.ndarray, power: int):
+        self.bits, self.power = bits, power
+
+    @staticmethod
+    def places(hashes: np.ndarray, power: int, second: bool) -> np.ndarray:
+        return ((mix(hashes ^ np.uint64(0x51ED27)) if second else hashes) & np.uint64((1 << power) - 1)).astype(np.int64)
+
+    def _is_set(self, places: np.ndarray) -> np.ndarray:
+        return np.flatnonzero(self.bits[places >> 3] >> (places & 7).astype(np.uint8) & 1)
+
+    def may_hold(self, hashes: np.ndarray) -> np.ndarray:
+        """Indexes of the hashes that may be of the set."""
+        near = self._is_set(self.places(hashes, self.power, False))
+        return near[self._is_set(self.places(hashes[near], self.power, True))]
+
+
+def hash_bits(hashes: DataFrame) -> HashBits:
+    """The array of ``hashes`` (hash), 64 bits for each where the limits allow; tasks make its parts."""
+    power = min(MOST_BITS, max(LEAST_BITS, (64 * hashes.count()).bit_length()))
+    ddl = "part long,bits binary"
+    split = arrow_schema("part long,place long")
+    schema = arrow_schema(ddl)
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            h = batch.column(0).to_numpy().view(np.uint64)
+            at = np.concatenate([HashBits.places(h, power, second) for second in (False, True)])
+            yield pa.RecordBatch.from_arrays([pa.array(at >> PART_BITS), pa.array(at & (1 << PART_BITS) - 1)], schema=split)
+
+    def mark(rows: pa.Table) -> pa.Table:
+        bits = np.zeros(1 << PART_BITS, bool)
+        bits[rows.column("place").to_numpy()] = True
+        return pa.table({"part": rows.column("part").slice(0, 1), "bits": pa.array([np.packbits(bits, bitorder="little").tobytes()], pa.binary())}, schema=schema)
+
+    marks = hashes.select("hash").mapInArrow(place, "part long,place long").distinct()
+    whole = np.zeros(1 << power - 3, np.uint8)
+    for r in marks.groupBy("part").applyInArrow(mark, ddl).toLocalIterator():  # 2 ** MOST_BITS bits at most
+        at = r["part"] << PART_BITS - 3
+        whole[at : at + (1 << PART_BITS - 3)] = np.frombuffer(r["bits"], np.uint8)
+    return HashBits(whole, power)
+
+
+def template_windows(texts: DataFrame, key: str, size: int = WINDOW, only: HashBits | None = None, shapes: Shapes | None = None) -> DataFrame:
     """(key, hash, place, n, size, kind, plain, slots) for windows of the texts.
 
-    With ``only``, ascending hashes, the texts are documents: windows of ``shapes`` with those few hashes. Otherwise
+    With ``only`` the texts are documents: windows of ``shapes`` whose hashes may be of that set. Otherwise
     they are benchmark items.
     """
     schema = pa.schema([(key, pa.int64()), ("hash", pa.int64()), *[(c, pa.int32()) for c in ("place", "n", "size", "kind", "plain")], ("slots", pa.list_(pa.string()))])
-    shared = texts.sparkSession.sparkContext.broadcast(only)  # BLOCK hashes at most
+    shared = texts.sparkSession.sparkContext.broadcast(only)  # 2 ** MOST_BITS bits at most
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens, wanted = Tokens(), shared.value
-        low = lambda h: (h & np.uint64(MARKS - 1)).astype(np.int64)
-        if wanted is not None:
-            marked = np.zeros(MARKS, bool)
-            marked[low(wanted)] = True
         for part in slices(batches):
             t = Templates(part["text"], tokens)
             out: dict[str, list] = {n: [] for n in schema.names}
             for starts, found, n, kind, named in item_windows(t, size) if wanted is None else shapes.windows(t):
                 if wanted is not None:
-                    near = np.flatnonzero(marked[low(found)])
-                    near = near[wanted[np.minimum(np.searchsorted(wanted, found[near]), len(wanted) - 1)] == found[near]]
+                    near = wanted.may_hold(found)
                     starts, found = starts[near], found[near]
                 docs = t.doc[starts]
                 out[key] += [part[key][k] for k in docs.tolist()]
@@ -254,24 +296,16 @@ def template_windows(texts: DataFrame, key: str, size: int = WINDOW, only: np.nd
     return rows.mapInArrow(find, f"{key} long,{_WINDOWS}")
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, block: int = BLOCK) -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW) -> DataFrame:
     """(doc_id, item_id, n_windows, coverage, consistency) for every document and item that it holds."""
-    items = template_windows(benchmark.filter("item_id is not null"), "item_id", size)
+    items = stored(template_windows(benchmark.filter("item_id is not null"), "item_id", size), "benchmark-windows")
     shapes = Shapes([tuple(r) for r in items.select("size", "kind", F.when(F.col("kind") == WHOLE, F.col("plain")).otherwise(0)).distinct().collect()], size)  # by item lengths, not by items
-    items = items.select("item_id", "hash", F.col("place").alias("item_place"), F.col("n").alias("item_n"), F.col("size").alias("length"), F.col("slots").alias("item_slots"))
-    distinct = items.select("hash").distinct()
-    blocks = max(1, -(-2 * distinct.count() // block))
-    hits = None
-    for k in range(blocks):
-        rows = distinct.filter(F.pmod(F.xxhash64("hash"), F.lit(blocks)) == k).select("hash").toPandas()  # about block / 2 hashes
-        wanted = np.sort(rows["hash"].to_numpy(np.int64).view(np.uint64))
-        if len(wanted):
-            some = template_windows(docs, "doc_id", size, wanted, shapes).select("doc_id", "hash", "place", "slots")
-            hits = some if hits is None else hits.unionByName(some)
-    if hits is None:
-        return docs.sparkSession.createDataFrame([], "doc_id long,item_id long,n_windows long,coverage double,consistency double")
-    hits = stored(hits, "template-hits")  # they are used twice, and documents are read once
-    met = hits.join(items, "hash").filter(F.size("slots") == F.size("item_slots")).withColumn("shift", F.col("place") - F.col("item_place"))
+    window = F.struct("item_id", F.col("place").alias("item_place"), F.col("n").alias("item_n"), F.col("size").alias("length"), F.col("slots").alias("item_slots"))
+    by_hash = items.groupBy("hash").agg(F.collect_list(window).alias("windows"))
+    hits = stored(template_windows(docs, "doc_id", size, hash_bits(items.select("hash").distinct()), shapes).select("doc_id", "hash", "place", "slots"), "template-hits")
+    counted = stored(hits.groupBy("hash").agg(F.count("*").alias("c")).join(by_hash, "hash"), "template-items")
+    met = hot_join(hits, counted, ["hash"], "c", ["doc_id", "place"]).select("doc_id", "place", "slots", F.explode("windows").alias("w")).select("doc_id", "place", "slots", "w.*")
+    met = met.filter(F.size("slots") == F.size("item_slots")).withColumn("shift", F.col("place") - F.col("item_place"))
     pairs = met.select("doc_id", "item_id", "shift", F.explode(F.arrays_zip("item_slots", "slots")).alias("s")).groupBy("doc_id", "item_id", "shift", "s.item_slots", "s.slots").agg(F.count("*").alias("n"))
     by_value = pairs.groupBy("doc_id", "item_id", "shift", "item_slots").agg(F.max("n").alias("best"), F.sum("n").alias("n"))
     agreed = by_value.groupBy("doc_id", "item_id", "shift").agg((F.sum("best") / F.sum("n")).alias("consistency"))

@@ -1,23 +1,29 @@
 """Language identification by cross-parsing entropy.
 
 For each language a suffix automaton of labelled text recognises every substring of that text. A document is cut
-greedily into the longest phrases that the automaton knows; the language that needs the fewest phrases for the
-same symbols wins. The automata are dense transition arrays in which a missing transition already restarts at the
-root, so thousands of pieces of text advance together, one symbol a step, in numpy.
+greedily into the longest phrases that the automaton knows. The number of phrases times the logarithm of the learnt
+text's length estimates the cross entropy, so languages with unequal samples compare; the lowest one wins.
 
-The fit takes at most ``SAMPLE_CHARS`` symbols of at most ``MAX_LANGS`` languages from whole documents, those with
-the smallest hash of doc_id, which bounds the arrays. Every whole document is then parsed, in pieces of ``PIECE`` symbols.
+Every letter and mark that any language has is a symbol, whatever its script; one that a language doesn't have costs
+that language a phrase. The transitions of all automata stand in one array in which the rows of states overlap
+(each cell names the state it belongs to), so their size follows the learnt text and not the alphabet, and
+thousands of pieces of text advance together, one symbol a step, in numpy.
+
+The fit takes whole documents, those with the smallest hash of doc_id, of all languages: at most ``SAMPLE_CHARS``
+characters of each, and at most ``ALL_CHARS`` divided by the number of languages. Every whole document is then parsed,
+in pieces of ``PIECE`` symbols, each of which may cost every language one more phrase.
 
 Nulls: a null text or one without a letter is ``und`` with score 0; a null ``lang`` is not learnt. Repeated rows
-are predicted each. Equal phrase counts go to the language that sorts first. Without labelled text all are ``und``.
+are predicted each. Equal estimates go to the language that sorts first. Without labelled text all are ``und``.
 An empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import re
+import sys
+import unicodedata
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -26,7 +32,7 @@ from pyspark.sql import functions as F
 
 from sessionloom.llm.common import arrow_schema, slices
 
-SAMPLE_CHARS, MAX_LANGS, SYMBOLS, PIECE = 60_000, 32, 64, 512
+SAMPLE_CHARS, ALL_CHARS, PIECE = 60_000, 2_000_000, 1024
 LETTER = re.compile(r"[^\W\d_]")
 
 
@@ -60,90 +66,116 @@ def suffix_automaton(symbols: list[int]) -> list[dict[int, int]]:
     return moves
 
 
+class Cells:
+    """Rows of transitions laid over each other: ``base[state] + symbol`` is the cell of a transition."""
+
+    def __init__(self, first: int):
+        self.first, self.used, self.found = first, bytearray(first + 1), []
+        self.used[:first] = b"\1" * first
+
+    def place(self, symbols: list[int], tries: int = 8) -> int:
+        """A base at which all ``symbols`` find free cells, which are then taken."""
+        at = self.first
+        while True:
+            slot = self.used.find(0, at) if tries else max(at, len(self.used))
+            slot = len(self.used) if slot < 0 else slot
+            base = slot - symbols[0]
+            self.used.extend(bytes(max(0, base + symbols[-1] + 1 - len(self.used))))
+            if at == self.first:
+                self.first = slot
+            if not any(self.used[base + s] for s in symbols):
+                for s in symbols:
+                    self.used[base + s] = 1
+                return base
+            at, tries = slot + 1, max(0, tries - 1)
+
+
+def is_letter(c: str) -> bool:
+    return unicodedata.category(c)[0] in "LM"
+
+
 class Parser:
-    """Automata of several languages in one array.
+    """Automata of several languages in one array of cells.
 
-    Symbol 0 stands for all that is no learnt letter or blank where no language knows it; it ends a phrase for
-    every language alike and is not counted. An entry is twice the next row's place, plus 1 where a phrase ends.
+    Symbol 0 stands for all that is neither blank nor a letter which some language has; it ends a phrase for every
+    language alike and is not counted. A cell has the state it belongs to in its upper half, the next one in its lower half.
     """
 
     def __init__(self, langs: tuple[str, ...], samples: tuple[str, ...]):
         self.langs = langs
-        counts: dict[str, int] = {}
-        for s in samples:
-            for c in s:
-                if LETTER.match(c):
-                    counts[c] = counts.get(c, 0) + 1
-        letters = sorted(counts, key=lambda c: (-counts[c], c))[: SYMBOLS - 2]
-        self.codes = np.zeros(1 << 16, np.uint8)
-        for c in map(chr, range(1 << 16)):
-            if c.isspace():
-                self.codes[ord(c)] = 1
-        number = {c: k + 2 for k, c in enumerate(letters) if ord(c) < 1 << 16}
-        for c in map(chr, range(1 << 16)):
-            if (low := c.lower()) in number:
-                self.codes[ord(c)] = number[low]
+        letters = sorted({c for s in samples for c in s.lower() if is_letter(c)})
+        self.codes = np.zeros(sys.maxunicode + 1, np.int32)
+        self.codes[[k for k in range(1 << 16) if chr(k).isspace()]] = 1
+        for k, c in enumerate(letters, 2):
+            for same in {c, c.upper(), c.title()}:
+                if len(same) == 1:
+                    self.codes[ord(same)] = k
         self.width = len(letters) + 2
-        tables, self.roots, at = [], [], 0
-        for s in samples:
-            moves = suffix_automaton(self.symbols(s).tolist())
-            root = np.full(self.width, at * self.width, np.int64)
-            root[list(moves[0])] = [(at + t) * self.width for t in moves[0].values()]
-            table = np.tile(2 * root + 1, (len(moves), 1))
-            for state, found in enumerate(moves):
-                table[state, list(found)] = [2 * (at + t) * self.width for t in found.values()]
-            table[:, 0] = 2 * at * self.width
-            tables.append(table.astype(np.int32))
-            self.roots.append(at * self.width)
-            at += len(moves)
-        self.table = np.concatenate(tables).ravel() if tables else np.empty(0, np.int32)
+        coded = [self.symbols(s) for s in samples]
+        self.weights = np.log2(np.array([np.count_nonzero(x) for x in coded], float) + 2)
+        automata = [suffix_automaton(x.tolist()) for x in coded]
+        self.roots = np.cumsum([0, *map(len, automata)])[:-1].astype(np.int32) if automata else np.empty(0, np.int32)
+        moves = [(int(root) + k, {c: int(root) + t for c, t in found.items() if c}) for root, a in zip(self.roots, automata, strict=True) for k, found in enumerate(a)]
+        cells, self.base = Cells(self.width), np.zeros(len(moves), np.int32)
+        for state, found in sorted(moves, key=lambda m: -len(m[1])):
+            if found:
+                self.base[state] = cells.place(sorted(found))
+        self.cells = np.full(int(self.base.max(initial=0)) + self.width, -1, np.int64)
+        for state, found in moves:
+            for c, target in found.items():
+                self.cells[self.base[state] + c] = state << 32 | target
+        #: For each language and symbol the state after a new phrase that begins with it, the root where it can't.
+        self.begin = np.repeat(self.roots[:, None], self.width, axis=1)
+        for k, (root, a) in enumerate(zip(self.roots, automata, strict=True)):
+            for c, target in a[0].items():
+                if c:
+                    self.begin[k, c] = root + target
+        self.begin = self.begin.ravel()
 
     def symbols(self, text: str) -> np.ndarray:
-        points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
-        return self.codes[np.where(points < 1 << 16, points, 0)]
+        return self.codes[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)]
 
     def phrases(self, texts: list[str]) -> np.ndarray:
         """Phrase counts, texts by languages."""
-        coded = [self.symbols(t) for t in texts]
-        pieces = [(d, x[at : at + PIECE]) for d, x in enumerate(coded) for at in range(0, len(x), PIECE)]
+        pieces = [(d, x[at : at + PIECE]) for d, x in enumerate(map(self.symbols, texts)) for at in range(0, len(x), PIECE)]
         pieces.sort(key=lambda p: -len(p[1]))
         sizes = np.array([len(p[1]) for p in pieces], np.int64)
-        lanes = np.zeros((PIECE, len(pieces)), np.uint8)
+        lanes = np.zeros((int(sizes[0]) if len(sizes) else 0, len(pieces)), np.int32)
         for k, (_, x) in enumerate(pieces):
             lanes[: len(x), k] = x
-        state = np.repeat(np.array(self.roots, np.int32)[:, None], len(pieces), axis=1)
-        ended = np.zeros(state.shape, np.int32)
-        active = np.searchsorted(-sizes, -np.arange(PIECE), side="left")
-        for j in range(int(sizes[0]) if len(sizes) else 0):
-            n = active[j]
-            entry = self.table.take(state[:, :n] + lanes[j, :n])
-            ended[:, :n] += entry & 1
-            np.right_shift(entry, 1, out=state[:, :n])
+        roots, offsets = self.roots[:, None], (np.arange(len(self.langs)) * self.width)[:, None]
+        state = np.repeat(roots, len(pieces), axis=1)
+        count = np.zeros(state.shape, np.int64)
+        active = np.searchsorted(-sizes, -np.arange(len(lanes)), side="left")
+        for j, n in enumerate(active.tolist()):
+            s, now = lanes[j, :n], state[:, :n]
+            cell = self.cells.take(self.base.take(now) + s)
+            goes = cell >> 32 == now
+            count[:, :n] += (~goes | (now == roots)) & (s > 0)
+            state[:, :n] = np.where(goes, cell & 0xFFFFFFFF, self.begin.take(offsets + s))
         counts = np.zeros((len(texts), len(self.langs)), np.int64)
-        np.add.at(counts, [p[0] for p in pieces], ended.T + 1)
+        np.add.at(counts, [p[0] for p in pieces], count.T)
         return counts
 
 
-@lru_cache(maxsize=2)
-def parser(langs: tuple[str, ...], samples: tuple[str, ...]) -> Parser:
-    return Parser(langs, samples)
-
-
-def sample_languages(docs: DataFrame, chars: int = SAMPLE_CHARS, most: int = MAX_LANGS) -> dict[str, str]:
-    """For each of the most frequent languages up to ``chars`` characters of text, documents in hash order.
+def sample_languages(docs: DataFrame, chars: int = SAMPLE_CHARS, most: int = ALL_CHARS) -> dict[str, str]:
+    """For each language up to ``chars`` characters of text (up to ``most`` of all), documents in hash order.
 
-    Row counts by language give the hash range to read, so only some hundred texts of a language are ever sorted.
+    Row counts and mean lengths by language give the hash range to read, so a few times the wanted characters are sorted.
     """
     known = docs.filter("lang is not null and text is not null").select("doc_id", "lang", "text")
-    sizes = known.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(most)
-    wanted = 400
+    sizes = known.groupBy("lang").agg(F.count("*").alias("n"), F.avg(F.length("text")).alias("mean")).cache()
+    chars = min(chars, most // max(1, sizes.count()))
+    wanted = 4 * chars / F.greatest("mean", F.lit(1)) + 32
     share = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / float(1 << 30)
-    some = known.join(F.broadcast(sizes), "lang").filter(share * F.col("n") <= wanted).withColumn("size", F.length("text"))
+    bounds = sizes.select("lang", (wanted / F.col("n")).alias("range"))
+    some = known.join(bounds, "lang").filter(share <= F.col("range")).withColumn("text", F.substring("text", 1, chars)).withColumn("size", F.length("text"))
     order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id", "text")
     before = F.coalesce(F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     rows = some.withColumn("before", before).filter(F.col("before") < chars).withColumn("text", F.expr(f"substring(text, 1, {chars} - before)")).orderBy("lang", "before").collect()
+    sizes.unpersist()
     found: dict[str, str] = {}
-    for r in rows:  # at most ``chars`` characters of each of at most ``most`` languages
+    for r in rows:  # at most ``chars`` characters of each language, ``most`` of all
         found[r["lang"]] = f"{found[r['lang']]}\n{r['text']}" if r["lang"] in found else r["text"]
     return {lang: text.lower() for lang, text in found.items()}
 
@@ -153,17 +185,18 @@ def identify(docs: DataFrame, samples: dict[str, str]) -> DataFrame:
     ddl = "doc_id long,lang_pred string,score double"
     schema = arrow_schema(ddl)
     langs = tuple(sorted(samples))
-    shared = docs.sparkSession.sparkContext.broadcast(tuple(samples[k] for k in langs))
+    shared = docs.sparkSession.sparkContext.broadcast(Parser(langs, tuple(samples[k] for k in langs)))  # ALL_CHARS bounds it
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = parser(langs, shared.value)
+        model = shared.value
         for part in slices(batches):
             texts = [t or "" for t in part["text"]]
             preds, scores = ["und"] * len(texts), [0.0] * len(texts)
             if langs:
-                counts = model.phrases(texts)
-                best = counts.argmin(axis=1)
-                sure = 1 / np.exp(-np.minimum(counts - counts.min(axis=1, keepdims=True), 60)).sum(axis=1)
+                bits = model.phrases(texts) * model.weights
+                best = bits.argmin(axis=1)
+                phrases = (bits - bits.min(axis=1, keepdims=True)) / model.weights.max()
+                sure = 1 / np.exp(-np.minimum(phrases, 60)).sum(axis=1)
                 for k, t in enumerate(texts):
                     if LETTER.search(t):
                         preds[k], scores[k] = langs[best[k]], float(sure[k])

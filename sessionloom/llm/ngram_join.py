@@ -39,12 +39,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sessionloom.llm.common import arrow_schema, hot_join, partitions, slices, stored
-from sessionloom.llm.substring_dedup import NULL_ID, PLACE_BITS, Chunk, bucket_count, by_bucket, chunks
+from sessionloom.llm.substring_dedup import BUCKETS_A_TASK, NULL_ID, PLACE_BITS, Chunk, bucket_count, by_bucket, chunks
 from sessionloom.llm.words import Flat, WordHashes, mix, split_words, windows
 
 SHINGLE, PERCENT = 5, 75
 SHORT_LIST = 64
-BLOCK = 256
+BLOCK = 64
 #: Frequencies up to this are exact in a byte; the lists of more frequent shingles are rows of a table.
 EXACT = 200
 
@@ -133,7 +133,7 @@ def frequencies(table: DataFrame, size: int, buckets: int) -> DataFrame:
         ends = np.cumsum([len(k) for k in keys]).tolist()
         return pa.table({"chunk": rows.column("chunk"), "bucket": rows.column("bucket"), "classes": pa.array([classes[e - len(k) : e].tobytes() for e, k in zip(ends, keys, strict=True)], pa.binary())}).cast(answered)
 
-    answers = table.mapInArrow(send, ddl).repartition(buckets, "bucket").groupBy("bucket").applyInArrow(meet, "chunk long,bucket int,classes binary")
+    answers = table.mapInArrow(send, ddl).repartition(buckets // BUCKETS_A_TASK, "bucket").groupBy("bucket").applyInArrow(meet, "chunk long,bucket int,classes binary")
     return answers.groupBy("chunk").agg(F.sort_array(F.collect_list(F.struct("bucket", "classes"))).alias("answers"))
 
 
@@ -206,7 +206,7 @@ def short_lists(postings: DataFrame, buckets: int, percent: int = PERCENT, short
         columns = [pa.chunked_array([pairs[:, k], pad]) for k in (0, 1)] + [pa.chunked_array([none, pa.array(c[long])]) for c in (h.view(np.int64), cls, n, place)]
         return pa.table(columns, schema=out)
 
-    return stored(postings.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(meet, ddl), "lists")
+    return stored(postings.repartition(buckets // BUCKETS_A_TASK, "bucket").groupBy("bucket").applyInArrow(meet, ddl), "lists")
 
 
 def long_lists(lists: DataFrame, percent: int = PERCENT) -> DataFrame:

@@ -1,10 +1,12 @@
 """Best-fit packing by hierarchical residual rounds.
 
 ``pieces`` cuts documents into runs of at most ``size`` tokens. ``pack`` places the pieces: each partition packs
-its own by best fit, longest first, and closes the bins that are nearly full. Of all underfull bins only the number
-for every fill, ``size`` numbers at most, goes to the driver, which packs them as single items by best fit over these
-counts (``fit_counts``): equal bins are made all at once. Each underfull bin then finds its place by its fill and its
-rank among the bins of that fill, over many partitions, so no task reads more where more bins stay open. A full piece
+its own by best fit, longest first, and emits the bins that are nearly full, and those that the smallest
+underfull bin of all no longer fits into. The other underfull bins are the items of the next round, over as many
+partitions as their fewer number asks for, and so on until a round leaves hardly fewer of them. What then
+stays open is packed by the number of bins for every fill, ``size`` numbers at most, which the driver packs by best
+fit (``fit_counts``): equal bins are made all at once, and each finds its place by its fill and its rank among
+the bins of that fill, over many partitions. So no task reads more where more bins stay open. A full piece
 is a bin of its own from the start. Every round is a written table, so a lost executor repeats one task and not the
 rounds before it.
 
@@ -16,6 +18,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -26,9 +29,11 @@ from sessionloom.llm.common import arrow_schema, partitions, slices, stored, tex
 
 SIZE = 2048
 END_ID = 0
+#: Items that a task packs, and where the places of the last round's sequences start.
+PER_TASK, LAST_ROUND = 20_000, 120
 _PIECES = "doc_id long,piece int,start long,length long,ids_crc32 long"
 _PART = "array<struct<doc_id:long,piece:int,start:long,length:long,ids_crc32:long>>"
-_BINS = f"partition int,number int,fill long,closed boolean,rank long,parts {_PART}"
+_BINS = f"partition int,number int,fill long,rank long,parts {_PART}"
 _PLACED = f"sequence_id long,first long,parts {_PART}"
 
 
@@ -115,14 +120,14 @@ def fit_counts(counts: dict[int, int], size: int) -> np.ndarray:
     return np.array(sorted(rows), np.int64).reshape(-1, 5)
 
 
-def pack(pieces: DataFrame, size: int = SIZE, slack: int = 8, fan_in: int = 8) -> DataFrame:
+def pack(pieces: DataFrame, size: int = SIZE, slack: int = 8, per_task: int = PER_TASK) -> DataFrame:
     """``pieces`` with sequence_id and offset; a bin is nearly full when at most ``slack`` tokens are free.
 
-    ``fan_in`` is without effect: all underfull bins are packed with each other in one round.
+    A task packs about ``per_task`` items. Rounds go on while each leaves a tenth fewer underfull bins than the one before.
     """
     spark = pieces.sparkSession
     struct_type = pa.list_(pa.struct(list(arrow_schema(_PIECES))))
-    schema = pa.schema([("partition", pa.int32()), ("number", pa.int32()), ("fill", pa.int64()), ("closed", pa.bool_()), ("rank", pa.int64()), ("parts", struct_type)])
+    schema = pa.schema([("partition", pa.int32()), ("number", pa.int32()), ("fill", pa.int64()), ("rank", pa.int64()), ("parts", struct_type)])
     placed_schema = pa.schema([("sequence_id", pa.int64()), ("first", pa.int64()), ("parts", struct_type)])
 
     def pack_own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -139,7 +144,7 @@ def pack(pieces: DataFrame, size: int = SIZE, slack: int = 8, fan_in: int = 8) -
             for f in fills:
                 ranks.append(seen[f])
                 seen[f] += 1
-            yield pa.RecordBatch.from_pydict({"partition": [TaskContext.get().partitionId()] * len(some), "number": list(range(at, at + len(some))), "fill": fills, "closed": [f >= size - slack for f in fills], "rank": ranks, "parts": [[p for i in b for p in items[i][1]] for b in some]}, schema=schema)
+            yield pa.RecordBatch.from_pydict({"partition": [TaskContext.get().partitionId()] * len(some), "number": list(range(at, at + len(some))), "fill": fills, "rank": ranks, "parts": [[p for i in b for p in items[i][1]] for b in some]}, schema=schema)
 
     def sequence(number: int):
         return F.lit(number).cast("long") * F.lit(1 << 56) + F.col("partition").cast("long") * F.lit(1 << 32) + F.col("number")
@@ -148,10 +153,20 @@ def pack(pieces: DataFrame, size: int = SIZE, slack: int = 8, fan_in: int = 8) -
     whole = pieces.filter(F.col("length") >= size).select(F.spark_partition_id().alias("partition"), F.monotonically_increasing_id().bitwiseAND((1 << 31) - 1).cast("int").alias("number"), part.alias("parts"))
     whole = stored(whole.select(sequence(0).alias("sequence_id"), F.lit(0).cast("long").alias("first"), "parts"), "packed")
     left = pieces.filter(F.col("length") < size).select(F.col("length").alias("fill"), part.alias("parts"))
-    count = max(1, min(partitions(spark), pieces.count() // 1000))
-    bins = stored(left.repartition(count, F.xxhash64("parts")).mapInArrow(pack_own, _BINS), "packed")
-    closed = bins.filter("closed").select(sequence(1).alias("sequence_id"), F.lit(0).cast("long").alias("first"), "parts")
-    underfull = bins.filter(~F.col("closed"))
+    total = left.count()
+    count, open_before, done = max(1, min(partitions(spark), total // 1000), -(-total // per_task)), total, []
+    items = left
+    while True:
+        bins = stored(items.repartition(count, F.xxhash64("parts")).mapInArrow(pack_own, _BINS), "packed")
+        smallest = bins.filter(F.col("fill") < size - slack).agg(F.min("fill")).first()[0] or size
+        full = F.col("fill") >= min(size - slack, size - smallest + 1)  # by fill alone, so ranks stay whole
+        done.append(bins.filter(full).select(sequence(1 + len(done)).alias("sequence_id"), F.lit(0).cast("long").alias("first"), "parts"))
+        underfull = bins.filter(~full)
+        n_open = underfull.count()
+        if n_open <= per_task or n_open > 0.9 * open_before or len(done) > 100:
+            break
+        items, count, open_before = underfull.select("fill", "parts"), -(-n_open // per_task), n_open
+    closed = reduce(DataFrame.unionByName, done)
     tally = underfull.groupBy("partition", "fill").agg(F.count("*").alias("n"))
     plan = fit_counts({r["fill"]: r["n"] for r in tally.groupBy("fill").agg(F.sum("n").alias("n")).collect()}, size)  # ``size`` rows at most
     shared = spark.sparkContext.broadcast(plan)
@@ -163,7 +178,7 @@ def pack(pieces: DataFrame, size: int = SIZE, slack: int = 8, fan_in: int = 8) -
             fills, ranks = batch.column("fill").to_numpy(), batch.column("rank").to_numpy()
             row = np.searchsorted(keys, fills << 40 | ranks, side="right") - 1
             after = ranks - rank[row]
-            sequences = (2 << 56) + number[row] + after // per[row]
+            sequences = (LAST_ROUND << 56) + number[row] + after // per[row]
             yield pa.RecordBatch.from_arrays([pa.array(sequences), pa.array(offset[row] + after % per[row] * fills), batch.column("parts").cast(struct_type)], schema=placed_schema)
 
     before_own = Window.partitionBy("fill").orderBy("partition").rowsBetween(Window.unboundedPreceding, -1)

@@ -40,8 +40,8 @@ COVER = (0, 1, 3, 9)
 CHUNK_WORDS = 500_000
 #: Chunks of a partition, and documents of a chunk, are fewer than two to this power.
 PLACE_BITS = 20
-#: Hash buckets are at least the number of chunks by this, so what one bucket holds doesn't grow with the table.
-CHUNKS_A_BUCKET = 32
+#: Hash buckets are at least the number of chunks by this, so what one holds doesn't grow with the table; some share a task.
+CHUNKS_A_BUCKET, BUCKETS_A_TASK = 8, 4
 NULL_ID = -(1 << 63)
 _CHUNKS = "chunk long,payload binary"
 _RESULT = "doc_id long,n_words long,n_removed long,kept_sha256 string,kept string"
@@ -110,7 +110,7 @@ def anchors(flat: Flat, window: int, period: int, cover: tuple[int, ...]) -> tup
 
 
 def bucket_count(table: DataFrame) -> int:
-    return max(partitions(table.sparkSession), -(-table.count() // CHUNKS_A_BUCKET))
+    return max(BUCKETS_A_TASK * partitions(table.sparkSession), -(-table.count() // CHUNKS_A_BUCKET))
 
 
 def by_bucket(h: np.ndarray, buckets: int) -> Iterator[tuple[int, slice]]:
@@ -145,7 +145,7 @@ def repeated_windows(table: DataFrame, window: int = WINDOW, period: int = PERIO
         return pa.table({"chunk": rows.column("chunk"), "bucket": rows.column("bucket"), "bits": bits}).cast(answered)
 
     anchored = table.mapInArrow(send_anchors, "bucket int,chunk long,hashes binary")
-    bits = anchored.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(meet_anchors, "chunk long,bucket int,bits binary")
+    bits = anchored.repartition(buckets // BUCKETS_A_TASK, "bucket").groupBy("bucket").applyInArrow(meet_anchors, "chunk long,bucket int,bits binary")
     bits = bits.groupBy("chunk").agg(F.sort_array(F.collect_list(F.struct("bucket", "bits"))).alias("answers"))
 
     full = arrow_schema("bucket int,chunk long,places binary,ids binary,starts binary,high binary,low binary")
@@ -196,7 +196,7 @@ def repeated_windows(table: DataFrame, window: int = WINDOW, period: int = PERIO
 
     sent_windows = table.join(bits, "chunk", "left").mapInArrow(send_windows, "bucket int,chunk long,places binary,ids binary,starts binary,high binary,low binary")
     local = sent_windows.withColumn("key", F.when(F.col("bucket") < 0, -1 - F.pmod("chunk", F.lit(buckets)).cast("int")).otherwise(F.col("bucket")))
-    return local.repartition(2 * buckets, "key").groupBy("key").applyInArrow(lambda t: meet_windows(t.drop_columns(["key"])), "chunk long,places binary")
+    return local.repartition(2 * buckets // BUCKETS_A_TASK, "key").groupBy("key").applyInArrow(lambda t: meet_windows(t.drop_columns(["key"])), "chunk long,places binary")
 
 
 def _member(values: np.ndarray, ascending: np.ndarray) -> np.ndarray:

@@ -1,8 +1,8 @@
 """Toxicity by subword-bag embeddings averaged into a linear softmax.
 
 A word is the bag of its character n-grams and itself, hashed into ``BUCKETS`` rows of an embedding table; a span
-of ``SPAN`` distinct words of a document, in order of first use, is the average of its rows, and a linear softmax over it gives the probability. Embeddings and
-softmax are trained jointly in numpy, so an unseen misspelling shares most of its vectors with the word it bends.
+of ``SPAN`` distinct words of a document, in order of first use, is the average of its rows, and a linear softmax
+over it gives the probability. Embeddings and softmax are trained jointly in numpy, so an unseen misspelling shares most of its vectors with the word it bends.
 A document scores as its worst span, so a long text does not dilute an insult; training alternates between
 choosing the spans that speak for a document's label and gradient steps on them.
 
@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from sessionloom.llm.common import with_column
 from sessionloom.llm.words import mix, windows
 
-BUCKETS, WIDTH, SPAN = 1 << 17, 4, 4
+BUCKETS, WIDTH, SPAN = 1 << 17, 4, 2
 GRAMS = (3, 4, 5)
 #: An average is taken over this many rows at least, so that a lone word isn't a whole span.
 LEAST = 30

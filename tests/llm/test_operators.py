@@ -16,7 +16,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from sessionloom.llm import audio, automaton, decontaminate, language_id, ngram_join, packing, secret_scan, substring_dedup, token_store, toxicity, warc
-from sessionloom.llm.common import TextEncoder, stored, text_encoder, word_vocabulary, work_path
+from sessionloom.llm.common import TextEncoder, hot_join, stored, text_encoder, word_vocabulary, work_path
 
 SF = "/root/testdata/sf0.001"
 ODD = [(1, None), (None, "no id"), (2, ""), (3, "same text here"), (4, "same text here"), (4, "same text here"), (5, " \n\t "), (6, "é́ ΑΣ 😀 <|endoftext|> don't we're !!'s x" * 3), (7, "word " * 30_000)]
@@ -86,7 +86,7 @@ def test_offsets_come_from_the_stored_codes(monkeypatch):
 def test_packing(spark, encoder):
     rows = [(i, "word " * random.Random(i).randint(0, 900)) for i in range(300)] + ODD
     parts = packing.pieces(docs(spark, rows), word_vocabulary())
-    got = packing.pack(stored(parts, "test"), fan_in=2).toPandas()
+    got = packing.pack(stored(parts, "test"), per_task=40).toPandas()
     assert len(got) == parts.count()
     total = 0
     for _, bin_ in got.groupby("sequence_id"):
@@ -486,6 +486,7 @@ def test_language_id(spark):
     got = {r["doc_id"]: r["lang_pred"] for r in language_id.identify(docs(spark, rows), samples).collect()}
     assert got[1] == "en" and got[2] == "de" and got[3] == got[4] == "und" and got[5] in samples
     parser = language_id.Parser(("en",), ("abcab",))
+    assert language_id.Parser(("en", "xx"), ("abcab", "xd")).phrases(["abxxcd", "ab..cd"]).tolist() == [[5, 6], [3, 4]]  # ab, c, and the letters that a language doesn't have
 
     def plain(text):
         n, at = 0, 0
@@ -497,16 +498,92 @@ def test_language_id(spark):
             n += 1
         return n
 
-    for text in ("abc", "abcab", "ccc", "cabcabx"[:6], "bcbcab"):
+    for text in ("abc", "abcab", "ccc", "cabcabx"[:6], "bcbcab", "abcabab" * 7):
         assert parser.phrases([text])[0][0] == plain(text)
 
 
+SCRIPTS = {
+    "ar": "ذهب الولد الى المدرسة في الصباح وقرأ كتابا عن البحر والسماء ثم عاد الى البيت مع صديقه",
+    "el": "το παιδί πήγε στο σχολείο το πρωί και διάβασε ένα βιβλίο για τη θάλασσα και τον ουρανό",
+    "en": "the child went to school in the morning and read a book about the sea and the sky then came home",
+    "hi": "बच्चा सुबह स्कूल गया और समुद्र और आकाश के बारे में एक किताब पढ़ी फिर अपने दोस्त के साथ घर आया",
+    "ja": "子供は朝学校に行って海と空についての本を読みそれから友達と一緒に家に帰りました",
+    "ru": "мальчик пошёл утром в школу и прочитал книгу о море и небе а потом вернулся домой с другом",
+    "zh": "孩子早上去学校读了一本关于大海和天空的书然后和朋友一起回家吃了晚饭",
+    "got": "𐌰𐍄𐍄𐌰 𐌿𐌽𐍃𐌰𐍂 𐌸𐌿 𐌹𐌽 𐌷𐌹𐌼𐌹𐌽𐌰𐌼 𐍅𐌴𐌹𐌷𐌽𐌰𐌹 𐌽𐌰𐌼𐍉 𐌸𐌴𐌹𐌽",
+}
+
+
+def test_language_id_of_many_scripts_and_languages(spark):
+    """Over 62 letters and 32 languages, letters beyond the first plane, and unequal samples."""
+    samples = {lang: f"{t} " * (40 if lang == "en" else 2) for lang, t in SCRIPTS.items()}
+    samples |= {f"x{k:02d}": " ".join(f"{chr(97 + k % 26)}{chr(97 + j % 26)}q{chr(97 + (k + j) % 26)}" for j in range(60)) for k in range(26)}
+    rows = [(k, " ".join(t.split()[-6:]) if " " in t else t[8:30]) for k, t in enumerate(samples.values())]
+    got = {r["doc_id"]: r["lang_pred"] for r in language_id.identify(docs(spark, rows), samples).collect()}
+    assert [lang for k, lang in enumerate(samples) if got[k] != lang] == []
+    learnt = language_id.sample_languages(spark.createDataFrame([(k, f"text number {k}", f"l{k % 50}") for k in range(500)], "doc_id long, text string, lang string"), 40)
+    assert len(learnt) == 50 and all(30 <= len(t) <= 45 for t in learnt.values())
+
+
+SF_LABELS = "/root/testdata/sf0.1"
+
+
+def test_toxicity_held_out_recall(spark):
+    """Labels are learnt from four fifths of the documents; the others are judged."""
+    labels = spark.read.parquet(f"{SF_LABELS}/labels.parquet").filter("toxic is not null").select("doc_id", "toxic").distinct()
+    got = toxicity.op1_toxicity(spark, SF_LABELS).filter("held_out").join(labels, "doc_id").groupBy("toxic").agg(F.avg("predicted").alias("p")).collect()
+    share = {r["toxic"]: r["p"] for r in got}
+    assert share[1] >= 0.9 and share[0] <= 0.02, share
+
+
 def test_held_out_accuracy(spark):
     for name, column, least in (("op6_language_id", "lang_pred", 0.97),):
         got = language_id.op6_language_id(spark, SF).filter("held_out").join(spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "lang"), "doc_id")
         assert got.filter(F.col(column) == F.col("lang")).count() >= least * got.count()
 
 
-@pytest.mark.parametrize("run", [lambda d: token_store.write_tokens(d, work_path(d.sparkSession, "t"), word_vocabulary()), lambda d: packing.pack(stored(packing.pieces(d, word_vocabulary()), "t")).count(), lambda d: substring_dedup.drop_repeats(d).count(), lambda d: ngram_join.near_groups(d).count(), lambda d: secret_scan.find_secrets(d).count(), lambda d: audio.media_digests(audio.audio_features(audio.store_media(d))).count(), lambda d: language_id.identify(d, language_id.sample_languages(d.withColumn("lang", F.col("extra")))).count()])
-def test_empty_tables(spark, run):
-    assert not run(docs(spark, []))
+def tokens_back(d):
+    path = work_path(d.sparkSession, "t")
+    token_store.write_tokens(d, path, word_vocabulary())
+    return token_store.read_tokens(d.sparkSession, path, token_store.digests, "doc_id long,start long,n_tokens long,ids_crc32 long")
+
+
+PAGES = lambda d: d.select(F.col("doc_id").alias("page_id"), F.col("extra").alias("url"), F.col("text").alias("html"))
+EVERY = {
+    "toxicity": lambda d: toxicity.score_texts(d, toxicity.fit_sample(toxicity.sample_labelled(d, d.select("doc_id", F.lit(1).alias("toxic"))))),
+    "tokens": tokens_back,
+    "packing": lambda d: packing.pack(stored(packing.pieces(d, word_vocabulary()), "t")),
+    "substrings": substring_dedup.drop_repeats,
+    "warc": lambda d: warc.read_records(warc.normalise(warc.write_archives(PAGES(d)))),
+    "languages": lambda d: language_id.identify(d, language_id.sample_languages(d.withColumn("lang", F.col("extra")))),
+    "secrets": secret_scan.find_secrets,
+    "ngrams": ngram_join.near_groups,
+    "audio": lambda d: audio.media_digests(audio.audio_features(audio.store_media(d))),
+    "decontamination": lambda d: decontaminate.contaminated(d, d.select(F.col("doc_id").alias("item_id"), "text")),
+}
+
+
+@pytest.mark.parametrize("name", EVERY)
+def test_empty_tables(spark, name):
+    assert EVERY[name](docs(spark, [])).collect() == []
+
+
+@pytest.mark.parametrize("name", EVERY)
+def test_columns_with_clashing_names(spark, name):
+    """Columns that have the names of results or helpers change no row."""
+    rows = ODD[:6] + [(9, "a text of several plain words, ten of them in all"), (10, "ten")]
+    plain, result = docs(spark, rows), EVERY[name](docs(spark, rows))
+    clashing = plain
+    for c in ("score", "toxicity", "node", "chunk", "bucket", "hash", "n", "c", "salt", "is_hot", "copies", "label", "fill", "rank", "parts", "digest", "payload", "first", "refers_to", "media", "row", "key", "secret_spans", "held_out", "place", "slots"):
+        clashing = clashing.withColumn(c, F.lit("clash"))
+    got = EVERY[name](clashing)
+    kept = [c for c in result.columns if c not in ("sequence_id", "offset")]
+    assert sorted(map(str, got.select(kept).collect())) == sorted(map(str, result.select(kept).collect()))
+
+
+def test_hot_keys_join_like_others(spark):
+    """Over a thousandth of the rows, fewer, none and null keys."""
+    left = spark.range(30_000).selectExpr("id", "CASE WHEN id % 3 = 0 THEN 'hot' WHEN id % 3 = 1 THEN concat('k', id % 5000) WHEN id % 9 = 2 THEN NULL ELSE 'none' END AS k", "7 AS extra")
+    right = left.filter("k <> 'none'").groupBy("k").agg(F.count("*").alias("c"), F.min("id").alias("v")).withColumn("w", F.when(F.col("k") == "hot", None).otherwise(F.col("v") + 1))
+    got = hot_join(left, right, ["k"], "c", ["id"])
+    assert got.columns == ["id", "k", "extra", "v", "w"] and sorted(got.collect()) == sorted(left.join(right.drop("c"), "k", "left").select(got.columns).collect())
