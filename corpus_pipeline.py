@@ -2,7 +2,8 @@
 
 Every stage takes (spark, docs, sf_dir) and returns a DataFrame; ``run`` writes it as Parquet in the shared folder and
 reads it again as the next stage's documents, so each stage starts from files and a lost executor repeats tasks of one stage.
-Documents without a doc_id stay in every stage: they belong to no group.
+Rows without a doc_id, and rows that share one, are documents like any other: a stage decides on each by its text. Helper
+columns get names that the documents don't have, so columns of any name pass through.
 """
 
 from __future__ import annotations
@@ -11,22 +12,35 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sessionloom.llm import decontaminate, ngram_join, packing, secret_scan, toxicity
-from sessionloom.llm.common import stored, word_vocabulary
+from sessionloom.llm.common import fresh, hot_join, stored, word_vocabulary
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    scored = toxicity.score_texts(docs, toxicity.learned(spark, sf_dir), "toxicity")
-    return scored.filter(F.col("toxicity") < 0.5).select(*docs.columns)
+    score = fresh(docs, "toxicity")
+    return toxicity.score_texts(docs, toxicity.learned(spark, sf_dir), score).filter(F.col(score) < 0.5).select(*docs.columns)
 
 
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    groups = ngram_join.near_groups(docs)
-    return docs.join(groups.filter("doc_id <> component_id").select("doc_id"), "doc_id", "left_anti").select(*docs.columns)
+    """The row with the smallest doc_id of each group, one without an id where all are so.
+
+    Rows are numbered in a written copy, so that they can be told apart whatever their doc_id.
+    """
+    row = fresh(docs, "row")
+    rows = stored(docs.withColumn(row, F.monotonically_increasing_id()), "pipeline-rows")
+    groups = ngram_join.near_groups(rows.select(F.col(row).alias("doc_id"), "text")).select(F.col("doc_id").alias("row"), F.col("component_id").alias("group"))
+    named = stored(groups.join(rows.select(F.col(row).alias("row"), "doc_id"), "row"), "pipeline-groups")
+    first = named.groupBy("group").agg(F.min_by("row", F.struct(F.col("doc_id").isNull(), "doc_id", "row")).alias("first"), F.count("*").alias("n")).filter("n > 1")
+    dropped = hot_join(named, stored(first, "pipeline-first"), ["group"], "n", ["row"]).filter("row <> first").select(F.col("row").alias(row))
+    return rows.join(dropped, row, "left_anti").select(*docs.columns)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = decontaminate.contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    return docs.join(found.select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
+    """Equal texts are one document to the search, known by a hash."""
+    key = fresh(docs, "key")
+    by_text = F.when(F.length("text") > 0, F.xxhash64("text")).otherwise(F.xxhash64("doc_id"))
+    keyed = docs.withColumn(key, by_text)
+    found = decontaminate.contaminated(keyed.select(F.col(key).alias("doc_id"), "text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return keyed.join(found.select(F.col("doc_id").alias(key)).distinct(), key, "left_anti").select(*docs.columns)
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
