@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-import re
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 REDACTED = "[REDACTED]"
 # Token shapes, replaced in this order.
@@ -26,22 +24,30 @@ TOKEN_PATTERNS = (
     r"(?s)-----BEGIN [A-Z ]*PRIVATE KEY-----.*?-----END [A-Z ]*PRIVATE KEY-----",
     r"\beyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\b",
 )
-# Names whose assigned value may be a secret, and the two shapes of such an assignment.
-_NAME = r"\b[a-z0-9_-]*(?:key|token|secret|password|passwd|credential)[a-z0-9_-]*\b[\"']?\s*[:=]\s*"
-QUOTED = re.compile(rf"({_NAME}[\"'])([^\s\"']{{8,}})", re.I)
-BARE = re.compile(rf"({_NAME})([A-Za-z0-9_+/\-@#$%^&*!~]{{8,}})", re.I)
+# Names whose assigned value may be a secret.
+_NAME = r"\b[a-z0-9_-]*(?:key|token|secret|password|passwd|credential)[a-z0-9_-]*\b[\"']?"
 _HINT = r"(?i)key|token|secret|password|passwd|credential"
+#: The two shapes of an assignment: what stands before the value, without blanks before ``=`` and otherwise, and the value.
+SHAPES = (
+    (rf"{_NAME}=[\"']", rf"{_NAME}\s*[:=]\s*[\"']", r"[^\s\"']{8,}"),
+    (rf"{_NAME}=\s*", rf"{_NAME}\s*[:=]\s*", r"[A-Za-z0-9_+/\-@#$%^&*!~]{8,}"),
+)
+#: Code points that no text uses stand around what an assignment holds while it is judged.
+A, B, C = "\ufdd0", "\ufdd1", "\ufdd2"
 
 
-def _assigned(m: re.Match) -> str:
-    """An assigned value goes where nothing stands between name and ``=``, or where it has a digit."""
-    as_env = re.search(r"\S=[\"']?\s*$", m[1])
-    return m[1] + REDACTED if as_env or re.search("[0-9]", m[2]) else m[0]
-
+def redact_assignments(text: Column) -> Column:
+    """An assigned value goes where nothing stands between name and ``=``, or where it has a digit.
 
-@F.pandas_udf(T.StringType())
-def _redact_assignments(texts: pd.Series) -> pd.Series:
-    return texts.map(lambda t: None if t is None else BARE.sub(_assigned, QUOTED.sub(_assigned, t)))
+    One pass marks all assignments from left to right, so one that stays still takes up its characters; then the marked
+    values are judged.
+    """
+    for direct, other, value in SHAPES:
+        text = F.regexp_replace(text, f"(?i)(?:({direct})|({other}))({value})", f"$1{A}$2{B}$3{C}")
+        text = F.regexp_replace(text, f"{A}{B}[^{C}]*{C}", REDACTED)
+        text = F.regexp_replace(text, f"{A}([^{B}]*){B}[^0-9{C}]*[0-9][^{C}]*{C}", f"$1{REDACTED}")
+        text = F.translate(text, A + B + C, "")
+    return text
 
 
 def redact_tokens(text: Column) -> Column:
@@ -50,9 +56,11 @@ def redact_tokens(text: Column) -> Column:
     return text
 
 
-def redact(text: Column, enabled: bool = True) -> Column:
-    """Tokens by built-in patterns; assignments by an Arrow function, for texts only that name a secret at all."""
+def redact(text: Column, enabled: bool = True, redactor: Callable[[Column], Column] | None = None) -> Column:
+    """Tokens, then assignments, where a text names a secret at all; ``redactor``, a user's function of a column, stands in for both."""
     if not enabled:
         return text
+    if redactor is not None:
+        return redactor(text)
     done = redact_tokens(text)
-    return F.when(done.rlike(_HINT), _redact_assignments(F.when(done.rlike(_HINT), done))).otherwise(done)
+    return F.when(done.rlike(_HINT), redact_assignments(done)).otherwise(done)

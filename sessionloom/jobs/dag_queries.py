@@ -39,6 +39,21 @@ def insert_new(spark, d):
     return C.insert_new(stored, entries.drop("row_id")).select("session_id", "entry_id", "row_id", "role", "tokens")
 
 
+@query(
+    "c02_insert_twins",
+    """SELECT session_id, entry_id, row_number() OVER (PARTITION BY session_id ORDER BY row_id) AS row_id, text FROM fx_messages WHERE trim(text) <> ''""",
+)
+def insert_twins(spark, d):
+    """Each entry arrives three times within one batch, at one place or later, with another text; one row of each is stored."""
+    m = view(spark, d, "fx_messages").withColumn("pos", F.col("row_id")).drop("row_id")
+    twins = m.withColumn("text", F.concat("text", F.lit(" again"))).filter(F.trim("text") != "again")
+    later = m.withColumn("text", F.lit("!")).withColumn("pos", F.col("pos") + 500)
+    blank = view(spark, d, "fx_messages").filter("trim(text) = ''").select("session_id", "entry_id")
+    entries = twins.unionByName(m).unionByName(m).unionByName(later).join(blank, ["session_id", "entry_id"], "left_anti")
+    none = spark.createDataFrame([], "session_id string, entry_id string, row_id long")
+    return C.insert_new(none, entries).select("session_id", "entry_id", "row_id", "text")
+
+
 @query(
     "c02_insert_counts",
     "SELECT session_id, CAST(count(*) FILTER (row_id % 2 = 0) AS BIGINT) AS inserted, CAST(count(*) FILTER (row_id % 2 = 1) + count(*) FILTER (row_id % 3 = 0) AS BIGINT) AS skipped FROM fx_messages GROUP BY session_id",
@@ -126,6 +141,13 @@ def closure(spark, d):
     return D.closure(_graph(spark, d, bad=True)[2])
 
 
+@query("d05_closure_deep", _BELOW.format(p="deep_provenance") + " SELECT session_id, node, count(*) AS n, min(child) AS least, CAST(sum(child) AS BIGINT) AS total FROM below GROUP BY session_id, node")
+def closure_deep(spark, d):
+    """Six levels, with a cycle from a leaf to the fourth in some sessions."""
+    found = D.closure(view(spark, d, "deep_provenance"))
+    return found.groupBy("session_id", "node").agg(F.count("*").alias("n"), F.min("child").alias("least"), F.sum("child").alias("total"))
+
+
 @query(
     "d06_covered_size",
     _BELOW.format(p="bad_provenance")
@@ -269,6 +291,18 @@ def fixpoint(spark, d):
     return I.drop_orphan_parents(s, p).select("session_id", "id")
 
 
+@query(
+    "i11_orphan_fixpoint_deep",
+    """WITH RECURSIVE lost AS (
+         SELECT p.session_id, p.summary_id AS id FROM chain_provenance p JOIN chain_summaries s ON s.session_id = p.session_id AND s.id = p.summary_id AND s.status = 'committed' WHERE p.child_id = 0
+         UNION SELECT p.session_id, p.summary_id FROM lost l JOIN chain_provenance p ON p.session_id = l.session_id AND p.child_id = l.id JOIN chain_summaries s ON s.session_id = p.session_id AND s.id = p.summary_id AND s.status = 'committed')
+       SELECT session_id, id FROM chain_summaries s WHERE NOT EXISTS (SELECT 1 FROM lost l WHERE l.session_id = s.session_id AND l.id = s.id)""",
+)
+def fixpoint_deep(spark, d):
+    """Chains of up to 40 nodes whose last child is missing in some sessions; an open node ends the loss."""
+    return I.drop_orphan_parents(view(spark, d, "chain_summaries"), view(spark, d, "chain_provenance")).select("session_id", "id")
+
+
 @query("i12_reap_pending", "SELECT session_id, id FROM bad_summaries WHERE status <> 'pending'")
 def reap(spark, d):
     _, s, _ = _graph(spark, d, bad=True)

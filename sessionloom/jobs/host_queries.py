@@ -188,6 +188,17 @@ def history(spark, d):
     return V.history(D.frontier(s, m, p).withColumn("text", F.col("quality")), "what is mechanical?", 1).select("session_id", "id", "place", "omitted")
 
 
+@query(
+    "e17_files_manifest",
+    """WITH l AS (SELECT session_id, row_id, concat('f', row_id % 4) AS file_id FROM fx_messages WHERE row_id % 2 = 0), f AS (SELECT session_id, file_id, min(row_id) AS first FROM l GROUP BY 1, 2),
+ c AS (SELECT session_id, count(*) AS files, count(*) FILTER (first >= 4) AS uncovered FROM f GROUP BY 1), i AS (SELECT session_id, count(*) AS large_inline FROM fx_messages WHERE length(text) >= 300 AND row_id % 2 = 1 GROUP BY 1)
+ SELECT coalesce(c.session_id, i.session_id) AS session_id, coalesce(files, 0) AS files, coalesce(uncovered, 0) AS uncovered, coalesce(large_inline, 0) AS large_inline FROM c FULL JOIN i ON i.session_id = c.session_id""",
+)
+def manifest(spark, d):
+    m = _messages(spark, d)
+    return V.files_manifest(m, _links(spark, d), m.filter("row_id < 4"), 300)
+
+
 @query("e17_large_inline", "SELECT session_id, row_id FROM fx_messages WHERE length(text) >= 300 AND row_id % 2 = 1")
 def inline(spark, d):
     return V.large_inline(_messages(spark, d), _links(spark, d), 300)
@@ -207,10 +218,25 @@ def boundary(spark, d):
     return V.boundary_covered(D.frontier(s, m, p), spans)
 
 
-@query("g08_replay")
+_REQUESTS = """q AS (SELECT session, pos, occupancy, CASE WHEN pos % 101 < 90 THEN 'm1' ELSE 'm2' END AS model, CASE WHEN pos % 13 = 0 THEN 'tail-mismatch' WHEN pos % 29 = 0 THEN 'tail-shrunk' END AS tail,
+ CASE WHEN pos % 7 = 0 THEN 'summary-missing' WHEN pos % 11 = 0 THEN 'no-boundary' END AS blocked, row_number() OVER (PARTITION BY session ORDER BY pos) AS n FROM fx_metrics WHERE occupancy IS NOT NULL)"""
+
+
+@query(
+    "g08_replay",
+    f"""WITH RECURSIVE {_REQUESTS},
+ w AS (SELECT session, n, pos, model, false AS was, pos < 0 AS bailed, occupancy >= 0.7 AS tries, occupancy >= 0.7 AND blocked IS NULL AS pinned, tail, blocked FROM q WHERE n = 1
+   UNION ALL SELECT q.session, q.n, q.pos, q.model, w.pinned AND w.model = q.model, w.pinned AND w.model = q.model AND q.tail IS NOT NULL,
+     occupancy >= CASE WHEN w.pinned AND w.model = q.model THEN 0.85 ELSE 0.7 END,
+     CASE WHEN w.pinned AND w.model = q.model THEN q.tail IS NULL ELSE occupancy >= 0.7 AND q.blocked IS NULL END, q.tail, q.blocked FROM w JOIN q ON q.session = w.session AND q.n = w.n + 1)
+ SELECT session, pos, CASE WHEN bailed THEN 'bail' WHEN NOT tries THEN CASE WHEN was THEN 'reapply' ELSE 'quiet' END WHEN blocked = 'summary-missing' THEN 'kick' WHEN blocked IS NOT NULL THEN 'bail' ELSE 'swap' END AS outcome,
+   CASE WHEN bailed THEN tail WHEN tries THEN blocked END AS reason FROM w""",
+)
 def replayed(spark, d):
+    """Requests one after the other in SQL, by windows here."""
     log = view(spark, d, "fx_metrics").filter("occupancy is not null")
-    return V.replay(log.select("session", "pos", "occupancy", F.lit(0.7).alias("swap"), F.lit(0.85).alias("recut")))
+    p = F.col("pos")
+    return V.replay(log.select("session", "pos", "occupancy", F.lit(0.7).alias("swap"), F.lit(0.85).alias("recut"), F.when(p % 101 < 90, "m1").otherwise("m2").alias("model"), F.lit(1000).alias("window"), F.when(p % 13 == 0, "tail-mismatch").when(p % 29 == 0, "tail-shrunk").alias("tail"), F.when(p % 7 == 0, "summary-missing").when(p % 11 == 0, "no-boundary").alias("blocked")))
 
 
 @query("g11_compaction_span", "SELECT session_id, row_id AS pos FROM fx_messages WHERE row_id >= 2 AND row_id < 5 AND row_id <> 3 AND session_id IN (SELECT session_id FROM fx_messages WHERE row_id = 5)")
@@ -240,7 +266,19 @@ def coverage(spark, d):
     return m.agg(F.count("*").alias("messages")).join(D.uncovered(m, p, s).agg(F.count("*").alias("uncovered")), F.lit(True))
 
 
-@query("j06_heal_windows")
+def _cut_sql(size: int) -> str:
+    """The end of the window that starts at ``start`` and may reach to ``upto``."""
+    low, tail = f"(upto - {size // 20})", f"substring(text, CAST(upto - {size // 20} + 1 AS BIGINT), {size // 20})"
+    at = lambda m, n: f"CASE WHEN contains({tail}, {m}) THEN {low} + length({tail}) - strpos(reverse({tail}), reverse({m})) - {n} + 1 + {n} END"
+    return f"CASE WHEN upto = length(text) THEN upto ELSE coalesce({at('chr(10) || chr(10)', 2)}, {at('chr(10)', 1)}, {at(chr(39) + '. ' + chr(39), 2)}, {at(chr(39) + ' ' + chr(39), 1)}, upto) END"
+
+
+@query(
+    "j06_heal_windows",
+    f"""WITH RECURSIVE w AS (SELECT doc_id, text, CAST(-1 AS BIGINT) AS n, CAST(0 AS BIGINT) AS start, CAST(0 AS BIGINT) AS done FROM documents WHERE text IS NOT NULL
+ UNION ALL SELECT doc_id, text, n + 1, done, CAST({_cut_sql(2000)} AS BIGINT) FROM (SELECT *, least(length(text), done + 2000) AS upto FROM w WHERE done < length(text)) q)
+ SELECT doc_id AS node, n AS "window", start, done AS "end" FROM w WHERE n >= 0""",
+)
 def windows(spark, d):
     return V.heal_windows(spark.read.parquet(f"{d}/documents.parquet").select(F.col("doc_id").alias("node"), "text"), 2000)
 
@@ -270,16 +308,11 @@ def freed(spark, d):
     return rows.groupBy(K.utc_day(F.col("ts")).alias("day")).agg(F.sum(F.greatest(F.lit(0), F.col("input") - F.col("cut_count"))).alias("freed"))
 
 
-def _scenarios(spark, d):
-    e = _events(spark, d).groupBy("user_id").agg(F.count("*").alias("n"))
-    return e.select(F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("session_id"), F.col("user_id").alias("seed"), F.least(F.col("n"), F.lit(240)).alias("turns"), F.lit(6).alias("needles"), F.lit(100).alias("filler"))
-
-
-@query("l01_generate")
-def generated(spark, d):
-    return L.generate(_scenarios(spark, d))
+@query("l01_plant", "SELECT session_id, row_id, CASE WHEN needle IS NULL THEN text ELSE concat(left(text, CAST(length(text) // 2 AS BIGINT)), ' ', needle, ' ', substring(text, CAST(length(text) // 2 + 1 AS BIGINT))) END AS text, needle FROM (" + L.NEEDLES_SQL + ") q")
+def planted(spark, d):
+    return L.plant(view(spark, d, "fx_tool_messages"), 6).select("session_id", "row_id", "text", "needle")
 
 
-@query("l02_l05_fidelity", "SELECT concat('u', user_id) AS session_id, least(6, count(*)) AS needles, least(6, count(*)) AS stored, least(6, count(*)) AS covered FROM events GROUP BY user_id")
+@query("l02_l05_fidelity", "SELECT session_id, least(6, count(*)) AS needles, least(6, count(*)) AS stored, least(6, count(*)) AS covered FROM fx_tool_messages GROUP BY session_id")
 def fidelity(spark, d):
-    return L.fidelity(L.generate(_scenarios(spark, d))).drop("shown")
+    return L.fidelity(L.plant(view(spark, d, "fx_tool_messages"), 6)).drop("shown")

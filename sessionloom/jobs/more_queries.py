@@ -2,31 +2,33 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import functions as F
 
 from sessionloom.jobs.dag_queries import _graph
+from sessionloom.functions import redact as R
 from sessionloom.functions import scalars as S
 from sessionloom.operators import compact as P
 from sessionloom.operators import dag as D
 from sessionloom.operators import evaluation as L
 from sessionloom.operators import ingest as C
 from sessionloom.operators import policy as G
+from sessionloom.operators import reports as K
+from sessionloom.operators import search as E
 from sessionloom.operators import transfer as H
 from sessionloom.operators import views as V
 from sessionloom.registry import query
 from sessionloom.sources import sessions as A
 from sessionloom.sources import telemetry
 from sessionloom.sources.fixtures import view
+from sessionloom.streaming import ingest as N
 
 
 @query("a03_a05_telemetry_files", "SELECT CAST(ts AS DOUBLE) AS ts, event, kind, session, CAST(input AS DOUBLE) AS input FROM fx_metrics")
 def telemetry_files(spark, d):
     """The log written as JSONL by day in the shared folder, then read and parsed again."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='sessionloom-')}"
-    path = f"{base.rstrip('/')}/telemetry-{uuid.uuid4().hex}"
+    path = f"{D.shared_folder(spark)}/telemetry-{uuid.uuid4().hex}"
     telemetry.write_rows(view(spark, d, "fx_metrics").drop("pos"), path)
     return telemetry.parse_rows(telemetry.read_lines(spark, path)).select("ts", "event", "kind", "session", "input")
 
@@ -179,9 +181,64 @@ def watermarks(spark, d):
     return C.next_watermark(fresh).join(fresh.groupBy("session_id").agg(F.count("*").alias("new")), "session_id")
 
 
-@query("l04_recall", "SELECT concat('u', user_id) AS session_id, least(6, count(*)) AS needles, least(6, count(*)) AS answered, 0 AS failed FROM events GROUP BY user_id")
+@query("l04_recall", "SELECT session_id, count(*) AS needles, count(*) FILTER (i % 2 = 0) AS answered, count(*) FILTER (i % 2 = 1) AS failed FROM (SELECT session_id, CAST(substring(needle, 2, 2) AS BIGINT) AS i FROM (" + L.NEEDLES_SQL + ") p WHERE needle IS NOT NULL) q GROUP BY session_id")
 def recall(spark, d):
-    """Planted needles that the leaves show, or that ranked search finds in the log."""
-    e = spark.read.parquet(f"{d}/events.parquet").groupBy("user_id").agg(F.count("*").alias("n"))
-    scenarios = e.select(F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("session_id"), F.col("user_id").alias("seed"), F.least(F.col("n"), F.lit(240)).alias("turns"), F.lit(6).alias("needles"), F.lit(60).alias("filler"))
-    return L.recall(L.generate(scenarios))
+    """Needles that the leaves show or a term search finds; odd ones are asked for with another value, so nothing may answer them."""
+    m = L.plant(view(spark, d, "fx_tool_messages"), 6)
+    return L.recall(m.withColumn("needle", F.when(F.substring("needle", 3, 1).cast("int") % 2 == 1, F.concat(F.split_part("needle", F.lit("="), F.lit(1)), F.lit("=77777"))).otherwise(F.col("needle"))))
+
+
+@query("k09_recall_use", "SELECT coalesce(model, '(unrecorded)') AS tool, count(*) AS calls, count(*) FILTER (o = 'hit') AS hit, count(*) FILTER (o = 'miss') AS miss, count(*) FILTER (o IS NULL OR o NOT IN ('hit', 'miss')) AS error FROM (SELECT model, CASE pos % 4 WHEN 0 THEN 'hit' WHEN 1 THEN 'miss' WHEN 2 THEN 'refused' END AS o FROM fx_metrics WHERE kind IN ('summarizer-usage', 'summarizer-error')) q GROUP BY 1")
+def recall_use(spark, d):
+    rows = view(spark, d, "fx_metrics").filter(F.col("kind").isin("summarizer-usage", "summarizer-error"))
+    p = F.col("pos") % 4
+    return K.recall_use(rows.withColumn("tool", F.col("model")).withColumn("outcome", F.when(p == 0, "hit").when(p == 1, "miss").when(p == 2, "refused")))
+
+
+@query("e07_query_fallback", "SELECT session_id, row_id, 'terms' AS how FROM fx_tool_messages WHERE removed_at_ms IS NULL AND (text LIKE 'tool click %' OR text LIKE '[tool:click]%') UNION ALL SELECT session_id, row_id, 'phrase' FROM fx_tool_messages WHERE text LIKE 'please look at%' UNION ALL SELECT session_id, row_id, 'mixed' FROM fx_tool_messages WHERE removed_at_ms IS NULL AND text LIKE 'please look at%' AND text LIKE '%click%'")
+def fallback(spark, d):
+    """Terms; a query with an odd quote and a stray sign, searched as one phrase; a quoted phrase with a term."""
+    m = view(spark, d, "fx_tool_messages")
+    found = None
+    for how, text in (("terms", "tool clic*"), ("phrase", '"look at ('), ("mixed", '"look at" click')):
+        hits = E.search_query(m, text).withColumn("how", F.lit(how))
+        found = hits if found is None else found.unionByName(hits)
+    return found
+
+
+@query("e09_filtered_search", "SELECT session_id, row_id FROM fx_tool_messages WHERE removed_at_ms IS NULL AND role = 'assistant' AND ts_ms BETWEEN 100000 AND 900000 AND text LIKE '%[tool:click]%'")
+def filters(spark, d):
+    m = view(spark, d, "fx_tool_messages")
+    return E.ranked_search(E.filtered(m, role="assistant", start_ms=100_000, end_ms=900_000, tool="click"), ["click"]).select("session_id", "row_id")
+
+
+@query(
+    "e08_scan_page",
+    """WITH h AS (SELECT session_id, row_id, length(string_split_regex(text, ' [aeiou][a-z]*')[1]) AS "at", len(regexp_extract_all(text, ' [aeiou][a-z]*')) AS matches FROM fx_messages WHERE regexp_matches(text, ' [aeiou][a-z]*')),
+ k AS (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY row_id) AS k, count(*) OVER (PARTITION BY session_id) AS n FROM h)
+ SELECT session_id, row_id, "at", matches, false AS partial, n > 4 AS more FROM k WHERE k BETWEEN 2 AND 4""",
+)
+def scan_page(spark, d):
+    """Lower-case words that begin with a vowel: the page behind the first hit."""
+    return E.page_of(E.regex_scan(view(spark, d, "fx_messages"), " [aeiou][a-z]*", case_sensitive=True), 1, 3)
+
+
+@query("u02_redactor", "SELECT session_id, row_id, regexp_replace(text, '[0-9]', '#', 'g') AS text FROM fx_messages")
+def redactor(spark, d):
+    """A user's redactor in place of the built-in one."""
+    return view(spark, d, "fx_messages").select("session_id", "row_id", R.redact(F.col("text"), redactor=lambda t: F.regexp_replace(t, "[0-9]", F.lit("#"))).alias("text"))
+
+
+@query(
+    "n04_running_ratio",
+    """WITH s AS (SELECT session, pos, cost_total / input AS r, row_number() OVER (PARTITION BY session ORDER BY pos DESC) AS k FROM fx_metrics WHERE input > 0)
+ SELECT session, count(*) AS n, round(list_sort(list(r))[CAST(count(*) // 2 + 1 AS BIGINT)], 6) AS ratio FROM s WHERE k <= 8 GROUP BY session""",
+)
+def running(spark, d):
+    """The log as a stream; the state holds the newest eight samples of each session."""
+    folder = f"{D.shared_folder(spark)}/samples-{uuid.uuid4().hex}"
+    view(spark, d, "fx_metrics").filter("input > 0").select("session", "pos", F.col("cost_total").alias("chars"), F.col("input").cast("double").alias("tokens")).write.parquet(f"{folder}/log")
+    log = spark.readStream.schema("session string, pos long, chars double, tokens double").parquet(f"{folder}/log")
+    N.running_table(log, f"{folder}/table", f"{folder}/state").awaitTermination()
+    newest = spark.read.parquet(f"{folder}/table").groupBy("session").agg(F.max_by(F.struct("n", "ratio"), "batch").alias("r"))
+    return newest.select("session", "r.n", F.round("r.ratio", 6).alias("ratio"))

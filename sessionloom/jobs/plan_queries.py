@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import functions as F
@@ -234,7 +233,11 @@ def budgets(spark, d):
     return spark.read.parquet(f"{d}/events.parquet").select("event_id", J.source_budget(F.col("event_id")).alias("budget"))
 
 
-@query("j07_fair_shares")
+@query(
+    "j07_fair_shares",
+    """WITH m AS (SELECT session_id, row_id, length(text) AS chars FROM fx_messages), l AS (SELECT session_id, max(l) AS l FROM (SELECT m.session_id, r.l, sum(least(m.chars, r.l)) AS used FROM m, range(0, 2001) r(l) GROUP BY 1, 2) q WHERE used <= 2000 GROUP BY 1)
+       SELECT session_id, 1 AS node, row_id AS item, CAST(least(chars, l) AS BIGINT) AS share FROM m JOIN l USING (session_id)""",
+)
 def shares(spark, d):
     rows = view(spark, d, "fx_messages").select("session_id", F.lit(1).alias("node"), F.col("row_id").alias("item"), F.length("text").cast("long").alias("chars"))
     return J.share_chars(rows, 2000)
@@ -281,8 +284,7 @@ def daily(spark, d):
 )
 def stream(spark, d):
     """Events arrive as a file stream; the result is what is stored."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='sessionloom-')}"
-    folder = f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    folder = f"{D.shared_folder(spark)}/stream-{uuid.uuid4().hex}"
     path = f"{d}/events.parquet"
     schema = spark.read.parquet(path).schema
     events = spark.readStream.schema(schema).parquet(f"{d}/events.parque[t]")

@@ -194,7 +194,7 @@ def phrase(spark, d):
     return E.phrase_hits(view(spark, d, "fx_tool_messages"), ["look", "at"])
 
 
-@query("e08_regex_scan", "SELECT session_id, row_id, strpos(text, regexp_extract(text, '(?i)th[ae]\\w+')) - 1 AS at, least(len(regexp_extract_all(text, '(?i)th[ae]\\w+')), 100) AS matches, false AS partial FROM fx_messages WHERE regexp_matches(text, '(?i)th[ae]\\w+')")
+@query("e08_regex_scan", "SELECT session_id, row_id, length(string_split_regex(text, '(?i)th[ae]\\w+')[1]) AS at, least(len(regexp_extract_all(text, '(?i)th[ae]\\w+')), 100) AS matches, false AS partial FROM fx_messages WHERE regexp_matches(text, '(?i)th[ae]\\w+')")
 def scan(spark, d):
     return E.regex_scan(view(spark, d, "fx_messages"), r"th[ae]\w+", most_matches=100)  # as the SQL
 

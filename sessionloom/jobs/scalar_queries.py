@@ -67,11 +67,28 @@ def membership(spark, d):
     return spark.read.parquet(f"{d}/events.parquet").select("event_id", F.array_contains(tools, F.col("event_type")).alias("listed"))
 
 
-@query("b10_redact_tokens")
+def _redact_sql(text: str) -> str:
+    """The same passes over ``text`` by regular expressions of another engine."""
+    replaced = lambda t, pattern, by: "regexp_replace({}, '{}', '{}', 'g')".format(t, pattern.replace("'", "''"), by)
+    for pattern in R.TOKEN_PATTERNS:
+        text = replaced(text, pattern, R.REDACTED)
+    for direct, other, value in R.SHAPES:
+        text = replaced(text, f"(?i)(?:({direct})|({other}))({value})", rf"\1{R.A}\2{R.B}\3{R.C}")
+        text = replaced(text, f"{R.A}{R.B}[^{R.C}]*{R.C}", R.REDACTED)
+        text = replaced(text, f"{R.A}([^{R.B}]*){R.B}[^0-9{R.C}]*[0-9][^{R.C}]*{R.C}", rf"\1{R.REDACTED}")
+        text = f"translate({text}, '{R.A}{R.B}{R.C}', '')"
+    return text
+
+
+@query(
+    "b10_redact_tokens",
+    f"""SELECT doc_id, CAST(length(text) AS INTEGER) AS before, CAST(length(t) AS INTEGER) AS after, CAST(len(string_split(t, '[REDACTED]')) - 1 AS INTEGER) AS n_redacted, left(sha256(t), 16) AS digest
+        FROM (SELECT doc_id, text, {_redact_sql('text')} AS t FROM documents) q""",
+)
 def redact_texts(spark, d):
     docs = spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "text")
     done = docs.select("doc_id", F.length("text").alias("before"), R.redact(F.col("text")).alias("text"))
-    return done.select("doc_id", "before", F.length("text").alias("after"), F.regexp_count("text", F.lit(r"\[REDACTED\]")).alias("n_redacted"))
+    return done.select("doc_id", "before", F.length("text").alias("after"), F.regexp_count("text", F.lit(r"\[REDACTED\]")).alias("n_redacted"), F.left(F.sha2("text", 256), F.lit(16)).alias("digest"))
 
 
 @query(

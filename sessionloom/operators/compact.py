@@ -23,22 +23,24 @@ def islands(messages: DataFrame) -> DataFrame:
 def chunk_contiguous(messages: DataFrame, budget: int = CHUNK_TOKENS) -> DataFrame:
     """(session_id, row_id, chunk): adjacent rows while their tokens fit; a larger row is a chunk of its own.
 
-    The running sum starts anew at each chunk, which no window can express: islands of (row_id, tokens), without
-    texts, go through one small grouped function.
+    The running sum starts anew at each chunk, which no window can express: (row_id, tokens), without texts, are sorted
+    by island and stream through a function that holds the sum only, so a long session needs no more memory than a short one.
     """
 
-    def cut(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("row_id")
-        starts, total, first = [], 0, None
-        for row, tokens in zip(pdf["row_id"], pdf["tokens"], strict=True):
-            if first is None or total + tokens > budget:
-                first, total = row, 0
-            total += tokens
-            starts.append(first)
-        return pdf.assign(start=starts)[["session_id", "row_id", "start"]]
-
-    rows = islands(messages).select("session_id", "row_id", "tokens", "island")
-    found = rows.groupBy("session_id", "island").applyInPandas(cut, "session_id string, row_id long, start long")
+    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        group, total, first = None, 0, 0
+        for pdf in batches:
+            starts = []
+            for session, island, row, tokens in zip(pdf["session_id"], pdf["island"], pdf["row_id"], pdf["tokens"], strict=True):
+                if (session, island) != group or total + tokens > budget:
+                    group, first, total = (session, island), row, 0
+                total += tokens
+                starts.append(first)
+            yield pdf.assign(start=starts)[["session_id", "row_id", "start"]]
+
+    rows = islands(messages).select("session_id", "island", "row_id", "tokens")
+    dealt = rows.repartition("session_id", "island").sortWithinPartitions("session_id", "island", "row_id")
+    found = dealt.mapInPandas(cut, "session_id string, row_id long, start long")
     order = Window.partitionBy("session_id").orderBy("start")
     return found.select("session_id", "row_id", (F.dense_rank().over(order) - 1).cast("long").alias("chunk"))
 

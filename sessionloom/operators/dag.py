@@ -7,20 +7,25 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-MOST_DEPTH = 8
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that ``spark.checkpoint.dir`` names; a temporary one where that is unset in local mode, an error on a cluster."""
+    conf = spark.sparkContext.getConf()
+    folder = conf.get("spark.checkpoint.dir", None)
+    if folder:
+        return folder.rstrip("/")
+    if not conf.get("spark.master", "").startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return f"file://{tempfile.mkdtemp(prefix='sessionloom-')}"
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """``df`` checkpointed in the shared folder that ``spark.checkpoint.dir`` names.
-
-    Where that is unset, as in tests in local mode, the session gets a temporary folder.
-    """
+    """``df`` checkpointed in the shared folder."""
     context = df.sparkSession.sparkContext
     if not context.getCheckpointDir():
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="sessionloom-"))
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()
 
 
@@ -73,23 +78,20 @@ def covering_leaf(messages: DataFrame, provenance: DataFrame, summaries: DataFra
     return found.groupBy("session_id", "row_id").agg(F.max_by("summary_id", order).alias("summary_id"))
 
 
-def closure(provenance: DataFrame, most_rounds: int = MOST_DEPTH + 1) -> DataFrame:
+def closure(provenance: DataFrame) -> DataFrame:
     """(session_id, node, child): all nodes at or below each node, ends of cycles included once.
 
-    Rounds double the length of paths, and stop when nothing new is found; ids alone take part.
+    Rounds double the length of paths until nothing new is found, whatever the depth; ids alone take part.
     """
     edges = provenance.filter("child_type = 'summary'").select("session_id", F.col("summary_id").alias("node"), F.col("child_id").alias("child"))
     own = provenance.select("session_id", F.col("summary_id").alias("node"), F.col("summary_id").alias("child"))
     paths = cut_lineage(edges.unionByName(own).distinct())
-    size = paths.count()
-    for _ in range(most_rounds):
+    size, now = -1, paths.count()
+    while now != size:
         step = paths.select("session_id", F.col("node").alias("child"), F.col("child").alias("far"))
         longer = paths.join(step, ["session_id", "child"]).select("session_id", "node", F.col("far").alias("child"))
         paths = cut_lineage(paths.unionByName(longer).distinct())
-        now = paths.count()
-        if now == size:
-            break
-        size = now
+        size, now = now, paths.count()
     return paths
 
 

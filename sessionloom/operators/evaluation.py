@@ -1,68 +1,34 @@
-"""Long-context evaluation: seeded sessions with planted needles, and what compaction keeps of them."""
+"""Long-context evaluation: needles planted in the rows of sessions, and what compaction keeps of them."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sessionloom.functions.scalars import estimate_tokens
 from sessionloom.operators import compact as P
 from sessionloom.operators.search import terms_of
 
-# Filler words, in the order in which draws choose them.
-FILLER = "the pass walked the span and stored a summary whose provenance names every message it covers".split()
-ROLES = ("user", "assistant", "toolResult")
-
-
-def draws(seed: int, n: int) -> np.ndarray:
-    """The first ``n`` numbers of the mulberry32 generator, in [0, 1); each follows from its index alone."""
-    mask = np.uint64(0xFFFFFFFF)
-    s = (np.uint64(seed & 0xFFFFFFFF) + np.arange(1, n + 1, dtype=np.uint64) * np.uint64(0x6D2B79F5)) & mask
-    t = ((s ^ (s >> np.uint64(15))) * (s | np.uint64(1))) & mask
-    t ^= (t + (((t ^ (t >> np.uint64(7))) * (t | np.uint64(61))) & mask)) & mask
-    return ((t ^ (t >> np.uint64(14))) & mask).astype(np.float64) / 2**32
-
-
-def _numbers(seed: int) -> Iterator[float]:
-    block = 4096
-    while True:
-        found = draws(seed, block)
-        yield from found[0 if block == 4096 else block // 2 :]
-        block *= 2
-
-
-def session_rows(seed: int, turns: int, needles: int, filler: int) -> list[tuple]:
-    """(row_id, entry_id, role, text, needle) of one session; needle i stands at turn floor(i * turns / needles)."""
-    number, at = _numbers(seed), {i * turns // max(1, needles): i for i in range(needles)}
-    rows = []
-    for turn in range(turns):
-        left, words = max(1, filler + int(next(number) * 40)), []
-        while left > 0:
-            words.append(FILLER[int(next(number) * len(FILLER))])
-            left -= len(words[-1]) + 1
-        needle = None
-        if turn in at:
-            needle = f"N{at[turn]:02d}={1000 + int(next(number) * 9000)}"
-            words.insert(len(words) // 2, needle)
-        rows.append((turn + 1, f"e{turn:04d}", ROLES[turn % 3], " ".join(words), needle))
-    return rows
-
-
-def generate(scenarios: DataFrame) -> DataFrame:
-    """Entries of all scenarios (session_id, seed, turns, needles, filler)."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for s in pdf.itertuples(index=False):
-                rows = pd.DataFrame(session_rows(s.seed, s.turns, s.needles, s.filler), columns=["row_id", "entry_id", "role", "text", "needle"])
-                yield rows.assign(session_id=s.session_id)[["session_id", "row_id", "entry_id", "role", "text", "needle"]]
-
-    rows = scenarios.mapInPandas(run, "session_id string, row_id long, entry_id string, role string, text string, needle string")
-    return rows.withColumn("tokens", estimate_tokens(F.col("text")))
+#: What ``plant`` does with six needles, in SQL over a view of messages.
+NEEDLES_SQL = """SELECT m.session_id, m.row_id, m.text, printf('N%02d=%d', k.i, 1000 + (m.row_id * 37 + k.i * 101) % 9000) AS needle
+ FROM fx_tool_messages m LEFT JOIN (SELECT session_id, CAST(floor(i * n / 6.0) AS BIGINT) + 1 AS row_id, max(i) AS i FROM (SELECT session_id, max(row_id) AS n FROM fx_tool_messages GROUP BY 1) t, range(0, 6) r(i) GROUP BY 1, 2) k
+ ON k.session_id = m.session_id AND k.row_id = m.row_id"""
+
+
+def plant(messages: DataFrame, needles: int) -> DataFrame:
+    """Messages with ``needle``: needle i of a session of n rows stands in the middle of row floor(i * n / needles), the last one where several meet.
+
+    Rows are numbered from 1 without gaps. A needle is a name and a value of four digits that follows from row and number.
+    """
+    sizes = messages.groupBy("session_id").agg(F.max("row_id").alias("n"))
+    places = sizes.select("session_id", "n", F.explode(F.sequence(F.lit(0), F.lit(needles - 1))).alias("i"))
+    places = places.groupBy("session_id", (F.floor(F.col("i") * F.col("n") / needles) + 1).alias("row_id")).agg(F.max("i").alias("i"))
+    value = 1000 + (F.col("row_id") * 37 + F.col("i") * 101) % 9000
+    needle = F.when(F.col("i").isNotNull(), F.format_string("N%02d=%d", F.col("i"), value))
+    half = F.floor(F.length("text") / 2).cast("int")
+    joined = messages.join(places, ["session_id", "row_id"], "left").withColumn("needle", needle)
+    text = F.when(F.col("needle").isNull(), F.col("text")).otherwise(F.concat(F.substring("text", F.lit(1), half), F.lit(" "), "needle", F.lit(" "), F.expr("substring(text, cast(floor(length(text) / 2) as int) + 1)")))
+    return joined.withColumn("text", text).withColumn("tokens", estimate_tokens(F.col("text"))).drop("i")
 
 
 def fidelity(entries: DataFrame, budget: int = 2000, target: int = 400) -> DataFrame:

@@ -15,18 +15,23 @@ def ingestible(entries: DataFrame) -> DataFrame:
 
 
 def insert_new(stored: DataFrame, entries: DataFrame) -> DataFrame:
-    """Rows to append: the first of each entry id that is not stored yet, numbered after the session's last row.
+    """Rows to append: one of each entry id that is not stored yet, numbered after the session's last row.
 
-    Keys alone are compared and ranked; texts join by key once, for what is new.
+    Of rows with one id the first counts, and of several at its place that with the smallest role and text. Keys
+    alone are compared and ranked; texts join by key once, for what is new.
     """
     key = ["session_id", "entry_id"]
-    first = ingestible(entries).groupBy(*key).agg(F.min("pos").alias("pos"))
+    good = ingestible(entries)
+    first = good.groupBy(*key).agg(F.min("pos").alias("pos"))
     new = first.join(stored.select(*key), key, "left_anti")
     top = stored.groupBy("session_id").agg(F.max("row_id").alias("top"))
     order = Window.partitionBy("session_id").orderBy("pos")
     numbered = new.withColumn("n", F.row_number().over(order)).join(top, "session_id", "left")
     numbered = numbered.select(*key, "pos", (F.coalesce("top", F.lit(0)) + F.col("n")).cast("long").alias("row_id"))
-    rows = numbered.join(entries, [*key, "pos"])
+    others = [c for c in entries.columns if c not in key]
+    whole = good.select(*key, F.struct(*others).alias("e"))
+    met = numbered.join(whole, key).filter(F.col("e.pos") == F.col("pos")).groupBy(*key).agg(F.first("row_id").alias("row_id"), F.min_by("e", F.struct("e.role", "e.text")).alias("e"))
+    rows = met.select(*key, "row_id", *[F.col(f"e.{c}") for c in others])
     return rows.withColumn("tokens", S.estimate_tokens(F.col("text"))).withColumn("role", S.normalize_role(F.col("role")))
 
 

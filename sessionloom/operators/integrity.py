@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sessionloom.operators.dag import MOST_DEPTH, cut_lineage, with_rows
+from sessionloom.operators.dag import closure, cut_lineage, with_rows
 
 KEY = ["session_id", "first_entry_id", "last_entry_id", "kind"]
 
@@ -44,7 +44,10 @@ def dead_runs(summaries: DataFrame, runs: DataFrame) -> DataFrame:
 
 
 def findings(summaries: DataFrame, messages: DataFrame, provenance: DataFrame, runs: DataFrame) -> DataFrame:
-    """(kind, severity, n, sample): one row for each check that found something."""
+    """(kind, severity, n, sample): one row for each check that found something.
+
+    The checks are planned once; each of 64 parts of a kind keeps its count and ten smallest nodes.
+    """
     checks = {
         "summary-span": bad_spans(summaries, messages),
         "summary-shape": bad_shapes(summaries, messages, provenance),
@@ -53,11 +56,11 @@ def findings(summaries: DataFrame, messages: DataFrame, provenance: DataFrame, r
         "dead-run": dead_runs(summaries, runs),
     }
     named = [f.select(F.lit(kind).alias("kind"), F.concat_ws("#", "session_id", F.col("id").cast("string")).alias("node")) for kind, f in checks.items()]
-    order = Window.partitionBy("kind").orderBy("node")
-    numbered = reduce(DataFrame.unionByName, named)
-    totals = numbered.groupBy("kind").agg(F.count("*").alias("n"))
-    samples = numbered.withColumn("k", F.row_number().over(order)).filter("k <= 10").groupBy("kind").agg(F.array_join(F.sort_array(F.collect_list("node")), ",").alias("sample"))
-    return totals.join(samples, "kind").select("kind", F.lit("error").alias("severity"), "n", "sample")
+    part = Window.partitionBy("kind", "salt")
+    salted = reduce(DataFrame.unionByName, named).withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(64)))
+    numbered = salted.withColumn("k", F.row_number().over(part.orderBy("node"))).withColumn("of", F.count("*").over(part)).filter("k <= 10")
+    found = numbered.groupBy("kind").agg(F.sum(F.when(F.col("k") == 1, F.col("of"))).alias("n"), F.sort_array(F.collect_list("node")).alias("nodes"))  # 640 nodes at most
+    return found.select("kind", F.lit("error").alias("severity"), "n", F.array_join(F.slice("nodes", 1, 10), ",").alias("sample"))
 
 
 def drop_orphan_spans(summaries: DataFrame, messages: DataFrame) -> DataFrame:
@@ -72,16 +75,16 @@ def dedupe_spans(summaries: DataFrame, provenance: DataFrame) -> DataFrame:
     return ranked.filter("n = 1").drop("n", "edges")
 
 
-def drop_orphan_parents(summaries: DataFrame, provenance: DataFrame, most_rounds: int = MOST_DEPTH + 1) -> DataFrame:
-    """Summaries without those that name a missing child, again until none is left."""
-    size = summaries.count()
-    for _ in range(most_rounds):
-        summaries = cut_lineage(summaries.join(orphan_parents(summaries, provenance), ["session_id", "id"], "left_anti"))
-        now = summaries.count()
-        if now == size:
-            break
-        size = now
-    return summaries
+def drop_orphan_parents(summaries: DataFrame, provenance: DataFrame) -> DataFrame:
+    """Summaries without those that name a missing child, and so on upwards until none is left.
+
+    A lost node is one with a missing child, or above one; the closure finds all of them in as many rounds as the
+    depth has binary digits.
+    """
+    edges = provenance.filter("child_type = 'summary'").join(summaries.filter("status = 'committed'").select("session_id", F.col("id").alias("summary_id")), ["session_id", "summary_id"], "left_semi")
+    seeds = cut_lineage(orphan_parents(summaries, provenance)).withColumnRenamed("id", "child")
+    lost = closure(edges).join(seeds, ["session_id", "child"], "left_semi").select("session_id", F.col("node").alias("id")).distinct()
+    return summaries.join(lost, ["session_id", "id"], "left_anti")
 
 
 def reap_pending(summaries: DataFrame, runs: DataFrame) -> DataFrame:

@@ -107,3 +107,10 @@ def newest_rows(log: DataFrame, most: int = 25) -> DataFrame:
 
 def kind_tally(log: DataFrame) -> DataFrame:
     return log.groupBy(F.coalesce("kind", "event").alias("kind")).agg(F.count("*").alias("n"))
+
+
+def recall_use(calls: DataFrame) -> DataFrame:
+    """(tool, calls, hit, miss, error); an outcome that is neither hit nor miss is an error."""
+    n = lambda v: F.count_if(F.coalesce(F.col("outcome"), F.lit("")) == v).alias(v)
+    error = F.count_if(~F.coalesce("outcome", F.lit("")).isin("hit", "miss")).alias("error")
+    return calls.groupBy(F.coalesce("tool", F.lit("(unrecorded)")).alias("tool")).agg(F.count("*").alias("calls"), n("hit"), n("miss"), error)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -57,21 +59,83 @@ def top_per_session(hits: DataFrame, per_session: int = 10, sessions: DataFrame
     return best.join(F.broadcast(newest), "session_id").orderBy(F.desc("when_ms"), "session_id", "rank").limit(most)
 
 
-def regex_scan(messages: DataFrame, pattern: str, after_row: int = 0, scanned_chars: int | None = None, most_matches: int | None = None) -> DataFrame:
+ROLES = ("user", "assistant", "toolResult", "custom")
+
+
+def refused_filter(role: str | None = None, start_ms: float | None = None, end_ms: float | None = None, tool: str | None = None) -> str | None:
+    """Why a search's filters are refused, before anything is read; None where they are sound."""
+    if role is not None and role not in ROLES:
+        return f"unknown role {role!r}; one of {', '.join(ROLES)}"
+    for name, value in (("start_ms", start_ms), ("end_ms", end_ms)):
+        if value is not None and not (isinstance(value, (int, float)) and 0 <= value < float("inf")):
+            return f"{name} must be a time of 0 or later"
+    if tool is not None and not tool.strip():
+        return "a tool has a name"
+    return None
+
+
+def filtered(messages: DataFrame, role: str | None = None, start_ms: float | None = None, end_ms: float | None = None, tool: str | None = None) -> DataFrame:
+    """Messages of a role, a time span and a tool's scope; unsound filters are refused."""
+    if reason := refused_filter(role, start_ms, end_ms, tool):
+        raise ValueError(reason)
+    if tool is not None:
+        messages = messages.join(tool_scope(messages, tool), ["session_id", "row_id"], "left_semi")
+    for condition in (role is not None and F.col("role") == role, start_ms is not None and F.col("ts_ms") >= start_ms, end_ms is not None and F.col("ts_ms") <= end_ms):
+        messages = messages if condition is False else messages.filter(condition)
+    return messages
+
+
+def search_query(messages: DataFrame, query: str) -> DataFrame:
+    """(session_id, row_id) of messages that hold all terms of ``query``; terms may end in ``*``, and quotes make a phrase.
+
+    A query that doesn't read as terms and phrases (an odd quote, a sign of its own) is searched as one phrase; one
+    without any letter or digit is refused.
+    """
+    parts = re.findall(r'"([^"]*)"|(\S+)', query)
+    plain = query.count('"') % 2 == 0 and all(quoted.strip() or re.fullmatch(r"\w+\*?", bare) for quoted, bare in parts)
+    words = lambda text: [w for w in re.split(r"[\W_]+", text.lower()) if w]
+    if not words(query):
+        raise ValueError(f"nothing to search in {query!r}")
+    if not plain:
+        return phrase_hits(messages, words(query))
+    found = None
+    terms = [bare.lower() for quoted, bare in parts if not quoted]
+    if terms:
+        found = ranked_search(messages, terms).select("session_id", "row_id")
+    for phrase in (words(quoted) for quoted, _ in parts if quoted):
+        hits = phrase_hits(messages, phrase)
+        found = hits if found is None else found.join(hits, ["session_id", "row_id"], "left_semi")
+    return found
+
+
+def regex_scan(messages: DataFrame, pattern: str, after_row: int = 0, scanned_chars: int | None = None, most_matches: int | None = None, case_sensitive: bool = False) -> DataFrame:
     """(session_id, row_id, at, matches, partial): first place and number of matches in whole texts.
 
     ``scanned_chars`` scans that many first characters only (``partial`` tells where more follow), ``most_matches`` bounds the count.
+    A pattern that is empty, unreadable or matches the empty string is refused.
     """
     part = F.col("text") if scanned_chars is None else F.substring("text", 1, scanned_chars)
     partial = F.lit(False) if scanned_chars is None else F.length("text") > scanned_chars
-    regex = f"(?i){pattern}"
+    regex = pattern if case_sensitive else f"(?i){pattern}"
+    empty = messages.sparkSession.range(1).select(F.lit("").rlike(regex))
+    if not pattern or empty.first()[0]:
+        raise ValueError(f"pattern {pattern!r} matches the empty string")
     rows = messages.filter((F.col("row_id") > after_row) & part.rlike(regex))
-    at = F.position(F.regexp_substr(part, F.lit(regex)), part) - 1
+    before = rf"{'' if case_sensitive else '(?i)'}^[\s\S]*?(?=(?:{pattern}))"  # all up to the first match, lookarounds included
+    at = F.length(F.regexp_extract(part, before, 0))
     matches = F.regexp_count(part, F.lit(regex))
     matches = matches if most_matches is None else F.least(matches, F.lit(most_matches))
     return rows.select("session_id", "row_id", at.alias("at"), matches.alias("matches"), partial.alias("partial"))
 
 
+def page_of(hits: DataFrame, offset: int = 0, limit: int = 200) -> DataFrame:
+    """A page of each session's hits in row order, with ``more``, whether others follow it; the offset counts hits."""
+    order = Window.partitionBy("session_id").orderBy("row_id")
+    placed = hits.withColumn("k", F.row_number().over(order)).filter((F.col("k") > offset) & (F.col("k") <= offset + limit + 1))
+    more = F.max("k").over(Window.partitionBy("session_id")) > offset + limit
+    return placed.withColumn("more", more).filter(F.col("k") <= offset + limit).drop("k")
+
+
 def tool_scope(messages: DataFrame, tool: str) -> DataFrame:
     """Rows that name the tool, and the results that follow until another row breaks off."""
     named = S.tool_name(F.col("text"), F.col("role"))
@@ -99,8 +163,6 @@ def expand_page(edges: DataFrame, messages: DataFrame, offset: int, limit: int,
 
 
 def query_words(question: str) -> list[str]:
-    import re
-
     return sorted({w for w in re.split(r"[^a-z0-9]+", question.lower()) if len(w) > 2 and w not in S.STOP_WORDS})
 
 

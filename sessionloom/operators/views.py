@@ -32,6 +32,15 @@ def history(frontier: DataFrame, question: str, most: int) -> DataFrame:
     return placed.withColumn("omitted", F.greatest(n - most, F.lit(0))).filter(F.col("place") <= most)
 
 
+def files_manifest(messages: DataFrame, message_files: DataFrame, covered: DataFrame, least: int = 32_000) -> DataFrame:
+    """By session: distinct linked files, those no covered message (session_id, row_id) links, and large texts without a file."""
+    of_covered = message_files.join(covered.select("session_id", "row_id"), ["session_id", "row_id"], "left_semi").select("session_id", "file_id").distinct().withColumn("seen", F.lit(1))
+    files = message_files.select("session_id", "file_id").distinct().join(of_covered, ["session_id", "file_id"], "left")
+    counts = files.groupBy("session_id").agg(F.count("*").alias("files"), F.count_if(F.col("seen").isNull()).alias("uncovered"))
+    large = large_inline(messages, message_files, least).groupBy("session_id").agg(F.count("*").alias("large_inline"))
+    return counts.join(large, "session_id", "full").na.fill(0, ["files", "uncovered", "large_inline"])
+
+
 def large_inline(messages: DataFrame, message_files: DataFrame, least: int = 32_000) -> DataFrame:
     return messages.filter(F.length("text") >= least).join(message_files, ["session_id", "row_id"], "left_anti").select("session_id", "row_id")
 
@@ -84,32 +93,40 @@ def hash_problems(files: DataFrame) -> DataFrame:
 
 
 def replay(requests: DataFrame) -> DataFrame:
-    """(session, pos, outcome) of requests (session, pos, occupancy, swap, recut) where each row's pin comes from the one before.
+    """(session, pos, outcome, reason) of requests (session, pos, occupancy, swap, recut, model, window, tail, blocked).
 
-    Crossing the swap line pins; crossing the recut line while pinned cuts again. That needs the last outcome, so
-    sessions go through one small grouped function.
-    """
+    A request that crosses the swap line, or the recut line while a cut is pinned, tries a new cut: ``blocked`` says why
+    it can't have one (``summary-missing`` kicks a summarizer, anything else bails), null that it swaps, which pins.
+    ``tail`` says why a pinned cut no longer fits the messages; then the request bails and the pin is cleared. A change
+    of model or window clears it before the request.
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf, pinned, out = pdf.sort_values("pos"), False, []
-        for occ, swap, recut in zip(pdf["occupancy"], pdf["swap"], pdf["recut"], strict=True):
-            if pinned:
-                out.append("swap" if occ >= recut else "reapply")
-            else:
-                out.append("swap" if occ >= swap else "quiet")
-            pinned = pinned or occ >= swap
-        return pdf.assign(outcome=out)[["session", "pos", "outcome"]]
-
-    return requests.groupBy("session").applyInPandas(run, "session string, pos long, outcome string")
+    Each row turns the pin on, off or around, or keeps it: what holds before a row is the last row that set it for
+    sure, turned around once for every turning row since.
+    """
+    order = Window.partitionBy("session").orderBy("pos")
+    changed = ~F.lag("model").over(order).eqNullSafe(F.col("model")) | ~F.lag("window").over(order).eqNullSafe(F.col("window"))
+    rows = requests.withColumn("segment", F.sum(changed.cast("long")).over(order))
+    pins, loose = F.coalesce(F.col("occupancy") >= F.col("swap"), F.lit(False)) & F.col("blocked").isNull(), F.col("tail").isNotNull()
+    rows = rows.withColumn("sets", F.when(pins & ~loose, True).when(~pins & loose, False)).withColumn("turns", (pins & loose).cast("long"))
+    inside = Window.partitionBy("session", "segment").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumn("turned", F.sum("turns").over(inside.rowsBetween(Window.unboundedPreceding, 0)))
+    last = F.last(F.when(F.col("sets").isNotNull(), F.struct("sets", "turned")), ignorenulls=True).over(inside)
+    rows = rows.withColumn("last", last)
+    since = F.coalesce("turned", F.lit(0)) - F.col("turns") - F.coalesce("last.turned", F.lit(0))
+    pinned = F.coalesce("last.sets", F.lit(False)) != (since % 2 == 1)
+    tries = F.when(pinned, F.col("occupancy") >= F.col("recut")).otherwise(F.col("occupancy") >= F.col("swap"))
+    outcome = F.when(pinned & loose, "bail").when(~tries, F.when(pinned, "reapply").otherwise("quiet")).when(F.col("blocked") == "summary-missing", "kick").when(F.col("blocked").isNotNull(), "bail").otherwise("swap")
+    reason = F.when(pinned & loose, F.col("tail")).when(tries, F.col("blocked"))
+    return rows.select("session", "pos", outcome.alias("outcome"), reason.alias("reason"))
 
 
 def heal_windows(texts: DataFrame, most_chars: int) -> DataFrame:
-    """(node, window, start, end) of texts cut at the last paragraph, line, sentence or word in a window's last twentieth."""
+    """(node, window, start, end) of texts cut at the last paragraph, line, sentence or word in a window's last twentieth; a null text has none."""
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             rows = []
-            for node, text in zip(pdf["node"], pdf["text"], strict=True):
+            for node, text in zip(pdf["node"], pdf["text"].fillna(""), strict=True):
                 at = n = 0
                 while at < len(text):
                     end = min(len(text), at + most_chars)

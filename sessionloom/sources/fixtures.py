@@ -78,6 +78,21 @@ UNION ALL SELECT session_id, 100, 'summary', 999 FROM fx_summaries WHERE id = 10
 UNION ALL SELECT session_id, 1, 'summary', 100 FROM fx_summaries WHERE id = 100 AND session_id LIKE '%6'
 UNION ALL SELECT session_id, 202, 'message', 1 FROM fx_summaries WHERE id = 1 AND session_id LIKE '%2'""",
 }
+#: Graphs of some depth: a binary tree over the leaves of each session with a cycle in some, and chains, broken at the end in some.
+VIEWS |= {
+    "deep_provenance": """
+SELECT session_id, 1000000 * level + CAST(floor((row_id - 1) / width) AS BIGINT) AS summary_id, 'summary' AS child_type,
+       1000000 * (level - 1) + CAST(floor((row_id - 1) / (width / 2)) AS BIGINT) AS child_id
+FROM fx_tool_messages CROSS JOIN (VALUES (1, 16.0), (2, 32.0), (3, 64.0), (4, 128.0), (5, 256.0)) AS l(level, width)
+GROUP BY session_id, level, CAST(floor((row_id - 1) / width) AS BIGINT), CAST(floor((row_id - 1) / (width / 2)) AS BIGINT)
+UNION ALL SELECT session_id, CAST(floor((row_id - 1) / 8.0) AS BIGINT), 'message', row_id FROM fx_tool_messages
+UNION ALL SELECT session_id, CAST(0 AS BIGINT), 'summary', CAST(3000000 AS BIGINT) FROM fx_tool_messages WHERE row_id = 1 AND session_id LIKE '%7'""",
+    "chain_summaries": """
+SELECT session_id, row_id AS id, CASE WHEN row_id = 30 AND session_id LIKE '%5' THEN 'pending' ELSE 'committed' END AS status FROM fx_tool_messages WHERE row_id <= 40""",
+    "chain_provenance": """
+SELECT session_id, row_id AS summary_id, 'summary' AS child_type, row_id - 1 AS child_id FROM fx_tool_messages
+WHERE row_id <= 40 AND (row_id > 1 OR session_id LIKE '%3' OR session_id LIKE '%5')""",
+}
 BASE = ("conversations", "events", "documents", "orders", "customer")
 
 
