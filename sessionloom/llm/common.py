@@ -20,10 +20,13 @@ from pyspark.sql import types as T
 def work_path(spark: SparkSession, name: str) -> str:
     """A new folder below ``spark.checkpoint.dir``, which all executors share.
 
-    Only where that setting is empty (tests in local mode) is a temporary folder made for the session.
+    Only where that setting is empty in local mode, as in tests, is a temporary folder made for the session; on a cluster
+    that is an error.
     """
     conf = spark.sparkContext.getConf()
     base = conf.get("spark.checkpoint.dir", None) or spark.conf.get("sessionloom.work.dir", None)
+    if not base and not conf.get("spark.master", "").startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     if not base:
         base = "file://" + tempfile.mkdtemp(prefix="sessionloom-")
         spark.conf.set("sessionloom.work.dir", base)

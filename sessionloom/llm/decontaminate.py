@@ -1,7 +1,7 @@
 """Benchmark decontamination by template canonicalisation.
 
 Texts become sequences of template tokens: words in lower case, with typed placeholders for numbers, for units after
-a number and for names (capitalised words within a sentence). Windows of ``WINDOW`` template tokens of documents are
+a number and for names (runs of capitalised words within a sentence). Windows of ``WINDOW`` template tokens of documents are
 hash-joined with those of the benchmark, so a question whose numbers and names were replaced still meets its item.
 Along each alignment of a document with an item the slots must then be consistent: one value of the item stands for
 one value of the document. A document is contaminated by an item when consistent windows cover enough of it.
@@ -99,21 +99,24 @@ class Templates:
     def __init__(self, texts: list[str | None], tokens: Tokens):
         chunks = [(t or "").split() for t in texts]
         hashes, flags = tokens.of(chunks)
-        self.all, self.kept = list(chain.from_iterable(chunks)), np.flatnonzero(flags & EMPTY == 0)
-        hashes, flags = hashes[self.kept], flags[self.kept]
-        self.words, self.title = hashes, flags & TITLE > 0
-        self.doc = np.repeat(np.arange(len(texts)), [len(c) for c in chunks])[self.kept]
-        self.n = np.bincount(self.doc, minlength=len(texts))
-        self.at = np.arange(len(self.doc)) - (np.cumsum(self.n) - self.n)[self.doc]
-        first = self.at == 0
+        self.all, kept = list(chain.from_iterable(chunks)), np.flatnonzero(flags & EMPTY == 0)
+        hashes, flags = hashes[kept], flags[kept]
+        doc = np.repeat(np.arange(len(texts)), [len(c) for c in chunks])[kept]
+        first = np.ones(len(doc), bool)
+        first[1:] = doc[1:] != doc[:-1]
         number, ends = flags & IS_NUMBER > 0, flags & ENDS > 0
         after_number, after_end = np.roll(number, 1) & ~first, np.roll(ends, 1) | first  # of the token before
         unit = (flags & IS_UNIT > 0) & after_number & ~number
         name = (flags & TITLE > 0) & ~after_end & ~number & ~unit
-        self.kind, self.hashes = np.zeros(len(hashes), np.uint8), hashes.copy()
+        starts = np.flatnonzero(~(name & np.roll(name, 1) & ~first))  # a name of several words is one token
+        self.words = np.add.reduceat(mix(hashes), starts) if len(starts) else hashes
+        self.spans, self.doc, self.title = np.append(kept[starts], len(self.all)), doc[starts], (flags & TITLE > 0)[starts]
+        self.n = np.bincount(self.doc, minlength=len(texts))
+        self.at = np.arange(len(self.doc)) - (np.cumsum(self.n) - self.n)[self.doc]
+        self.kind, self.hashes = np.zeros(len(starts), np.uint8), self.words.copy()
         for k, (slot, where) in enumerate((("number", number), ("unit", unit), ("name", name)), 1):
-            self.kind[where] = k
-            self.hashes[where] = _SLOT_HASH[slot]
+            self.kind[where[starts]] = k
+            self.hashes[where[starts]] = _SLOT_HASH[slot]
         self.plain = np.concatenate([[0], np.cumsum(self.kind == 0)])
 
     def n_plain(self, starts: np.ndarray, size: int) -> np.ndarray:
@@ -151,7 +154,10 @@ class Templates:
         return [self.value(start + k) for k in np.flatnonzero(self.kind[start : start + size]).tolist()]
 
     def value(self, token: int) -> str:
-        return self.all[self.kept[token]].strip(OUTER).lower()
+        if self.kind[token] != 3:
+            return self.all[self.spans[token]].strip(OUTER).lower()
+        words = (w.strip(OUTER).lower() for w in self.all[self.spans[token] : self.spans[token + 1]])
+        return " ".join(w for w in words if w)
 
 
 def item_windows(t: Templates, size: int) -> Iterator[tuple[np.ndarray, np.ndarray, int, int, bool]]:

@@ -440,6 +440,81 @@ def test_decontamination_of_items_full_of_slots(spark):
     assert got == {(k, k) for k in items} | {(k + 100, k) for k in items} | {(k + 200, k) for k in other}
 
 
+def brute_contaminated(rows, items):
+    """Every window of an item against every place of a document, token by token."""
+    found = set()
+    for doc_id, text in rows:
+        t = decontaminate.Templates([text], decontaminate.Tokens())
+        for item_id, item in items:
+            u = decontaminate.Templates([item], decontaminate.Tokens())
+            met = []
+            for starts, _, size, kind, named in decontaminate.item_windows(u, decontaminate.WINDOW):
+                for s in starts.tolist():
+                    own = [(int(u.kind[k]), 0 if u.kind[k] and kind != decontaminate.VERBATIM else int(u.words[k])) for k in range(s, s + size)]
+                    if named:
+                        own[0] = (3, 0)
+                    for p in range(len(t.doc) - size + 1):
+                        other = [(int(t.kind[k]), 0 if t.kind[k] and kind != decontaminate.VERBATIM else int(t.words[k])) for k in range(p, p + size)]
+                        if [x[1] for x in own] == [x[1] for x in other] and (kind == decontaminate.VERBATIM or [x[0] for x in own] == [x[0] for x in other]):
+                            mine = [u.value(s)] * named + u.slots(s, size) if kind != decontaminate.VERBATIM else []
+                            met.append((p - s, s, size, list(zip(mine, t.slots(p, size) if kind != decontaminate.VERBATIM else [], strict=True))))
+            covered = set()
+            for shift in {m[0] for m in met}:
+                values = defaultdict(lambda: defaultdict(int))
+                for _, _, _, slots in (m for m in met if m[0] == shift):
+                    for a, b in slots:
+                        values[a][b] += 1
+                total = sum(sum(v.values()) for v in values.values())
+                if not total or sum(max(v.values()) for v in values.values()) >= decontaminate.LEAST_CONSISTENCY * total:
+                    covered |= {k for m in met if m[0] == shift for k in range(m[1], m[1] + m[2])}
+            if len(u.doc) and len(covered) >= decontaminate.LEAST_COVERAGE * len(u.doc):
+                found.add((doc_id, item_id))
+    return found
+
+
+NAMES = ["Tom", "Ann Lee", "Maria", "Bob", "Van Der Berg", "Zoe", "Ravenna", "Oldtown", "Max Otto Kern"]
+FRAMES = [
+    "a train leaves {n0} at {d0} with {d1} boxes of {d2} {u0} each and a driver named {n1} adds {d3} more before it stops",
+    "in the shop of {n0} there are {d0} red and {d1} blue marbles so how many does {n1} hold after {n0} gives away {d0} of them",
+    "if {n0} walks {d0} {u0} every day and {n1} walks {d1} {u0} less then how far do both walk in {d2} weeks together",
+    "What is {d0} plus {d1}?",
+    "{n0} bought {d0} {u0} of rice while {n1} sold {d1} {u0} of it",
+    "the quiet river bends twice behind the old mill and nobody has ever counted the stones there",
+]
+
+
+def filled(frame, r):
+    slots = {f"n{k}": r.choice(NAMES) for k in range(2)} | {f"d{k}": str(r.randint(2, 999)) for k in range(4)} | {"u0": r.choice(["kg", "km", "miles", "litres", "m"])}
+    return frame.format(**slots)
+
+
+def test_decontamination_equals_brute_force(spark):
+    r = random.Random(12)
+    word = lambda: "".join(r.choice("abcdeilmnorst") for _ in range(r.randint(2, 7)))
+    items = [(k, filled(FRAMES[k % len(FRAMES)], r)) for k in range(12)] + [(50, "one two"), (51, "")]
+    rows = []
+    for k in range(60):
+        w = [r.choice([word(), word(), str(r.randint(1, 50)), r.choice(NAMES)]) for _ in range(r.randint(0, 30))]
+        part = r.choice([filled(FRAMES[k % len(FRAMES)], r), r.choice(items)[1], " ".join(filled(r.choice(FRAMES), r).split()[:7])])
+        w.insert(r.randint(0, len(w)), part)
+        rows.append((k, " ".join(w)))
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = {(x["doc_id"], x["item_id"]) for x in decontaminate.contaminated(docs(spark, rows), bench).collect()}
+    assert got == brute_contaminated(rows, items) and len(got) > 30
+
+
+def test_decontamination_finds_items_with_other_values(spark):
+    """Items whose numbers, units and names, of one or several words, are others; clean documents have as many of them."""
+    r = random.Random(4)
+    word = lambda: "".join(r.choice("abcdeilmnorst") for _ in range(r.randint(2, 8)))
+    frames = [" ".join([*(word() for _ in range(r.randint(2, 5))), "{n0}", *(word() for _ in range(r.randint(3, 6))), "{d0}", "{u0}", *(word() for _ in range(r.randint(2, 6))), "{n1}", word(), "{d1}", *(word() for _ in range(r.randint(2, 6)))]) for _ in range(120)]
+    items = [(k, filled(f, r)) for k, f in enumerate(frames)]
+    around = lambda: " ".join(r.choice([word(), word(), word(), str(r.randint(1, 99)), r.choice(NAMES)]) for _ in range(40))
+    rows = [(k, f"{around()} {filled(f, r)} {around()}") for k, f in enumerate(frames)] + [(1000 + k, around() + " " + around()) for k in range(200)]
+    got = {(x["doc_id"], x["item_id"]) for x in decontaminate.contaminated(docs(spark, rows), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert len(got & {(k, k) for k in range(120)}) >= 0.9 * 120 and not [x for x in got if x[0] >= 1000]
+
+
 def test_toxicity_learns_misspellings(spark):
     r = random.Random(4)
     clean = lambda n: [f"{r.choice('bcdfg')}{r.choice('aeiou')}{r.choice('lmnr')}{r.choice('aeiou')}{r.choice('st')}" for _ in range(n)]
