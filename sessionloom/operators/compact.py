@@ -84,6 +84,36 @@ def leaf_sources(messages: DataFrame, chunked: DataFrame, most_tokens: int = CHU
     )
 
 
+def truncated_leaves(messages: DataFrame, chunked: DataFrame, most_tokens: int = CHUNK_TOKENS, tokens: int = LEAF_TOKENS) -> DataFrame:
+    """What ``mechanical_leaves`` makes of ``leaf_sources``, without ever holding a chunk's texts together.
+
+    Lengths tell where each message stands in its chunk's source; only those that reach into the kept head or tail join
+    their texts, a bounded number whatever the chunk's size.
+    """
+    key, most = ["session_id", "row_id"], S.DEFAULT_CHARS_PER_TOKEN * tokens
+    block = F.concat(F.lit("["), "role", F.lit("]\n"), S.clipped(F.col("text"), S.DEFAULT_CHARS_PER_TOKEN * most_tokens))
+    sized = chunked.select(*key, "chunk").join(messages.select(*key, "tokens", "entry_id", F.length(block).cast("long").alias("size")), key)
+    wholes = sized.groupBy("session_id", "chunk").agg(
+        F.min("row_id").alias("first_row"),
+        F.max("row_id").alias("last_row"),
+        F.min_by("entry_id", "row_id").alias("first_entry_id"),
+        F.max_by("entry_id", "row_id").alias("last_entry_id"),
+        F.sum("tokens").alias("source_tokens"),
+        F.coalesce(F.sum(F.col("size") + 2) - 2, F.lit(0)).alias("total"),
+    )
+    upto = Window.partitionBy("session_id", "chunk").orderBy("row_id").rowsBetween(Window.unboundedPreceding, 0)
+    placed = sized.select(*key, "chunk", "size", (F.sum(F.col("size") + 2).over(upto) - 2).alias("end")).withColumn("start", F.col("end") - F.col("size"))
+    near = placed.join(wholes.select("session_id", "chunk", "total"), ["session_id", "chunk"]).filter((F.col("start") < most) | (F.col("end") > F.col("total") - most))
+    pieces = near.select(*key, "chunk", "start").join(messages.select(*key, block.alias("block")), key)
+    held = pieces.groupBy("session_id", "chunk").agg(F.sort_array(F.collect_list(F.struct("row_id", "start", "block"))).alias("held"))
+    joined = lambda parts: F.array_join(F.transform(parts, lambda x: x["block"]), "\n\n")
+    head = F.left(joined(F.filter("held", lambda x: x["start"] < most)), F.lit(most * 7 // 10))
+    cut = F.when(F.col("total") <= most, joined(F.col("held"))).otherwise(F.concat(head, F.lit(S.TRUNCATED), F.right(joined(F.col("held")), F.lit(most * 2 // 10))))
+    text = F.concat(F.lit(PREFIX), F.coalesce(cut, F.lit("")))
+    leaves = wholes.join(held, ["session_id", "chunk"], "left").withColumn("text", text).drop("held", "total")
+    return leaves.withColumn("tokens", S.estimate_tokens(F.col("text"))).withColumn("quality", F.lit("mechanical")).withColumn("level", F.lit(3))
+
+
 def mechanical_leaves(sources: DataFrame, tokens: int = LEAF_TOKENS) -> DataFrame:
     text = F.concat(F.lit(PREFIX), S.deterministic_truncate(F.col("source"), tokens))
     return sources.withColumn("text", text).withColumn("tokens", S.estimate_tokens(text)).withColumn("quality", F.lit("mechanical")).withColumn("level", F.lit(3))
@@ -141,7 +171,7 @@ def render(frontier: DataFrame) -> DataFrame:
 def compact_mechanically(messages: DataFrame, budget: int = CHUNK_TOKENS, leaf_tokens: int = LEAF_TOKENS) -> DataFrame:
     """Leaves of all sessions without a summarizer: chunk, render, truncate."""
     chunked = merge_chunks(chunk_contiguous(messages, budget))
-    return mechanical_leaves(leaf_sources(messages, chunked, budget), leaf_tokens)
+    return truncated_leaves(messages, chunked, budget, leaf_tokens)
 
 
 def condense_counts(frontier: DataFrame, target: int, most_depth: int = MOST_DEPTH, fan_out: int = MOST_FANOUT, node_tokens: int = LEAF_TOKENS) -> DataFrame:

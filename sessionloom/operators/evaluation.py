@@ -34,7 +34,7 @@ def plant(messages: DataFrame, needles: int) -> DataFrame:
 def fidelity(entries: DataFrame, budget: int = 2000, target: int = 400) -> DataFrame:
     """By session: needles, those stored verbatim, those covered by a leaf, and those that leaves still show."""
     chunked = P.merge_chunks(P.chunk_contiguous(entries, budget))
-    leaves = P.mechanical_leaves(P.leaf_sources(entries, chunked, budget), target).select("session_id", "chunk", F.col("text").alias("leaf"))
+    leaves = P.truncated_leaves(entries, chunked, budget, target).select("session_id", "chunk", F.col("text").alias("leaf"))
     planted = entries.filter("needle is not null").join(chunked, ["session_id", "row_id"], "left").join(leaves, ["session_id", "chunk"], "left")
     count = lambda c: F.count_if(F.coalesce(c, F.lit(False)))
     return planted.groupBy("session_id").agg(F.count("*").alias("needles"), count(F.contains("text", "needle")).alias("stored"), count(F.col("leaf").isNotNull()).alias("covered"), count(F.contains("leaf", "needle")).alias("shown"))
@@ -43,7 +43,7 @@ def fidelity(entries: DataFrame, budget: int = 2000, target: int = 400) -> DataF
 def recall(entries: DataFrame, budget: int = 2000, target: int = 400) -> DataFrame:
     """By session: needles, those answered from leaves or else by a term search of the log, and those neither finds."""
     chunked = P.merge_chunks(P.chunk_contiguous(entries, budget))
-    leaves = P.mechanical_leaves(P.leaf_sources(entries, chunked, budget), target).groupBy("session_id").agg(F.collect_list("text").alias("leaves"))
+    leaves = P.truncated_leaves(entries, chunked, budget, target).groupBy("session_id").agg(F.collect_list("text").alias("leaves"))
     asked = entries.filter("needle is not null").select("session_id", "needle")
     name, value = F.substring_index("needle", "=", 1), F.substring_index("needle", "=", -1)
     found = asked.join(leaves, "session_id", "left").withColumn("shown", F.exists("leaves", lambda t: F.contains(t, F.col("needle"))))

@@ -200,3 +200,13 @@ def test_entry_without_training_data(monkeypatch):
 
     monkeypatch.setitem(sys.modules, "corpus_pipeline", None)
     assert entry._training_data() == ({}, {})
+
+
+def test_truncated_leaves_equal_those_of_whole_sources(spark):
+    r = random.Random(6)
+    rows = [(f"s{s}", k, "user", None if r.random() < 0.05 else "w" * r.choice([0, 3, 40, 900, 9000]), f"e{k}", 3, k // r.choice([4, 4, 4])) for s in range(12) for k in range(1, 30)]
+    m = spark.createDataFrame(rows, "session_id string, row_id long, role string, text string, entry_id string, tokens long, chunk long")
+    chunked, columns = m.select("session_id", "row_id", "chunk"), ["session_id", "chunk", "first_row", "last_row", "first_entry_id", "last_entry_id", "source_tokens", "text", "tokens", "quality", "level"]
+    for tokens in (5, 60, 500):
+        whole = P.mechanical_leaves(P.leaf_sources(m.drop("chunk"), chunked, 1000), tokens).select(columns)
+        assert sorted(map(str, P.truncated_leaves(m.drop("chunk"), chunked, 1000, tokens).select(columns).collect())) == sorted(map(str, whole.collect()))
