@@ -71,11 +71,13 @@ def attachments(spark, d):
     return _events(spark, d).select("event_id", A.prompt_text(F.col("event_type"), names).alias("text"))
 
 
-@query("b33_outcomes", "SELECT event_id, CASE event_id % 4 WHEN 0 THEN 'error' WHEN 1 THEN 'refused' WHEN 2 THEN 'miss' ELSE 'hit' END AS outcome FROM events")
+_REPLY = """CASE CAST(regexp_extract(props, '[0-9]+', 0) AS BIGINT) % 6 WHEN 0 THEN upper(event_type) WHEN 1 THEN concat('No ', event_type) WHEN 2 THEN concat('Refused: ', props)
+ WHEN 3 THEN '  ' WHEN 4 THEN concat('nothing ', event_type) ELSE concat(event_type, ' ', props) END"""
+
+
+@query("b33_outcomes", f"SELECT event_id, CASE WHEN lower(r) LIKE 'error%' THEN 'error' WHEN lower(r) LIKE 'refused%' THEN 'refused' WHEN lower(r) LIKE 'no %' OR trim(r) = '' THEN 'miss' ELSE 'hit' END AS outcome FROM (SELECT event_id, {_REPLY} AS r FROM events) q")
 def outcomes(spark, d):
-    i = F.col("event_id") % 4
-    reply = F.when(i == 0, "Error: x").when(i == 1, "refused: budget").when(i == 2, "No matches").otherwise(F.concat(F.lit("found "), "event_type"))
-    return _events(spark, d).select("event_id", A.query_outcome(reply).alias("outcome"))
+    return _events(spark, d).select("event_id", A.query_outcome(F.expr(_REPLY)).alias("outcome"))
 
 
 @query("b34_host_text", "SELECT event_id, CASE WHEN event_type = 'click' THEN concat('$ ', props, chr(10), event_id) ELSE event_type END AS text FROM events")

@@ -33,11 +33,12 @@ def telemetry_files(spark, d):
     return telemetry.parse_rows(telemetry.read_lines(spark, path)).select("ts", "event", "kind", "session", "input")
 
 
-@query("b07_parts", "SELECT event_id, CASE event_id % 4 WHEN 0 THEN event_type WHEN 1 THEN concat('tool-call: ', event_type, ' ', props) WHEN 2 THEN props END AS text FROM events")
+@query("b07_parts", "SELECT event_id, CASE event_type WHEN 'view' THEN props WHEN 'click' THEN concat('tool-call: ', event_type, event_id % 10, ' ', props) WHEN 'purchase' THEN concat('bought ', props) END AS text FROM events")
 def parts(spark, d):
-    i = F.col("event_id") % 4
-    kind = F.when(i == 0, "text").when(i == 1, "tool-call").when(i == 2, "tool-result").otherwise("step")
-    return spark.read.parquet(f"{d}/events.parquet").select("event_id", A.render_part(kind, F.col("event_type"), F.col("props"), F.when(i == 0, F.col("event_type")).otherwise(F.col("props"))).alias("text"))
+    kind = F.when(F.col("event_type") == "view", "text").when(F.col("event_type") == "click", "tool-call").when(F.col("event_type") == "purchase", "tool-result").otherwise("step")
+    name = F.concat("event_type", (F.col("event_id") % 10).cast("string"))
+    text = F.when(kind == "tool-result", F.concat(F.lit("bought "), "props")).otherwise(F.col("props"))
+    return spark.read.parquet(f"{d}/events.parquet").select("event_id", A.render_part(kind, name, F.col("props"), text).alias("text"))
 
 
 @query(
@@ -49,17 +50,21 @@ def structure(spark, d):
     return view(spark, d, "fx_files").select("doc_id", A.structure_line(F.lit("text"), F.col("text")).alias("line"))
 
 
-@query("b28_sanitize", "SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN concat('~/', path) WHEN doc_id % 3 = 1 THEN '<path>' ELSE path END AS path FROM fx_files")
+_RAW = "concat(CASE length(text) % 5 WHEN 0 THEN '/home/me/' WHEN 1 THEN '/var/' WHEN 2 THEN 'D:\\\\' WHEN 3 THEN 'home/me/' ELSE '' END, path)"
+
+
+@query("b28_sanitize", f"SELECT doc_id, CASE WHEN left(raw, 8) = '/home/me' THEN concat('~', substring(raw, 9)) WHEN left(raw, 1) = '/' OR substring(raw, 2, 2) = chr(58) || chr(92) THEN '<path>' ELSE raw END AS path FROM (SELECT doc_id, {_RAW.replace(chr(92) * 2, chr(92))} AS raw FROM fx_files) q")
 def sanitize(spark, d):
-    raw = F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("/home/me/"), "path")).when(F.col("doc_id") % 3 == 1, F.concat(F.lit("/var/"), "path")).otherwise(F.col("path"))
-    return view(spark, d, "fx_files").select("doc_id", A.sanitize_path(raw, "/home/me").alias("path"))
+    return view(spark, d, "fx_files").select("doc_id", A.sanitize_path(F.expr(_RAW), "/home/me").alias("path"))
 
 
-@query("c08_checkpoints", "SELECT session_id, min(turn_no) AS n FROM (SELECT session_id, row_id AS turn_no FROM fx_messages WHERE row_id = 1 AND session_id LIKE '%2') q GROUP BY session_id")
+@query("c08_checkpoints", "SELECT session_id, CAST(length(text) % 4 AS BIGINT) AS n FROM fx_messages WHERE row_id = 1 AND length(text) % 3 > 0 AND length(text) % 5 > 1 AND length(text) % 4 > 0")
 def checkpoint(spark, d):
-    first = F.col("row_id") == 1
-    good = F.col("session_id").like("%2")
-    m = view(spark, d, "fx_messages").select("session_id", F.col("row_id").alias("pos"), F.when(first & (good | F.col("session_id").like("%3")), "compaction").otherwise("text").alias("type"), F.when(good, "done").otherwise("running").alias("status"), F.lit('{"nodes":[1]}').alias("metadata"))
+    """First messages that are compactions or not, finished or not, with none or some nodes, as their lengths have it; later ones all are."""
+    size = F.length("text")
+    nodes = F.when(size % 4 == 0, "").otherwise(F.array_join(F.sequence(F.lit(1), size % 4), ","))
+    kind, status = F.when((size % 3 > 0) | (F.col("row_id") > 1), "compaction").otherwise("text"), F.when(size % 5 == 0, "running").when(size % 5 == 1, "failed").otherwise("done")
+    m = view(spark, d, "fx_messages").select("session_id", F.col("row_id").alias("pos"), kind.alias("type"), status.alias("status"), F.concat(F.lit('{"nodes":['), nodes, F.lit("]}")).alias("metadata"))
     return A.checkpoints(m).select("session_id", F.size("nodes").cast("long").alias("n"))
 
 
