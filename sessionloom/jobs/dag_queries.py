@@ -259,7 +259,8 @@ _FOUND = f"""WITH e AS ({_BAD_ENDS}),
  SELECT kind, 'error' AS severity, n, string_agg(node, ',' ORDER BY node) FILTER (k <= 10) AS sample FROM o GROUP BY kind, n""",
 )
 def found(spark, d):
-    m, s, p = _graph(spark, d, bad=True)
+    """The graph is checkpointed first, so its views are computed once."""
+    m, s, p = map(D.cut_lineage, _graph(spark, d, bad=True))
     return I.findings(s, m, p, spark.createDataFrame([("open",)], "run string"))
 
 

@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sessionloom.operators.dag import closure, cut_lineage, with_rows
 
 KEY = ["session_id", "first_entry_id", "last_entry_id", "kind"]
+_WRONG_SHAPE = "kind = 'leaf' and (depth <> 0 or n_messages = 0) or kind = 'condensed' and n_children = 0 or first_row > last_row"
 
 
 def _kids(provenance: DataFrame) -> DataFrame:
@@ -23,8 +22,7 @@ def bad_spans(summaries: DataFrame, messages: DataFrame) -> DataFrame:
 def bad_shapes(summaries: DataFrame, messages: DataFrame, provenance: DataFrame) -> DataFrame:
     """Leaves that are deep or empty, condensed nodes without children, spans that end before they start."""
     nodes = with_rows(summaries, messages).join(_kids(provenance), ["session_id", "id"], "left").na.fill(0, ["n_messages", "n_children"])
-    wrong = "kind = 'leaf' and (depth <> 0 or n_messages = 0) or kind = 'condensed' and n_children = 0 or first_row > last_row"
-    return nodes.filter(wrong).select("session_id", "id").distinct()
+    return nodes.filter(_WRONG_SHAPE).select("session_id", "id").distinct()
 
 
 def orphan_parents(summaries: DataFrame, provenance: DataFrame) -> DataFrame:
@@ -46,18 +44,24 @@ def dead_runs(summaries: DataFrame, runs: DataFrame) -> DataFrame:
 def findings(summaries: DataFrame, messages: DataFrame, provenance: DataFrame, runs: DataFrame) -> DataFrame:
     """(kind, severity, n, sample): one row for each check that found something.
 
-    The checks are planned once; each of 64 parts of a kind keeps its count and ten smallest nodes.
+    Every node meets its rows, edges, twins and run once and names the checks that it fails; each of 64 parts of a kind
+    keeps its count and ten smallest nodes.
     """
+    key, flag = ["session_id", "id"], F.lit(True)
+    nodes = with_rows(summaries, messages).join(_kids(provenance), key, "left").na.fill(0, ["n_messages", "n_children"])
+    nodes = nodes.join(orphan_parents(summaries, provenance).withColumn("orphan", flag), key, "left").join(runs.select("run").distinct().withColumn("known", flag), "run", "left")
+    nodes = nodes.withColumn("twins", F.count("*").over(Window.partitionBy(*KEY)))
     checks = {
-        "summary-span": bad_spans(summaries, messages),
-        "summary-shape": bad_shapes(summaries, messages, provenance),
-        "orphan-child": orphan_parents(summaries, provenance),
-        "duplicate-span": duplicate_spans(summaries),
-        "dead-run": dead_runs(summaries, runs),
+        "summary-span": F.col("first_row").isNull() | F.col("last_row").isNull(),
+        "summary-shape": F.expr(_WRONG_SHAPE),
+        "orphan-child": F.col("orphan"),
+        "duplicate-span": F.col("twins") > 1,
+        "dead-run": (F.col("status") == "pending") & F.col("known").isNull(),
     }
-    named = [f.select(F.lit(kind).alias("kind"), F.concat_ws("#", "session_id", F.col("id").cast("string")).alias("node")) for kind, f in checks.items()]
+    kinds = F.array_compact(F.array(*[F.when(failed, kind) for kind, failed in checks.items()]))
+    named = nodes.select(F.explode(kinds).alias("kind"), F.concat_ws("#", "session_id", F.col("id").cast("string")).alias("node"))
+    salted = named.withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(64)))
     part = Window.partitionBy("kind", "salt")
-    salted = reduce(DataFrame.unionByName, named).withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(64)))
     numbered = salted.withColumn("k", F.row_number().over(part.orderBy("node"))).withColumn("of", F.count("*").over(part)).filter("k <= 10")
     found = numbered.groupBy("kind").agg(F.sum(F.when(F.col("k") == 1, F.col("of"))).alias("n"), F.sort_array(F.collect_list("node")).alias("nodes"))  # 640 nodes at most
     return found.select("kind", F.lit("error").alias("severity"), "n", F.array_join(F.slice("nodes", 1, 10), ",").alias("sample"))
