@@ -334,8 +334,8 @@ def list_groups(lists: DataFrame, percent: int = PERCENT, block: int = BLOCK) ->
     A member of size n that meets others at its place can link with sizes from ``low`` to ``high`` only. Members
     stand in bands of sizes, those of the list's largest component apart, and bands in blocks. A
     member outside of that component is a query against the blocks of the bands it can link with; two
-    such members meet from the larger band to the smaller one. Rows grow with the queries times the blocks that
-    sizes and places admit, which are few unless very many documents of like size share most of their shingles' frequency order without linking.
+    such members meet from the larger band to the smaller one. Rows grow with the queries times the blocks that sizes
+    and places admit; those are few unless very many documents of like size share their rarest shingles and don't link.
     """
     band_of = lambda n: F.floor(F.log(n.cast("double")) * 16).cast("long")
     by_label = lists.groupBy("hash", "label").agg(F.count("*").alias("c"))
