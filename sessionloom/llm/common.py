@@ -38,7 +38,7 @@ def stored(df: DataFrame, name: str, partition_by: str | None = None) -> DataFra
     spark, path = df.sparkSession, work_path(df.sparkSession, name)
     writer = df.write.option("compression", "zstd")
     (writer.partitionBy(partition_by) if partition_by else writer).parquet(path)
-    return spark.read.schema(df.schema).parquet(path) if partition_by is None else spark.read.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def hot_join(left: DataFrame, right: DataFrame, keys: list[str], count: str, spread_by: list[str], total: int | None = None) -> DataFrame:
