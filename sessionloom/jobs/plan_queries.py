@@ -243,15 +243,57 @@ def shares(spark, d):
     return J.share_chars(rows, 2000)
 
 
+def _heal_sql(levels: int = 6, target: int = 200, most: int = 12) -> str:
+    """Outcomes level by level; the views' graphs have six levels."""
+    judged = f"""CASE WHEN a.source_quality IS NULL OR a.new_level = 3 OR a.new_tokens = 0 OR a.new_tokens > {2 * target} THEN 'failed' WHEN a.expected_tokens <> s.tokens THEN 'changed' WHEN a.source_quality = 'clean' THEN 'repaired' ELSE 'improved' END"""
+    why = f"""CASE WHEN a.source_quality IS NULL THEN 'source-missing' WHEN a.new_level = 3 THEN 'level-3' WHEN a.new_tokens = 0 THEN 'empty' WHEN a.new_tokens > {2 * target} THEN 'oversized' WHEN a.expected_tokens <> s.tokens THEN 'concurrent-change' END"""
+    steps = []
+    for d in range(levels):
+        lower = " UNION ALL ".join(f"SELECT session_id, id, outcome, reason FROM o{k}" for k in range(d)) or "SELECT session_id, id, '' AS outcome, '' AS reason FROM v WHERE false"
+        steps.append(f"""b{d} AS (SELECT e.session_id, e.parent AS id, bool_or(outcome IN ('failed', 'changed') OR outcome = 'blocked' AND reason = 'dependency-failed') AS stuck, bool_or(outcome IN ('repaired', 'improved')) AS renewed
+ FROM e JOIN ({lower}) x ON x.session_id = e.session_id AND x.id = e.id WHERE e.depth = {d} GROUP BY 1, 2),
+ o{d} AS (SELECT *, CASE WHEN stuck THEN 'blocked' WHEN idle THEN 'skipped' WHEN unclean THEN 'blocked' ELSE verdict END AS outcome,
+   CASE WHEN stuck THEN 'dependency-failed' WHEN idle THEN 'clean' WHEN unclean THEN 'source-over-budget' ELSE own_reason END AS reason
+  FROM (SELECT v.*, coalesce(stuck, false) AS stuck, NOT tainted AND NOT coalesce(renewed, false) AS idle, coalesce(source_quality, 'clean') <> 'clean' AND quality <> 'mechanical' AND NOT coalesce(renewed, false) AS unclean
+   FROM v LEFT JOIN b{d} b ON b.session_id = v.session_id AND b.id = v.id WHERE v.depth = {d}) q)""")
+    every = " UNION ALL ".join(f"SELECT * FROM o{d}" for d in range(levels))
+    return f"""WITH RECURSIVE up AS (SELECT session_id, id FROM deep_summaries WHERE quality <> 'clean'
+  UNION SELECT p.session_id, p.summary_id FROM up JOIN deep_provenance p ON p.session_id = up.session_id AND p.child_type = 'summary' AND p.child_id = up.id),
+ v AS (SELECT s.session_id, s.id, s.depth, s.quality, s.quality <> 'clean' AS tainted, a.source_quality, {judged} AS verdict, {why} AS own_reason,
+   row_number() OVER (PARTITION BY s.session_id ORDER BY s.depth, CASE s.quality WHEN 'mechanical' THEN 0 WHEN 'derived' THEN 1 WHEN 'clean' THEN 2 ELSE 3 END, s.id) AS step
+  FROM deep_summaries s JOIN up ON up.session_id = s.session_id AND up.id = s.id LEFT JOIN heal_attempts a ON a.session_id = s.session_id AND a.id = s.id),
+ e AS (SELECT DISTINCT p.session_id, p.child_id AS id, p.summary_id AS parent, n.depth FROM deep_provenance p JOIN v c ON c.session_id = p.session_id AND c.id = p.child_id JOIN v n ON n.session_id = p.session_id AND n.id = p.summary_id
+  WHERE p.child_type = 'summary' AND c.depth < n.depth),
+ {", ".join(steps)},
+ w AS (SELECT *, outcome <> 'skipped' AND coalesce(reason, '') <> 'dependency-failed' AS wanted, outcome IN ('repaired', 'improved', 'changed') OR outcome = 'failed' AND reason <> 'source-missing' AS tried FROM ({every}) q),
+ n AS (SELECT *, coalesce(count(*) FILTER (tried) OVER (PARTITION BY session_id ORDER BY step ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM w),
+ z AS (SELECT session_id, min(step) AS stop FROM n WHERE wanted AND before >= {most} GROUP BY 1),
+ y AS (SELECT n.*, stop, coalesce(step >= stop, false) AS late FROM n LEFT JOIN z USING (session_id)),
+ m AS (SELECT DISTINCT e.session_id, e.parent AS id FROM e JOIN y ON y.session_id = e.session_id AND y.id = e.id WHERE NOT late AND outcome IN ('repaired', 'improved', 'changed')),
+ healed AS (SELECT y.session_id, y.id, y.step, y.tainted, CASE WHEN late THEN 'notAttempted' ELSE outcome END AS outcome, CASE WHEN NOT late THEN reason END AS reason,
+   CASE WHEN NOT late AND outcome = 'repaired' THEN 'clean' WHEN NOT late AND outcome = 'improved' THEN source_quality WHEN quality = 'clean' AND (m.id IS NOT NULL OR wanted AND (NOT late OR step = stop)) THEN 'derived' ELSE quality END AS quality_after
+  FROM y LEFT JOIN m ON m.session_id = y.session_id AND m.id = y.id)"""
+
+
+@query("j08_heal_outcomes", _heal_sql() + " SELECT * FROM healed")
+def outcomes(spark, d):
+    """Graphs of six levels with a cycle in some; at most twelve attempts a session."""
+    s, p, tries = (view(spark, d, n) for n in ("deep_summaries", "deep_provenance", "heal_attempts"))
+    return J.heal_outcomes(s, p, tries, 200, 12).drop("quality")
+
+
+_COUNTED = ", ".join(f"count(*) FILTER (outcome = '{o}') AS {o}" for o in ("repaired", "improved", "failed", "blocked", "skipped", "changed", "notAttempted"))
+
+
 @query(
     "j08_j09_heal_counts",
-    """WITH v AS (SELECT session_id, CASE WHEN id % 11 = 0 THEN 'changed' WHEN id % 4 = 3 OR id * 10 > 160 THEN 'failed' WHEN quality = 'clean' THEN 'improved' ELSE 'repaired' END AS v FROM fx_summaries)
-       SELECT session_id, count(*) AS attempted, count(*) FILTER (v = 'repaired') AS repaired, count(*) FILTER (v = 'improved') AS improved, count(*) FILTER (v = 'failed') AS failed, count(*) FILTER (v = 'changed') AS changed FROM v GROUP BY session_id""",
+    _heal_sql(most=1_000_000)
+    + f""" SELECT session_id, count(*) AS candidates, count(*) FILTER (tainted) AS tainted, count(*) FILTER (outcome IN ('repaired', 'improved', 'changed') OR outcome = 'failed' AND reason <> 'source-missing') AS attempted,
+ count(*) FILTER (reason = 'source-over-budget') AS blockedSource, {_COUNTED} FROM healed GROUP BY session_id""",
 )
 def verdicts(spark, d):
-    s = view(spark, d, "fx_summaries")
-    tries = s.select("session_id", "id", (F.col("tokens") + F.when(F.col("id") % 11 == 0, 1).otherwise(0)).alias("expected_tokens"), (F.col("id") * 10).alias("new_tokens"), F.when(F.col("id") % 4 == 3, 3).otherwise(1).alias("new_level"))
-    return J.heal_counts(J.verdicts(tries, s, 80))
+    s, p, tries = (view(spark, d, n) for n in ("deep_summaries", "deep_provenance", "heal_attempts"))
+    return J.heal_counts(J.heal_outcomes(s, p, tries, 200))
 
 
 @query(

@@ -95,6 +95,27 @@ def closure(provenance: DataFrame) -> DataFrame:
     return paths
 
 
+def above(seeds: DataFrame, edges: DataFrame, longest: int = 16) -> DataFrame:
+    """(session_id, id): the seeds and every node above one, out of edges (session_id, id, parent).
+
+    Steps go upwards from what is new only, so rows follow the part above the seeds. From the third step on they take shortcuts
+    of up to ``longest`` edges, so deep chains take few rounds and shortcuts stay within ``longest`` times the edges. Cycles end.
+    """
+    key = ["session_id", "id"]
+    jumps, hops, steps = cut_lineage(edges.select(*key, "parent").filter("parent is not null").distinct()), 1, 0
+    seen = new = cut_lineage(seeds.select(*key).distinct())
+    while True:
+        up = new.join(jumps, key).select("session_id", F.col("parent").alias("id")).distinct()
+        new = cut_lineage(up.join(seen, key, "left_anti"))
+        if new.isEmpty():
+            return seen
+        seen, steps = seen.unionByName(new), steps + 1
+        if steps > 2 and hops < longest:
+            far = jumps.select("session_id", F.col("id").alias("parent"), F.col("parent").alias("far"))
+            jumps = cut_lineage(jumps.unionByName(jumps.join(far, ["session_id", "parent"]).select(*key, F.col("far").alias("parent"))).distinct())
+            hops *= 2
+
+
 def covered_edges(provenance: DataFrame, paths: DataFrame) -> DataFrame:
     """(session_id, node, summary_id, row_id): the message edges below each node, each once."""
     leaves = provenance.filter("child_type = 'message'").select("session_id", F.col("summary_id").alias("child"), F.col("child_id").alias("row_id"))

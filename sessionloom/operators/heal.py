@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sessionloom.operators.dag import closure
+from sessionloom.operators.dag import above, cut_lineage, visible
 
 RANK = {"mechanical": 0, "derived": 1, "clean": 2, "clipped": 3}
 
@@ -16,9 +18,11 @@ def tainted(summaries: DataFrame) -> DataFrame:
 
 def with_ancestors(seeds: DataFrame, provenance: DataFrame) -> DataFrame:
     """(session_id, id): the seeds and every node above one."""
-    up = closure(provenance).select("session_id", F.col("node").alias("above"), F.col("child").alias("id"))
-    above = up.join(seeds.select("session_id", "id"), ["session_id", "id"]).select("session_id", F.col("above").alias("id"))
-    return above.unionByName(seeds.select("session_id", "id")).distinct()
+    return above(seeds, _parents(provenance))
+
+
+def _parents(provenance: DataFrame) -> DataFrame:
+    return provenance.filter("child_type = 'summary'").select("session_id", F.col("child_id").alias("id"), F.col("summary_id").alias("parent"))
 
 
 def backfill_quality(summaries: DataFrame, provenance: DataFrame) -> DataFrame:
@@ -57,13 +61,74 @@ def share_chars(lengths: DataFrame, budget: int) -> DataFrame:
 
 
 def verdicts(attempts: DataFrame, stored: DataFrame, target: int) -> DataFrame:
-    """changed, failed, repaired or improved for attempts (session_id, id, expected_tokens, new_tokens, new_level)."""
-    both = attempts.join(stored.select("session_id", "id", "tokens", "quality"), ["session_id", "id"])
-    failed = (F.col("new_level") == 3) | (F.col("new_tokens") == 0) | (F.col("new_tokens") > 2 * target)
-    verdict = F.when(F.col("expected_tokens") != F.col("tokens"), "changed").when(failed, "failed").when(F.col("quality") == "clean", "improved").otherwise("repaired")
-    return both.withColumn("verdict", verdict)
+    """Attempts (session_id, id, expected_tokens, new_tokens, new_level, source_quality) with what each would come to, were it made.
+
+    A text of level 3, an empty one and one of over twice the target fail. A node that isn't as expected any more has
+    changed. Otherwise it is repaired where its source is clean, else improved. Without a source the node fails.
+    """
+    both = attempts.join(stored.select("session_id", "id", "tokens"), ["session_id", "id"])
+    reason = F.when(F.col("source_quality").isNull(), "source-missing").when(F.col("new_level") == 3, "level-3").when(F.col("new_tokens") == 0, "empty").when(F.col("new_tokens") > 2 * target, "oversized")
+    verdict = F.when(reason.isNotNull(), "failed").when(F.col("expected_tokens") != F.col("tokens"), "changed").when(F.col("source_quality") == "clean", "repaired").otherwise("improved")
+    return both.withColumn("reason", F.coalesce(reason, F.when(verdict == "changed", "concurrent-change"))).withColumn("verdict", verdict).drop("tokens")
+
 
+def heal_outcomes(summaries: DataFrame, provenance: DataFrame, attempts: DataFrame, target: int, max_nodes: int | None = None) -> DataFrame:
+    """session_id, id, step, tainted, outcome, reason, quality and quality_after of every node of the heal plan.
 
-def heal_counts(judged: DataFrame) -> DataFrame:
-    n = lambda v: F.count_if(F.col("verdict") == v).alias(v)
-    return judged.groupBy("session_id").agg(F.count("*").alias("attempted"), n("repaired"), n("improved"), n("failed"), n("changed"))
+    Nodes are judged level by level, children first. One above a failed or changed node is blocked, and so is
+    whatever stands above it. A clean node without a new child is skipped. A node whose source isn't clean, that isn't mechanical and
+    has no new child, is blocked by its source, which blocks nothing above. The others come to their own verdict; a
+    candidate without an attempt fails. From the first node beyond ``max_nodes`` attempts of a session on nothing is attempted. Clean
+    nodes that were to be repaired and didn't come to it, or whose child got a new text or was changed by others, become derived.
+
+    An edge counts if the child is less deep than the parent, as in every graph without problems; so cycles end. Each
+    level is checkpointed and meets only its own edges.
+    """
+    key = ["session_id", "id"]
+    nodes = summaries.filter(visible())
+    judged = verdicts(attempts, nodes, target).select(*key, "verdict", "source_quality", F.col("reason").alias("own_reason"))
+    plan = cut_lineage(heal_plan(nodes, provenance).select(*key, "depth", "step", "tainted", "quality").join(judged, key, "left"))
+    edges = _parents(provenance).distinct().join(plan.select(*key, F.col("depth").alias("child_depth")), key).join(plan.select("session_id", F.col("id").alias("parent"), "depth"), ["session_id", "parent"])
+    edges = cut_lineage(edges.filter("child_depth < depth").select("session_id", "id", "parent", "depth"))
+    levels: list[DataFrame] = []
+    for (depth,) in plan.select("depth").distinct().orderBy("depth").collect():  # as many rows as levels
+        own = plan.filter(F.col("depth") == depth)
+        if levels:
+            below = edges.filter(F.col("depth") == depth).join(reduce(DataFrame.unionByName, levels).select(*key, "outcome", "reason"), key)
+            stuck = F.col("outcome").isin("failed", "changed") | (F.col("outcome") == "blocked") & (F.col("reason") == "dependency-failed")
+            flags = below.groupBy("session_id", F.col("parent").alias("id")).agg(F.max(stuck).alias("stuck"), F.max(F.col("outcome").isin("repaired", "improved")).alias("renewed"))
+            own = own.join(flags, key, "left").na.fill(False, ["stuck", "renewed"])
+        else:
+            own = own.withColumns({"stuck": F.lit(False), "renewed": F.lit(False)})
+        idle, unclean = ~F.col("tainted") & ~F.col("renewed"), (F.col("source_quality") != "clean") & (F.col("quality") != "mechanical") & ~F.col("renewed")
+        outcome = F.when(F.col("stuck"), "blocked").when(idle, "skipped").when(unclean, "blocked").otherwise(F.coalesce("verdict", F.lit("failed")))
+        reason = F.when(F.col("stuck"), "dependency-failed").when(idle, "clean").when(unclean, "source-over-budget").when(F.col("verdict").isNull(), "source-missing").otherwise(F.col("own_reason"))
+        levels.append(cut_lineage(own.withColumn("outcome", outcome).withColumn("reason", reason)))
+    if not levels:
+        return plan.select(*key, "step", "tainted", F.lit("").alias("outcome"), F.lit("").alias("reason"), "quality", F.col("quality").alias("quality_after"))
+    found = reduce(DataFrame.unionByName, levels).withColumn("wanted", ~F.col("outcome").isin("skipped") & (F.coalesce("reason", F.lit("")) != "dependency-failed"))
+    found = found.withColumn("tried", _tried(F.col("outcome"), F.col("reason"))).withColumn("stop", F.lit(None).cast("long"))
+    if max_nodes is not None:
+        order = Window.partitionBy("session_id").orderBy("step")
+        counted = found.withColumn("before", F.coalesce(F.sum(F.col("tried").cast("int")).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+        first = counted.filter(F.col("wanted") & (F.col("before") >= max_nodes)).groupBy("session_id").agg(F.min("step").alias("stop"))
+        found = counted.drop("stop", "before").join(first, "session_id", "left")
+    late = F.coalesce(F.col("step") >= F.col("stop"), F.lit(False))
+    found = cut_lineage(found.withColumn("late", late))
+    moved = edges.join(found.filter(~F.col("late") & F.col("outcome").isin("repaired", "improved", "changed")).select(*key), key, "left_semi").select("session_id", F.col("parent").alias("id"), F.lit(True).alias("moved")).distinct()
+    stale = (F.col("quality") == "clean") & (F.coalesce("moved", F.lit(False)) | F.col("wanted") & (~F.col("late") | (F.col("step") == F.col("stop"))))
+    after = F.when(~F.col("late") & (F.col("outcome") == "repaired"), "clean").when(~F.col("late") & (F.col("outcome") == "improved"), F.col("source_quality")).when(stale, "derived").otherwise(F.col("quality"))
+    result = found.join(moved, key, "left").withColumn("quality_after", after)
+    return result.select(*key, "step", "tainted", F.when(F.col("late"), "notAttempted").otherwise(F.col("outcome")).alias("outcome"), F.when(~F.col("late"), F.col("reason")).alias("reason"), "quality", "quality_after")
+
+
+def _tried(outcome: Column, reason: Column) -> Column:
+    return outcome.isin("repaired", "improved", "changed") | (outcome == "failed") & (reason != "source-missing")
+
+
+def heal_counts(outcomes: DataFrame) -> DataFrame:
+    """The eleven counts of a heal run by session."""
+    n = lambda o: F.count_if(F.col("outcome") == o).alias(o)
+    by_source = F.count_if((F.col("outcome") == "blocked") & (F.col("reason") == "source-over-budget")).alias("blockedSource")
+    every = [n(o) for o in ("repaired", "improved", "failed", "blocked", "skipped", "changed", "notAttempted")]
+    return outcomes.groupBy("session_id").agg(F.count("*").alias("candidates"), F.count_if("tainted").alias("tainted"), F.count_if(_tried(F.col("outcome"), F.col("reason"))).alias("attempted"), by_source, *every)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sessionloom.operators.dag import closure, cut_lineage, with_rows
+from sessionloom.operators.dag import above, with_rows
 
 KEY = ["session_id", "first_entry_id", "last_entry_id", "kind"]
 _WRONG_SHAPE = "kind = 'leaf' and (depth <> 0 or n_messages = 0) or kind = 'condensed' and n_children = 0 or first_row > last_row"
@@ -82,12 +82,10 @@ def dedupe_spans(summaries: DataFrame, provenance: DataFrame) -> DataFrame:
 def drop_orphan_parents(summaries: DataFrame, provenance: DataFrame) -> DataFrame:
     """Summaries without those that name a missing child, and so on upwards until none is left.
 
-    A lost node is one with a missing child, or above one; the closure finds all of them in as many rounds as the
-    depth has binary digits.
+    A lost node is one with a missing child, or a committed one above; the walk starts at the former.
     """
     edges = provenance.filter("child_type = 'summary'").join(summaries.filter("status = 'committed'").select("session_id", F.col("id").alias("summary_id")), ["session_id", "summary_id"], "left_semi")
-    seeds = cut_lineage(orphan_parents(summaries, provenance)).withColumnRenamed("id", "child")
-    lost = closure(edges).join(seeds, ["session_id", "child"], "left_semi").select("session_id", F.col("node").alias("id")).distinct()
+    lost = above(orphan_parents(summaries, provenance), edges.select("session_id", F.col("child_id").alias("id"), F.col("summary_id").alias("parent")))
     return summaries.join(lost, ["session_id", "id"], "left_anti")
 
 

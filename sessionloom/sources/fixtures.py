@@ -87,6 +87,17 @@ FROM fx_tool_messages CROSS JOIN (VALUES (1, 16.0), (2, 32.0), (3, 64.0), (4, 12
 GROUP BY session_id, level, CAST(floor((row_id - 1) / width) AS BIGINT), CAST(floor((row_id - 1) / (width / 2)) AS BIGINT)
 UNION ALL SELECT session_id, CAST(floor((row_id - 1) / 8.0) AS BIGINT), 'message', row_id FROM fx_tool_messages
 UNION ALL SELECT session_id, CAST(0 AS BIGINT), 'summary', CAST(3000000 AS BIGINT) FROM fx_tool_messages WHERE row_id = 1 AND session_id LIKE '%7'""",
+    "deep_summaries": """
+SELECT session_id, summary_id AS id, CAST(floor(summary_id / 1000000.0) AS INTEGER) AS depth,
+       CASE WHEN summary_id % 1000000 % 9 = 2 THEN 'mechanical' WHEN summary_id % 1000000 % 13 = 4 THEN 'clipped' WHEN summary_id % 1000000 % 17 = 6 THEN 'derived' ELSE 'clean' END AS quality,
+       'committed' AS status, 100 + summary_id % 13 AS tokens
+FROM deep_provenance GROUP BY session_id, summary_id""",
+    "heal_attempts": """
+SELECT session_id, id, tokens + CASE WHEN id % 1000000 % 19 = 2 THEN 1 ELSE 0 END AS expected_tokens,
+       CASE WHEN id % 1000000 % 16 = 3 THEN 0 WHEN id % 1000000 % 21 = 4 THEN 900 ELSE 40 END AS new_tokens,
+       CASE WHEN id % 1000000 % 14 = 11 THEN 3 ELSE 1 END AS new_level,
+       CASE WHEN id % 1000000 % 31 = 6 THEN NULL WHEN id % 1000000 % 3 = 1 THEN 'clipped' WHEN id % 1000000 % 11 = 2 THEN 'derived' ELSE 'clean' END AS source_quality
+FROM deep_summaries WHERE id % 1000000 % 37 <> 5""",
     "chain_summaries": """
 SELECT session_id, row_id AS id, CASE WHEN row_id = 30 AND session_id LIKE '%5' THEN 'pending' ELSE 'committed' END AS status FROM fx_tool_messages WHERE row_id <= 40""",
     "chain_provenance": """
