@@ -113,6 +113,77 @@ def imported(spark, d):
     return C.insert_new(m.filter("row_id <= 2"), rows).select("session_id", "entry_id", "row_id", "role", "tokens")
 
 
+_IMPORT = """WITH kept AS (SELECT * FROM fx_messages WHERE regexp_matches(session_id, '[789]$')),
+ old AS (SELECT * FROM kept WHERE session_id LIKE '%7' AND row_id <= 2),
+ o AS (SELECT s.*, row_number() OVER (PARTITION BY session_id ORDER BY id) - 1 AS ordinal FROM fx_summaries s),
+ known AS (SELECT session_id, first_entry_id, last_entry_id, kind, CAST(41 AS BIGINT) AS id FROM fx_summaries WHERE id = 1 AND session_id LIKE '%7'),
+ n AS (SELECT o.*, k.id AS known FROM o LEFT JOIN known k USING (session_id, first_entry_id, last_entry_id, kind) WHERE regexp_matches(session_id, '[789]$')),
+ ids AS (SELECT *, coalesce(known, CASE WHEN session_id LIKE '%7' THEN 41 ELSE 0 END + count(*) FILTER (known IS NULL) OVER (PARTITION BY session_id ORDER BY depth, ordinal)) AS new_id FROM n)"""
+
+
+def _import(spark, d):
+    """Exported files, each session of some number with one fault, and a store that holds a part of some of them."""
+    m, s, p = map(D.cut_lineage, _graph(spark, d))
+    s = s.withColumn("text", F.when(F.col("id") == 2, "[lcm:truncated] cut").otherwise("as told"))
+    held = m.filter("row_id % 4 = 1").select("session_id", "entry_id", F.concat("session_id", F.lit("/a.txt")).alias("path"), "text")
+    files = held.select("session_id", "path", *S.file_descriptor(F.col("path"), F.col("text")), "entry_id")
+    files = files.groupBy("session_id", "file_id").agg(*[F.first(c).alias(c) for c in ("path", "bytes", "sha256", "kind", "preview")], F.sort_array(F.collect_set("entry_id")).alias("entry_ids"))
+    session = lambda end: F.col("session_id").endswith(end)
+    change = lambda end, kind, pattern, new: (session(end) & (F.col("row_type") == kind), F.regexp_replace("line", pattern, new))
+    lines = H.export_rows(m, s, p, files)
+    faults = (
+        change("0", "file", '"sha256":"', '"sha256":"0'),
+        change("1", "summary", '"children":\\[0', '"children":[99'),
+        change("5", "file", '"entry_ids":\\["', '"entry_ids":["none","'),
+        change("8", "summary", '"quality":"[a-z]*",?', ""),
+    )
+    for hit, new in faults:
+        lines = lines.withColumn("line", F.when(hit, new).otherwise(F.col("line")))
+    twice = lines.filter(session("2") & (F.col("row_type") == "message") & (F.col("ordinal") == 1)).withColumn("line", F.regexp_replace("line", '"text":"', '"text":"another '))
+    numbered = lines.withColumn("line_no", F.col("ordinal")).unionByName(twice.withColumn("line_no", F.lit(1_000_000).cast("long")))
+    parsed = H.split_rows(H.parse_lines(numbered))
+    store = m.filter(session("7") & (F.col("row_id") <= 2) | session("4") & (F.col("row_id") == 1)).withColumn("text", F.when(session("4"), F.concat("text", F.lit("!"))).otherwise(F.col("text")))
+    strange = m.filter(session("3") & (F.col("row_id") == 1)).withColumn("entry_id", F.lit("strange"))
+    nodes = s.filter(session("7") & (F.col("id") == 1)).withColumns({"id": F.lit(41).cast("long"), "run": F.lit(None).cast("string")})
+    open_ = s.filter(session("6") & (F.col("id") == 1)).withColumns({"status": F.lit("pending"), "run": F.lit("open")})
+    return H.import_sessions(parsed, store.unionByName(strange), nodes.unionByName(open_), spark.createDataFrame([("open",)], "run string"))
+
+
+@query(
+    "h05_import_report",
+    _IMPORT
+    + """ SELECT session_id, CASE WHEN session_id LIKE '%0' THEN 'file-hash' WHEN session_id LIKE '%1' AND EXISTS (SELECT 1 FROM fx_condensed c WHERE c.session_id = x.session_id) THEN 'child' WHEN session_id LIKE '%2' THEN 'repeat' WHEN session_id LIKE '%3' THEN 'foreign'
+   WHEN session_id LIKE '%4' THEN 'stored-text' WHEN session_id LIKE '%5' THEN 'file-entry' WHEN session_id LIKE '%6' THEN 'run' END AS refused,
+  CASE WHEN regexp_matches(session_id, '[789]$') OR session_id LIKE '%1' AND NOT EXISTS (SELECT 1 FROM fx_condensed c WHERE c.session_id = x.session_id) THEN rows - CASE WHEN session_id LIKE '%7' THEN least(rows, 2) ELSE 0 END ELSE 0 END AS messages,
+  CASE WHEN session_id LIKE '%7' THEN least(rows, 2) ELSE 0 END AS messages_skipped,
+  CASE WHEN regexp_matches(session_id, '[789]$') OR session_id LIKE '%1' AND NOT EXISTS (SELECT 1 FROM fx_condensed c WHERE c.session_id = x.session_id) THEN nodes - CASE WHEN session_id LIKE '%7' THEN 1 ELSE 0 END ELSE 0 END AS summaries,
+  CASE WHEN session_id LIKE '%7' THEN 1 ELSE 0 END AS summaries_skipped
+ FROM (SELECT session_id, count(*) AS rows, (SELECT count(*) FROM fx_summaries s WHERE s.session_id = m.session_id) AS nodes FROM fx_messages m GROUP BY session_id) x""",
+)
+def import_report(spark, d):
+    return _import(spark, d).report
+
+
+@query("h05_import_summaries", _IMPORT + " SELECT session_id, CAST(new_id AS BIGINT) AS id, kind, depth, CASE WHEN session_id LIKE '%8' THEN CASE WHEN id = 2 THEN 'mechanical' ELSE 'clean' END ELSE quality END AS quality FROM ids WHERE known IS NULL")
+def import_summaries(spark, d):
+    return _import(spark, d).summaries.filter("session_id not like '%1'").select("session_id", "id", "kind", "depth", "quality")
+
+
+@query(
+    "h05_import_edges",
+    _IMPORT
+    + """ SELECT p.session_id, CAST(n.new_id AS BIGINT) AS summary_id, p.child_type, CAST(CASE WHEN p.child_type = 'message' THEN p.child_id ELSE c.new_id END AS BIGINT) AS child_id FROM fx_provenance p JOIN ids n ON n.session_id = p.session_id AND n.id = p.summary_id AND n.known IS NULL
+ LEFT JOIN ids c ON c.session_id = p.session_id AND c.id = p.child_id AND p.child_type = 'summary'""",
+)
+def import_edges(spark, d):
+    return _import(spark, d).edges.filter("session_id not like '%1'")
+
+
+@query("h05_import_links", _IMPORT + " SELECT session_id, row_id, left(sha256(text), 16) AS file_id FROM kept WHERE row_id % 4 = 1")
+def import_links(spark, d):
+    return _import(spark, d).links.filter("session_id not like '%1'")
+
+
 @query(
     "j05_heal_sources",
     """SELECT p.session_id, p.summary_id, string_agg(concat('[', m.role, ']', chr(10), m.text), concat(chr(10), chr(10)) ORDER BY m.row_id) AS source FROM fx_provenance p JOIN fx_messages m ON m.session_id = p.session_id AND m.row_id = p.child_id
