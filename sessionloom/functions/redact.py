@@ -32,8 +32,10 @@ SHAPES = (
     (rf"{_NAME}=[\"']", rf"{_NAME}\s*[:=]\s*[\"']", r"[^\s\"']{8,}"),
     (rf"{_NAME}=\s*", rf"{_NAME}\s*[:=]\s*", r"[A-Za-z0-9_+/\-@#$%^&*!~]{8,}"),
 )
-#: Code points that no text uses stand around what an assignment holds while it is judged.
+#: Code points that stand around what an assignment holds while it is judged; a text that holds one or ``ESCAPE`` has them escaped.
 A, B, C = "\ufdd0", "\ufdd1", "\ufdd2"
+ESCAPE = "\ufdd3"
+_ESCAPED = {ESCAPE: "\ufdd7", A: "\ufdd4", B: "\ufdd5", C: "\ufdd6"}
 
 
 def redact_assignments(text: Column) -> Column:
@@ -63,4 +65,10 @@ def redact(text: Column, enabled: bool = True, redactor: Callable[[Column], Colu
     if redactor is not None:
         return redactor(text)
     done = redact_tokens(text)
-    return F.when(done.rlike(_HINT), redact_assignments(done)).otherwise(done)
+    safe, back = done, lambda t: t
+    for sign, code in _ESCAPED.items():
+        safe = F.replace(safe, F.lit(sign), F.lit(ESCAPE + code))
+    for sign, code in reversed(_ESCAPED.items()):
+        back = (lambda f, sign, code: lambda t: F.replace(f(t), F.lit(ESCAPE + code), F.lit(sign)))(back, sign, code)
+    marked = done.rlike(f"[{A}-{ESCAPE}]")
+    return F.when(done.rlike(_HINT), F.when(marked, back(redact_assignments(safe))).otherwise(redact_assignments(done))).otherwise(done)

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from sessionloom.functions.redact import redact
+
 ROLES = ("user", "assistant", "toolResult", "custom")
 DEFAULT_CHARS_PER_TOKEN = 4
 # Fixed value: how marks in stored texts begin.
@@ -113,8 +117,9 @@ def deterministic_truncate(text: Column, tokens: int) -> Column:
     return F.when(F.length(text) <= most, text).otherwise(cut)
 
 
-def char_window(text: Column, offset: Column, most: int) -> tuple[Column, Column, Column, Column]:
-    """The slice from ``offset``, its end, the total length, and whether more follows."""
+def char_window(text: Column, offset: Column, most: int, payload: Column | None = None, redactor: Callable[[Column], Column] | None = None) -> tuple[Column, Column, Column, Column]:
+    """The slice from ``offset``, its end, the total length, and whether more follows, of a body: ``payload`` where given, else the text, redacted whole."""
+    text = redact(text if payload is None else F.coalesce(payload, text), redactor=redactor)
     total = F.length(text)
     start = F.greatest(F.lit(0), F.least(offset, total))
     end = F.least(start + most, total)
@@ -126,8 +131,9 @@ def clipped(text: Column, most: int) -> Column:
     return F.when(F.length(text) > most, F.concat(F.left(text, F.lit(most)), note)).otherwise(text)
 
 
-def snippet(text: Column, most: int = 400) -> Column:
-    return clipped(trimmed(F.regexp_replace(text, r"(?U)\s+", " ")), most)
+def snippet(text: Column, most: int = 400, redactor: Callable[[Column], Column] | None = None) -> Column:
+    """A text on one line, redacted whole and then cut."""
+    return clipped(redact(trimmed(F.regexp_replace(text, r"(?U)\s+", " ")), redactor=redactor), most)
 
 
 def fmt_tokens(n: Column) -> Column:

@@ -269,20 +269,30 @@ def coverage(spark, d):
 
 
 def _cut_sql(size: int) -> str:
-    """The end of the window that starts at ``start`` and may reach to ``upto``."""
-    low, tail = f"(upto - {size // 20})", f"substring(text, CAST(upto - {size // 20} + 1 AS BIGINT), {size // 20})"
-    at = lambda m, n: f"CASE WHEN contains({tail}, {m}) THEN {low} + length({tail}) - strpos(reverse({tail}), reverse({m})) - {n} + 1 + {n} END"
-    return f"CASE WHEN upto = length(text) THEN upto ELSE coalesce({at('chr(10) || chr(10)', 2)}, {at('chr(10)', 1)}, {at(chr(39) + '. ' + chr(39), 2)}, {at(chr(39) + ' ' + chr(39), 1)}, upto) END"
+    """The end of the slice that starts at ``done``: a marker may begin from 95 % of the size on up to the limit."""
+    low, limit = f"(done + {size * 95 // 100})", f"(done + {size})"
+
+    def behind(sign: str, n: int) -> str:
+        part = f"substring(text, CAST({low} + 1 AS BIGINT), {size - size * 95 // 100 + n})"
+        return f"CASE WHEN contains({part}, {sign}) THEN least({limit}, {low} + length({part}) - strpos(reverse({part}), reverse({sign})) + 1) END"
+
+    return f"CASE WHEN done + {size} >= length(text) THEN length(text) ELSE coalesce({behind('chr(10) || chr(10)', 2)}, {behind('chr(10)', 1)}, {behind(chr(39) + '. ' + chr(39), 2)}, {behind(chr(39) + ' ' + chr(39), 1)}, {limit}) END"
 
 
 @query(
     "j06_heal_windows",
-    f"""WITH RECURSIVE w AS (SELECT doc_id, text, CAST(-1 AS BIGINT) AS n, CAST(0 AS BIGINT) AS start, CAST(0 AS BIGINT) AS done FROM documents WHERE text IS NOT NULL
- UNION ALL SELECT doc_id, text, n + 1, done, CAST({_cut_sql(2000)} AS BIGINT) FROM (SELECT *, least(length(text), done + 2000) AS upto FROM w WHERE done < length(text)) q)
- SELECT doc_id AS node, n AS "window", start, done AS "end" FROM w WHERE n >= 0""",
+    f"""WITH RECURSIVE able AS (SELECT doc_id // 3 AS node FROM documents GROUP BY 1 HAVING sum(length(text)) <= 16000),
+ w AS (SELECT doc_id, text, CAST(-1 AS BIGINT) AS n, CAST(0 AS BIGINT) AS start, CAST(0 AS BIGINT) AS done FROM documents WHERE text IS NOT NULL AND doc_id // 3 IN (SELECT node FROM able)
+ UNION ALL SELECT doc_id, text, n + 1, done, CAST({_cut_sql(2000)} AS BIGINT) FROM w WHERE done < length(text)),
+ s AS (SELECT doc_id // 3 AS node, doc_id AS item, n AS part, start, done AS fin, row_number() OVER (PARTITION BY doc_id // 3 ORDER BY doc_id, n) AS k FROM w WHERE n >= 0),
+ p AS (SELECT *, CAST(0 AS BIGINT) AS pack, fin - start AS fill FROM s WHERE k = 1
+ UNION ALL SELECT s.*, CASE WHEN p.fill + s.fin - s.start > 2000 THEN p.pack + 1 ELSE p.pack END, CASE WHEN p.fill + s.fin - s.start > 2000 THEN s.fin - s.start ELSE p.fill + s.fin - s.start END FROM p JOIN s ON s.node = p.node AND s.k = p.k + 1)
+ SELECT node, item, part, start, fin AS "end", pack AS "window" FROM p WHERE node NOT IN (SELECT node FROM p WHERE pack >= 8)""",
 )
 def windows(spark, d):
-    return V.heal_windows(spark.read.parquet(f"{d}/documents.parquet").select(F.col("doc_id").alias("node"), "text"), 2000)
+    """Three documents a node."""
+    docs = spark.read.parquet(f"{d}/documents.parquet").select(F.floor(F.col("doc_id") / 3).alias("node"), F.col("doc_id").alias("item"), "text")
+    return V.heal_windows(docs, 2000)
 
 
 @query("k10_spend_by_caller", "SELECT session, CAST(sum(input) AS BIGINT) AS input, count(DISTINCT model) AS models, count(*) FILTER (stage = 'blocking') AS blocking FROM fx_metrics WHERE kind = 'summarizer-usage' GROUP BY session")

@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from sessionloom.jobs.dag_queries import _graph
+from sessionloom.jobs.plan_queries import _cuts_sql
 from sessionloom.functions import redact as R
 from sessionloom.functions import scalars as S
 from sessionloom.operators import compact as P
@@ -94,9 +95,8 @@ def chars(spark, d):
 
 @query(
     "g12_projection",
-    """WITH t AS (SELECT *, sum(tokens) OVER (PARTITION BY session_id ORDER BY row_id DESC) AS tail FROM fx_messages), a AS (SELECT session_id, coalesce(max(row_id) FILTER (tail >= 200), min(row_id)) AS reach FROM t GROUP BY 1),
-       c AS (SELECT a.session_id, coalesce(max(t.row_id) FILTER (t.role = 'user' AND t.row_id <= a.reach), any_value(a.reach)) AS cut FROM t JOIN a USING (session_id) GROUP BY a.session_id)
-       SELECT session_id, 0 AS row_id, 'user' AS role FROM fx_summaries GROUP BY session_id UNION ALL SELECT m.session_id, m.row_id, m.role FROM fx_messages m JOIN c USING (session_id) WHERE m.row_id >= c.cut""",
+    f"""WITH {_cuts_sql('fx_messages', 200)}
+       SELECT DISTINCT s.session_id, 0 AS row_id, 'user' AS role FROM fx_summaries s JOIN c ON c.session_id = s.session_id AND cut IS NOT NULL UNION ALL SELECT m.session_id, m.row_id, m.role FROM fx_messages m JOIN c USING (session_id) WHERE cut IS NULL OR m.row_id >= c.cut""",
 )
 def projection(spark, d):
     m, s, p = _graph(spark, d)

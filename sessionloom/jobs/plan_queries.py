@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from sessionloom.functions import scalars as S
 from sessionloom.jobs.dag_queries import _FRONTIER, _graph
+from sessionloom.jobs.scalar_queries import _redact_sql
 from sessionloom.operators import compact as P
 from sessionloom.operators import dag as D
 from sessionloom.operators import heal as J
@@ -58,7 +59,7 @@ def split(spark, d):
     return P.split_by_flag(joined).select("session_id", "row_id", "chunk")
 
 
-_LEAVES = _CHUNKS.format(m="fx_messages", b=1000) + """, j AS (SELECT m.*, c.chunk FROM fx_messages m JOIN c ON c.session_id = m.session_id AND c.row_id = m.row_id),
+_LEAVES = _CHUNKS.format(m="fx_messages", b=1000) + f""", j AS (SELECT m.session_id, m.row_id, m.role, m.tokens, {_redact_sql("m.text")} AS text, c.chunk FROM fx_messages m JOIN c ON c.session_id = m.session_id AND c.row_id = m.row_id),""" + """
  s AS (SELECT session_id, chunk, min(row_id) AS first_row, max(row_id) AS last_row, CAST(sum(tokens) AS BIGINT) AS source_tokens,
    string_agg(concat('[', role, ']', chr(10), CASE WHEN length(text) > 4000 THEN concat(left(text, 4000), '[lcm:more ', length(text) - 4000, ' chars]') ELSE text END), concat(chr(10), chr(10)) ORDER BY row_id) AS source FROM j GROUP BY 1, 2),
  l AS (SELECT *, concat('[lcm:truncated]', chr(10), CASE WHEN length(source) <= 800 THEN source ELSE concat(left(source, 560), chr(10), chr(10), '[…truncated…]', chr(10), chr(10), right(source, 160)) END) AS text FROM s)"""
@@ -121,7 +122,7 @@ def stalls(spark, d):
 @query(
     "f13_render_frontier",
     _FRONTIER
-    + """, texts AS (SELECT session_id, string_agg(concat('[lcm:summary #', id, ' d', depth, ' span ', first_entry_id, '..', last_entry_id, ']', chr(10), quality), concat(chr(10), chr(10)) ORDER BY first_row, last_row DESC, depth DESC, id DESC) AS rendered FROM f GROUP BY session_id)
+    + """, texts AS (SELECT session_id, string_agg(concat('[lcm:summary #', id, ' depth ', depth, ' span ', first_entry_id, '..', last_entry_id, ']', chr(10), quality), concat(chr(10), chr(10)) ORDER BY first_row, last_row DESC, depth DESC, id DESC) AS rendered FROM f GROUP BY session_id)
  SELECT session_id, rendered, CAST(ceil(length(rendered) / 4.0) AS BIGINT) AS tokens FROM texts""",
 )
 def rendered(spark, d):
@@ -160,22 +161,46 @@ def decisions(spark, d):
     return t.select("event_id", G.next_action(occ, F.col("swap"), F.col("recut"), F.col("event_id") % 2 == 0).alias("action"))
 
 
-@query(
-    "g04_cut_index",
-    """WITH t AS (SELECT *, sum(tokens) OVER (PARTITION BY session_id ORDER BY row_id DESC) AS tail FROM fx_messages), a AS (SELECT session_id, coalesce(max(row_id) FILTER (tail >= 200), min(row_id)) AS at FROM t GROUP BY 1)
-       SELECT a.session_id, coalesce(max(t.row_id) FILTER (t.role = 'user' AND t.row_id <= a.at), any_value(a.at)) AS cut FROM t JOIN a USING (session_id) GROUP BY a.session_id""",
-)
+def _cuts_sql(table: str, keep: int) -> str:
+    """Cuts of rows numbered from 0: the point from the tail on, then what is looked for before and behind it."""
+    return f"""n AS (SELECT session_id, row_id, role, row_number() OVER (PARTITION BY session_id ORDER BY row_id) - 1 AS k, sum(coalesce(tokens, 0)) OVER (PARTITION BY session_id ORDER BY row_id DESC) AS tail FROM {table}),
+ i AS (SELECT session_id, coalesce(max(k) FILTER (k > 0 AND tail >= {keep}), 0) AS i FROM n GROUP BY session_id),
+ u AS (SELECT i.session_id, i, (SELECT max(k) FROM n WHERE n.session_id = i.session_id AND k <= i AND role = 'user') AS user_k FROM i),
+ cuts AS (SELECT session_id, CASE WHEN user_k > 0 OR user_k = 0 AND i = 0 THEN user_k WHEN user_k = 0 THEN (SELECT max(k) FROM n WHERE n.session_id = u.session_id AND k BETWEEN 1 AND i AND role <> 'toolResult')
+   ELSE (SELECT min(k) FROM n WHERE n.session_id = u.session_id AND k > i AND role = 'user') END AS k FROM u),
+ c AS (SELECT cuts.session_id, n.row_id AS cut FROM cuts LEFT JOIN n ON n.session_id = cuts.session_id AND n.k = cuts.k)"""
+
+
+@query("g04_cut_index", f"WITH {_cuts_sql('fx_messages', 200)} SELECT session_id, cut FROM c")
 def cuts(spark, d):
     return G.cut_index(view(spark, d, "fx_messages"), 200)
 
 
+@query("g04_cut_index_tools", f"WITH {_cuts_sql('fx_cut_messages', 60)} SELECT session_id, cut FROM c")
+def tool_cuts(spark, d):
+    """Sessions with tool results, some of one user row at the start, in the middle or nowhere, and rows of unknown size."""
+    return G.cut_index(view(spark, d, "fx_cut_messages"), 60)
+
+
 @query(
     "g06_degrade",
-    """WITH b AS (SELECT session_id, row_id, sum(length(text)) OVER (PARTITION BY session_id) AS total, coalesce(sum(greatest(0, length(text) - 200)) OVER (PARTITION BY session_id ORDER BY row_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS saved FROM fx_messages)
-       SELECT session_id, row_id, CASE WHEN ceil((total - saved) / 4.0) > 500 THEN 'stub' ELSE 'rich' END AS tier FROM b""",
+    f"""WITH r AS (SELECT session_id, row_id AS id, row_id % 2 AS depth, entry_id, {_redact_sql('text')} AS text, CASE WHEN row_id % 3 = 0 THEN {_redact_sql("concat(text, ' ', text)")} END AS thorough FROM fx_messages),
+ h AS (SELECT *, concat('[lcm:summary #', id, ' depth ', depth, ' span ', entry_id, '..', entry_id, ']', chr(10)) AS head,
+   concat(left(trim(regexp_replace(text, '\\s+', ' ', 'g')), 200), ' [lcm:stub, ', length(text), ' chars elided; lcm_describe(', id, ') has the full summary]') AS stub FROM r),
+ g AS (SELECT session_id, id, unnest([{{'step': 0, 'body': coalesce(thorough, text)}}, {{'step': 1, 'body': text}}, {{'step': 2, 'body': stub}}]) AS t, head, thorough FROM h),
+ b AS (SELECT session_id, id, t.step AS step, concat(head, t.body) AS body FROM g WHERE t.step <> 1 OR thorough IS NOT NULL),
+ l AS (SELECT *, length(body) - lag(length(body)) OVER (PARTITION BY session_id, id ORDER BY step) AS more FROM b),
+ w AS (SELECT session_id, sum(length(body)) + 2 * (count(*) - 1) AS whole FROM b WHERE step = 0 GROUP BY 1),
+ a AS (SELECT l.session_id, id, step, whole + sum(more) OVER (PARTITION BY l.session_id ORDER BY id, step) AS after FROM l JOIN w ON w.session_id = l.session_id WHERE step > 0),
+ f AS (SELECT w.session_id, CASE WHEN ceil(whole / 4.0) <= 500 THEN [0, 0] ELSE (SELECT min([a.id, a.step]) FROM a WHERE a.session_id = w.session_id AND ceil(after / 4.0) <= 500) END AS stop FROM w),
+ e AS (SELECT b.session_id, b.id, max(b.step) AS step, arg_max(body, b.step) AS rendered FROM b JOIN f USING (session_id) WHERE step = 0 OR stop IS NULL OR [b.id, b.step] <= stop GROUP BY 1, 2)
+ SELECT session_id, id, CASE step WHEN 0 THEN 'rich' WHEN 1 THEN 'terse' ELSE 'stub' END AS tier, rendered FROM e""",
 )
 def degrade(spark, d):
-    return G.degrade(view(spark, d, "fx_messages").withColumn("position", F.col("row_id")), 500).select("session_id", "row_id", "tier")
+    """Messages stand for nodes; every third has a thorough text."""
+    m = view(spark, d, "fx_messages")
+    nodes = m.select("session_id", F.col("row_id").alias("id"), (F.col("row_id") % 2).alias("depth"), F.col("entry_id").alias("first_entry_id"), F.col("entry_id").alias("last_entry_id"), F.col("row_id").alias("position"), "text", F.when(F.col("row_id") % 3 == 0, F.concat("text", F.lit(" "), "text")).alias("thorough"))
+    return G.degrade(nodes, 500).select("session_id", "id", "tier", "rendered")
 
 
 @query(

@@ -46,12 +46,13 @@ def occupancy(spark, d):
 
 @query(
     "k03_swap_cadence",
-    """WITH c AS (SELECT session, cut_count, count(*) AS n, arg_min(ts, pos) AS ts FROM fx_metrics WHERE kind = 'swap-applied' GROUP BY 1, 2),
-       g AS (SELECT *, (ts - lag(ts) OVER (PARTITION BY session ORDER BY ts)) / 60000.0 AS gap FROM c)
-       SELECT session, CAST(sum(n) AS BIGINT) AS applications, count(*) AS boundaries, CAST(median(gap) AS DOUBLE) AS median_minutes FROM g GROUP BY session""",
+    """WITH r AS (SELECT session, ts, row_number() OVER (PARTITION BY session, cut_count ORDER BY pos) = 1 AND pos % 3 <> 0 AS boundary FROM fx_metrics WHERE kind = 'swap-applied'),
+       g AS (SELECT session, ts - lag(ts) OVER (PARTITION BY session ORDER BY ts) AS gap FROM r WHERE boundary), m AS (SELECT session, median(gap) / 60000.0 AS median_minutes FROM g GROUP BY session)
+       SELECT r.session, count(*) AS applications, count(*) FILTER (boundary) AS boundaries, CAST(any_value(median_minutes) AS DOUBLE) AS median_minutes FROM r LEFT JOIN m ON m.session = r.session GROUP BY r.session""",
 )
 def cadence(spark, d):
-    return K.swap_cadence(_log(spark, d))
+    """Every third row says that its boundary isn't distinct."""
+    return K.swap_cadence(_log(spark, d).withColumn("distinct_boundary", F.when(F.col("pos") % 3 == 0, F.lit(False))))
 
 
 @query(
@@ -194,9 +195,9 @@ def phrase(spark, d):
     return E.phrase_hits(view(spark, d, "fx_tool_messages"), ["look", "at"])
 
 
-@query("e08_regex_scan", "SELECT session_id, row_id, length(string_split_regex(text, '(?i)th[ae]\\w+')[1]) AS at, least(len(regexp_extract_all(text, '(?i)th[ae]\\w+')), 100) AS matches, false AS partial FROM fx_messages WHERE regexp_matches(text, '(?i)th[ae]\\w+')")
+@query("e08_regex_scan", "SELECT session_id, row_id, length(string_split_regex(text, '(?i)th[ae]\\w+')[1]) AS at, CAST(len(regexp_extract_all(text, '(?i)th[ae]\\w+')) AS INTEGER) AS matches, false AS partial FROM fx_messages WHERE regexp_matches(text, '(?i)th[ae]\\w+')")
 def scan(spark, d):
-    return E.regex_scan(view(spark, d, "fx_messages"), r"th[ae]\w+", most_matches=100)  # as the SQL
+    return E.regex_scan(view(spark, d, "fx_messages"), r"th[ae]\w+")
 
 
 @query(

@@ -93,7 +93,7 @@ def redact_texts(spark, d):
 
 @query(
     "b11_snippet",
-    """WITH f AS (SELECT doc_id, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS t FROM documents)
+    f"""WITH o AS (SELECT doc_id, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS o FROM documents), f AS (SELECT doc_id, {_redact_sql('o')} AS t FROM o)
        SELECT doc_id, CASE WHEN length(t) > 400 THEN concat(left(t, 400), '[lcm:more ', length(t) - 400, ' chars]') ELSE t END AS line FROM f""",
 )
 def snippets(spark, d):
@@ -102,11 +102,13 @@ def snippets(spark, d):
 
 @query(
     "b12_char_window",
-    """SELECT doc_id, substring(text, CAST(least(doc_id, length(text)) + 1 AS BIGINT), 200) AS slice, least(least(doc_id, length(text)) + 200, length(text)) AS upto,
-       CAST(length(text) AS BIGINT) AS total, least(doc_id, length(text)) + 200 < length(text) AS more FROM documents""",
+    f"""WITH f AS (SELECT doc_id, {_redact_sql("CASE WHEN doc_id % 5 = 0 THEN concat('payload ', source, ' ', text) ELSE text END")} AS text FROM documents)
+       SELECT doc_id, substring(text, CAST(least(doc_id, length(text)) + 1 AS BIGINT), 200) AS slice, least(least(doc_id, length(text)) + 200, length(text)) AS upto,
+       CAST(length(text) AS BIGINT) AS total, least(doc_id, length(text)) + 200 < length(text) AS more FROM f""",
 )
 def windows(spark, d):
-    part, end, total, more = S.char_window(F.col("text"), F.col("doc_id"), 200)
+    payload = F.when(F.col("doc_id") % 5 == 0, F.concat(F.lit("payload "), "source", F.lit(" "), "text"))
+    part, end, total, more = S.char_window(F.col("text"), F.col("doc_id"), 200, payload)
     return spark.read.parquet(f"{d}/documents.parquet").select("doc_id", part.alias("slice"), end.cast("long").alias("upto"), total.cast("long").alias("total"), more.alias("more"))
 
 

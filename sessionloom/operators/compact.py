@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sessionloom.functions import redact as R
 from sessionloom.functions import scalars as S
 
 CHUNK_TOKENS, MOST_CHUNKS, MOST_FANOUT, MOST_DEPTH, LEAF_TOKENS = 3000, 24, 8, 8, 512
@@ -21,7 +22,7 @@ def islands(messages: DataFrame) -> DataFrame:
 
 
 def chunk_contiguous(messages: DataFrame, budget: int = CHUNK_TOKENS) -> DataFrame:
-    """(session_id, row_id, chunk): adjacent rows while their tokens fit; a larger row is a chunk of its own.
+    """(session_id, row_id, chunk): adjacent rows while their tokens fit; a larger row is a chunk of its own, an unknown number counts as 0.
 
     The running sum starts anew at each chunk, which no window can express: (row_id, tokens), without texts, are sorted
     by island and stream through a function that holds the sum only, so a long session needs no more memory than a short one.
@@ -38,7 +39,7 @@ def chunk_contiguous(messages: DataFrame, budget: int = CHUNK_TOKENS) -> DataFra
                 starts.append(first)
             yield pdf.assign(start=starts)[["session_id", "row_id", "start"]]
 
-    rows = islands(messages).select("session_id", "island", "row_id", "tokens")
+    rows = islands(messages).select("session_id", "island", "row_id", F.coalesce("tokens", F.lit(0)).alias("tokens"))
     dealt = rows.repartition("session_id", "island").sortWithinPartitions("session_id", "island", "row_id")
     found = dealt.mapInPandas(cut, "session_id string, row_id long, start long")
     order = Window.partitionBy("session_id").orderBy("start")
@@ -69,11 +70,29 @@ def split_by_flag(chunked: DataFrame, flag: str = "mechanical") -> DataFrame:
     return chunked.withColumn("chunk", F.sum(F.coalesce(changes, F.lit(False)).cast("long")).over(order))
 
 
-def leaf_sources(messages: DataFrame, chunked: DataFrame, most_tokens: int = CHUNK_TOKENS) -> DataFrame:
-    """(session_id, chunk, first/last row, source): each chunk's messages as ``[role]`` blocks, long ones clipped."""
-    joined = chunked.select("session_id", "row_id", "chunk").join(messages.select("session_id", "row_id", "role", "text", "tokens", "entry_id"), ["session_id", "row_id"])
-    one = F.concat(F.lit("["), "role", F.lit("]\n"), S.clipped(F.col("text"), 4 * most_tokens))
-    ordered = F.sort_array(F.collect_list(F.struct("row_id", one.alias("one"))))
+def source_block(columns: list[str], most_chars: int, redactor: Callable[[Column], Column] | None = None) -> Column:
+    """What a summarizer reads of a message: ``[role]`` and its text, redacted whole and then clipped; a file's preview instead, where one is given."""
+    body = S.clipped(R.redact(F.col("text"), redactor=redactor), most_chars)
+    if "preview" in columns:
+        body = F.coalesce(R.redact(F.col("preview"), redactor=redactor), body)
+    return F.concat(F.lit("["), "role", F.lit("]\n"), body)
+
+
+def leaf_sources(messages: DataFrame, chunked: DataFrame, most_tokens: int = CHUNK_TOKENS, redactor: Callable[[Column], Column] | None = None) -> DataFrame:
+    """(session_id, chunk, first/last row, source, source_clipped): each chunk's messages as ``[role]`` blocks, long ones clipped.
+
+    Rows that ``chunked`` marks as ``mechanical`` stay in the span but aren't read, unless all of a chunk's are; a source that
+    leaves out anything is clipped.
+    """
+    flag = F.coalesce("mechanical", F.lit(False)) if "mechanical" in chunked.columns else F.lit(False)
+    columns = ["role", "text", "tokens", "entry_id", *(["preview"] if "preview" in messages.columns else [])]
+    joined = chunked.select("session_id", "row_id", "chunk", flag.alias("noisy")).join(messages.select("session_id", "row_id", *columns), ["session_id", "row_id"])
+    joined = joined.withColumn("read", ~F.col("noisy") | ~F.max(~F.col("noisy")).over(Window.partitionBy("session_id", "chunk")))
+    most = S.DEFAULT_CHARS_PER_TOKEN * most_tokens
+    one, clipped = source_block(columns, most, redactor), F.length(R.redact(F.col("text"), redactor=redactor)) > most
+    if "preview" in columns:
+        clipped = clipped & F.col("preview").isNull()
+    ordered = F.sort_array(F.collect_list(F.when(F.col("read"), F.struct("row_id", one.alias("one")))))
     return joined.groupBy("session_id", "chunk").agg(
         F.min("row_id").alias("first_row"),
         F.max("row_id").alias("last_row"),
@@ -81,6 +100,7 @@ def leaf_sources(messages: DataFrame, chunked: DataFrame, most_tokens: int = CHU
         F.max_by("entry_id", "row_id").alias("last_entry_id"),
         F.sum("tokens").alias("source_tokens"),
         F.array_join(F.transform(ordered, lambda x: x["one"]), "\n\n").alias("source"),
+        F.max(~F.col("read") | clipped).alias("source_clipped"),
     )
 
 
@@ -91,7 +111,7 @@ def truncated_leaves(messages: DataFrame, chunked: DataFrame, most_tokens: int =
     their texts, a bounded number whatever the chunk's size.
     """
     key, most = ["session_id", "row_id"], S.DEFAULT_CHARS_PER_TOKEN * tokens
-    block = F.concat(F.lit("["), "role", F.lit("]\n"), S.clipped(F.col("text"), S.DEFAULT_CHARS_PER_TOKEN * most_tokens))
+    block = source_block(messages.columns, S.DEFAULT_CHARS_PER_TOKEN * most_tokens)
     sized = chunked.select(*key, "chunk").join(messages.select(*key, "tokens", "entry_id", F.length(block).cast("long").alias("size")), key)
     wholes = sized.groupBy("session_id", "chunk").agg(
         F.min("row_id").alias("first_row"),
@@ -160,9 +180,14 @@ def stall_report(frontier: DataFrame, target: int, most_depth: int = MOST_DEPTH)
     return sums.filter(F.col("tokens") > target).withColumn("reason", reason)
 
 
+def header() -> Column:
+    """The line above a node's text (id, depth, first_entry_id, last_entry_id)."""
+    return F.concat(F.lit(f"{S.MARK}summary #"), F.col("id").cast("string"), F.lit(" depth "), F.col("depth").cast("string"), F.lit(" span "), "first_entry_id", F.lit(".."), "last_entry_id", F.lit("]"))
+
+
 def render(frontier: DataFrame) -> DataFrame:
     """One text per session: a header and the text of each node, in order."""
-    head = F.concat(F.lit(f"{S.MARK}summary #"), F.col("id").cast("string"), F.lit(" d"), F.col("depth").cast("string"), F.lit(" span "), "first_entry_id", F.lit(".."), "last_entry_id", F.lit("]\n"), "text")
+    head = F.concat(header(), F.lit("\n"), "text")
     ordered = F.sort_array(F.collect_list(F.struct("position", head.alias("one"))))
     joined = frontier.groupBy("session_id").agg(F.array_join(F.transform(ordered, lambda x: x["one"]), "\n\n").alias("rendered"))
     return joined.withColumn("tokens", S.estimate_tokens(F.col("rendered")))

@@ -29,13 +29,16 @@ def occupancy_dwell(log: DataFrame) -> DataFrame:
 def swap_cadence(log: DataFrame) -> DataFrame:
     """Applications, distinct boundaries and the median minutes between these, by session.
 
-    A boundary is the first row of a cut in log order, unless that row says it isn't distinct.
+    A boundary is the first row of a cut in log order, unless that row's ``distinct_boundary`` is false; later rows of the
+    cut are none either way.
     """
-    swaps = of_kind(log, "swap-applied").select(F.coalesce("session", F.lit("(no session)")).alias("session"), F.coalesce(F.col("cut_count").cast("string"), F.lit("(no cut)")).alias("cut"), F.coalesce("ts", F.lit(0)).alias("ts"), "pos")
-    cuts = swaps.groupBy("session", "cut").agg(F.count("*").alias("n"), F.min_by("ts", "pos").alias("ts"))
-    order = Window.partitionBy("session").orderBy("ts", "cut")
-    gaps = cuts.withColumn("gap", (F.col("ts") - F.lag("ts").over(order)) / 60000)
-    return gaps.groupBy("session").agg(F.sum("n").alias("applications"), F.count("*").alias("boundaries"), F.expr("percentile(gap, 0.5)").alias("median_minutes"))
+    distinct = F.coalesce("distinct_boundary", F.lit(True)) if "distinct_boundary" in log.columns else F.lit(True)
+    swaps = of_kind(log, "swap-applied").select(F.coalesce("session", F.lit("(no session)")).alias("session"), F.coalesce(F.col("cut_count").cast("string"), F.lit("(no cut)")).alias("cut"), F.coalesce("ts", F.lit(0)).alias("ts"), "pos", distinct.alias("new"))
+    cuts = swaps.groupBy("session", "cut").agg(F.count("*").alias("n"), F.min_by(F.struct("ts", "new"), "pos").alias("first"))
+    cuts = cuts.select("session", "cut", "n", F.col("first.new").alias("new"), F.col("first.ts").alias("ts"))
+    order = Window.partitionBy("session", "new").orderBy("ts", "cut")
+    gaps = cuts.withColumn("gap", F.when(F.col("new"), F.col("ts") - F.lag("ts").over(order)) / 60000)
+    return gaps.groupBy("session").agg(F.sum("n").alias("applications"), F.count_if("new").alias("boundaries"), F.expr("percentile(gap, 0.5)").alias("median_minutes"))
 
 
 def cache_economics(log: DataFrame) -> DataFrame:

@@ -120,22 +120,48 @@ def replay(requests: DataFrame) -> DataFrame:
     return rows.select("session", "pos", outcome.alias("outcome"), reason.alias("reason"))
 
 
-def heal_windows(texts: DataFrame, most_chars: int) -> DataFrame:
-    """(node, window, start, end) of texts cut at the last paragraph, line, sentence or word in a window's last twentieth; a null text has none."""
+def slice_end(text: str, start: int, most: int) -> int:
+    """Where the slice from ``start`` of at most ``most`` characters ends: behind the last paragraph, line, sentence or word that begins in its last twentieth or at its limit, never inside a line break."""
+    limit = min(len(text), start + most)
+    if limit == len(text):
+        return limit
+    low = start + most * 95 // 100
+    for sign in ("\n\n", "\n", ". ", " "):
+        at = text.rfind(sign, low, limit + len(sign))
+        if at >= 0:
+            return min(limit, at + len(sign))
+    inside = text[limit - 1] == "\r" and text[limit] == "\n" and limit - 1 > start
+    return limit - 1 if inside else limit
+
+
+def heal_windows(texts: DataFrame, most_chars: int, most_windows: int = 8) -> DataFrame:
+    """(node, item, part, start, end, window): slices of the texts (node, item, text) of each node, packed in order into windows of ``most_chars``.
+
+    A slice that doesn't fit into the current window begins the next. A node that needs more than ``most_windows`` has none, as has
+    one with more characters than these hold, so what stands together in a task is bounded; null and empty
+    texts have no slices. Texts stream through in order and only the window's fill is held.
+    """
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        last, window, fill = None, 0, 0
         for pdf in batches:
             rows = []
-            for node, text in zip(pdf["node"], pdf["text"].fillna(""), strict=True):
-                at = n = 0
+            for node, item, text in zip(pdf["node"], pdf["item"], pdf["text"], strict=True):
+                if node != last:
+                    last, window, fill = node, 0, 0
+                at = part = 0
                 while at < len(text):
-                    end = min(len(text), at + most_chars)
-                    if end < len(text):
-                        low = end - most_chars // 20
-                        found = [k + len(m) for m in ("\n\n", "\n", ". ", " ") if (k := text.rfind(m, low, end)) >= 0]
-                        end = found[0] if found else end
-                    rows.append((node, n, at, end))
-                    at, n = end, n + 1
-            yield pd.DataFrame(rows, columns=["node", "window", "start", "end"])
-
-    return texts.select("node", "text").mapInPandas(cut, "node long, window long, start long, end long")
+                    end = slice_end(text, at, most_chars)
+                    if fill and fill + end - at > most_chars:
+                        window, fill = window + 1, 0
+                    fill += end - at
+                    rows.append((node, item, part, at, end, window))
+                    at, part = end, part + 1
+            yield pd.DataFrame(rows, columns=["node", "item", "part", "start", "end", "window"])
+
+    some = texts.filter(F.length("text") > 0).select("node", "item", "text")
+    able = some.groupBy("node").agg(F.sum(F.length("text")).alias("chars")).filter(F.col("chars") <= most_chars * most_windows).select("node")
+    dealt = some.join(able, "node").repartition("node").sortWithinPartitions("node", "item")
+    found = dealt.mapInPandas(cut, "node long, item long, part long, start long, end long, window long")
+    many = found.filter(F.col("window") >= most_windows).select("node").distinct()
+    return found.join(many, "node", "left_anti")

@@ -25,6 +25,12 @@ FROM (SELECT concat('u', CAST(user_id AS VARCHAR(20))) AS session_id,
                   WHEN 2 THEN concat('value ', props)
                   ELSE concat('tool ', event_type, ' ', props) END AS text
       FROM events) e""",
+    "fx_cut_messages": """
+SELECT session_id, row_id, CASE WHEN session_id LIKE '%1' THEN CASE WHEN row_id = 1 THEN 'user' WHEN row_id % 3 = 0 THEN 'toolResult' ELSE 'assistant' END
+       WHEN session_id LIKE '%2' THEN 'assistant' WHEN session_id LIKE '%3' THEN CASE WHEN row_id = 1 THEN 'user' ELSE 'toolResult' END
+       WHEN session_id LIKE '%4' THEN CASE WHEN row_id % 40 = 39 THEN 'user' ELSE 'assistant' END ELSE role END AS role,
+       CASE WHEN row_id % 11 = 5 THEN NULL ELSE tokens END AS tokens
+FROM fx_tool_messages""",
     "fx_leaves": """
 SELECT session_id, CAST(floor((row_id - 1) / 3.0) AS BIGINT) AS chunk,
        min(row_id) AS lo, max(row_id) AS hi, CAST(sum(tokens) AS BIGINT) AS tokens
@@ -61,7 +67,7 @@ SELECT event_id AS pos, concat('s', CAST(user_id AS VARCHAR(20))) AS session, ev
 FROM events""",
     "fx_files": """
 SELECT doc_id, concat(source, '/', CAST(doc_id AS VARCHAR(20)), CASE doc_id % 4 WHEN 0 THEN '.md' WHEN 1 THEN '.txt' WHEN 2 THEN '.py' ELSE '.csv' END) AS path, text
-FROM documents WHERE length(text) >= 2000""",
+FROM documents""",
 }
 #: Broken summaries and edges, one defect a session, for integrity checks and repairs.
 VIEWS |= {
