@@ -40,7 +40,7 @@ LEAST, LONGEST, TOP, SHARDS = 30, 4, 2000, 3
 CHUNK_WORDS, PLACE_BITS = 500_000, 20
 #: Powers of two: slots of the array of steps at least and at most, and slots for each word by ``LEAST``.
 LEAST_SLOTS, MOST_SLOTS, SLOTS_A_PHRASE = 16, 27, 8
-CHUNKS_A_BUCKET, BUCKETS_A_TASK = 2, 4
+CHUNKS_A_BUCKET = 8
 #: Score of a cut: this times a, by l + r. Containing phrases count from this share of a on, in percent.
 FACTOR, SHARE = 2_000_000, 80
 _BREAK = b"\xff"
@@ -227,13 +227,13 @@ def merge_counts(sent: DataFrame, carried: DataFrame | None, t: int, shards: int
             out.append(row(bucket, "reached", int(slot[0]), {"high": np.packbits(bits).tobytes(), "size": held["size"][new].min().tobytes()}))
         return pa.Table.from_pylist(out, schema=schema)
 
-    return stored(rows.repartition(max(1, buckets // BUCKETS_A_TASK), "bucket").groupBy("bucket").applyInArrow(meet, _STEP), "phrase-step")
+    return stored(rows.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(meet, _STEP), "phrase-step")
 
 
 def count_phrases(table: DataFrame, shards: int = SHARDS, least: int = LEAST, longest: int = LONGEST, slots: int | None = None) -> DataFrame:
     """Rows of ``done`` phrases by bucket: every phrase that occurs ``least`` times, with its count and a chunk that holds it."""
     n, words = table.agg(F.count("*"), F.sum("words")).first()
-    buckets = max(BUCKETS_A_TASK * partitions(table.sparkSession), -(-n // CHUNKS_A_BUCKET))
+    buckets = max(partitions(table.sparkSession), -(-n // CHUNKS_A_BUCKET))
     if slots is None:
         slots = 1 << min(MOST_SLOTS, max(LEAST_SLOTS, (SLOTS_A_PHRASE * (words or 0) // least).bit_length()))
     steps = np.zeros(slots, np.uint8)
