@@ -271,15 +271,54 @@ def recall_use(spark, d):
     return K.recall_use(rows.withColumn("tool", F.col("model")).withColumn("outcome", F.when(p == 0, "hit").when(p == 1, "miss").when(p == 2, "refused")))
 
 
-@query("e07_query_fallback", "SELECT session_id, row_id, 'terms' AS how FROM fx_tool_messages WHERE removed_at_ms IS NULL AND (text LIKE 'tool click %' OR text LIKE '[tool:click]%') UNION ALL SELECT session_id, row_id, 'phrase' FROM fx_tool_messages WHERE text LIKE 'please look at%' UNION ALL SELECT session_id, row_id, 'mixed' FROM fx_tool_messages WHERE removed_at_ms IS NULL AND text LIKE 'please look at%' AND text LIKE '%click%'")
+@query(
+    "e07_query_fallback",
+    """WITH v AS (SELECT * FROM fx_tool_messages WHERE removed_at_ms IS NULL)
+ SELECT session_id, row_id, 'terms' AS how FROM v WHERE text LIKE 'tool click %' OR text LIKE '[tool:click]%' UNION ALL SELECT session_id, row_id, 'phrase' FROM v WHERE text LIKE 'please look at%'
+ UNION ALL SELECT session_id, row_id, 'mixed' FROM v WHERE text LIKE 'please look at%' AND text LIKE '%click%' UNION ALL SELECT session_id, row_id, 'joined' FROM v WHERE regexp_matches(text, 'tool[^a-z0-9]+click')
+ UNION ALL SELECT session_id, row_id, 'removed' FROM fx_tool_messages WHERE text LIKE 'please look at%'""",
+)
 def fallback(spark, d):
-    """Terms; a query with an odd quote and a stray sign, searched as one phrase; a quoted phrase with a term."""
+    """Terms; a query with an odd quote and a stray sign, searched as one phrase; a quoted phrase with a term; a term of two words; removed rows on demand."""
     m = view(spark, d, "fx_tool_messages")
-    found = None
-    for how, text in (("terms", "tool clic*"), ("phrase", '"look at ('), ("mixed", '"look at" click')):
-        hits = E.search_query(m, text).withColumn("how", F.lit(how))
-        found = hits if found is None else found.unionByName(hits)
-    return found
+    found = E.search_query(m, "look at", removed=True).withColumn("how", F.lit("removed"))
+    for how, text in (("terms", "tool clic*"), ("phrase", '"look at ('), ("mixed", '"look at" click'), ("joined", "tool_click")):
+        found = found.unionByName(E.search_query(m, text).withColumn("how", F.lit(how)))
+    return found.select("session_id", "row_id", "how")
+
+
+_BOOLEAN = """WITH t AS (SELECT session_id, row_id, list_filter(regexp_split_to_array(lower(text), '[^\\p{{L}}\\p{{N}}]+'), lambda x: x <> '') AS t FROM {m}),
+ c AS (SELECT session_id, row_id, len(t) AS length, concat(' ', array_to_string(t, '  '), ' ') AS s FROM t),
+ f AS (SELECT session_id, row_id, length, {counts} FROM c),
+ n AS (SELECT session_id, count(*) AS n, avg(length) AS mean, {totals} FROM f GROUP BY 1),
+ h AS (SELECT session_id, row_id, round({score}, 6) AS score FROM f JOIN n USING (session_id) WHERE {holds}),
+ r AS (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY score DESC, row_id) AS rank FROM h)"""
+
+
+def _boolean_sql(table: str, phrases: list[str], ranked: list[int], holds: str) -> str:
+    """Counts of phrases by what is left when they are cut out; terms stand between two blanks each."""
+    ends = lambda p: f" {p.rstrip('*').replace(' ', '  ')}" + ("" if p.endswith("*") else " ")
+    counts = ", ".join(f"(length(s) - length(replace(s, '{ends(p)}', ''))) // {len(ends(p))} AS f{k}" for k, p in enumerate(phrases))
+    totals = ", ".join(f"count(*) FILTER (f{k} > 0) AS n{k}" for k in ranked)
+    score = " + ".join(f"ln(1 + (n - n{k} + 0.5) / (n{k} + 0.5)) * f{k} * 2.2 / (f{k} + 1.2 * (0.25 + 0.75 * length / mean))" for k in ranked)
+    return _BOOLEAN.format(m=table, counts=counts, totals=totals, score=score, holds=holds)
+
+
+@query("e01_boolean", _boolean_sql("fx_messages", ["the", "and", "in th*", "on"], [0, 1, 2], "(f0 > 0 OR f1 > 0 AND f2 > 0) AND f3 = 0") + " SELECT * FROM r WHERE rank > 1 AND rank <= 6")
+def boolean(spark, d):
+    """The second page of five after the first hit, of either term or phrase, without another term."""
+    return E.search_query(view(spark, d, "fx_messages"), '(the OR and AND "in th"*) NOT on', offset=1, limit=5)
+
+
+@query(
+    "e01_covering_leaf",
+    _boolean_sql("fx_messages", ["the", "of"], [0, 1], "f0 > 0 AND f1 > 0")
+    + """, l AS (SELECT p.session_id, p.child_id AS row_id, arg_max(p.summary_id, [-s.depth, p.summary_id]) AS summary_id FROM fx_provenance p JOIN fx_summaries s ON s.session_id = p.session_id AND s.id = p.summary_id WHERE p.child_type = 'message' GROUP BY 1, 2)
+ SELECT r.session_id, r.row_id, score, rank, summary_id FROM r LEFT JOIN l ON l.session_id = r.session_id AND l.row_id = r.row_id WHERE rank <= 10""",
+)
+def with_leaf(spark, d):
+    m, s, p = _graph(spark, d)
+    return E.with_covering_leaf(E.search_query(m, "the of", limit=10), p, s)
 
 
 @query("e09_filtered_search", "SELECT session_id, row_id FROM fx_tool_messages WHERE removed_at_ms IS NULL AND role = 'assistant' AND ts_ms BETWEEN 100000 AND 900000 AND text LIKE '%[tool:click]%'")

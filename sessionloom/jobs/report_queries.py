@@ -190,7 +190,7 @@ def count(spark, d):
     return E.ranked_search(view(spark, d, "fx_messages"), ["the", "on"]).groupBy("session_id").agg(F.count("*").alias("n"))
 
 
-@query("e01_phrase", "SELECT session_id, row_id FROM fx_tool_messages WHERE text LIKE 'please look at%'")
+@query("e01_phrase", "SELECT session_id, row_id FROM fx_tool_messages WHERE text LIKE 'please look at%' AND removed_at_ms IS NULL")
 def phrase(spark, d):
     return E.phrase_hits(view(spark, d, "fx_tool_messages"), ["look", "at"])
 

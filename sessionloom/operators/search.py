@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import re
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sessionloom.functions import scalars as S
+from sessionloom.operators.dag import covering_leaf
 
 K1, B = 1.2, 0.75
 
@@ -18,14 +20,18 @@ def terms_of(text: Column, indexed_chars: int | None = None) -> Column:
     return F.filter(F.split(F.lower(part), r"[^\p{L}\p{N}]+"), lambda t: t != "")
 
 
+def visible_rows(messages: DataFrame, removed: bool = False) -> DataFrame:
+    """Without removed rows, unless these are asked for."""
+    return messages if removed or "removed_at_ms" not in messages.columns else messages.filter("removed_at_ms is null")
+
+
 def ranked_search(messages: DataFrame, terms: list[str], any_term: bool = False, role: str | None = None, removed: bool = False, indexed_chars: int | None = None) -> DataFrame:
     """(session_id, row_id, score): BM25 by session over messages that hold all (or any) terms.
 
     Texts are tokenised where they stand; only counts of the query's terms, one row per hit, and one row of
     totals per session are shuffled. A term ending in ``*`` matches by prefix.
     """
-    own = messages if removed or "removed_at_ms" not in messages.columns else messages.filter("removed_at_ms is null")
-    tokens = own.select("session_id", "row_id", "role", terms_of(F.col("text"), indexed_chars).alias("t"))
+    tokens = visible_rows(messages, removed).select("session_id", "row_id", "role", terms_of(F.col("text"), indexed_chars).alias("t"))
 
     def count(term: str) -> Column:
         hit = (lambda t: t.startswith(term[:-1])) if term.endswith("*") else (lambda t: t == term)
@@ -43,10 +49,10 @@ def ranked_search(messages: DataFrame, terms: list[str], any_term: bool = False,
     return hits.select("session_id", "row_id", F.round(score, 6).alias("score"))
 
 
-def phrase_hits(messages: DataFrame, phrase: list[str], indexed_chars: int | None = None) -> DataFrame:
+def phrase_hits(messages: DataFrame, phrase: list[str], indexed_chars: int | None = None, removed: bool = False) -> DataFrame:
     """Messages that hold the words of a phrase one after the other."""
     joined = F.concat(F.lit("\0"), F.array_join(terms_of(F.col("text"), indexed_chars), "\0"), F.lit("\0"))  # terms are letters and digits
-    return messages.filter(F.contains(joined, F.lit("\0" + "".join(f"{w}\0" for w in phrase)))).select("session_id", "row_id")
+    return visible_rows(messages, removed).filter(F.contains(joined, F.lit("\0" + "".join(f"{w}\0" for w in phrase)))).select("session_id", "row_id")
 
 
 def top_per_session(hits: DataFrame, per_session: int = 10, sessions: DataFrame | None = None, most_sessions: int = 20, most: int = 40) -> DataFrame:
@@ -85,27 +91,126 @@ def filtered(messages: DataFrame, role: str | None = None, start_ms: float | Non
     return messages
 
 
-def search_query(messages: DataFrame, query: str) -> DataFrame:
-    """(session_id, row_id) of messages that hold all terms of ``query``; terms may end in ``*``, and quotes make a phrase.
+class Leaf(NamedTuple):
+    """Terms that follow each other; with ``prefix`` the last one is the beginning of a term."""
+
+    terms: tuple[str, ...]
+    prefix: bool = False
+
+    def count(self, t: Column) -> Column:
+        """How often it stands in the terms ``t``."""
+
+        def here(x: Column, i: Column) -> Column:
+            hit = F.lit(True)
+            for k, term in enumerate(self.terms):
+                word = x if k == 0 else F.get(t, i + k)
+                hit = hit & F.coalesce(F.startswith(word, F.lit(term)) if self.prefix and k == len(self.terms) - 1 else word == term, F.lit(False))
+            return hit
+
+        return F.size(F.filter(t, here))
+
+
+class Both(NamedTuple):
+    """``op`` (AND, OR, NOT) of two parts; NOT means the left one without the right one."""
+
+    op: str
+    left: Leaf | Both
+    right: Leaf | Both
+
+
+def query_terms(text: str) -> tuple[str, ...]:
+    return tuple(w for w in re.split(r"[\W_]+", text.lower()) if w)
 
-    A query that doesn't read as terms and phrases (an odd quote, a sign of its own) is searched as one phrase; one
-    without any letter or digit is refused.
+
+_PIECES = re.compile(r'\s+|"((?:[^"]|"")*)"(\*?)|([()])|(\w+)(\*?)|(.)', re.S)
+#: From loose to tight; words without a sign between them bind tightest.
+_LEVELS = ("OR", "AND", "NOT", "")
+
+
+def read_query(text: str) -> Leaf | Both | None:
+    """A query of terms, ``prefix*``, "phrases", AND, OR, NOT and parentheses; None where it doesn't read as one.
+
+    A term that holds several words, as ``api_key`` does, is a phrase.
+    """
+    pieces: list[str | Leaf] = []
+    for m in _PIECES.finditer(text):
+        quoted, star, bracket, word, word_star, other = m.groups()
+        if other:
+            return None
+        if bracket or word in _LEVELS and not word_star:
+            pieces.append(bracket or word)
+        elif quoted is not None or word:
+            leaf = Leaf(query_terms(quoted if word is None else word), bool(star or word_star))
+            if not leaf.terms:
+                return None
+            pieces.append(leaf)
+
+    def part(level: int) -> Leaf | Both | None:
+        if level == len(_LEVELS):
+            first = pieces.pop(0) if pieces else None
+            if first != "(":
+                return first if isinstance(first, Leaf) else None
+            inside = part(0)
+            return inside if pieces and pieces.pop(0) == ")" else None
+        found = part(level + 1)
+        sign = _LEVELS[level]
+        while found is not None and pieces and (pieces[0] == sign if sign else isinstance(pieces[0], Leaf) or pieces[0] == "("):
+            if sign:
+                pieces.pop(0)
+            right = part(level + 1)
+            found = right and Both(sign or "AND", found, right)
+        return found
+
+    query = part(0)
+    return None if pieces else query
+
+
+def boolean_search(messages: DataFrame, query: Leaf | Both, removed: bool = False, offset: int = 0, limit: int | None = None, indexed_chars: int | None = None) -> DataFrame:
+    """(session_id, row_id, score, rank) of the messages that ``query`` holds for, best first by session; a page of them where a limit is given.
+
+    One pass counts each of the query's phrases in a message; the tree over these counts selects, and BM25 by session ranks by
+    all phrases that aren't excluded. Only counts and totals are shuffled.
     """
-    parts = re.findall(r'"([^"]*)"|(\S+)', query)
-    plain = query.count('"') % 2 == 0 and all(quoted.strip() or re.fullmatch(r"\w+\*?", bare) for quoted, bare in parts)
-    words = lambda text: [w for w in re.split(r"[\W_]+", text.lower()) if w]
-    if not words(query):
+    leaves: list[Leaf] = []
+    ranked: set[Leaf] = set()
+
+    def collect(part: Leaf | Both, counts: bool) -> None:
+        if isinstance(part, Leaf):
+            leaves.extend([part] if part not in leaves else [])
+            ranked.update([part] if counts else [])
+        else:
+            collect(part.left, counts)
+            collect(part.right, counts and part.op != "NOT")
+
+    def holds(part: Leaf | Both) -> Column:
+        if isinstance(part, Leaf):
+            return F.col(f"f{leaves.index(part)}") > 0
+        left, right = holds(part.left), holds(part.right)
+        return left & right if part.op == "AND" else left | right if part.op == "OR" else left & ~right
+
+    collect(query, True)
+    tokens = visible_rows(messages, removed).select("session_id", "row_id", terms_of(F.col("text"), indexed_chars).alias("t"))
+    counted = tokens.select("session_id", "row_id", F.size("t").alias("length"), *[leaf.count(F.col("t")).alias(f"f{k}") for k, leaf in enumerate(leaves)])
+    scored = [k for k, leaf in enumerate(leaves) if leaf in ranked]
+    totals = counted.groupBy("session_id").agg(F.count("*").alias("n"), F.avg("length").alias("mean"), *[F.count_if(F.col(f"f{k}") > 0).alias(f"n{k}") for k in scored])
+    hits = counted.filter(holds(query)).join(totals, "session_id")
+    score = sum((F.log(1 + (F.col("n") - F.col(f"n{k}") + 0.5) / (F.col(f"n{k}") + 0.5)) * F.col(f"f{k}") * (K1 + 1) / (F.col(f"f{k}") + K1 * (1 - B + B * F.col("length") / F.col("mean"))) for k in scored), F.lit(0.0))
+    order = Window.partitionBy("session_id").orderBy(F.desc("score"), "row_id")
+    placed = hits.select("session_id", "row_id", F.round(score, 6).alias("score")).withColumn("rank", F.row_number().over(order))
+    return placed if limit is None else placed.filter((F.col("rank") > offset) & (F.col("rank") <= offset + limit))
+
+
+def search_query(messages: DataFrame, query: str, removed: bool = False, offset: int = 0, limit: int | None = None) -> DataFrame:
+    """``boolean_search`` of a written query; one that doesn't read as such is searched as a phrase, and one without any letter or digit is refused."""
+    words = query_terms(query)
+    if not words:
         raise ValueError(f"nothing to search in {query!r}")
-    if not plain:
-        return phrase_hits(messages, words(query))
-    found = None
-    terms = [bare.lower() for quoted, bare in parts if not quoted]
-    if terms:
-        found = ranked_search(messages, terms).select("session_id", "row_id")
-    for phrase in (words(quoted) for quoted, _ in parts if quoted):
-        hits = phrase_hits(messages, phrase)
-        found = hits if found is None else found.join(hits, ["session_id", "row_id"], "left_semi")
-    return found
+    return boolean_search(messages, read_query(query) or Leaf(words), removed, offset, limit)
+
+
+def with_covering_leaf(hits: DataFrame, provenance: DataFrame, summaries: DataFrame) -> DataFrame:
+    """Hits with ``summary_id`` of the leaf that covers them, null where none does."""
+    return hits.join(covering_leaf(hits, provenance, summaries), ["session_id", "row_id"], "left")
 
 
 def regex_scan(messages: DataFrame, pattern: str, after_row: int = 0, scanned_chars: int | None = None, most_matches: int | None = None, case_sensitive: bool = False) -> DataFrame:
