@@ -106,11 +106,41 @@ def group(spark, d):
     return P.condensation_group(_flat(spark, d), fan_out=2).select("session_id", "position")
 
 
-@query("f10_condense")
+def _condense_sql(target: int, node_tokens: int, fan_out: int = 8, levels: int = 8) -> str:
+    """Frontiers l0, l1, ... after each depth; what is merged at depth k is m<k>."""
+    steps = [_FLAT.replace("WITH f", "f", 1) + """, l0 AS (SELECT f.session_id, position AS id, position, depth, tokens, CAST(position AS VARCHAR(20)) AS a, CAST(position AS VARCHAR(20)) AS b FROM f)"""]
+    for k in range(levels):
+        steps.append(
+            f"""r{k} AS (SELECT *, sum(tokens) OVER (PARTITION BY session_id) AS total, row_number() OVER (PARTITION BY session_id ORDER BY position) - row_number() OVER (PARTITION BY session_id, depth ORDER BY position) AS run FROM l{k}),
+ k{k} AS (SELECT *, (row_number() OVER (PARTITION BY session_id, run ORDER BY position) - 1) // {fan_out} AS part FROM r{k} WHERE depth = {k} AND total > {target}),
+ g{k} AS (SELECT session_id, run, part, any_value(total) AS total, min(position) AS position, sum(tokens) AS source, least({node_tokens}, sum(tokens)) AS tokens, list(id ORDER BY position) AS kids, arg_min(a, position) AS a, arg_max(b, position) AS b FROM k{k} GROUP BY 1, 2, 3 HAVING count(*) > 1),
+ t{k} AS (SELECT *, total - coalesce(sum(source - tokens) OVER (PARTITION BY session_id ORDER BY position ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS have FROM g{k}),
+ m{k} AS (SELECT t.session_id, n.top + row_number() OVER (PARTITION BY t.session_id ORDER BY position) AS id, position, {k + 1} AS depth, tokens, a, b, kids FROM t{k} t JOIN (SELECT session_id, max(id) AS top FROM ({' UNION ALL '.join(['SELECT session_id, id FROM l0', *(f'SELECT session_id, id FROM m{j}' for j in range(k))])}) q GROUP BY 1) n ON n.session_id = t.session_id WHERE have > {target}),
+ l{k + 1} AS (SELECT l.* FROM l{k} l WHERE NOT EXISTS (SELECT 1 FROM m{k} m WHERE m.session_id = l.session_id AND list_contains(m.kids, l.id)) UNION ALL SELECT session_id, id, position, depth, tokens, a, b FROM m{k})"""
+        )
+    return "WITH " + ", ".join(steps) + ", made AS (" + " UNION ALL ".join(f"SELECT * FROM m{k}" for k in range(levels)) + ")"
+
+
+@query("f10_condense", _condense_sql(100, 8) + " SELECT session_id, count(*) AS nodes, CAST(max(depth) AS BIGINT) AS deepest, CAST(sum(tokens) AS BIGINT) AS tokens FROM l8 GROUP BY session_id")
 def condense(spark, d):
     return P.condense_counts(_flat(spark, d), 100, node_tokens=8)
 
 
+def _condensed(spark, d):
+    rows = _flat(spark, d)
+    return P.condense(rows.withColumns({"id": F.col("position"), "quality": F.lit("clean"), "first_entry_id": F.col("position").cast("string"), "last_entry_id": F.col("position").cast("string")}), 100, node_tokens=8)
+
+
+@query("f10_condensed_nodes", _condense_sql(100, 8) + " SELECT session_id, CAST(id AS BIGINT) AS id, CAST(depth AS BIGINT) AS depth, CAST(tokens AS BIGINT) AS tokens, 'mechanical' AS quality, a AS first_entry_id, b AS last_entry_id FROM made")
+def condensed_nodes(spark, d):
+    return _condensed(spark, d).nodes
+
+
+@query("f10_condensed_edges", _condense_sql(100, 8) + " SELECT session_id, CAST(id AS BIGINT) AS summary_id, CAST(unnest(kids) AS BIGINT) AS child_id FROM made")
+def condensed_edges(spark, d):
+    return _condensed(spark, d).edges
+
+
 @query(
     "f12_stalls",
     _FLAT + " SELECT session_id, CAST(sum(tokens) AS BIGINT) AS tokens, min(depth) AS min_depth, count(*) AS nodes, 'no-same-depth-run' AS reason FROM f GROUP BY session_id HAVING sum(tokens) > 300",

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import reduce
+from typing import NamedTuple
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -10,6 +12,7 @@ from pyspark.sql import functions as F
 
 from sessionloom.functions import redact as R
 from sessionloom.functions import scalars as S
+from sessionloom.operators.dag import cut_lineage
 
 CHUNK_TOKENS, MOST_CHUNKS, MOST_FANOUT, MOST_DEPTH, LEAF_TOKENS = 3000, 24, 8, 8, 512
 PREFIX = f"{S.MARK}truncated]\n"
@@ -199,31 +202,81 @@ def compact_mechanically(messages: DataFrame, budget: int = CHUNK_TOKENS, leaf_t
     return truncated_leaves(messages, chunked, budget, leaf_tokens)
 
 
-def condense_counts(frontier: DataFrame, target: int, most_depth: int = MOST_DEPTH, fan_out: int = MOST_FANOUT, node_tokens: int = LEAF_TOKENS) -> DataFrame:
-    """(session_id, nodes, deepest, tokens) after condensing until the frontier fits ``target`` or nothing condenses.
+class Condensed(NamedTuple):
+    """What condensing adds to the graph, and the frontier that is left."""
+
+    nodes: DataFrame  # session_id, id, depth, tokens, quality, first_entry_id, last_entry_id
+    edges: DataFrame  # session_id, summary_id, child_id
+    frontier: DataFrame  # session_id, id, position, depth, tokens, quality, first_entry_id, last_entry_id
+
+
+_NODE = ("session_id", "id", "position", "depth", "tokens", "quality", "first_entry_id", "last_entry_id")
+
 
-    Each round of a session depends on the last, so frontiers without texts go through one grouped function.
+def condense(frontier: DataFrame, target: int, most_depth: int = MOST_DEPTH, fan_out: int = MOST_FANOUT, node_tokens: int = LEAF_TOKENS, summarizer: Callable[[DataFrame], DataFrame] | None = None) -> Condensed:
+    """Condenses the frontiers (columns of ``Condensed.frontier``) of all sessions until each fits ``target`` or nothing condenses.
+
+    The next group is always the first one of the least depth that has a run of two or more, so all groups of a depth come
+    before those of the next, and merging never makes a new run of the same depth. So one round takes a whole depth of
+    all sessions: runs are cut into groups of ``fan_out``, a running sum of what the groups save tells which of them
+    come before their session fits, and these become nodes one deeper, from the first child's start to the last one's end, with ids
+    behind the session's last one in that order. Rounds are as many as depths; each frontier is checkpointed.
+
+    ``summarizer`` turns groups (session_id, group, first_position, child_ids, source_tokens, any_unclean) into the same with ``tokens`` and ``level``,
+    for all groups of a round; without it a node has ``node_tokens`` at most and is mechanical.
     """
+    now = cut_lineage(frontier.select(*_NODE))
+    last = now.groupBy("session_id").agg(F.max("id").alias("last"))
+    made: list[DataFrame] = []
+    order = Window.partitionBy("session_id").orderBy("position")
+    over = lambda: now.groupBy("session_id").agg(F.sum("tokens").alias("total")).filter(F.col("total") > target)
+    open_ = over()
+    for depth in range(most_depth):
+        run = F.sum(F.coalesce(F.lag("depth").over(order) != F.col("depth"), F.lit(False)).cast("long")).over(order)
+        runs = now.join(open_, "session_id")
+        runs = runs.withColumn("run", run).filter(F.col("depth") == depth)
+        placed = runs.withColumn("k", F.row_number().over(Window.partitionBy("session_id", "run").orderBy("position")))
+        group = F.struct(F.col("run"), F.floor((F.col("k") - 1) / fan_out).alias("part"))
+        ends = lambda f, c: f(F.struct("position", c))[c].alias(c)
+        groups = placed.groupBy("session_id", group.alias("group")).agg(
+            F.first("total").alias("total"),
+            F.count("*").alias("n"),
+            F.min("position").alias("first_position"),
+            F.sum("tokens").alias("source_tokens"),
+            F.max(F.coalesce("quality", F.lit("clean")) != "clean").alias("any_unclean"),
+            F.transform(F.sort_array(F.collect_list(F.struct("position", "id"))), lambda x: x["id"]).alias("child_ids"),  # fan_out at most
+            ends(F.min, "first_entry_id"),
+            ends(F.max, "last_entry_id"),
+        )
+        fit = groups.filter("n > 1")
+        told = summarizer(fit) if summarizer else fit.withColumns({"tokens": F.least(F.lit(node_tokens), F.col("source_tokens")).cast("long"), "level": F.lit(3)})
+        inside = Window.partitionBy("session_id").orderBy("first_position")
+        before = F.coalesce(F.sum(F.col("source_tokens") - F.col("tokens")).over(inside.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        # Savings may be negative where a user's text is longer than its source, so the first group that isn't reached ends the walk.
+        reached = F.min((F.col("total") - F.col("before") > target).cast("int")).over(inside) == 1
+        taken = told.withColumn("before", before).withColumn("reached", reached).filter("reached")
+        numbered = taken.join(last, "session_id").withColumn("id", F.col("last") + F.row_number().over(inside))
+        quality = condensed_quality(F.col("level"), F.col("any_unclean"))
+        new = cut_lineage(numbered.select("session_id", "id", F.col("first_position").alias("position"), F.lit(depth + 1).cast(now.schema["depth"].dataType).alias("depth"), "tokens", quality.alias("quality"), "first_entry_id", "last_entry_id", "child_ids"))
+        gone = new.select("session_id", F.explode("child_ids").alias("id"))
+        if not new.isEmpty():
+            now = cut_lineage(now.join(gone, ["session_id", "id"], "left_anti").unionByName(new.select(*_NODE)))
+            last = cut_lineage(last.join(new.groupBy("session_id").agg(F.max("id").alias("new")), "session_id", "left").select("session_id", F.greatest("last", "new").alias("last")))
+            made.append(new)
+        open_ = over()
+        if open_.isEmpty() or now.filter(F.col("depth") > depth).isEmpty():
+            break
+    nodes = reduce(DataFrame.unionByName, made) if made else now.limit(0).withColumn("child_ids", F.array("id"))
+    edges = nodes.select("session_id", F.col("id").alias("summary_id"), F.explode("child_ids").alias("child_id"))
+    return Condensed(nodes.drop("child_ids", "position"), edges, now)
 
-    def loop(pdf: pd.DataFrame) -> pd.DataFrame:
-        nodes = list(pdf.sort_values("position")[["depth", "tokens"]].itertuples(index=False, name=None))
-        while len(nodes) > 1 and sum(t for _, t in nodes) > target:
-            runs, at = [], 0
-            while at < len(nodes):
-                end = at
-                while end < len(nodes) and nodes[end][0] == nodes[at][0]:
-                    end += 1
-                if end - at >= 2 and nodes[at][0] + 1 <= most_depth:
-                    runs.append((nodes[at][0], at, min(end, at + fan_out)))
-                at = end
-            if not runs:
-                break
-            depth, lo, hi = min(runs)
-            merged = min(node_tokens, sum(t for _, t in nodes[lo:hi]))
-            nodes[lo:hi] = [(depth + 1, merged)]
-        return pd.DataFrame({"session_id": [pdf["session_id"].iloc[0]], "nodes": [len(nodes)], "deepest": [max(d for d, _ in nodes)], "tokens": [sum(t for _, t in nodes)]})
-
-    return frontier.select("session_id", "position", "depth", "tokens").groupBy("session_id").applyInPandas(loop, "session_id string, nodes long, deepest long, tokens long")
+
+def condense_counts(frontier: DataFrame, target: int, most_depth: int = MOST_DEPTH, fan_out: int = MOST_FANOUT, node_tokens: int = LEAF_TOKENS) -> DataFrame:
+    """(session_id, nodes, deepest, tokens) of what ``condense`` leaves of frontiers (session_id, position, depth, tokens)."""
+    whole = frontier.select("session_id", "position", "depth", "tokens", F.row_number().over(Window.partitionBy("session_id").orderBy("position")).cast("long").alias("id"))
+    ends = whole.withColumns({"quality": F.lit("clean"), "first_entry_id": F.col("position").cast("string"), "last_entry_id": F.col("position").cast("string")})
+    left = condense(ends, target, most_depth, fan_out, node_tokens).frontier
+    return left.groupBy("session_id").agg(F.count("*").alias("nodes"), F.max("depth").cast("long").alias("deepest"), F.sum("tokens").alias("tokens"))
 
 
 def summarize(rows: DataFrame, function, text: str = "source", into: str = "l1") -> DataFrame:
