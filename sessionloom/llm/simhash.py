@@ -5,15 +5,16 @@ repeats included. Fingerprints of at most ``MOST_BITS`` = 3 differing bits link.
 
 1. ``fingerprints``: one pass over the texts. From here on equal fingerprints are one row.
 2. ``variants``: two segments of 32 bits are few enough that of two linked fingerprints one segment differs by at most one
-   bit. Each segment is indexed under 32 variants, each with one bit deleted, so such segments have an equal variant.
-3. ``links``: an equality join of the variants that several fingerprints share, and the exact distance. A pair is
-   reported by the first segment and the first variant that it agrees in, so once.
-4. Variants that more than ``CROWDED`` fingerprints share, as in large groups of near copies, would make all pairs of a
-   group. Their fingerprints are connected through ``centres`` instead: of three differing bits two lie in one
-   half, so any two linked fingerprints have a centre that is at most one flipped bit away from one of them and at most one bit or
-   two bits of one half away from the other; and whatever is that near to a centre which some fingerprint is at most one bit from
-   is linked with that fingerprint. Each fingerprint meets 65 + 992 centres and a centre at most 65 + 992 fingerprints, so rows grow with
-   the fingerprints, whatever the groups.
+   bit. A segment's one-wildcard variants are what it becomes when one of its bits is deleted, that is, cleared; deleting a
+   bit that is 0 gives the segment itself, so these are one row, and a segment has one variant more than it has ones.
+3. ``variant_links``: an equality join of variants with segments, and the exact distance. Of two segments that differ in one bit, the one
+   in which it is 1 has the other as a variant. A pair is reported by the first segment that finds it, so once.
+4. Segments that more than ``CROWDED`` fingerprints share, as in large groups of near copies, would make all pairs of a
+   group. Fingerprints with such a segment, or one a bit from it, are connected through ``centres`` instead: of three differing
+   bits two lie in one half, so any two linked fingerprints have a centre that is at most one flipped bit away from one of them and at most
+   one bit, or two bits of one half, away from the other; and whatever is that near to a centre which some fingerprint is at most one bit
+   from is linked with that fingerprint. Each fingerprint meets 65 + 992 centres and a centre at most 65 + 992 fingerprints, so rows
+   grow with the fingerprints, whatever the groups.
 5. Links are closed to components (``ngram_join.components``).
 
 Nulls: a null text, or one without words, has fingerprint zero and links like any other; a text of fewer than three words
@@ -78,26 +79,25 @@ def _half(fp: Column, half: int) -> Column:
     return F.shiftrightunsigned(fp, 32) if half else fp.bitwiseAND(F.lit((1 << HALF) - 1))
 
 
-def variants(fps: DataFrame) -> DataFrame:
-    """(key, fp): each half of each ``fp`` with one of its bits deleted; the key also holds which half and which bit."""
-    key = lambda half, bit: F.lit(((half * HALF + bit) << HALF)) + _half(F.col("fp"), half).bitwiseAND(F.lit((1 << HALF) - 1 - (1 << bit)))
-    return fps.select(F.explode(F.array(*[key(half, bit) for half in (0, 1) for bit in range(HALF)])).alias("key"), "fp")
+def segments(fps: DataFrame) -> DataFrame:
+    """(segment, fp): both halves of each ``fp``; bit 32 of the segment tells which half it is."""
+    return fps.select(F.explode(F.array(*[_half(F.col("fp"), half) + F.lit(half << HALF) for half in (0, 1)])).alias("segment"), "fp")
 
 
-def _chosen(x: Column, y: Column, key: Column) -> Column:
-    """Whether ``key`` is the first variant that two fingerprints agree in, by their differing bits."""
-    low, high = (F.bit_count(_half(x.bitwiseXOR(y), half)) for half in (0, 1))
-    differing = F.when(low <= 1, _half(x.bitwiseXOR(y), 0)).otherwise(_half(x.bitwiseXOR(y), 1))
-    bit = F.when(differing == 0, F.lit(0)).otherwise(F.bit_count(differing - 1))
-    half = F.when(low <= 1, F.lit(0)).when(high <= 1, F.lit(1))
-    return F.shiftright(key, HALF) == half * HALF + bit
+def variants(parts: DataFrame) -> DataFrame:
+    """(key, fp): each segment as it is, and with one of its ones deleted."""
+    ones = F.filter(F.array(*[F.lit(1 << bit) for bit in range(HALF)]), lambda b: F.col("segment").bitwiseAND(b) != 0)
+    return parts.select(F.explode(F.concat(F.array("segment"), F.transform(ones, lambda b: F.col("segment") - b))).alias("key"), "fp")
 
 
-def variant_links(members: DataFrame, most: int = MOST_BITS) -> DataFrame:
-    """Pairs (a, b), a < b, of linked fingerprints that share a key, out of members (key, fp) of keys of bounded size."""
-    left, right = members.select("key", F.col("fp").alias("a")), members.select("key", F.col("fp").alias("b"))
-    near = F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= most
-    return left.join(right, "key").filter((F.col("a") < F.col("b")) & near & _chosen(F.col("a"), F.col("b"), F.col("key"))).select("a", "b")
+def variant_links(parts: DataFrame, most: int = MOST_BITS) -> DataFrame:
+    """Pairs (a, b) of linked fingerprints, each once, out of segments (segment, fp) of which no value is crowded."""
+    met = variants(parts).withColumnRenamed("fp", "x").join(parts.select(F.col("segment").alias("key"), F.col("fp").alias("y")), "key")
+    differing = F.col("x").bitwiseXOR(F.col("y"))
+    low, high = (F.bit_count(_half(differing, half)) for half in (0, 1))
+    upper = F.shiftright("key", HALF) == 1
+    once = ((low > 0) | upper | (F.col("x") < F.col("y"))) & ((high > 0) | ~upper | (F.col("x") < F.col("y")))
+    return met.filter((F.col("x") != F.col("y")) & (F.bit_count(differing) <= most) & (~upper | (low > 1)) & once).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
 
 
 def _flips(fps: DataFrame, masks: list[int]) -> DataFrame:
@@ -116,12 +116,16 @@ def centre_links(fps: DataFrame) -> DataFrame:
 
 def links(fps: DataFrame, crowded: int = CROWDED) -> DataFrame:
     """Written pairs (a, b) that connect what links among the distinct fingerprints ``fps`` (fp), a written table."""
-    rows = variants(fps)
-    shared = stored(rows.groupBy("key").agg(F.count("*").alias("c")).filter("c > 1").withColumn("n", F.col("c")), "shared-variants")
-    members = stored(hot_join(rows, shared, ["key"], "c", ["fp"]).filter("n is not null"), "variant-members")
-    many = stored(members.filter(F.col("n") > crowded).select("fp").distinct(), "crowded")
-    found = variant_links(members.filter(F.col("n") <= crowded).select("key", "fp"))
-    return stored((found if many.isEmpty() else found.unionByName(centre_links(many))).distinct(), "links")
+    parts = segments(fps)
+    full = stored(parts.groupBy("segment").agg(F.count("*").alias("c")).filter(F.col("c") > crowded), "crowded-segments")
+    if full.isEmpty():
+        return stored(variant_links(parts), "links")
+    one_bit = F.transform(F.array(F.lit(0), *[F.lit(1 << bit) for bit in range(HALF)]), lambda b: F.col("segment").bitwiseXOR(b.cast("long")))
+    around = full.select(F.explode(one_bit).alias("segment"), "c").groupBy("segment").agg(F.max("c").alias("c"))
+    around = stored(around.join(full.select("segment", F.lit(True).alias("is_full")), "segment", "left"), "around-crowded")
+    met = stored(hot_join(parts, around.withColumn("n", F.col("c")), ["segment"], "c", ["fp"]), "segments")
+    through = centre_links(stored(met.filter("n is not null").select("fp").distinct(), "crowded"))
+    return stored(variant_links(met.filter("is_full is null").select("segment", "fp")).unionByName(through).distinct(), "links")
 
 
 def near_groups(docs: DataFrame, size: int = SHINGLE, crowded: int = CROWDED) -> DataFrame:
