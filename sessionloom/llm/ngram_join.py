@@ -44,7 +44,7 @@ from sessionloom.llm.words import Flat, WordHashes, mix, split_words, windows
 
 SHINGLE, PERCENT = 5, 75
 SHORT_LIST = 64
-BLOCK = 64
+BLOCK, LIST_BLOCK = 64, 512
 #: Frequencies up to this are exact in a byte; the lists of more frequent shingles are rows of a table.
 EXACT = 200
 
@@ -328,14 +328,14 @@ def pair_groups(pairs: DataFrame, block: int = BLOCK) -> DataFrame:
     return cut.select("g", "part", F.col("b").alias("node"), F.lit(False).alias("query"), no_label).unionByName(queries)
 
 
-def list_groups(lists: DataFrame, percent: int = PERCENT, block: int = BLOCK) -> DataFrame:
+def list_groups(lists: DataFrame, percent: int = PERCENT, block: int = LIST_BLOCK) -> DataFrame:
     """Groups to search for long lists (hash, node, n, place, label), a written table, that hold several components.
 
     A member of size n that meets others at its place can link with sizes from ``low`` to ``high`` only. Members
-    stand in bands of sizes, those of the list's largest component apart, and bands in blocks. A
-    member outside of that component is a query against the blocks of the bands it can link with; two
-    such members meet from the larger band to the smaller one. Rows grow with the queries times the blocks that sizes
-    and places admit; those are few unless very many documents of like size share their rarest shingles and don't link.
+    stand in bands of sizes, those of the list's largest component apart, and bands are dealt into blocks. A group is a
+    pair of blocks: members outside of that component, as queries, and others whose sizes can link with theirs; two blocks of such
+    members meet once. So a group never has more than about two blocks, and a list's rows are its members times
+    the blocks that sizes and places admit, one for each ``block`` members.
     """
     band_of = lambda n: F.floor(F.log(n.cast("double")) * 16).cast("long")
     by_label = lists.groupBy("hash", "label").agg(F.count("*").alias("c"))
@@ -344,20 +344,19 @@ def list_groups(lists: DataFrame, percent: int = PERCENT, block: int = BLOCK) ->
     low, high = F.ceil(F.col("n") * percent / 100), F.floor((F.col("n") - F.col("place")) * (100 + percent) / percent) - F.col("n")
     able = own.withColumn("low", low).withColumn("high", F.least(high, F.floor(F.col("n") * 100 / percent))).filter("low <= high").withColumn("band", band_of(F.col("n"))).withColumn("other", F.col("label") != F.col("main"))
     able = stored(able, "mixed-members")
-    size = lambda other: F.ceil(F.count_if(F.col("other") == other) / block)
-    cells = able.groupBy("hash", "band").agg(size(False).alias("mains"), size(True).alias("others"), F.min("n").alias("least_n"), F.max("n").alias("most_n"), F.min("low").alias("least_low"), F.max("high").alias("most_high"), F.count("*").alias("c"))
-    cells = stored(cells, "cells")
-    part = lambda band, other, k: band * F.lit(1 << 40) + other.cast("long") * F.lit(1 << 39) + k
-    placed = hot_join(able, cells.select("hash", "band", "mains", "others", "c"), ["hash", "band"], "c", ["node"])
-    salt = F.pmod(F.xxhash64("node"), F.when(F.col("other"), F.col("others")).otherwise(F.col("mains")))
-    members = placed.select(F.col("hash").alias("g"), part(F.col("band"), F.col("other"), salt).alias("part"), "node", F.lit(False).alias("query"), "label")
-    asked = able.filter("other").select("hash", "node", "n", "low", "high", "label", F.col("band").alias("own_band"), F.explode(F.sequence(band_of(F.col("low")), band_of(F.col("high")))).alias("band"))
-    asked = hot_join(asked, cells, ["hash", "band"], "c", ["node"]).filter("least_n <= high and most_n >= low and n between least_low and most_high")
-    others = F.when(F.col("band") <= F.col("own_band"), F.col("others")).otherwise(0)
-    blocks = lambda other, k: F.transform(F.sequence(F.lit(0).cast("long"), k - 1), lambda x: part(F.col("band"), F.lit(other), x))
-    parts = F.concat(F.when(F.col("mains") > 0, blocks(False, F.col("mains"))).otherwise(F.array().cast("array<long>")), F.when(others > 0, blocks(True, F.greatest(others, F.lit(1)))).otherwise(F.array().cast("array<long>")))
-    asked = asked.select(F.col("hash").alias("g"), F.explode(parts).alias("part"), "node", F.lit(True).alias("query"), "label")
-    return members.join(asked.select("g", "part").distinct(), ["g", "part"], "left_semi").unionByName(asked)
+    cell = ["hash", "band", "other"]
+    cells = stored(able.groupBy(*cell).agg(F.count("*").alias("c"), F.ceil(F.count("*") / block).alias("blocks")), "cells")
+    placed = hot_join(able, cells, cell, "c", ["node"]).withColumn("salt", F.pmod(F.xxhash64("node"), "blocks"))
+    placed = stored(placed.select(*cell, "salt", "node", "n", "low", "high", "label"), "mixed-blocks")
+    blocks = stored(placed.groupBy(*cell, "salt").agg(F.min("n").alias("least_n"), F.max("n").alias("most_n"), F.min("low").alias("least_low"), F.max("high").alias("most_high")), "blocks")
+    asking = blocks.filter("other").select("hash", *[F.col(c).alias(f"q_{c}") for c in blocks.columns if c not in ("hash", "other")])
+    meet = "least_n <= q_most_high and most_n >= q_least_low and q_least_n <= most_high and q_most_n >= least_low and (not other or struct(band, salt) <= struct(q_band, q_salt))"
+    pairs = stored(asking.join(blocks, "hash").filter(meet).withColumn("part", F.xxhash64("q_band", "q_salt", "band", "other", "salt")), "block-pairs")
+    queries = placed.filter("other").select("hash", F.col("band").alias("q_band"), F.col("salt").alias("q_salt"), "node", "n", "low", "high", "label")
+    queries = queries.join(pairs.select("hash", "q_band", "q_salt", "part", "least_n", "most_n", "least_low", "most_high"), ["hash", "q_band", "q_salt"]).filter("least_n <= high and most_n >= low and n between least_low and most_high")
+    members = placed.join(pairs.select(*cell, "salt", "part"), [*cell, "salt"])
+    row = lambda df, query: df.select(F.col("hash").alias("g"), "part", "node", F.lit(query).alias("query"), "label")
+    return row(members, False).unionByName(row(queries, True))
 
 
 def components(links: DataFrame) -> DataFrame:

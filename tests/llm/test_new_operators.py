@@ -226,3 +226,28 @@ def test_products_beyond_a_long(spark):
     found = spark.createDataFrame([("en", "x", 1, a + 2), ("en", "y", 1, a + 1), ("en", "x y", 2, a)], "lang string, phrase string, size int, f long")
     totals = spark.createDataFrame([("en", 4 * a)], "lang string, n long")
     assert [tuple(x) for x in phrases.collocations(found, totals).collect()] == [("en", 1, "x y", a, a + 2, a + 1, 4 * a, 2_000_000 * a // (2 * a + 3))]
+
+
+def test_a_long_list_of_unlinked_documents_is_searched_in_pairs_of_blocks(spark):
+    """Four thousand documents of like size, each a component of its own, and a large component, in one list."""
+    from sessionloom.llm import ngram_join
+
+    rows = [(7, i, 100 + i % 5, 3, i) for i in range(4000)] + [(7, 10_000 + i, 102, 3, 10_000) for i in range(3000)]
+    lists = stored(spark.createDataFrame(rows, "hash long, node long, n long, place long, label long"), "lists")
+    groups = ngram_join.list_groups(lists).persist()
+    largest = groups.groupBy("g", "part").count().agg(F.max("count")).first()[0]
+    assert largest <= 2.5 * ngram_join.LIST_BLOCK and groups.count() <= 32 * len(rows)
+    met = groups.filter("query").select("g", "part", F.col("node").alias("q")).join(groups.filter("not query").select("g", "part", F.col("node").alias("m")), ["g", "part"])
+    met = met.filter("q <> m").select(F.least("q", "m").alias("a"), F.greatest("q", "m").alias("b")).distinct()
+    assert met.count() == 4000 * 3999 // 2 + 4000 * 3000  # every pair that may link stands together once
+
+
+def test_long_lists_of_other_sizes_do_not_meet(spark):
+    from sessionloom.llm import ngram_join
+
+    rows = [(7, i, 100 if i % 2 else 300, 3, i) for i in range(40)]
+    groups = ngram_join.list_groups(stored(spark.createDataFrame(rows, "hash long, node long, n long, place long, label long"), "lists")).collect()
+    nodes = {}
+    for r in groups:
+        nodes.setdefault(r["part"], set()).add(r["node"] % 2)
+    assert all(len(x) == 1 for x in nodes.values())
