@@ -8,7 +8,7 @@ one value of the document. A document is contaminated by an item when consistent
 
 Documents are read once: their windows first meet a bit array of the benchmark's hashes, of ``MOST_BITS`` at most, built in
 tasks and broadcast; those that pass it are joined with the items' windows by hash, frequent hashes being dealt to
-several tasks. A larger benchmark lets more windows pass to the join, which drops them.
+several tasks; a template that very many items share stands in blocks of ``ITEM_BLOCK`` windows. A larger benchmark lets more windows pass to the join, which drops them.
 
 A window that is mostly slots would meet too much by its template. It counts with its tokens as they stand, so that a
 verbatim copy is found, and the smallest window of twice, four times ... the size that starts there and has enough
@@ -17,7 +17,8 @@ as a whole; one plain word is enough for it, a first word that would be a name w
 and left off where enough plain words follow. An item without any plain word is met verbatim only.
 
 Nulls: a null text has no tokens; null ids are kept as they are in documents and are ignored in the benchmark. An item shorter than a window is one shorter window, compared as a whole with windows of
-its length. Repeated rows and items are each reported. Empty tables give no rows; other columns are ignored.
+its length. Every row of documents is judged for itself, whatever its id, so
+repeated rows and rows that share an id or have none are each reported, as are repeated items. Empty tables give no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -39,6 +40,8 @@ WINDOW, LEAST_WORDS = 8, 4
 #: Powers of two: bits of the array at least and at most, and of the parts in which tasks make it.
 LEAST_BITS, MOST_BITS, PART_BITS = 22, 30, 20
 LEAST_COVERAGE, LEAST_CONSISTENCY = 0.6, 0.75
+#: Windows of items with one hash that are held together.
+ITEM_BLOCK = 256
 # Words that are units where they follow a number.
 UNITS = frozenset("% mm cm m km in ft yd mi mg g kg t lb oz ml l s sec seconds min minutes h hours days weeks months years euro euros dollar dollars cents percent degrees".split())
 OUTER = "".join(c for c in map(chr, range(33, 127)) if not c.isalnum() and c not in "%$")
@@ -272,14 +275,16 @@ def hash_bits(hashes: DataFrame) -> HashBits:
 def template_windows(texts: DataFrame, key: str, size: int = WINDOW, only: HashBits | None = None, shapes: Shapes | None = None) -> DataFrame:
     """(key, hash, place, n, size, kind, plain, slots) for windows of the texts.
 
-    With ``only`` the texts are documents: windows of ``shapes`` whose hashes may be of that set. Otherwise
-    they are benchmark items.
+    With ``only`` the texts are documents: windows of ``shapes`` whose hashes may be of that set, with ``row``, a number that each
+    row of documents has for itself. Otherwise they are benchmark items.
     """
-    schema = pa.schema([(key, pa.int64()), ("hash", pa.int64()), *[(c, pa.int32()) for c in ("place", "n", "size", "kind", "plain")], ("slots", pa.list_(pa.string()))])
+    schema = pa.schema([(key, pa.int64()), ("row", pa.int64()), ("hash", pa.int64()), *[(c, pa.int32()) for c in ("place", "n", "size", "kind", "plain")], ("slots", pa.list_(pa.string()))])
     shared = texts.sparkSession.sparkContext.broadcast(only)  # 2 ** MOST_BITS bits at most
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens, wanted = Tokens(), shared.value
+        from pyspark import TaskContext
+
+        tokens, wanted, row = Tokens(), shared.value, TaskContext.get().partitionId() << 40
         for part in slices(batches):
             t = Templates(part["text"], tokens)
             out: dict[str, list] = {n: [] for n in schema.names}
@@ -289,6 +294,7 @@ def template_windows(texts: DataFrame, key: str, size: int = WINDOW, only: HashB
                     starts, found = starts[near], found[near]
                 docs = t.doc[starts]
                 out[key] += [part[key][k] for k in docs.tolist()]
+                out["row"] += (row + docs).tolist()
                 out["hash"] += found.view(np.int64).tolist()
                 out["place"] += t.at[starts].tolist()
                 out["n"] += t.n[docs].tolist()
@@ -296,10 +302,11 @@ def template_windows(texts: DataFrame, key: str, size: int = WINDOW, only: HashB
                 out["kind"] += [kind] * len(starts)
                 out["plain"] += (t.n_plain(starts, n) - named).tolist()
                 out["slots"] += [[] if kind == VERBATIM else [t.value(k)] * named + t.slots(k, n) for k in starts.tolist()]
+            row += len(part["text"])
             yield pa.RecordBatch.from_pydict(out, schema=schema)
 
     rows = texts.select(F.col(key).cast("long").alias(key), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(find, f"{key} long,{_WINDOWS}")
+    return rows.mapInArrow(find, f"{key} long,row long,{_WINDOWS}")
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW) -> DataFrame:
@@ -307,19 +314,21 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW) -> D
     items = stored(template_windows(benchmark.filter("item_id is not null"), "item_id", size), "benchmark-windows")
     shapes = Shapes([tuple(r) for r in items.select("size", "kind", F.when(F.col("kind") == WHOLE, F.col("plain")).otherwise(0)).distinct().collect()], size)  # by item lengths, not by items
     window = F.struct("item_id", F.col("place").alias("item_place"), F.col("n").alias("item_n"), F.col("size").alias("length"), F.col("slots").alias("item_slots"))
-    by_hash = items.groupBy("hash").agg(F.collect_list(window).alias("windows"))
-    hits = stored(template_windows(docs, "doc_id", size, hash_bits(items.select("hash").distinct()), shapes).select("doc_id", "hash", "place", "slots"), "template-hits")
-    counted = stored(hits.groupBy("hash").agg(F.count("*").alias("c")).join(by_hash, "hash"), "template-items")
-    met = hot_join(hits, counted, ["hash"], "c", ["doc_id", "place"]).select("doc_id", "place", "slots", F.explode("windows").alias("w")).select("doc_id", "place", "slots", "w.*")
+    sizes = stored(items.groupBy("hash").agg(F.count("*").alias("c")).withColumn("blocks", F.ceil(F.col("c") / ITEM_BLOCK)), "benchmark-hashes")
+    dealt = hot_join(items, sizes, ["hash"], "c", ["item_id", "place"]).withColumn("block", F.pmod(F.xxhash64("item_id", "place"), "blocks"))
+    by_block = dealt.groupBy("hash", "block").agg(F.collect_list(window).alias("windows"))  # about ITEM_BLOCK windows
+    hits = stored(template_windows(docs, "doc_id", size, hash_bits(items.select("hash").distinct()), shapes).select("doc_id", "row", "hash", "place", "slots"), "template-hits")
+    counted = stored(hits.groupBy("hash").agg(F.count("*").alias("c")).join(sizes.select("hash", "blocks"), "hash"), "template-counts")
+    asked = hot_join(hits, counted, ["hash"], "c", ["row", "place"]).filter("blocks is not null").withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    answers = stored(by_block.join(counted, "hash").select("hash", "block", "windows", "c"), "template-items")
+    met = hot_join(asked.drop("blocks"), answers, ["hash", "block"], "c", ["row", "place"]).select("doc_id", "row", "place", "slots", F.explode("windows").alias("w")).select("doc_id", "row", "place", "slots", "w.*")
     met = met.filter(F.size("slots") == F.size("item_slots")).withColumn("shift", F.col("place") - F.col("item_place"))
-    pairs = met.select("doc_id", "item_id", "shift", F.explode(F.arrays_zip("item_slots", "slots")).alias("s")).groupBy("doc_id", "item_id", "shift", "s.item_slots", "s.slots").agg(F.count("*").alias("n"))
-    by_value = pairs.groupBy("doc_id", "item_id", "shift", "item_slots").agg(F.max("n").alias("best"), F.sum("n").alias("n"))
-    agreed = by_value.groupBy("doc_id", "item_id", "shift").agg((F.sum("best") / F.sum("n")).alias("consistency"))
-    agreed = agreed.select(F.col("doc_id").alias("own"), F.col("item_id").alias("item"), F.col("shift").alias("by"), "consistency")
-    same = F.col("doc_id").eqNullSafe(F.col("own")) & (F.col("item_id") == F.col("item")) & (F.col("shift") == F.col("by"))
-    sound = met.join(agreed, same, "left").select("doc_id", "item_id", "item_place", "item_n", "length", F.coalesce("consistency", F.lit(1.0)).alias("consistency"))
+    pairs = met.select("row", "item_id", "shift", F.explode(F.arrays_zip("item_slots", "slots")).alias("s")).groupBy("row", "item_id", "shift", "s.item_slots", "s.slots").agg(F.count("*").alias("n"))
+    by_value = pairs.groupBy("row", "item_id", "shift", "item_slots").agg(F.max("n").alias("best"), F.sum("n").alias("n"))
+    agreed = by_value.groupBy("row", "item_id", "shift").agg((F.sum("best") / F.sum("n")).alias("consistency"))
+    sound = met.join(agreed, ["row", "item_id", "shift"], "left").withColumn("consistency", F.coalesce("consistency", F.lit(1.0)))
     sound = sound.filter(F.col("consistency") >= LEAST_CONSISTENCY)
-    found = sound.groupBy("doc_id", "item_id").agg(F.count("*").alias("n_windows"), F.collect_set(F.struct("item_place", "length")).alias("at"), F.first("item_n").alias("item_n"), F.min("consistency").alias("consistency"))
+    found = sound.groupBy("row", "item_id").agg(F.first("doc_id").alias("doc_id"), F.count("*").alias("n_windows"), F.collect_set(F.struct("item_place", "length")).alias("at"), F.first("item_n").alias("item_n"), F.min("consistency").alias("consistency"))
     covered = F.size(F.array_distinct(F.flatten(F.transform("at", lambda w: F.sequence(w["item_place"], w["item_place"] + w["length"] - 1)))))
     return found.select("doc_id", "item_id", "n_windows", (covered / F.col("item_n")).alias("coverage"), "consistency").filter(F.col("coverage") >= LEAST_COVERAGE)
 

@@ -20,10 +20,13 @@ An empty table gives no rows; other columns are ignored.
 
 from __future__ import annotations
 
+import math
 import re
 import sys
 import unicodedata
 from collections.abc import Iterator
+from functools import lru_cache
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -94,46 +97,82 @@ def is_letter(c: str) -> bool:
     return unicodedata.category(c)[0] in "LM"
 
 
+def letters_of(samples: list[str]) -> str:
+    return "".join(sorted({c for s in samples for c in s.lower() if is_letter(c)}))
+
+
+@lru_cache(maxsize=1)
+def _codes(letters: str) -> np.ndarray:
+    """The symbol of every character: 1 for blanks, from 2 on for letters, 0 for the rest."""
+    codes = np.zeros(sys.maxunicode + 1, np.int32)
+    codes[[k for k in range(1 << 16) if chr(k).isspace()]] = 1
+    for k, c in enumerate(letters, 2):
+        for same in {c, c.upper(), c.title()}:
+            if len(same) == 1:
+                codes[ord(same)] = k
+    return codes
+
+
+def to_symbols(text: str, letters: str) -> np.ndarray:
+    return _codes(letters)[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)]
+
+
+class Language(NamedTuple):
+    """The automaton of one language as flat arrays."""
+
+    weight: float
+    base: np.ndarray  # of each state
+    cells: np.ndarray  # which state a cell belongs to in its upper half, the next state in its lower half
+    begin: np.ndarray  # for each symbol the state after a new phrase that begins with it, the root (0) where it can't
+
+    @classmethod
+    def of(cls, sample: str, letters: str) -> Language:
+        coded, width = to_symbols(sample, letters), len(letters) + 2
+        automaton = suffix_automaton(coded.tolist())
+        moves = [{c: t for c, t in found.items() if c} for found in automaton]
+        cells, base = Cells(width), np.zeros(len(moves), np.int32)
+        for state in sorted(range(len(moves)), key=lambda k: -len(moves[k])):
+            if moves[state]:
+                base[state] = cells.place(sorted(moves[state]))
+        laid = np.full(int(base.max(initial=0)) + width, -1, np.int64)
+        for state, found in enumerate(moves):
+            for c, target in found.items():
+                laid[base[state] + c] = state << 32 | target
+        begin = np.zeros(width, np.int32)
+        for c, target in (moves[0] if moves else {}).items():
+            begin[c] = target
+        return cls(math.log2(np.count_nonzero(coded) + 2), base, laid, begin)
+
+
 class Parser:
-    """Automata of several languages in one array of cells.
+    """Automata of several languages, one behind the other in the same arrays.
 
     Symbol 0 stands for all that is neither blank nor a letter which some language has; it ends a phrase for every
-    language alike and is not counted. A cell has the state it belongs to in its upper half, the next one in its lower half.
+    language alike and is not counted.
     """
 
     def __init__(self, langs: tuple[str, ...], samples: tuple[str, ...]):
-        self.langs = langs
-        letters = sorted({c for s in samples for c in s.lower() if is_letter(c)})
-        self.codes = np.zeros(sys.maxunicode + 1, np.int32)
-        self.codes[[k for k in range(1 << 16) if chr(k).isspace()]] = 1
-        for k, c in enumerate(letters, 2):
-            for same in {c, c.upper(), c.title()}:
-                if len(same) == 1:
-                    self.codes[ord(same)] = k
-        self.width = len(letters) + 2
-        coded = [self.symbols(s) for s in samples]
-        self.weights = np.log2(np.array([np.count_nonzero(x) for x in coded], float) + 2)
-        automata = [suffix_automaton(x.tolist()) for x in coded]
-        self.roots = np.cumsum([0, *map(len, automata)])[:-1].astype(np.int32) if automata else np.empty(0, np.int32)
-        moves = [(int(root) + k, {c: int(root) + t for c, t in found.items() if c}) for root, a in zip(self.roots, automata, strict=True) for k, found in enumerate(a)]
-        cells, self.base = Cells(self.width), np.zeros(len(moves), np.int32)
-        for state, found in sorted(moves, key=lambda m: -len(m[1])):
-            if found:
-                self.base[state] = cells.place(sorted(found))
-        self.cells = np.full(int(self.base.max(initial=0)) + self.width, -1, np.int64)
-        for state, found in moves:
-            for c, target in found.items():
-                self.cells[self.base[state] + c] = state << 32 | target
-        #: For each language and symbol the state after a new phrase that begins with it, the root where it can't.
-        self.begin = np.repeat(self.roots[:, None], self.width, axis=1)
-        for k, (root, a) in enumerate(zip(self.roots, automata, strict=True)):
-            for c, target in a[0].items():
-                if c:
-                    self.begin[k, c] = root + target
-        self.begin = self.begin.ravel()
+        letters = letters_of(list(samples))
+        self._join(langs, letters, [Language.of(s, letters) for s in samples])
+
+    @classmethod
+    def join(cls, langs: tuple[str, ...], letters: str, parts: list[Language]) -> Parser:
+        parser = cls.__new__(cls)
+        parser._join(langs, letters, parts)
+        return parser
+
+    def _join(self, langs: tuple[str, ...], letters: str, parts: list[Language]) -> None:
+        self.langs, self.letters, self.width = langs, letters, len(letters) + 2
+        self.weights = np.array([p.weight for p in parts], float)
+        self.roots = np.cumsum([0, *(len(p.base) for p in parts)])[: len(parts)].astype(np.int32)
+        places = np.cumsum([0, *(len(p.cells) for p in parts)])[: len(parts)]
+        whole = lambda arrays, kind: np.concatenate([np.empty(0, kind), *arrays]).astype(kind)
+        self.base = whole([p.base + at for p, at in zip(parts, places, strict=True)], np.int32)
+        self.cells = whole([np.where(p.cells < 0, -1, p.cells + (int(root) << 32 | int(root))) for p, root in zip(parts, self.roots, strict=True)], np.int64)
+        self.begin = whole([p.begin + root for p, root in zip(parts, self.roots, strict=True)], np.int32)
 
     def symbols(self, text: str) -> np.ndarray:
-        return self.codes[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)]
+        return to_symbols(text, self.letters)
 
     def phrases(self, texts: list[str]) -> np.ndarray:
         """Phrase counts, texts by languages."""
@@ -180,12 +219,31 @@ def sample_languages(docs: DataFrame, chars: int = SAMPLE_CHARS, most: int = ALL
     return {lang: text.lower() for lang, text in found.items()}
 
 
+def built(spark: SparkSession, samples: dict[str, str]) -> Parser:
+    """The parser of all ``samples``, each language's automaton built in a task of its own; flat arrays alone reach the driver."""
+    langs = tuple(sorted(samples))
+    letters = letters_of(list(samples.values()))
+    ddl = "lang string,weight double,base binary,cells binary,begin binary"
+    schema = arrow_schema(ddl)
+
+    def build(rows: pa.Table) -> pa.Table:
+        made = Language.of(rows.column("text")[0].as_py(), letters)
+        return pa.table({"lang": rows.column("lang"), "weight": [made.weight], "base": [made.base.tobytes()], "cells": [made.cells.tobytes()], "begin": [made.begin.tobytes()]}, schema=schema)
+
+    if not langs:
+        return Parser((), ())
+    rows = spark.createDataFrame([(k, samples[k]) for k in langs], "lang string, text string")
+    made = {r["lang"]: r for r in rows.repartition(len(langs), "lang").groupBy("lang").applyInArrow(build, ddl).collect()}  # ALL_CHARS bounds it
+    read = lambda r: Language(r["weight"], np.frombuffer(r["base"], np.int32), np.frombuffer(r["cells"], np.int64), np.frombuffer(r["begin"], np.int32))
+    return Parser.join(langs, letters, [read(made[k]) for k in langs])
+
+
 def identify(docs: DataFrame, samples: dict[str, str]) -> DataFrame:
     """doc_id, lang_pred, score."""
     ddl = "doc_id long,lang_pred string,score double"
     schema = arrow_schema(ddl)
     langs = tuple(sorted(samples))
-    shared = docs.sparkSession.sparkContext.broadcast(Parser(langs, tuple(samples[k] for k in langs)))  # ALL_CHARS bounds it
+    shared = docs.sparkSession.sparkContext.broadcast(built(docs.sparkSession, samples))  # ALL_CHARS bounds it
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
@@ -206,11 +264,11 @@ def identify(docs: DataFrame, samples: dict[str, str]) -> DataFrame:
 
 
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Languages of all ``documents``, learnt from those whose crc32(doc_id) mod 4 is not 2."""
+    """Languages of all ``documents``, learnt from those whose crc32(doc_id) mod 4 is not 2; one without a doc_id is neither learnt from nor held out."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang")
     fold = F.crc32(F.col("doc_id").cast("string")) % 4
     found = identify(docs, sample_languages(docs.filter(fold != 2)))
-    return found.select("doc_id", (fold == 2).alias("held_out"), "lang_pred", "score")
+    return found.select("doc_id", F.coalesce(fold == 2, F.lit(False)).alias("held_out"), "lang_pred", "score")
 
 
 QUERIES = {"op6_language_id": op6_language_id}

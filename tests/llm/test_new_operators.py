@@ -251,3 +251,47 @@ def test_long_lists_of_other_sizes_do_not_meet(spark):
     for r in groups:
         nodes.setdefault(r["part"], set()).add(r["node"] % 2)
     assert all(len(x) == 1 for x in nodes.values())
+
+
+def test_documents_of_one_id_or_none_are_judged_apart(spark):
+    from sessionloom.llm import decontaminate
+
+    item = "please compute how many apples the farmer will sell at the market when every basket holds some of them today"
+    half = item.split()
+    first, second = " ".join(half[:10]), " ".join(half[10:])
+    rows = [(1, first), (1, second), (None, first), (None, second), (2, item), (2, item), (None, item), (None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    bench = spark.createDataFrame([(5, item), (None, item)], "item_id long, text string")
+    got = [(r["doc_id"], r["item_id"], r["coverage"]) for r in decontaminate.contaminated(docs, bench).collect()]
+    assert sorted(got, key=str) == sorted([(2, 5, 1.0), (2, 5, 1.0), (None, 5, 1.0)], key=str)
+
+
+def test_thousands_of_items_of_one_template(spark):
+    from sessionloom.llm import decontaminate
+
+    items = spark.range(3000).select(F.col("id").alias("item_id"), F.concat(F.lit("tell me what is the sum of "), "id", F.lit(" and "), F.col("id") + 7, F.lit(" when both are taken together")).alias("text"))
+    docs = spark.createDataFrame([(1, "tell me what is the sum of 12 and 99 when both are taken together"), (2, "nothing of that kind is said in this text of some words")], "doc_id long, text string")
+    found = decontaminate.contaminated(docs, items)
+    assert found.groupBy("doc_id").count().collect() == [(1, 3000)]
+
+
+def test_automata_are_built_in_tasks(spark, monkeypatch):
+    from sessionloom.llm import language_id
+
+    samples = {f"l{k}": " ".join("abcdefghij"[(k * i) % 10] * (1 + i % 3) for i in range(60)) for k in range(12)}
+    plain = language_id.Parser(tuple(sorted(samples)), tuple(samples[k] for k in sorted(samples)))
+    monkeypatch.setattr(language_id.Language, "of", None)  # in this process only
+    made = language_id.built(spark, samples)
+    texts = ["aab cc dde", "jjj x a", ""]
+    assert made.langs == plain.langs and made.phrases(texts).tolist() == plain.phrases(texts).tolist() and np.allclose(made.weights, plain.weights)
+
+
+def test_held_out_is_never_null(spark, tmp_path):
+    from sessionloom.llm import language_id, toxicity
+
+    docs = spark.createDataFrame([(None if k % 5 == 0 else k, f"some text {'bad' if k % 2 else 'good'} number {k}", "en" if k % 3 else "de") for k in range(60)], "doc_id long, text string, lang string")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(k, 1, k % 2) for k in range(60)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    for query in (toxicity.op1_toxicity, language_id.op6_language_id):
+        got = query(spark, str(tmp_path)).select("doc_id", "held_out").collect()
+        assert len(got) == 60 and all(r["held_out"] is not None for r in got) and not any(r["held_out"] for r in got if r["doc_id"] is None)
