@@ -23,6 +23,7 @@ count as often as they stand there. An empty table gives no rows; other columns
 
 from __future__ import annotations
 
+from array import array
 from collections.abc import Iterator
 from functools import reduce
 
@@ -63,7 +64,7 @@ class PhraseChunk:
         self.left = np.repeat(ends, np.diff(np.concatenate([[-1], ends]))) - np.arange(len(ids))
 
     @staticmethod
-    def pack(words: list[bytes], ids: list[int]) -> bytes:
+    def pack(words: list[bytes], ids: array) -> bytes:
         raw = b"\xff".join(words)
         return zstandard.ZstdCompressor(level=3).compress(np.array([len(words), len(raw)], "<i8").tobytes() + raw + np.array(ids, "<i4").tobytes())
 
@@ -82,6 +83,20 @@ class PhraseChunk:
         return b" ".join(self.words[k - 1] for k in self.ids[at : at + size].tolist()).decode("utf-8", "surrogatepass")
 
 
+class Numbers(dict):
+    """Numbers of words in the order in which they are met; a break is 0."""
+
+    def __init__(self):
+        super().__init__({_BREAK: 0})
+
+    def __missing__(self, word: bytes) -> int:
+        self[word] = n = len(self)
+        return n
+
+    def words(self) -> list[bytes]:
+        return list(self)[1:]
+
+
 def tokens(text: str | None) -> list[bytes]:
     """Words in order, with a ``_BREAK`` after each piece."""
     raw = (text or "").encode("utf-8", "surrogatepass").lower().translate(_SIGNS)
@@ -95,7 +110,7 @@ def shard_table(docs: DataFrame, shards: int = SHARDS, chunk_words: int = CHUNK_
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        held: dict[str, tuple[dict[bytes, int], list[int]]] = {}
+        held: dict[str, tuple[Numbers, array]] = {}
         size, task, number = 0, TaskContext.get().partitionId(), 0
 
         def chunk(lang: str) -> pa.RecordBatch:
@@ -103,14 +118,14 @@ def shard_table(docs: DataFrame, shards: int = SHARDS, chunk_words: int = CHUNK_
             known, ids = held.pop(lang)
             size -= len(ids)
             number += 1
-            row = ((task + number) % shards, task << PLACE_BITS | number, lang, len(ids) - ids.count(0), PhraseChunk.pack(list(known), ids))
+            row = ((task + number) % shards, task << PLACE_BITS | number, lang, len(ids) - ids.count(0), PhraseChunk.pack(known.words(), ids))
             return pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip(row, schema, strict=True)], schema=schema)
 
         for part in slices(batches, 64):
             for lang, text in zip(part["lang"], part["text"], strict=True):
                 found = tokens(text)
-                known, ids = held.setdefault(lang, ({}, []))
-                ids += [0 if w == _BREAK else known.setdefault(w, len(known) + 1) for w in found]
+                known, ids = held[lang] if lang in held else held.setdefault(lang, (Numbers(), array("i")))
+                ids.extend(map(known.__getitem__, found))
                 size += len(found)
                 while size >= chunk_words:
                     yield chunk(max(held, key=lambda x: len(held[x][1])))
