@@ -8,8 +8,10 @@ from pyspark.sql import functions as F
 
 from sessionloom.jobs.dag_queries import _graph
 from sessionloom.jobs.plan_queries import _cuts_sql
+from sessionloom.jobs.scalar_queries import _redact_sql
 from sessionloom.functions import redact as R
 from sessionloom.functions import scalars as S
+from sessionloom.functions.structure import structure_of
 from sessionloom.operators import compact as P
 from sessionloom.operators import dag as D
 from sessionloom.operators import evaluation as L
@@ -42,21 +44,57 @@ def parts(spark, d):
     return spark.read.parquet(f"{d}/events.parquet").select("event_id", A.render_part(kind, name, F.col("props"), text).alias("text"))
 
 
-@query(
-    "b17_structure",
-    r"""WITH k AS (SELECT doc_id, list_filter(string_split(text, chr(10)), lambda x: trim(x) <> '') AS l, list_filter(regexp_split_to_array(text, '\n\s*\n'), lambda x: trim(x) <> '') AS p FROM fx_files)
-        SELECT doc_id, concat(len(l), ' lines, ', len(p), ' paragraphs, ', len(list_filter(l, lambda x: regexp_matches(x, '^#{1,6}\s'))), ' headings') AS line FROM k""",
-)
+_STRUCTURES = """SELECT doc_id, CASE form
+ WHEN 0 THEN concat('object with ', len(json_keys(text)), ' key(s): ', array_to_string(json_keys(text), ', '), '; nested zone: object with ', len(json_keys(text, '$.zone')), ' key(s); list: ',
+   CASE json_array_length(text, '$.list') WHEN 0 THEN 'empty array' ELSE concat('array of ', json_array_length(text, '$.list'), ' strings') END, '; none: object')
+ WHEN 1 THEN concat('array of ', json_array_length(text), ' objects, keys: ', array_to_string(json_keys(text, '$[0]'), ', '))
+ WHEN 2 THEN concat('2 JSON rows; first row keys: ', array_to_string(json_keys(string_split(text, chr(10))[1]), ', '))
+ WHEN 3 THEN concat('2 rows, 2 columns: name, ', regexp_extract(text, ' (.*)', 1))
+ WHEN 4 THEN concat('Python, 5 lines; 2 top-level declaration(s): class ', regexp_extract(text, 'class (.*):', 1), ', def f', doc_id)
+ WHEN 5 THEN concat('SQL, 3 lines; 2 statement(s): view ', regexp_extract(text, 'view (.*) as', 1), ', table t', doc_id)
+ WHEN 6 THEN concat('Markdown, 4 lines; 2 heading(s): ', string_split(text, chr(10))[1], ', ', string_split(text, chr(10))[4])
+ WHEN 7 THEN concat('Shell, 4 lines; 1 top-level declaration(s): function run', doc_id)
+ ELSE concat(len(string_split(text, chr(10))), ' lines, ', len(list_filter(regexp_split_to_array(text, '\\n\\s*\\n'), lambda x: trim(x) <> '')), ' paragraph(s); first line: ', CASE WHEN length(f) <= 80 THEN f ELSE concat(left(f, 80), '…') END) END AS line
+ FROM (SELECT *, trim(list_filter(string_split(text, chr(10)), lambda x: trim(x) <> '')[1]) AS f FROM fx_kinds) k"""
+
+
+@query("b17_structure", _STRUCTURES)
 def structure(spark, d):
-    return view(spark, d, "fx_files").select("doc_id", A.structure_line(F.lit("text"), F.col("text")).alias("line"))
+    """Files of all kinds; the kind is told from path and text."""
+    kinds = view(spark, d, "fx_kinds").withColumn("kind", S.file_kind(F.col("path"), F.col("text")))
+    return kinds.select("doc_id", structure_of(F.col("kind"), F.col("path"), F.col("text")).alias("line"))
 
 
-_RAW = "concat(CASE length(text) % 5 WHEN 0 THEN '/home/me/' WHEN 1 THEN '/var/' WHEN 2 THEN 'D:\\\\' WHEN 3 THEN 'home/me/' ELSE '' END, path)"
+_RAW = "concat(CASE length(text) % 6 WHEN 0 THEN '/home/me/' WHEN 1 THEN '/var/' WHEN 2 THEN 'D:\\\\' WHEN 3 THEN 'home/me/' WHEN 4 THEN '/home/me2/' ELSE '' END, path)"
 
 
-@query("b28_sanitize", f"SELECT doc_id, CASE WHEN left(raw, 8) = '/home/me' THEN concat('~', substring(raw, 9)) WHEN left(raw, 1) = '/' OR substring(raw, 2, 2) = chr(58) || chr(92) THEN '<path>' ELSE raw END AS path FROM (SELECT doc_id, {_RAW.replace(chr(92) * 2, chr(92))} AS raw FROM fx_files) q")
+@query(
+    "b28_sanitize",
+    f"""WITH r AS (SELECT doc_id, raw, CASE WHEN starts_with(raw, '/home/me/') THEN concat('~', substring(raw, 9)) WHEN left(raw, 1) = '/' OR substring(raw, 2, 2) = chr(58) || chr(92) THEN '<path>' ELSE raw END AS path,
+   concat('token=abcd', CAST(doc_id AS VARCHAR(20)), '5678 in ', raw) AS note FROM (SELECT doc_id, {_RAW.replace(chr(92) * 2, chr(92))} AS raw FROM fx_files) q)
+ SELECT doc_id, path, {_redact_sql("concat('at ', note)")} AS error, note AS title, concat(path, '|', {_redact_sql("concat('x ', note)")}) AS deep, concat('{{"detail":["', {_redact_sql("concat('y ', note)").replace("concat('y ', note)", "concat('y ', replace(note, chr(92), '/'))")}, '"],"n":1,"at":"', replace(path, chr(92), '/'), '"}}') AS line FROM r""",
+)
 def sanitize(spark, d):
-    return view(spark, d, "fx_files").select("doc_id", A.sanitize_path(F.expr(_RAW), "/home/me").alias("path"))
+    """A row with a struct, arrays, a map and a JSON text in it: paths are bound and the texts of some fields redacted, at any depth."""
+    rows = view(spark, d, "fx_files").select("doc_id", F.expr(_RAW).alias("raw"))
+    rows = rows.withColumn("secret", F.concat(F.lit("token=abcd"), F.col("doc_id").cast("string"), F.lit("5678 in "), "raw"))
+    inner = F.struct(F.array("raw").alias("files"), F.create_map(F.lit("message"), F.array(F.concat(F.lit("x "), "secret"))).alias("more"))
+    row = rows.select("doc_id", F.struct(F.col("raw").alias("path"), F.concat(F.lit("at "), "secret").alias("error"), F.col("secret").alias("title"), inner.alias("inner")).alias("r"), "raw", "secret")
+    slash = lambda c: F.translate(c, chr(92), "/")
+    line = F.to_json(F.struct(F.array(F.concat(F.lit("y "), slash("secret"))).alias("detail"), F.lit(1).alias("n"), slash("raw").alias("at")))
+    done = row.select("doc_id", A.sanitized(F.col("r"), row.schema["r"].dataType, "/home/me").alias("r"), A.sanitized_json(line, "/home/me").alias("line"))
+    deep = F.concat(F.get("r.inner.files", F.lit(0)), F.lit("|"), F.get(F.col("r.inner.more")["message"], F.lit(0)))
+    return done.select("doc_id", "r.path", "r.error", "r.title", deep.alias("deep"), "line")
+
+
+@query(
+    "k18_sanitized_rows",
+    "SELECT session, pos, " + _redact_sql("concat('password: ', pos, 'abcdefgh')") + " AS error, CASE WHEN pos % 2 = 0 THEN '~/log' ELSE '<path>' END AS file FROM (SELECT *, row_number() OVER (PARTITION BY session ORDER BY pos DESC) AS n FROM fx_metrics) q WHERE n <= 25",
+)
+def sanitized_rows(spark, d):
+    """The newest 25 rows of each session, fit to be shown to others."""
+    log = view(spark, d, "fx_metrics").select("session", "pos", F.concat(F.lit("password: "), F.col("pos").cast("string"), F.lit("abcdefgh")).alias("error"), F.when(F.col("pos") % 2 == 0, "/home/me/log").otherwise("/etc/log").alias("file"))
+    return K.sanitized_rows(log, "/home/me")
 
 
 @query("c08_checkpoints", "SELECT session_id, CAST(length(text) % 4 AS BIGINT) AS n FROM fx_messages WHERE row_id = 1 AND length(text) % 3 > 0 AND length(text) % 5 > 1 AND length(text) % 4 > 0")

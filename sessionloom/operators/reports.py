@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sessionloom.functions.scalars import utc_day
+from sessionloom.sources.sessions import sanitized
 
 # The event of history rows in the log, and the kinds that tell of trouble.
 HISTORY = "lcm"
@@ -108,6 +109,13 @@ def newest_rows(log: DataFrame, most: int = 25) -> DataFrame:
     return log.withColumn("n", F.row_number().over(order)).filter(F.col("n") <= most).drop("n")
 
 
+def sanitized_rows(log: DataFrame, home: str, most: int = 25, clean: tuple[str, ...] | None = None) -> DataFrame:
+    """``newest_rows`` with every column but the keys sanitized after its type: paths bound, texts of others redacted."""
+    rows = newest_rows(log, most)
+    skip = ("session", "pos")
+    return rows.select(*[F.col(f.name) if f.name in skip or clean is not None and f.name not in clean else sanitized(F.col(f.name), f.dataType, home, f.name).alias(f.name) for f in rows.schema.fields])
+
+
 def kind_tally(log: DataFrame) -> DataFrame:
     return log.groupBy(F.coalesce("kind", "event").alias("kind")).agg(F.count("*").alias("n"))
 

@@ -69,6 +69,20 @@ FROM events""",
 SELECT doc_id, concat(source, '/', CAST(doc_id AS VARCHAR(20)), CASE doc_id % 4 WHEN 0 THEN '.md' WHEN 1 THEN '.txt' WHEN 2 THEN '.py' ELSE '.csv' END) AS path, text
 FROM documents""",
 }
+#: Files of every kind, made of documents.
+VIEWS["fx_kinds"] = """
+SELECT doc_id, doc_id % 9 AS form, concat('f/', CAST(doc_id AS VARCHAR(20)), CASE doc_id % 9 WHEN 4 THEN '.py' WHEN 5 THEN '.sql' WHEN 6 THEN '.md' WHEN 7 THEN '.sh' ELSE '.dat' END) AS path,
+  CASE doc_id % 9
+    WHEN 0 THEN concat('{"n": ', CAST(doc_id AS VARCHAR(20)), ', "who": "', source, '", "zone": {"b": 1, "a": [', CAST(n_chars AS VARCHAR(20)), ']}, "list": [', CASE WHEN doc_id % 2 = 0 THEN '"x", "y"' ELSE '' END, '], "none": null, "on": true}')
+    WHEN 1 THEN concat('[{"z": ', CAST(n_chars AS VARCHAR(20)), ', "a": "', source, '"}, {"z": 2}]')
+    WHEN 2 THEN concat('{"z": 1, "', source, '": 2}', chr(10), chr(10), '{"a": ', CAST(n_chars AS VARCHAR(20)), '}')
+    WHEN 3 THEN concat('name', CASE WHEN doc_id % 2 = 0 THEN ',' ELSE chr(9) END, ' ', source, chr(10), '1', CASE WHEN doc_id % 2 = 0 THEN ',' ELSE chr(9) END, '2', chr(10))
+    WHEN 4 THEN concat('import os', chr(10), 'class ', upper(source), ':', chr(10), '    def inner(self): pass', chr(10), 'async def f', CAST(doc_id AS VARCHAR(20)), '(x):', chr(10), '    return x')
+    WHEN 5 THEN concat('create or replace view ', source, ' as select 1;', chr(10), 'CREATE TABLE IF NOT EXISTS t', CAST(doc_id AS VARCHAR(20)), ' (a int);', chr(10), 'select 1')
+    WHEN 6 THEN concat('# ', source, chr(10), chr(10), 'words here', chr(10), '### part ', CAST(n_chars AS VARCHAR(20)))
+    WHEN 7 THEN concat('run', CAST(doc_id AS VARCHAR(20)), '() {', chr(10), '  true', chr(10), '}', chr(10), 'run', CAST(doc_id AS VARCHAR(20)))
+    ELSE text END AS text
+FROM documents"""
 #: Broken summaries and edges, one defect a session, for integrity checks and repairs.
 VIEWS |= {
     "bad_summaries": """

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from sessionloom.functions import scalars as S
+from sessionloom.functions.redact import redact
 
 
 def read_messages(spark: SparkSession, path: str) -> DataFrame:
@@ -128,17 +130,62 @@ def render_part(kind: Column, name: Column, arguments: Column, text: Column) ->
     return F.when(kind == "text", text).when(kind == "tool-call", F.concat(F.lit("tool-call: "), name, F.lit(" "), arguments)).when(kind == "tool-result", text)
 
 
+#: Fields whose texts others wrote.
+FOREIGN_FIELDS = ("error", "errorMessage", "message", "detail", "note")
+
+
 def sanitize_path(value: Column, home: str) -> Column:
-    """A home folder becomes ``~``; another absolute path ``<path>``."""
-    return F.when(value.startswith(home), F.concat(F.lit("~"), F.substring(value, len(home) + 1, 1 << 30))).when(value.rlike("^(/|[A-Za-z]:\\\\)"), "<path>").otherwise(value)
-
-
-def structure_line(kind: Column, text: Column) -> Column:
-    """A table's rows and columns; of other texts lines, paragraphs and Markdown headings."""
-    lines = F.filter(F.split(text, "\n"), lambda x: S.trimmed(x) != "")
-    columns = lambda sep: F.size(F.split(F.get(lines, F.lit(0)), sep))
-    table = lambda sep: F.concat(F.size(lines).cast("string"), F.lit(" rows x "), columns(sep).cast("string"), F.lit(" columns"))
-    headings = F.size(F.filter(lines, lambda x: x.rlike(r"^#{1,6}\s")))
-    paragraphs = F.size(F.filter(F.split(text, r"\n\s*\n"), lambda x: S.trimmed(x) != ""))
-    plain = F.concat(F.size(lines).cast("string"), F.lit(" lines, "), paragraphs.cast("string"), F.lit(" paragraphs, "), headings.cast("string"), F.lit(" headings"))
-    return F.when(kind == "csv", table(",")).when(kind == "tsv", table("\t")).otherwise(plain)
+    """The home folder becomes ``~``; another absolute path ``<path>``."""
+    inside = (value == home) | value.startswith(f"{home}/")
+    return F.when(inside, F.concat(F.lit("~"), F.substring(value, len(home) + 1, 1 << 30))).when(value.rlike(r"^(/|[A-Za-z]:[\\/])"), "<path>").otherwise(value)
+
+
+def sanitized(value: Column, kind: T.DataType, home: str, name: str = "", fields: tuple[str, ...] = FOREIGN_FIELDS, every: bool = False) -> Column:
+    """``value`` of any type with paths bound and the texts of ``fields`` (``every``: all texts) redacted, at whatever depth.
+
+    The rewrite follows the schema: fields of structs by their names, elements of arrays by the array's name, values of
+    maps by their keys. A VARIANT is rewritten as JSON by ``sanitized_json``.
+    """
+    if isinstance(kind, T.StringType):
+        return sanitize_path(redact(value) if every or name in fields else value, home)
+    if isinstance(kind, T.ArrayType):
+        return F.transform(value, lambda x: sanitized(x, kind.elementType, home, name, fields, every))
+    if isinstance(kind, T.MapType):
+        told = lambda k, v: F.when(k.isin(*fields), sanitized(v, kind.valueType, home, fields[0], fields, every)).otherwise(sanitized(v, kind.valueType, home, "", fields, every))
+        return F.transform_values(value, told)
+    if isinstance(kind, T.StructType):
+        parts = [sanitized(value[f.name], f.dataType, home, f.name, fields, every).alias(f.name) for f in kind.fields]
+        return F.when(value.isNotNull(), F.struct(*parts))
+    if isinstance(kind, T.VariantType):
+        return F.try_parse_json(sanitized_json(F.to_json(value), home, fields, every))
+    return value
+
+
+#: A string of a JSON text with what tells its field: the text is cut at these.
+_STRING = r'"(?:[^"\\]|\\.)*"'
+
+
+def sanitized_json(line: Column, home: str, fields: tuple[str, ...] = FOREIGN_FIELDS, every: bool = False) -> Column:
+    """A JSON text whose string values are sanitized like ``sanitized`` does, of any shape and depth.
+
+    The text is cut into strings and what stands between them. A string before a colon is a name; it holds for the value behind
+    it and for all elements of an array, until the next name; so a string that follows an object within one array goes by that object's
+    last name. Names are left as they are, null stays null.
+    """
+    names = F.regexp_extract_all(line, F.lit(_STRING), F.lit(0))
+    gaps = F.split(line, _STRING)
+    paired = F.transform(names, lambda s, k: F.struct(s.alias("s"), F.get(gaps, k + 1).rlike(r"^\s*:").alias("is_name")))
+
+    def step(state: Column, x: Column) -> Column:
+        plain = F.get(F.from_json(F.concat(F.lit("["), x["s"], F.lit("]")), "array<string>"), F.lit(0))
+        inside = F.lit(True) if every else state["name"].isin(*fields)
+        clean = sanitize_path(F.when(inside, redact(plain)).otherwise(plain), home)
+        coded = F.to_json(F.array(clean))
+        coded = F.substring(coded, F.lit(2), F.length(coded) - 2)
+        new = F.when(x["is_name"] | (clean == plain), x["s"]).otherwise(coded)
+        name = F.when(x["is_name"], plain).otherwise(state["name"])
+        return F.struct(F.concat(state["out"], F.array(new)).alias("out"), name.alias("name"))
+
+    begin = F.struct(F.array().cast("array<string>").alias("out"), F.lit("").alias("name"))
+    done = F.aggregate(paired, begin, step, lambda s: s["out"])
+    return F.when(line.isNotNull(), F.array_join(F.transform(gaps, lambda g, k: F.concat(g, F.coalesce(F.get(done, k), F.lit("")))), ""))
