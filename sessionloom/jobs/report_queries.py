@@ -121,6 +121,100 @@ def sessions(spark, d):
     return K.per_session(_log(spark, d))
 
 
+def _report_sql() -> str:
+    count = lambda condition, name: f"count(*) FILTER ({condition}) AS {name}"
+    total = lambda k, c, name=None: f"CAST(coalesce(sum({c}) FILTER (kind = '{k}'), 0) AS BIGINT) AS {name or c}"
+    timed = "kind IN ('summary-stored', 'summary-replaced', 'summary-skipped-existing')"
+    columns = [
+        "count(*) AS n_rows",
+        count("kind = 'projection'", "projections"),
+        *[count(f"kind = 'compaction-checkpoint' AND action = '{a}'", name) for a, name in (("checkpoint", "written"), ("skip", "checkpoints_skipped"), ("fail", "checkpoints_failed"))],
+        "arg_max(chars, pos) FILTER (kind = 'compaction-checkpoint' AND action = 'checkpoint') AS last_chars",
+        count("kind = 'pass'", "passes"),
+        *[count(f"kind = 'pass' AND outcome = '{o}'", f"passes_{o}") for o in ("stored", "nothing", "failed")],
+        total("pass", "leaf"),
+        total("pass", "condensed"),
+        count("kind = 'summary-stored'", "nodes"),
+        *[count(f"kind = 'summary-stored' AND stage = '{x}'", f"{x}_nodes") for x in ("leaf", "condensed")],
+        *[count(f"kind = 'summary-{k}'", name) for k, name in (("replaced", "replaced"), ("skipped-existing", "existing"), ("fallback-stored", "fallbacks"))],
+        f"count(duration_ms) FILTER ({timed}) AS timed",
+        f"quantile_disc(duration_ms, 0.5) FILTER ({timed}) AS p50",
+        f"quantile_disc(duration_ms, 0.95) FILTER ({timed}) AS p95",
+        count("kind = 'summarizer-usage'", "calls"),
+        count("kind = 'summarizer-usage' AND estimated", "estimated"),
+        count("kind = 'summarizer-error'", "errors"),
+        count("kind = 'summarizer-capped'", "capped"),
+        count("kind = 'compaction-abandoned'", "abandoned"),
+        total("compaction-abandoned", "dropped"),
+        count("kind = 'heal-complete'", "heals"),
+        *[total("heal-complete", c) for c in ("repaired", "improved", "failed", "blocked", "blocked_source", "skipped", "changed", "not_attempted")],
+        total("heal-complete", "calls", "heal_calls"),
+        "arg_max(stop, pos) FILTER (kind = 'heal-complete') AS last_stop",
+        count("kind = 'reader'", "readers"),
+        *[count(f"kind = 'reader' AND outcome = '{o}'", f"readers_{o}") for o in ("answered", "failed", "timeout")],
+        "CAST(coalesce(round(avg(duration_ms) FILTER (kind = 'reader')), 0) AS BIGINT) AS reader_ms",
+        *[f"arg_max_null({c}, pos) FILTER (kind = 'projection') AS last_{c}" for c in ("action", "occupancy", "tokens")],
+    ]
+    tops = """r AS (SELECT session, action, reason, count(*) AS n, row_number() OVER (PARTITION BY session, action ORDER BY count(*) DESC, reason) AS k FROM fx_log WHERE kind = 'projection' AND action IN ('kick', 'bail') AND reason IS NOT NULL GROUP BY 1, 2, 3),
+ rr AS (SELECT session, string_agg(concat(reason, ' ', n), ', ' ORDER BY k) FILTER (action = 'kick' AND k <= 3) AS kick_reasons, string_agg(concat(reason, ' ', n), ', ' ORDER BY k) FILTER (action = 'bail' AND k <= 3) AS bail_reasons FROM r GROUP BY 1),
+ a AS (SELECT session, string_agg(concat(action, ' ', n), ', ' ORDER BY action) AS actions FROM (SELECT session, action, count(*) AS n FROM fx_log WHERE kind = 'projection' AND action IS NOT NULL GROUP BY 1, 2) q GROUP BY 1),
+ o AS (SELECT session, coalesce(tool, '(unrecorded)') AS tool, outcome, count(*) AS n FROM fx_log WHERE kind = 'recall' GROUP BY 1, 2, 3),
+ t AS (SELECT session, tool, CAST(sum(n) AS BIGINT) AS n, string_agg(concat(outcome, ' ', n), ' ' ORDER BY CASE outcome WHEN 'hit' THEN 0 WHEN 'miss' THEN 1 WHEN 'refused' THEN 2 ELSE 3 END) AS detail FROM o GROUP BY 1, 2),
+ u AS (SELECT *, row_number() OVER (PARTITION BY session ORDER BY n DESC, tool) AS k FROM t),
+ tt AS (SELECT session, string_agg(concat(tool, ' ', n, ' (', detail, ')'), ', ' ORDER BY k) FILTER (k <= 5) AS recall, greatest(count(*) - 5, 0) AS more_tools FROM u GROUP BY 1)"""
+    return f"""WITH c AS (SELECT session, {", ".join(columns)} FROM fx_log GROUP BY session), {tops}
+ SELECT c.*, CASE WHEN nodes + replaced > 0 THEN round(100.0 * fallbacks / (nodes + replaced), 1) END AS fallback_percent, actions, kick_reasons, bail_reasons, recall, coalesce(more_tools, 0) AS more_tools
+ FROM c LEFT JOIN a USING (session) LEFT JOIN rr USING (session) LEFT JOIN tt USING (session)"""
+
+
+@query("k17_session_report", _report_sql())
+def session_report(spark, d):
+    return K.session_report(view(spark, d, "fx_log"))
+
+
+@query("k02_recut_share", "SELECT count(*) AS decisions, count(*) FILTER (occupancy >= commit_at) AS at_recut FROM fx_log WHERE kind = 'projection' AND occupancy IS NOT NULL AND commit_at IS NOT NULL")
+def recut_share(spark, d):
+    return K.recut_share(view(spark, d, "fx_log"))
+
+
+@query("k05_spend_quality", "SELECT stage, count(*) AS calls, count(*) FILTER (rejected) AS rejected, count(*) FILTER (estimated) AS estimated, CAST(sum(tokens) AS BIGINT) AS tokens FROM fx_log WHERE kind = 'summarizer-usage' GROUP BY stage")
+def spend_quality(spark, d):
+    return K.spend_quality(view(spark, d, "fx_log"))
+
+
+@query(
+    "k07_fallback_share",
+    """WITH w AS (SELECT * FROM fx_log WHERE kind IN ('summary-stored', 'summary-replaced')), f AS (SELECT count(*) AS fallbacks FROM fx_log WHERE kind = 'summary-fallback-stored')
+ SELECT (SELECT count(*) FROM w) AS writes, fallbacks, round(fallbacks / (SELECT count(*) FROM w), 6) AS share, (SELECT max(duration_ms) FROM w) AS slowest_ms, (SELECT min(pos) FROM w WHERE duration_ms = (SELECT max(duration_ms) FROM w)) AS slowest_pos FROM f""",
+)
+def fallback_share(spark, d):
+    return K.fallback_share(view(spark, d, "fx_log"))
+
+
+@query("k09_recall_callers", "SELECT coalesce(tool, '(unrecorded)') AS tool, coalesce(caller, '(unrecorded)') AS caller, count(*) AS calls FROM fx_log WHERE kind = 'recall' GROUP BY 1, 2")
+def recall_callers(spark, d):
+    return K.recall_callers(view(spark, d, "fx_log"))
+
+
+@query("k10_reader_addressing", "SELECT CASE WHEN summary_id IS NOT NULL THEN 'summary' WHEN entry_id IS NOT NULL THEN 'entry' ELSE 'searched' END AS addressed, count(*) AS n, CAST(sum(tokens) AS BIGINT) AS tokens FROM fx_log WHERE kind = 'reader' GROUP BY 1")
+def reader_addressing(spark, d):
+    return K.reader_addressing(view(spark, d, "fx_log"))
+
+
+@query("k15_stalls", "SELECT strftime(make_timestamp(ts * 1000), '%Y-%m-%d') AS day, reason, count(*) AS n, round(max(frontier_tokens / target_tokens), 6) AS worst FROM fx_log WHERE kind = 'frontier-over-target' GROUP BY 1, 2")
+def stalls(spark, d):
+    return K.stalls(view(spark, d, "fx_log"))
+
+
+@query(
+    "k16_losses_by_day",
+    """SELECT strftime(make_timestamp(ts * 1000), '%Y-%m-%d') AS day, CAST(sum(greatest(0, before_tokens - after_tokens)) AS BIGINT) AS freed, count(*) FILTER (oversized) AS oversized, count(*) FILTER (truncated) AS truncated
+ FROM fx_log WHERE kind IN ('summary-stored', 'summary-replaced') GROUP BY 1""",
+)
+def losses(spark, d):
+    return K.losses_by_day(view(spark, d, "fx_log"))
+
+
 @query("k18_newest_rows", "SELECT session, pos FROM (SELECT *, row_number() OVER (PARTITION BY session ORDER BY pos DESC) AS n FROM fx_metrics) q WHERE n <= 25")
 def newest(spark, d):
     return K.newest_rows(_log(spark, d)).select("session", "pos")

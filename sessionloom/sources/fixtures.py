@@ -83,6 +83,20 @@ SELECT doc_id, doc_id % 9 AS form, concat('f/', CAST(doc_id AS VARCHAR(20)), CAS
     WHEN 7 THEN concat('run', CAST(doc_id AS VARCHAR(20)), '() {', chr(10), '  true', chr(10), '}', chr(10), 'run', CAST(doc_id AS VARCHAR(20)))
     ELSE text END AS text
 FROM documents"""
+#: A telemetry log of all kinds of rows.
+VIEWS["fx_log"] = """
+SELECT *, CASE WHEN k < 2 THEN 'projection' WHEN k = 2 THEN 'compaction-checkpoint' WHEN k = 3 THEN 'pass' WHEN k = 4 THEN 'summary-stored' WHEN k = 5 THEN 'summary-replaced'
+    WHEN k = 6 AND j % 2 = 0 THEN 'summary-skipped-existing' WHEN k = 6 THEN 'summary-fallback-stored' WHEN k = 7 THEN 'summarizer-usage' WHEN k = 8 AND j % 3 = 0 THEN 'summarizer-capped' WHEN k = 8 THEN 'summarizer-error'
+    WHEN k = 9 THEN 'compaction-abandoned' WHEN k = 10 THEN 'heal-complete' WHEN k = 11 THEN 'recall' WHEN j % 7 = 0 THEN 'frontier-over-target' ELSE 'reader' END AS kind,
+  CASE WHEN k < 2 THEN CASE j % 5 WHEN 0 THEN 'swap' WHEN 1 THEN 'kick' WHEN 2 THEN 'bail' WHEN 3 THEN 'reapply' ELSE 'quiet' END WHEN k = 2 THEN CASE j % 3 WHEN 0 THEN 'checkpoint' WHEN 1 THEN 'skip' ELSE 'fail' END END AS action,
+  CASE WHEN k < 2 AND j % 11 > 0 THEN concat('r', CAST(j % 7 AS VARCHAR(20))) WHEN k = 12 AND j % 7 = 0 THEN concat('r', CAST(j % 2 AS VARCHAR(20))) END AS reason,
+  CASE k WHEN 3 THEN CASE j % 3 WHEN 0 THEN 'stored' WHEN 1 THEN 'nothing' ELSE 'failed' END WHEN 11 THEN CASE j % 4 WHEN 0 THEN 'hit' WHEN 1 THEN 'miss' WHEN 2 THEN 'refused' ELSE 'error' END WHEN 12 THEN CASE j % 3 WHEN 0 THEN 'answered' WHEN 1 THEN 'failed' ELSE 'timeout' END END AS outcome,
+  CASE WHEN k IN (4, 5, 7) THEN CASE j % 2 WHEN 0 THEN 'leaf' ELSE 'condensed' END END AS stage, CASE WHEN j % 10 < 9 THEN concat('t', CAST(j % 9 AS VARCHAR(20))) END AS tool, CASE WHEN j % 4 > 0 THEN pos * 37 % 5000 END AS duration_ms,
+  j % 3 AS leaf, j % 2 AS condensed, j % 5 AS dropped, j % 4 AS repaired, j % 3 AS improved, j % 2 AS failed, j % 6 AS blocked, j % 2 AS blocked_source, j % 8 AS calls, j % 3 AS skipped, j % 2 AS changed, j % 5 AS not_attempted,
+  CASE j % 3 WHEN 0 THEN 'done' WHEN 1 THEN 'max-nodes' ELSE 'max-calls' END AS stop, CASE WHEN j % 9 > 0 THEN occ END AS occupancy, CASE WHEN j % 6 > 0 THEN 0.85 END AS commit_at, pos % 5000 AS tokens, pos % 777 AS chars,
+  j % 4 = 0 AS estimated, j % 5 = 0 AS rejected, CASE WHEN j % 3 = 0 THEN j END AS summary_id, CASE WHEN j % 3 = 1 THEN concat('e', CAST(j AS VARCHAR(20))) END AS entry_id, pos % 900 AS before_tokens, pos % 700 AS after_tokens,
+  pos % 400 AS frontier_tokens, 100 + j % 50 AS target_tokens, CASE j % 3 WHEN 0 THEN 'tool' WHEN 1 THEN 'loop' END AS caller, j % 5 = 1 AS oversized, j % 6 = 2 AS truncated
+FROM (SELECT event_id AS pos, event_id % 13 AS k, j13 AS j, concat('s', CAST(user_id AS VARCHAR(20))) AS session, 86400000 + event_id * 60000 AS ts, 'lcm' AS event, value / 100 AS occ FROM (SELECT *, CAST(floor(event_id / 13.0) AS BIGINT) AS j13 FROM events) x) e"""
 #: Broken summaries and edges, one defect a session, for integrity checks and repairs.
 VIEWS |= {
     "bad_summaries": """
