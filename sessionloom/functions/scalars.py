@@ -137,7 +137,19 @@ def snippet(text: Column, most: int = 400, redactor: Callable[[Column], Column]
 
 
 def fmt_tokens(n: Column) -> Column:
-    return F.when(n >= 1_000_000, F.format_string("%.1fM", n / 1e6)).when(n >= 1_000, F.format_string("%.1fk", n / 1e3)).otherwise(n.cast("long").cast("string"))
+    return F.when(F.abs(n) >= 1_000_000, F.format_string("%.1fM", n / 1e6)).when(F.abs(n) >= 1_000, F.format_string("%.1fk", n / 1e3)).otherwise(F.round(n).cast("long").cast("string"))
+
+
+def fmt_bytes(n: Column) -> Column:
+    return F.when(n >= 1 << 20, F.format_string("%.1fM", n / float(1 << 20))).when(n >= 1024, F.concat(F.round(n / 1024.0).cast("long").cast("string"), F.lit("K"))).otherwise(F.round(n).cast("long").cast("string"))
+
+
+def fmt_duration(ms: Column) -> Column:
+    """Milliseconds below a second, tenths of seconds below a minute, else minutes and the seconds that are left."""
+    n = F.greatest(F.lit(0), F.round(ms).cast("long"))
+    minutes, seconds = F.floor(n / 60_000).cast("string"), F.round(F.pmod(n, F.lit(60_000)) / 1000.0).cast("long")
+    long = F.when(seconds == 0, F.concat(minutes, F.lit("m"))).otherwise(F.concat(minutes, F.lit("m "), seconds.cast("string"), F.lit("s")))
+    return F.when(n < 1000, F.concat(n.cast("string"), F.lit("ms"))).when(n < 60_000, F.format_string("%.1fs", n / 1000.0)).otherwise(long)
 
 
 def fts_phrase(text: Column) -> Column:

@@ -202,6 +202,20 @@ def replace(spark, d):
     return D.replace_if_smaller(s, tries, p).select("session_id", "id", "replaced")
 
 
+@query(
+    "d10_replaced_texts",
+    """WITH r AS (SELECT *, tokens > 0 AND floor(tokens * (id % 4) / 3.0) <= 0.75 * tokens AND NOT EXISTS (SELECT 1 FROM fx_provenance p WHERE p.session_id = s.session_id AND p.child_type = 'summary' AND p.child_id = s.id) AND NOT (quality = 'clean' AND id % 2 = 0) AS hit FROM fx_summaries s)
+ SELECT session_id, id, CASE WHEN hit THEN concat('new ', id) ELSE concat('old ', id) END AS text, CASE WHEN id % 5 = 1 THEN 'given' WHEN hit THEN concat('old ', id) END AS thorough_text, CAST(CASE WHEN hit THEN floor(tokens * (id % 4) / 3.0) ELSE tokens END AS BIGINT) AS tokens,
+  CASE WHEN hit THEN CASE WHEN id % 2 = 0 THEN 'clipped' ELSE 'clean' END ELSE quality END AS quality FROM r""",
+)
+def replaced_texts(spark, d):
+    _, s, p = _graph(spark, d)
+    n = F.col("id").cast("string")
+    s = s.select("session_id", "id", F.concat(F.lit("old "), n).alias("text"), F.when(F.col("id") % 5 == 1, "given").alias("thorough_text"), "tokens", "quality")
+    tries = s.select("session_id", "id", F.concat(F.lit("new "), n).alias("new_text"), F.floor(F.col("tokens") * (F.col("id") % 4) / 3.0).alias("new_tokens"), F.when(F.col("id") % 2 == 0, "clipped").otherwise("clean").alias("new_quality"))
+    return D.replaced_summaries(s, tries, p)
+
+
 @query(
     "d11_ordered_sources",
     """WITH c AS (SELECT p.*, CASE p.child_type WHEN 'message' THEN p.child_id ELSE (SELECT min(m.row_id) FROM fx_summaries s JOIN fx_messages m ON m.session_id = s.session_id AND m.entry_id = s.first_entry_id WHERE s.session_id = p.session_id AND s.id = p.child_id) END AS place_at FROM fx_provenance p)
@@ -221,6 +235,17 @@ def stats(spark, d):
     return D.store_stats(m, view(spark, d, "fx_summaries"))
 
 
+@query(
+    "d15_payloads_and_files",
+    """SELECT m.session_id, count(*) AS messages, CAST(sum(tokens) AS BIGINT) AS tokens, 0 AS removed, count(*) FILTER (row_id % 3 = 0) AS payloads, CAST(coalesce(sum(strlen(text)) FILTER (row_id % 3 = 0), 0) AS BIGINT) AS payload_bytes,
+  (SELECT count(*) FROM fx_summaries s WHERE s.session_id = m.session_id) AS summaries, count(*) FILTER (row_id % 2 = 0) AS files, CAST(coalesce(sum(length(text)) FILTER (row_id % 2 = 0), 0) AS BIGINT) AS file_bytes FROM fx_messages m GROUP BY m.session_id""",
+)
+def payloads_and_files(spark, d):
+    m, s, _ = _graph(spark, d)
+    rows = m.withColumns({"payload": F.when(F.col("row_id") % 3 == 0, F.col("text")), "removed_at_ms": F.lit(None).cast("long")})
+    return D.store_stats(rows, s, m.filter("row_id % 2 = 0").select("session_id", F.length("text").cast("long").alias("bytes")))
+
+
 @query("d17_depth_stats", "SELECT depth, count(*) AS n, CAST(sum(tokens) AS BIGINT) AS tokens, CAST(round(avg(tokens)) AS BIGINT) AS average FROM fx_summaries GROUP BY depth")
 def depths(spark, d):
     return D.depth_stats(view(spark, d, "fx_summaries"))
@@ -304,6 +329,13 @@ def fixpoint_deep(spark, d):
     return I.drop_orphan_parents(view(spark, d, "chain_summaries"), view(spark, d, "chain_provenance")).select("session_id", "id")
 
 
+@query("i12_commit_run", "SELECT session_id, id, CASE WHEN run = 'dead' THEN 'committed' ELSE status END AS status, CAST(NULL AS VARCHAR) AS run FROM bad_summaries")
+def commit(spark, d):
+    """The run's pending rows become everyone's; its orphans are reaped no more."""
+    _, s, _ = _graph(spark, d, bad=True)
+    return I.commit_run(s, "dead").select("session_id", "id", "status", "run")
+
+
 @query("i12_reap_pending", "SELECT session_id, id FROM bad_summaries WHERE status <> 'pending'")
 def reap(spark, d):
     _, s, _ = _graph(spark, d, bad=True)

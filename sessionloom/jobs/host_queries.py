@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from sessionloom.jobs.dag_queries import _BELOW, _FRONTIER, _graph
@@ -44,6 +46,38 @@ def headers(spark, d):
     return A.session_headers(lines)
 
 
+def _session_files(spark, d, rows):
+    """Rows (session_id, row_id, line) written as text files, one a session, and their folder."""
+    path = f"{D.shared_folder(spark)}/files-{uuid.uuid4().hex}"
+    rows.repartition("session_id").sortWithinPartitions("session_id", "row_id").select("session_id", "line").write.partitionBy("session_id").text(path)
+    return path
+
+
+@query(
+    "a02_read_headers",
+    """SELECT concat('id-', session_id) AS session_id, concat('/work/', count(*) % 3) AS cwd, count(*) % 2 = 0 AS stamped, CASE WHEN count(*) % 2 = 0 THEN 1700000000000 END AS when_ms
+       FROM fx_messages WHERE NOT session_id LIKE '%9' GROUP BY session_id""",
+)
+def read_headers(spark, d):
+    """Files of each session with a header as the first line; in half of them the file's own time counts."""
+    m = _messages(spark, d)
+    n = m.groupBy("session_id").agg(F.count("*").alias("n"))
+    stamp = F.when(F.col("n") % 2 == 0, F.lit("2023-11-14T22:13:20Z"))
+    head = F.when(F.col("session_id").like("%9"), F.lit("oops")).otherwise(F.to_json(F.struct(F.lit("session").alias("type"), F.concat(F.lit("/work/"), (F.col("n") % 3).cast("string")).alias("cwd"), F.concat(F.lit("id-"), "session_id").alias("id"), stamp.alias("timestamp"))))
+    rows = n.select("session_id", F.lit(0).cast("long").alias("row_id"), head.alias("line")).unionByName(m.select("session_id", "row_id", F.to_json(F.struct("role", "text")).alias("line")))
+    found = A.read_session_headers(spark, _session_files(spark, d, rows))
+    stamped = F.col("when_ms") == 1_700_000_000_000
+    return found.select("session_id", "cwd", stamped.alias("stamped"), F.when(stamped, F.col("when_ms")).alias("when_ms"))
+
+
+@query("a08_read_inventory", "SELECT session_id, CAST(sum(strlen(text) + 1) AS BIGINT) AS bytes FROM (SELECT session_id, replace(replace(text, chr(10), ' '), chr(13), ' ') AS text FROM fx_messages) q GROUP BY session_id")
+def read_inventory(spark, d):
+    """Sizes of files written of each session's texts."""
+    m = _messages(spark, d)
+    files = A.read_inventory(spark, _session_files(spark, d, m.select("session_id", "row_id", F.translate("text", "\n\r", "  ").alias("line"))))
+    return files.select(F.regexp_extract("path", "session_id=([^/]*)/", 1).alias("session_id"), "bytes")
+
+
 @query("a08_inventory", "SELECT path, CAST(length(text) AS BIGINT) AS mtime_ms FROM fx_files WHERE doc_id <> 7 ORDER BY mtime_ms DESC, path")
 def inventory(spark, d):
     f = view(spark, d, "fx_files").filter("doc_id <> 7")

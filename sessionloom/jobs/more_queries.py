@@ -18,6 +18,7 @@ from sessionloom.operators import evaluation as L
 from sessionloom.operators import ingest as C
 from sessionloom.operators import policy as G
 from sessionloom.operators import reports as K
+from sessionloom.operators import retention as M
 from sessionloom.operators import search as E
 from sessionloom.operators import transfer as H
 from sessionloom.operators import views as V
@@ -236,9 +237,12 @@ def heal_sources(spark, d):
 
 @query("m03_export_candidates", "SELECT session_id, count(*) AS n FROM (SELECT session_id FROM fx_messages UNION ALL SELECT session_id FROM fx_summaries) q WHERE session_id LIKE '%4' GROUP BY session_id")
 def candidates(spark, d):
+    """The transcripts of some sessions are written and read back."""
     m, s, p = _graph(spark, d)
     gone = m.filter("session_id like '%4'").select("session_id").distinct()
-    return H.export_rows(m, s, p).join(gone, "session_id", "left_semi").groupBy("session_id").agg(F.count("*").alias("n"))
+    path = f"{D.shared_folder(spark)}/export-{uuid.uuid4().hex}"
+    M.export_before_delete(H.export_rows(m, s, p), gone, path)
+    return spark.read.schema("value string, session_id string").text(path).groupBy("session_id").agg(F.count("*").alias("n"))
 
 
 @query("u01_summarizer", "SELECT session_id, row_id, left(trim(regexp_replace(text, '\\s+', ' ', 'g')), 60) AS l1 FROM fx_messages")

@@ -191,6 +191,23 @@ def decisions(spark, d):
     return t.select("event_id", G.next_action(occ, F.col("swap"), F.col("recut"), F.col("event_id") % 2 == 0).alias("action"))
 
 
+@query(
+    "g02_g03_windows_and_cuts",
+    """SELECT event_id, round(value / CASE WHEN event_id % 3 = 0 AND event_id % 5 = 0 THEN 70 WHEN event_id % 5 = 0 THEN 70 WHEN event_id % 3 = 0 THEN 90 ELSE 120 END, 6) AS occ,
+ event_id % 4 = 0 OR event_id % 10 >= event_id % 7 AS may_replace FROM events""",
+)
+def windows_and_cuts(spark, d):
+    e = spark.read.parquet(f"{d}/events.parquet")
+    n = F.col("event_id")
+    window = G.effective_window(F.lit(120), F.when(n % 3 == 0, 90), F.when(n % 5 == 0, 70))
+    return e.select("event_id", F.round(G.occupancy(F.col("value"), F.lit(0), window), 6).alias("occ"), G.cut_may_replace(F.when(n % 4 != 0, n % 7), n % 10).alias("may_replace"))
+
+
+@query("g05_tail_keys", "SELECT session_id, row_id, CASE WHEN role IS NULL THEN '' ELSE CAST(to_json([role, left(text, 200)]) AS VARCHAR) END AS tail FROM fx_messages")
+def tail_keys(spark, d):
+    return view(spark, d, "fx_messages").select("session_id", "row_id", G.tail_key(F.col("role"), F.col("text")).alias("tail"))
+
+
 def _cuts_sql(table: str, keep: int) -> str:
     """Cuts of rows numbered from 0: the point from the tail on, then what is looked for before and behind it."""
     return f"""n AS (SELECT session_id, row_id, role, row_number() OVER (PARTITION BY session_id ORDER BY row_id) - 1 AS k, sum(coalesce(tokens, 0)) OVER (PARTITION BY session_id ORDER BY row_id DESC) AS tail FROM {table}),
@@ -363,11 +380,19 @@ def lifecycle(spark, d):
     return M.by_lifecycle(stores, f.filter("doc_id % 2 = 0"), 500 * M.DAY_MS)
 
 
-@query("m02_by_age", "SELECT concat('u', user_id) AS stem, greatest(0, 9000 * 86400000 - max(event_id) * 86400000) AS age_ms FROM events WHERE user_id % 4 <> 0 GROUP BY user_id HAVING greatest(0, 9000 * 86400000 - max(event_id) * 86400000) > 30 * CAST(86400000 AS BIGINT)".replace("9000", "CAST(9000 AS BIGINT)"))
+@query(
+    "m02_by_age",
+    """WITH f AS (SELECT concat('u', user_id) AS stem, user_id, event_id * 60000 AS mtime_ms FROM events WHERE user_id % 3 > 0 OR event_id < (SELECT max(event_id) FROM events) // 2), n AS (SELECT max(event_id) * 60000 + 1800000 AS now FROM events),
+ a AS (SELECT stem, max(now) - max(mtime_ms) AS age_ms FROM f, n WHERE user_id % 4 <> 0 GROUP BY stem)
+ SELECT stem, age_ms, CASE WHEN age_ms < 3600000 THEN 'grace' WHEN age_ms < 86400000 THEN 'young' ELSE 'old' END AS state FROM a WHERE age_ms > 2700000""",
+)
 def age(spark, d):
+    """Families last written between minutes and days ago; those of every fourth user are open."""
     e = spark.read.parquet(f"{d}/events.parquet")
+    last = e.agg(F.max("event_id")).first()[0]
     stem = F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("stem")
-    return M.by_age(e.select(stem, (F.col("event_id") * M.DAY_MS).alias("mtime_ms")), e.filter("user_id % 4 = 0").select(stem).distinct(), 9000 * M.DAY_MS)
+    files = e.filter((F.col("user_id") % 3 > 0) | (F.col("event_id") < last // 2)).select(stem, (F.col("event_id") * 60_000).alias("mtime_ms"))
+    return M.by_age(files, e.filter("user_id % 4 = 0").select(stem).distinct(), last * 60_000 + 1_800_000, 2_700_000 / M.DAY_MS)
 
 
 @query("n03_daily_health", "SELECT strftime(make_timestamp(ts * 1000), '%Y-%m-%d') AS day, kind, count(*) AS n FROM fx_metrics WHERE kind IS NOT NULL GROUP BY 1, 2")

@@ -207,6 +207,17 @@ def citations(spark, d):
     return e.select("event_id", F.array_join(S.cite_ids(answer), ",").alias("cited"))
 
 
+@query(
+    "b29_sizes_and_times",
+    """SELECT event_id, CASE WHEN b >= 1048576 THEN concat(printf('%.1f', b / 1048576.0), 'M') WHEN b >= 1024 THEN concat(CAST(round(b / 1024.0) AS BIGINT), 'K') ELSE CAST(b AS VARCHAR) END AS bytes,
+  CASE WHEN t < 1000 THEN concat(greatest(t, 0), 'ms') WHEN t < 60000 THEN concat(printf('%.1f', t / 1000.0), 's') WHEN CAST(round(t % 60000 / 1000.0) AS BIGINT) = 0 THEN concat(t // 60000, 'm') ELSE concat(t // 60000, 'm ', CAST(round(t % 60000 / 1000.0) AS BIGINT), 's') END AS took
+ FROM (SELECT event_id, event_id * 777 AS b, event_id * 40 - 500 AS t FROM events) q""",
+)
+def sizes_and_times(spark, d):
+    n = F.col("event_id")
+    return spark.read.parquet(f"{d}/events.parquet").select("event_id", S.fmt_bytes(n * 777).alias("bytes"), S.fmt_duration(n * 40 - 500).alias("took"))
+
+
 @query(
     "b29_b30_formats",
     """SELECT event_id, CASE WHEN event_id * 200 + 3 >= 1000000 THEN concat(printf('%.1f', (event_id * 200 + 3) / 1e6), 'M') WHEN event_id * 200 + 3 >= 1000 THEN concat(printf('%.1f', (event_id * 200 + 3) / 1e3), 'k') ELSE CAST(event_id * 200 + 3 AS VARCHAR) END AS tokens,

@@ -173,11 +173,26 @@ def replace_if_smaller(stored: DataFrame, attempts: DataFrame, provenance: DataF
     return both.withColumn("replaced", fits & F.col("has_parent").isNull() & ~worse).drop("has_parent")
 
 
-def store_stats(messages: DataFrame, summaries: DataFrame) -> DataFrame:
-    """Messages, tokens, removed messages and summaries of each session."""
-    m = messages.groupBy("session_id").agg(F.count("*").alias("messages"), F.sum("tokens").alias("tokens"), F.count("removed_at_ms").alias("removed"))
+def replaced_summaries(stored: DataFrame, attempts: DataFrame, provenance: DataFrame) -> DataFrame:
+    """``stored`` (with text and thorough_text) after the attempts (as for ``replace_if_smaller``, with new_text); a replaced text becomes the thorough one where there is none."""
+    taken = replace_if_smaller(stored, attempts, provenance).filter("replaced").select("session_id", "id", "new_text", "new_tokens", "new_quality", "replaced")
+    both = stored.join(taken, ["session_id", "id"], "left")
+    hit = F.coalesce("replaced", F.lit(False))
+    new = {"thorough_text": F.when(hit, F.coalesce("thorough_text", "text")).otherwise(F.col("thorough_text"))}
+    new |= {c: F.when(hit, F.col(f"new_{c}")).otherwise(F.col(c)) for c in ("text", "tokens", "quality")}
+    return both.select(*[new.get(c, F.col(c)).alias(c) for c in stored.columns])
+
+
+def store_stats(messages: DataFrame, summaries: DataFrame, files: DataFrame | None = None) -> DataFrame:
+    """Messages, tokens, removed messages and summaries of each session; payloads and their bytes where messages have a ``payload``, files and their bytes where these (session_id, bytes) are given."""
+    payloads = [F.count("payload").alias("payloads"), F.coalesce(F.sum(F.octet_length("payload")), F.lit(0)).cast("long").alias("payload_bytes")] if "payload" in messages.columns else []
+    m = messages.groupBy("session_id").agg(F.count("*").alias("messages"), F.sum("tokens").alias("tokens"), F.count("removed_at_ms").alias("removed"), *payloads)
     s = summaries.groupBy("session_id").agg(F.count("*").alias("summaries"))
-    return m.join(s, "session_id", "left").na.fill(0, ["summaries"])
+    both = m.join(s, "session_id", "left").na.fill(0, ["summaries"])
+    if files is None:
+        return both
+    f = files.groupBy("session_id").agg(F.count("*").alias("files"), F.sum("bytes").alias("file_bytes"))
+    return both.join(f, "session_id", "left").na.fill(0, ["files", "file_bytes"])
 
 
 def depth_stats(summaries: DataFrame) -> DataFrame:

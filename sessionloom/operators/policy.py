@@ -37,6 +37,22 @@ def occupancy(reported: Column, estimated: Column, window: Column) -> Column:
     return used / window
 
 
+def effective_window(believed: Column, provider: Column, floor: Column) -> Column:
+    """The smallest window that is known: the believed one, the provider's, and one that a refused request has shown."""
+    return F.least(believed, provider, floor)  # nulls don't count
+
+
+def cut_may_replace(previous: Column, new: Column) -> Column:
+    """A pinned cut only moves forwards; without one any cut will do."""
+    return F.coalesce(new >= previous, F.lit(True))
+
+
+def tail_key(role: Column, text: Column, chars: int = 200) -> Column:
+    """What tells whether the message before a cut is still the same: its role and the start of its text, as JSON; empty without a message."""
+    pair = F.to_json(F.array(role, F.left(F.coalesce(text, F.lit("")), F.lit(chars))))
+    return F.when(role.isNull(), "").otherwise(pair)
+
+
 def next_action(occ: Column, swap: Column, recut: Column, pinned: Column) -> Column:
     return F.when(pinned, F.when(occ >= recut, "recommit").otherwise("stable")).otherwise(F.when(occ >= swap, "consider-apply").otherwise("quiet"))
 

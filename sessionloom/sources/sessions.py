@@ -23,6 +23,21 @@ def session_headers(lines: DataFrame) -> DataFrame:
     return parsed.select("file", F.col("h.id").alias("session_id"), F.col("h.cwd").alias("cwd"), F.coalesce(F.unix_millis(stamp), "mtime_ms").alias("when_ms"))
 
 
+def read_session_headers(spark: SparkSession, path: str) -> DataFrame:
+    """``session_headers`` of the files below ``path``, the file's time standing in for an unreadable stamp.
+
+    Only the first block of a file holds its first line, and rows come in the order of the file; the others are dropped in the scan.
+    """
+    lines = spark.read.text(path, recursiveFileLookup=True).select(F.col("_metadata.file_path").alias("file"), F.unix_millis("_metadata.file_modification_time").alias("mtime_ms"), F.col("value").alias("line"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("line_no"))
+    return session_headers(lines.filter("block = 0"))
+
+
+def read_inventory(spark: SparkSession, path: str, but: str | None = None) -> DataFrame:
+    """(path, bytes, mtime_ms) of all files below ``path``, newest first, but one; contents aren't read."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    return inventory(files.select("path", F.col("length").alias("bytes"), F.unix_millis("modificationTime").alias("mtime_ms")), but)
+
+
 def inventory(files: DataFrame, but: str | None = None) -> DataFrame:
     """Files (path, length, modificationTime) newest first, but one."""
     kept = files if but is None else files.filter(F.col("path") != but)
