@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from sessionloom.functions import redact as R
 from sessionloom.functions import scalars as S
 from sessionloom.registry import query
-from sessionloom.sources.fixtures import view
+from sessionloom.sources.fixtures import over_tables, view
 
 
 @query("b01_estimate_tokens", "SELECT doc_id, CAST(ceil(length(text) / 4.0) AS BIGINT) AS tokens FROM documents")
@@ -170,21 +170,19 @@ _MESSAGES = """SELECT event_id, CASE event_id % 6 WHEN 0 THEN concat('prompt is
         SELECT event_id, CASE WHEN n BETWEEN 1000 AND 100000000 THEN n END AS stated FROM w""",
 )
 def window_stated(spark, d):
-    view(spark, d, "fx_metrics")
-    return spark.sql(_MESSAGES).select("event_id", S.window_from_error(F.col("message")).alias("stated"))
+    return over_tables(spark, d, _MESSAGES).select("event_id", S.window_from_error(F.col("message")).alias("stated"))
 
 
 @query(
     "b22_classify_failure",
-    """SELECT event_id, CASE event_id % 6 WHEN 2 THEN 'rate-limit' WHEN 3 THEN 'unavailable' WHEN 4 THEN 'timeout' WHEN 5 THEN 'auth' ELSE 'unknown' END AS category, event_id % 6 IN (3, 4) AS retriable
-       FROM events WHERE event_id % 6 >= 2 OR NOT regexp_matches(CAST(event_id * 37 AS VARCHAR), '^(401|403|429|50[0-9])$') AND NOT regexp_matches(CAST(event_id AS VARCHAR), '^(401|403|429|50[0-9])$')""",
+    """WITH n AS (SELECT event_id, CASE event_id % 6 WHEN 0 THEN CAST(event_id * 37 AS VARCHAR) WHEN 1 THEN CAST(event_id AS VARCHAR) END AS code FROM events),
+ c AS (SELECT event_id, CASE WHEN event_id % 6 = 5 OR code IN ('401', '403') THEN 'auth' WHEN event_id % 6 = 2 OR code = '429' THEN 'rate-limit' WHEN event_id % 6 = 3 OR code LIKE '50_' THEN 'unavailable'
+   WHEN event_id % 6 = 4 THEN 'timeout' ELSE 'unknown' END AS category FROM n)
+ SELECT event_id, category, category IN ('unavailable', 'timeout') AS retriable FROM c""",
 )
 def failures(spark, d):
-    view(spark, d, "fx_metrics")
-    m = spark.sql(_MESSAGES)
-    named = ~F.col("event_id").cast("string").rlike("^(401|403|429|50[0-9])$") & ~(F.col("event_id") * 37).cast("string").rlike("^(401|403|429|50[0-9])$")
     kind = S.classify_failure(F.col("message"))
-    return m.filter((F.col("event_id") % 6 >= 2) | named).select("event_id", kind.alias("category"), S.retriable(kind).alias("retriable"))
+    return over_tables(spark, d, _MESSAGES).select("event_id", kind.alias("category"), S.retriable(kind).alias("retriable"))
 
 
 @query(

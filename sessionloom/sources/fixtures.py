@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import zlib
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -164,8 +165,14 @@ def with_views(sql: str) -> str:
 
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the views over the tables in ``sf_dir``."""
-    sql = with_views(f"SELECT * FROM {name}")
+    return over_tables(spark, sf_dir, with_views(f"SELECT * FROM {name}"))
+
+
+def over_tables(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
+    """``sql`` over the tables in ``sf_dir``; they stand in temporary views of names of their own, so none of the session's is replaced."""
     for table in BASE:
         if re.search(rf"\b{table}\b", sql):
-            spark.read.parquet(f"{sf_dir}/{table}.parquet").createOrReplaceTempView(table)
+            own = f"sessionloom_{table}_{zlib.crc32(sf_dir.encode()):08x}"
+            spark.read.parquet(f"{sf_dir}/{table}.parquet").createOrReplaceTempView(own)
+            sql = re.sub(rf"\b{table}\b", own, sql)
     return spark.sql(sql)
