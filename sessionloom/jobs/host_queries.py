@@ -195,6 +195,18 @@ def described(spark, d):
     return V.describe(s, m, p, _links(spark, d)).select("session_id", "id", "messages", "files")
 
 
+@query(
+    "e12_described_nodes",
+    _EDGES + """, t AS (SELECT s.session_id, s.id, coalesce(sum(m.tokens), 0) AS source_tokens FROM fx_summaries s LEFT JOIN e ON e.session_id = s.session_id AND e.id = s.id LEFT JOIN fx_messages m ON m.session_id = e.session_id AND m.row_id = e.row_id GROUP BY 1, 2)
+ SELECT s.session_id, s.id, kind, depth, quality, first_entry_id, last_entry_id, tokens, CAST(source_tokens AS BIGINT) AS source_tokens, CASE WHEN s.id % 2 = 0 THEN concat('long ', s.id) ELSE concat('short ', s.id) END AS text FROM fx_summaries s JOIN t ON t.session_id = s.session_id AND t.id = s.id""",
+)
+def described_nodes(spark, d):
+    m, s, p = _graph(spark, d)
+    n = F.col("id").cast("string")
+    s = s.withColumn("text", F.concat(F.lit("short "), n)).withColumn("thorough_text", F.when(F.col("id") % 2 == 0, F.concat(F.lit("long "), n)))
+    return V.describe(s, m, p, _links(spark, d)).select("session_id", "id", "kind", "depth", "quality", "first_entry_id", "last_entry_id", "tokens", "source_tokens", "text")
+
+
 @query("e06_hidden_hits", "SELECT session_id, count(*) FILTER (removed_at_ms IS NULL) AS visible, count(removed_at_ms) AS hidden FROM fx_tool_messages WHERE text LIKE '%click%' GROUP BY session_id")
 def hidden(spark, d):
     m = view(spark, d, "fx_tool_messages")
@@ -224,6 +236,18 @@ def history(spark, d):
     return V.history(D.frontier(s, m, p).withColumn("text", F.col("quality")), "what is mechanical?", 1).select("session_id", "id", "place", "omitted")
 
 
+@query(
+    "e16_history_costs",
+    _FRONTIER + """, o AS (SELECT session_id, id, CASE WHEN quality = 'mechanical' THEN 1 ELSE 0 END AS overlap, row_number() OVER (PARTITION BY session_id ORDER BY first_row, last_row DESC, depth DESC, id DESC) AS position FROM f),
+ q AS (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY overlap DESC, position) AS place FROM o),
+ b AS (SELECT session_id, summary_id AS id, child_id AS row_id FROM fx_provenance WHERE child_type = 'message' UNION ALL SELECT x.session_id, x.summary_id, y.child_id FROM fx_provenance x JOIN fx_provenance y ON x.child_type = 'summary' AND y.session_id = x.session_id AND y.summary_id = x.child_id)
+ SELECT q.session_id, q.id, place, (SELECT count(*) FROM b WHERE b.session_id = q.session_id AND b.id = q.id) AS messages FROM q WHERE place <= 2""",
+)
+def history_costs(spark, d):
+    m, s, p = _graph(spark, d)
+    return V.history(D.frontier(s, m, p).withColumn("text", F.col("quality")), "what is mechanical?", 2, D.node_costs(s, m, p)).select("session_id", "id", "place", "messages")
+
+
 @query(
     "e17_files_manifest",
     """WITH l AS (SELECT session_id, row_id, concat('f', row_id % 4) AS file_id FROM fx_messages WHERE row_id % 2 = 0), f AS (SELECT session_id, file_id, min(row_id) AS first FROM l GROUP BY 1, 2),
@@ -313,15 +337,19 @@ def _cut_sql(size: int) -> str:
     return f"CASE WHEN done + {size} >= length(text) THEN length(text) ELSE coalesce({behind('chr(10) || chr(10)', 2)}, {behind('chr(10)', 1)}, {behind(chr(39) + '. ' + chr(39), 2)}, {behind(chr(39) + ' ' + chr(39), 1)}, {limit}) END"
 
 
+def _windows_sql(items: str, size: int) -> str:
+    """Slices of ``items`` (node, item, text) packed into windows of ``size``: p (node, item, part, start, fin, pack)."""
+    return f"""WITH RECURSIVE items AS ({items}), able AS (SELECT node FROM items GROUP BY 1 HAVING sum(length(text)) <= {8 * size}),
+ w AS (SELECT node, item, text, CAST(-1 AS BIGINT) AS n, CAST(0 AS BIGINT) AS start, CAST(0 AS BIGINT) AS done FROM items WHERE text IS NOT NULL AND node IN (SELECT node FROM able)
+ UNION ALL SELECT node, item, text, n + 1, done, CAST({_cut_sql(size)} AS BIGINT) FROM w WHERE done < length(text)),
+ s AS (SELECT node, item, n AS part, start, done AS fin, row_number() OVER (PARTITION BY node ORDER BY item, n) AS k FROM w WHERE n >= 0),
+ p AS (SELECT *, CAST(0 AS BIGINT) AS pack, fin - start AS fill FROM s WHERE k = 1
+ UNION ALL SELECT s.*, CASE WHEN p.fill + s.fin - s.start > {size} THEN p.pack + 1 ELSE p.pack END, CASE WHEN p.fill + s.fin - s.start > {size} THEN s.fin - s.start ELSE p.fill + s.fin - s.start END FROM p JOIN s ON s.node = p.node AND s.k = p.k + 1)"""
+
+
 @query(
     "j06_heal_windows",
-    f"""WITH RECURSIVE able AS (SELECT doc_id // 3 AS node FROM documents GROUP BY 1 HAVING sum(length(text)) <= 16000),
- w AS (SELECT doc_id, text, CAST(-1 AS BIGINT) AS n, CAST(0 AS BIGINT) AS start, CAST(0 AS BIGINT) AS done FROM documents WHERE text IS NOT NULL AND doc_id // 3 IN (SELECT node FROM able)
- UNION ALL SELECT doc_id, text, n + 1, done, CAST({_cut_sql(2000)} AS BIGINT) FROM w WHERE done < length(text)),
- s AS (SELECT doc_id // 3 AS node, doc_id AS item, n AS part, start, done AS fin, row_number() OVER (PARTITION BY doc_id // 3 ORDER BY doc_id, n) AS k FROM w WHERE n >= 0),
- p AS (SELECT *, CAST(0 AS BIGINT) AS pack, fin - start AS fill FROM s WHERE k = 1
- UNION ALL SELECT s.*, CASE WHEN p.fill + s.fin - s.start > 2000 THEN p.pack + 1 ELSE p.pack END, CASE WHEN p.fill + s.fin - s.start > 2000 THEN s.fin - s.start ELSE p.fill + s.fin - s.start END FROM p JOIN s ON s.node = p.node AND s.k = p.k + 1)
- SELECT node, item, part, start, fin AS "end", pack AS "window" FROM p WHERE node NOT IN (SELECT node FROM p WHERE pack >= 8)""",
+    _windows_sql("SELECT doc_id // 3 AS node, doc_id AS item, text FROM documents", 2000) + """ SELECT node, item, part, start, fin AS "end", pack AS "window" FROM p WHERE node NOT IN (SELECT node FROM p WHERE pack >= 8)""",
 )
 def windows(spark, d):
     """Three documents a node."""
@@ -329,6 +357,24 @@ def windows(spark, d):
     return V.heal_windows(docs, 2000)
 
 
+@query(
+    "j05_source_facts",
+    _windows_sql("SELECT concat(p.session_id, '#', p.summary_id) AS node, m.row_id AS item, m.text FROM fx_provenance p JOIN fx_messages m ON m.session_id = p.session_id AND m.row_id = p.child_id AND m.row_id <> 5 WHERE p.child_type = 'message'", 250)
+    + """, c AS (SELECT p.session_id, p.summary_id AS id, count(*) AS named, count(coalesce(m.row_id, s.id)) AS found, coalesce(sum(length(coalesce(m.text, concat('told ', s.id)))), 0) AS chars, bool_or(coalesce(s.quality, 'clean') <> 'clean') AS unclean
+  FROM fx_provenance p LEFT JOIN fx_messages m ON p.child_type = 'message' AND m.session_id = p.session_id AND m.row_id = p.child_id AND m.row_id <> 5 LEFT JOIN fx_summaries s ON p.child_type = 'summary' AND s.session_id = p.session_id AND s.id = p.child_id GROUP BY 1, 2),
+ x AS (SELECT node, max(pack) + 1 AS windows FROM p GROUP BY node HAVING max(pack) < 8),
+ f AS (SELECT s.session_id, s.id, s.kind, CASE WHEN c.id IS NULL THEN 'no-source' WHEN found < named THEN 'source-missing' END AS problem, chars, unclean, CASE WHEN chars > 250 THEN x.windows END AS windows
+  FROM fx_summaries s LEFT JOIN c ON c.session_id = s.session_id AND c.id = s.id LEFT JOIN x ON s.kind = 'leaf' AND x.node = concat(s.session_id, '#', s.id))
+ SELECT session_id, id, problem, CASE WHEN problem IS NULL THEN CASE WHEN kind = 'leaf' THEN CASE WHEN chars <= 250 OR windows IS NOT NULL THEN 'clean' ELSE 'clipped' END WHEN unclean THEN 'derived' ELSE 'clean' END END AS source_quality,
+  CASE WHEN problem IS NULL THEN CAST(chars AS BIGINT) END AS source_chars, CASE WHEN problem IS NULL THEN CAST(ceil(chars / 4.0) AS BIGINT) END AS source_tokens, CASE WHEN problem IS NULL THEN windows END AS windows FROM f""",
+)
+def source_facts(spark, d):
+    """Sources of all nodes, each session's fifth message being lost, in windows of 250 characters."""
+    m, s, p = _graph(spark, d)
+    s = s.withColumn("text", F.concat(F.lit("told "), F.col("id").cast("string")))
+    return V.heal_sources(s, m.filter("row_id <> 5"), p, 250, redactor=lambda t: t)
+
+
 @query("k10_spend_by_caller", "SELECT session, CAST(sum(input) AS BIGINT) AS input, count(DISTINCT model) AS models, count(*) FILTER (stage = 'blocking') AS blocking FROM fx_metrics WHERE kind = 'summarizer-usage' GROUP BY session")
 def callers(spark, d):
     rows = K.of_kind(view(spark, d, "fx_metrics"), "summarizer-usage")

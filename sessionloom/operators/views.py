@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sessionloom.functions.redact import redact
 from sessionloom.operators import dag as D
 from sessionloom.operators.search import order_by_overlap
 
@@ -19,17 +20,21 @@ def files_of_summaries(provenance: DataFrame, message_files: DataFrame) -> DataF
 
 
 def describe(summaries: DataFrame, messages: DataFrame, provenance: DataFrame, message_files: DataFrame) -> DataFrame:
-    """Every node with its costs, parents, children and number of files."""
+    """Every node with kind, depth, quality, ends and its text (the thorough one first) where ``summaries`` have them, its costs, parents, children and number of files."""
     files = files_of_summaries(provenance, message_files).groupBy("session_id", "id").agg(F.count("*").alias("files"))
     joined = D.node_costs(summaries, messages, provenance).join(D.parents_and_children(provenance, summaries), ["session_id", "id"]).join(files, ["session_id", "id"], "left")
-    return joined.na.fill(0, ["files"])
+    own = [F.col(c) for c in ("kind", "depth", "quality", "first_entry_id", "last_entry_id", "tokens") if c in summaries.columns]
+    if "text" in summaries.columns:
+        own.append((F.coalesce("thorough_text", "text") if "thorough_text" in summaries.columns else F.col("text")).alias("text"))
+    return joined.na.fill(0, ["files"]).join(summaries.select("session_id", "id", *own), ["session_id", "id"])
 
 
-def history(frontier: DataFrame, question: str, most: int) -> DataFrame:
-    """The nodes of each session that share most words with the question, and how many are left out."""
+def history(frontier: DataFrame, question: str, most: int, costs: DataFrame | None = None) -> DataFrame:
+    """The nodes of each session that share most words with the question, how many are left out, and what they cost where ``costs`` (as of ``node_costs``) are given."""
     placed = order_by_overlap(frontier, question)
     n = F.count("*").over(Window.partitionBy("session_id"))
-    return placed.withColumn("omitted", F.greatest(n - most, F.lit(0))).filter(F.col("place") <= most)
+    kept = placed.withColumn("omitted", F.greatest(n - most, F.lit(0))).filter(F.col("place") <= most)
+    return kept if costs is None else kept.join(costs, ["session_id", "id"], "left")
 
 
 def files_manifest(messages: DataFrame, message_files: DataFrame, covered: DataFrame, least: int = 32_000) -> DataFrame:
@@ -162,6 +167,44 @@ def heal_windows(texts: DataFrame, most_chars: int, most_windows: int = 8) -> Da
     some = texts.filter(F.length("text") > 0).select("node", "item", "text")
     able = some.groupBy("node").agg(F.sum(F.length("text")).alias("chars")).filter(F.col("chars") <= most_chars * most_windows).select("node")
     dealt = some.join(able, "node").repartition("node").sortWithinPartitions("node", "item")
-    found = dealt.mapInPandas(cut, "node long, item long, part long, start long, end long, window long")
+    found = dealt.mapInPandas(cut, f"node {some.schema['node'].dataType.simpleString()}, item long, part long, start long, end long, window long")
     many = found.filter(F.col("window") >= most_windows).select("node").distinct()
     return found.join(many, "node", "left_anti")
+
+
+def heal_items(summaries: DataFrame, messages: DataFrame, provenance: DataFrame, redactor: Callable[[Column], Column] | None = None) -> DataFrame:
+    """(session_id, id, kind, place, role, text, unclean): what a node is derived from again, one row for each edge, in order.
+
+    A leaf reads its messages, redacted, or their file's preview where ``messages`` have one; a condensed node reads its children as they are now. The
+    text of a missing source is null.
+    """
+    nodes = summaries.select("session_id", "id", "kind")
+    edges = provenance.withColumnRenamed("summary_id", "id").join(nodes, ["session_id", "id"])
+    body = F.coalesce("preview", "text") if "preview" in messages.columns else F.col("text")
+    rows = messages.select("session_id", F.lit("message").alias("child_type"), F.col("row_id").alias("child_id"), F.col("row_id").alias("place"), "role", redact(body, redactor=redactor).alias("text"), F.lit(False).alias("unclean"))
+    starts = D.with_rows(summaries, messages).select("session_id", F.lit("summary").alias("child_type"), F.col("id").alias("child_id"), F.coalesce("first_row", F.lit(0)).alias("place"), F.lit("summary").alias("role"), "text", (F.col("quality") != "clean").alias("unclean"))
+    wanted = edges.filter((F.col("kind") == "leaf") == (F.col("child_type") == "message"))
+    return wanted.join(rows.unionByName(starts), ["session_id", "child_type", "child_id"], "left").select("session_id", "id", "kind", "place", "child_id", "role", "text", "unclean")
+
+
+def heal_sources(summaries: DataFrame, messages: DataFrame, provenance: DataFrame, max_chars: int, most_windows: int = 8, redactor: Callable[[Column], Column] | None = None) -> DataFrame:
+    """session_id, id, problem, source_quality, source_chars, source_tokens and windows of every node's source.
+
+    ``no-source``: it names nothing; ``source-missing``: something that it names is gone. A condensed source is clean, or derived where a child isn't clean. A
+    leaf's is clean if it fits ``max_chars`` or ``most_windows`` exact windows of these, whose number is told; else it is clipped. Texts are only
+    brought together for leaves beyond one window, and never in one row.
+    """
+    key = ["session_id", "id"]
+    items = heal_items(summaries, messages, provenance, redactor)
+    facts = items.groupBy(*key).agg(F.count("*").alias("named"), F.count("text").alias("found"), F.coalesce(F.sum(F.length("text")), F.lit(0)).alias("source_chars"), F.max(F.coalesce("unclean", F.lit(False))).alias("unclean"))
+    facts = D.cut_lineage(summaries.select(*key, "kind").join(facts, key, "left").na.fill(0, ["named", "found", "source_chars"]))
+    large = facts.filter((F.col("kind") == "leaf") & (F.col("source_chars") > max_chars) & (F.col("found") == F.col("named")))
+    texts = items.join(large.select(*key), key, "left_semi").select(F.to_json(F.struct(*key)).alias("node"), F.col("place").alias("item"), "text")
+    windows = heal_windows(texts, max_chars, most_windows).groupBy("node").agg((F.max("window") + 1).alias("windows"))
+    windows = windows.select(*[F.from_json("node", "session_id string, id long")[c].alias(c) for c in key], "windows")
+    problem = F.when(F.col("named") == 0, "no-source").when(F.col("found") < F.col("named"), "source-missing")
+    fits = (F.col("source_chars") <= max_chars) | F.col("windows").isNotNull()
+    quality = F.when(F.col("kind") == "leaf", F.when(fits, "clean").otherwise("clipped")).otherwise(F.when(F.col("unclean"), "derived").otherwise("clean"))
+    told = facts.join(windows, key, "left").withColumn("problem", problem)
+    whole = F.col("problem").isNull()
+    return told.select(*key, "problem", F.when(whole, quality).alias("source_quality"), F.when(whole, F.col("source_chars")).alias("source_chars"), F.when(whole, F.ceil(F.col("source_chars") / 4)).alias("source_tokens"), F.when(whole, F.col("windows")).alias("windows"))
