@@ -98,6 +98,20 @@ def billed(spark, d):
     return e.select("event_id", *A.billed(F.col("usage")), A.input_tokens(F.col("usage")).alias("used")).drop("output", "cost_total")
 
 
+@query(
+    "b25_usage_rows",
+    """SELECT event_id, CASE WHEN event_id % 4 = 0 THEN CAST(event_id AS DOUBLE) END AS input, CASE WHEN event_id % 4 = 1 THEN CAST(event_id * 2 AS DOUBLE) END AS cache_read, CASE WHEN event_id % 4 = 1 THEN value END AS cost_total, event_id % 8 = 0 AS estimated
+ FROM events WHERE event_id % 4 < 2""",
+)
+def usage_rows(spark, d):
+    """Usage objects with a counter, with nested ones, with texts in place of numbers, and none."""
+    n = F.col("event_id").cast("string")
+    first = F.concat(F.lit('{"input":'), n, F.when(F.col("event_id") % 8 == 0, F.lit(',"estimated":true}')).otherwise(F.lit("}")))
+    second = F.concat(F.lit('{"cacheRead":'), (F.col("event_id") * 2).cast("string"), F.lit(',"cost":{"total":'), F.col("value").cast("string"), F.lit("}}"))
+    usage = F.when(F.col("event_id") % 4 == 0, first).when(F.col("event_id") % 4 == 1, second).when(F.col("event_id") % 4 == 2, F.concat(F.lit('{"input":"'), n, F.lit('"}')))
+    return A.usage_rows(_events(spark, d).select("event_id", usage.alias("usage"))).select("event_id", "input", "cache_read", "cost_total", "estimated")
+
+
 @query("b32_attachments", "SELECT event_id, CASE event_id % 3 WHEN 0 THEN event_type WHEN 1 THEN concat(event_type, chr(10), '[attachments: a', event_id, ', b]') ELSE concat(event_type, chr(10), '[attachments: 2]') END AS text FROM events")
 def attachments(spark, d):
     i = F.col("event_id")
@@ -271,6 +285,17 @@ def outcome(spark, d):
     return V.pass_outcome(m, left, P.compact_mechanically(left))
 
 
+@query(
+    "f15_pass_counts",
+    """SELECT session_id, CASE WHEN max(row_id) >= 8 THEN 1 ELSE 0 END AS leaves, (SELECT count(*) FROM fx_summaries s WHERE s.session_id = m.session_id AND s.kind = 'condensed') AS condensed, count(*) FILTER (row_id > 3) AS ingested,
+  CASE WHEN max(row_id) >= 8 OR EXISTS (SELECT 1 FROM fx_summaries s WHERE s.session_id = m.session_id AND s.kind = 'condensed') THEN 'stored' ELSE 'covered' END AS outcome FROM fx_messages m GROUP BY session_id""",
+)
+def pass_counts(spark, d):
+    m, s, p = _graph(spark, d)
+    left = D.uncovered(m, p, s)
+    return V.pass_outcome(m, left, P.compact_mechanically(left), s.filter("kind = 'condensed'"), m.filter("row_id > 3"))
+
+
 @query("g07_boundary_covered", _FRONTIER + " , l AS (SELECT session_id, max(last_row) AS reached FROM f GROUP BY 1) SELECT m.session_id, coalesce(l.reached = m.top, false) AS covered FROM (SELECT session_id, max(row_id) AS top FROM fx_messages GROUP BY 1) m LEFT JOIN l USING (session_id)")
 def boundary(spark, d):
     m, s, p = _graph(spark, d)

@@ -280,7 +280,7 @@ def heal_totals(spark, d):
 
 @query(
     "f11_f14_final_text",
-    """SELECT session_id, CASE WHEN length(t) <= 800 THEN t ELSE concat(left(t, 560), chr(10), chr(10), '[…truncated…]', chr(10), chr(10), right(t, 160)) END AS text
+    """SELECT session_id, CASE WHEN length(t) <= 800 THEN t ELSE concat(left(t, 280), chr(10), chr(10), '[…truncated…]', chr(10), chr(10), right(t, 80)) END AS text
        FROM (SELECT session_id, string_agg(text, concat(chr(10), chr(10)) ORDER BY row_id) AS t FROM fx_messages WHERE row_id <= 2 GROUP BY session_id) q""",
 )
 def final_text(spark, d):
@@ -291,6 +291,61 @@ def final_text(spark, d):
     return V.final_text(second.unionByName(only), first, 100)
 
 
+@query(
+    "f11_reduce_lone",
+    """WITH n AS (SELECT session_id, 1 AS id, sum(tokens) AS tokens, CASE WHEN count(*) % 3 = 0 THEN 'clean' ELSE 'clipped' END AS quality, count(*) % 4 = 1 AS two, count(*) % 5 AS level, count(*) % 2 AS small FROM fx_messages GROUP BY session_id),
+ r AS (SELECT *, CASE WHEN small = 1 THEN 10 ELSE CAST(tokens AS BIGINT) END AS new_tokens, CASE WHEN level = 3 THEN 'mechanical' ELSE quality END AS new_quality FROM n),
+ h AS (SELECT *, NOT two AND tokens > 200 AND tokens > 0 AND new_tokens <= 0.75 * tokens AND NOT (quality = 'clean' AND new_quality <> 'clean') AND NOT (quality <> 'mechanical' AND new_quality = 'mechanical') AS hit FROM r)
+ SELECT session_id, id, CASE WHEN hit THEN 'terse' ELSE 'old' END AS text, CASE WHEN hit THEN 'old' END AS thorough_text, CAST(CASE WHEN hit THEN new_tokens ELSE tokens END AS BIGINT) AS tokens, CASE WHEN hit THEN new_quality ELSE quality END AS quality FROM h""",
+)
+def reduce_lone(spark, d):
+    """Frontiers of one node, or of two, told again."""
+    m = view(spark, d, "fx_messages")
+    n = m.groupBy("session_id").agg(F.count("*").alias("n"), F.sum("tokens").alias("tokens"))
+    stored = n.select("session_id", F.lit(1).cast("long").alias("id"), F.lit("old").alias("text"), F.lit(None).cast("string").alias("thorough_text"), "tokens", F.when(F.col("n") % 3 == 0, "clean").otherwise("clipped").alias("quality"))
+    second = n.filter("n % 4 = 1").select("session_id", F.lit(2).cast("long").alias("id"), F.lit(1).cast("long").alias("tokens"))
+    told = n.select("session_id", F.lit(1).cast("long").alias("id"), F.lit("terse").alias("new_text"), F.when(F.col("n") % 2 == 1, 10).otherwise(F.col("tokens")).alias("new_tokens"), (F.col("n") % 5).alias("new_level"))
+    _, _, p = _graph(spark, d)
+    return V.reduce_lone(stored.select("session_id", "id", "tokens").unionByName(second), stored, p.filter("summary_id < 0"), told, 100)
+
+
+@query("k08_heal_stops", "SELECT stop, count(*) AS n, CAST(sum(repaired) AS BIGINT) AS repaired, CAST(sum(improved) AS BIGINT) AS improved, CAST(sum(failed) AS BIGINT) AS failed, CAST(sum(blocked) AS BIGINT) AS blocked, CAST(sum(blocked_source) AS BIGINT) AS blocked_source, CAST(sum(skipped) AS BIGINT) AS skipped, CAST(sum(calls) AS BIGINT) AS calls FROM fx_log WHERE kind = 'heal-complete' GROUP BY stop")
+def heal_stops(spark, d):
+    return K.heal_stops(view(spark, d, "fx_log"))
+
+
+_BOOLEAN = """WITH t AS (SELECT session_id, row_id, list_filter(regexp_split_to_array(lower(text), '[^\\p{{L}}\\p{{N}}]+'), lambda x: x <> '') AS t FROM {m}),
+ c AS (SELECT session_id, row_id, len(t) AS length, concat(' ', array_to_string(t, '  '), ' ') AS s FROM t),
+ f AS (SELECT session_id, row_id, length, {counts} FROM c),
+ n AS (SELECT session_id, count(*) AS n, avg(length) AS mean, {totals} FROM f GROUP BY 1),
+ h AS (SELECT session_id, row_id, round({score}, 6) AS score FROM f JOIN n USING (session_id) WHERE {holds}),
+ r AS (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY score DESC, row_id) AS rank FROM h)"""
+
+
+def _boolean_sql(table: str, phrases: list[str], ranked: list[int], holds: str) -> str:
+    """Counts of phrases by what is left when they are cut out; terms stand between two blanks each."""
+    ends = lambda p: f" {p.rstrip('*').replace(' ', '  ')}" + ("" if p.endswith("*") else " ")
+    counts = ", ".join(f"(length(s) - length(replace(s, '{ends(p)}', ''))) // {len(ends(p))} AS f{k}" for k, p in enumerate(phrases))
+    totals = ", ".join(f"count(*) FILTER (f{k} > 0) AS n{k}" for k in ranked)
+    score = " + ".join(f"ln(1 + (n - n{k} + 0.5) / (n{k} + 0.5)) * f{k} * 2.2 / (f{k} + 1.2 * (0.25 + 0.75 * length / mean))" for k in ranked)
+    return _BOOLEAN.format(m=table, counts=counts, totals=totals, score=score, holds=holds)
+
+
+@query(
+    "e10_search_counts",
+    _boolean_sql("fx_messages", ["the", "on"], [0, 1], "f0 > 0 AND f1 > 0")
+    + """, x AS (SELECT session_id, max(ts_ms) AS when_ms, CASE WHEN session_id LIKE '%3' THEN 'missing' WHEN session_id LIKE '%5' THEN 'older-generation' END AS skip FROM fx_messages GROUP BY 1 ORDER BY when_ms DESC, session_id LIMIT 20),
+ y AS (SELECT x.*, CASE WHEN skip IS NULL THEN (SELECT least(count(*), 2) FROM r WHERE r.session_id = x.session_id) ELSE 0 END AS found FROM x),
+ z AS (SELECT *, coalesce(sum(found) OVER (ORDER BY when_ms DESC, session_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) < 5 AS seen FROM y)
+ SELECT count(*) FILTER (seen AND skip IS NULL) AS scanned, count(*) FILTER (seen AND skip = 'missing') AS missing, count(*) FILTER (seen AND skip = 'unreadable') AS unreadable, count(*) FILTER (seen AND skip = 'older-generation') AS older_generation, bool_or(NOT seen) AS truncated, CAST(least(5, sum(found) FILTER (seen)) AS BIGINT) AS hits FROM z""",
+)
+def search_counts(spark, d):
+    """The newest 20 sessions, some of them unusable, until five hits are found, two a session."""
+    m = view(spark, d, "fx_messages")
+    refs = m.groupBy("session_id").agg(F.max("ts_ms").alias("when_ms")).withColumn("skip", F.when(F.col("session_id").endswith("3"), "missing").when(F.col("session_id").endswith("5"), "older-generation"))
+    return E.search_counts(E.search_query(m, "the on"), refs, per_session=2, most=5)
+
+
 @query("n02_watermarks", "SELECT session_id, arg_max(entry_id, row_id) AS entry_id, count(*) FILTER (row_id > 2) AS new FROM fx_messages GROUP BY session_id HAVING max(row_id) > 2")
 def watermarks(spark, d):
     """Each session's next watermark after a first batch of two rows, and how many rows the second batch brings."""
@@ -329,23 +384,6 @@ def fallback(spark, d):
     return found.select("session_id", "row_id", "how")
 
 
-_BOOLEAN = """WITH t AS (SELECT session_id, row_id, list_filter(regexp_split_to_array(lower(text), '[^\\p{{L}}\\p{{N}}]+'), lambda x: x <> '') AS t FROM {m}),
- c AS (SELECT session_id, row_id, len(t) AS length, concat(' ', array_to_string(t, '  '), ' ') AS s FROM t),
- f AS (SELECT session_id, row_id, length, {counts} FROM c),
- n AS (SELECT session_id, count(*) AS n, avg(length) AS mean, {totals} FROM f GROUP BY 1),
- h AS (SELECT session_id, row_id, round({score}, 6) AS score FROM f JOIN n USING (session_id) WHERE {holds}),
- r AS (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY score DESC, row_id) AS rank FROM h)"""
-
-
-def _boolean_sql(table: str, phrases: list[str], ranked: list[int], holds: str) -> str:
-    """Counts of phrases by what is left when they are cut out; terms stand between two blanks each."""
-    ends = lambda p: f" {p.rstrip('*').replace(' ', '  ')}" + ("" if p.endswith("*") else " ")
-    counts = ", ".join(f"(length(s) - length(replace(s, '{ends(p)}', ''))) // {len(ends(p))} AS f{k}" for k, p in enumerate(phrases))
-    totals = ", ".join(f"count(*) FILTER (f{k} > 0) AS n{k}" for k in ranked)
-    score = " + ".join(f"ln(1 + (n - n{k} + 0.5) / (n{k} + 0.5)) * f{k} * 2.2 / (f{k} + 1.2 * (0.25 + 0.75 * length / mean))" for k in ranked)
-    return _BOOLEAN.format(m=table, counts=counts, totals=totals, score=score, holds=holds)
-
-
 @query("e01_boolean", _boolean_sql("fx_messages", ["the", "and", "in th*", "on"], [0, 1, 2], "(f0 > 0 OR f1 > 0 AND f2 > 0) AND f3 = 0") + " SELECT * FROM r WHERE rank > 1 AND rank <= 6")
 def boolean(spark, d):
     """The second page of five after the first hit, of either term or phrase, without another term."""

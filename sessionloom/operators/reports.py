@@ -200,6 +200,12 @@ def spend_quality(log: DataFrame) -> DataFrame:
     return rows.groupBy("stage").agg(F.count("*").alias("calls"), F.count_if("rejected").alias("rejected"), F.count_if("estimated").alias("estimated"), F.sum("tokens").alias("tokens"))
 
 
+def heal_stops(log: DataFrame) -> DataFrame:
+    """Heal runs by what ended them, with their sums."""
+    sums = [F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("repaired", "improved", "failed", "blocked", "blocked_source", "skipped", "calls")]
+    return of_kind(log, "heal-complete").groupBy(F.coalesce("stop", F.lit("(unrecorded)")).alias("stop")).agg(F.count("*").alias("n"), *sums)
+
+
 def recall_callers(log: DataFrame) -> DataFrame:
     """Who calls recall tools, by tool."""
     rows = of_kind(log, "recall").withColumn("caller", F.coalesce("caller", F.lit("(unrecorded)")))

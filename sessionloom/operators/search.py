@@ -65,6 +65,24 @@ def top_per_session(hits: DataFrame, per_session: int = 10, sessions: DataFrame
     return best.join(F.broadcast(newest), "session_id").orderBy(F.desc("when_ms"), "session_id", "rank").limit(most)
 
 
+SKIPS = ("missing", "unreadable", "older-generation")
+
+
+def search_counts(hits: DataFrame, refs: DataFrame, per_session: int = 10, most_sessions: int = 20, most: int = 40) -> DataFrame:
+    """One row: how many sessions (session_id, when_ms, skip) a search goes through, newest first, how many it skips and why, whether it ends before the last one, and its hits.
+
+    A session gives ``per_session`` hits at most, one that ``skip`` names a reason for gives none; after ``most`` hits no further session is opened.
+    """
+    newest = refs.orderBy(F.desc("when_ms"), "session_id").limit(most_sessions)
+    found = hits.groupBy("session_id").agg(F.least(F.count("*"), F.lit(per_session)).alias("found"))
+    rows = newest.join(found, "session_id", "left").withColumn("found", F.when(F.col("skip").isNull(), F.coalesce("found", F.lit(0))).otherwise(0))
+    before = F.sum("found").over(Window.orderBy(F.desc("when_ms"), "session_id").rowsBetween(Window.unboundedPreceding, -1))  # most_sessions rows
+    seen = rows.withColumn("seen", F.coalesce(before, F.lit(0)) < most)
+    skipped = [F.count_if(F.col("seen") & F.coalesce(F.col("skip") == s, F.lit(False))).alias(s.replace("-", "_")) for s in SKIPS]
+    total = F.coalesce(F.sum(F.when(F.col("seen"), F.col("found"))), F.lit(0))
+    return seen.agg(F.count_if(F.col("seen") & F.col("skip").isNull()).alias("scanned"), *skipped, F.coalesce(F.max(~F.col("seen")), F.lit(False)).alias("truncated"), F.least(total, F.lit(most)).alias("hits"))
+
+
 ROLES = ("user", "assistant", "toolResult", "custom")
 
 

@@ -69,21 +69,38 @@ def compaction_spans(entries: DataFrame, marks: DataFrame) -> DataFrame:
 
 
 def final_text(rendered: DataFrame, previous: DataFrame, target: int) -> DataFrame:
-    """The rendered history behind the previous summary where it starts with the span, cut above twice the target."""
-    from sessionloom.functions.scalars import deterministic_truncate
+    """The rendered history behind the previous summary where it starts with the span; above twice the target it is cut to the target."""
+    from sessionloom.functions.scalars import deterministic_truncate, estimate_tokens
 
     joined = rendered.join(previous, "session_id", "left")
     text = F.concat_ws("\n\n", "previous", "rendered")
-    return joined.select("session_id", deterministic_truncate(text, 2 * target).alias("text"))
+    return joined.select("session_id", F.when(estimate_tokens(text) > 2 * target, deterministic_truncate(text, target)).otherwise(text).alias("text"))
 
 
-def pass_outcome(messages: DataFrame, open_messages: DataFrame, leaves: DataFrame) -> DataFrame:
-    """stored, covered or no-entries for every session, with the number of leaves."""
+def reduce_lone(frontier: DataFrame, stored: DataFrame, provenance: DataFrame, told: DataFrame, target: int) -> DataFrame:
+    """``stored`` summaries after frontiers of one node that is over twice the target were told again.
+
+    ``told`` has (session_id, id, new_text, new_tokens, new_level). A new text of level 3 is mechanical, others keep the node's quality; it replaces the old one
+    only as ``replace_if_smaller`` allows.
+    """
+    lone = frontier.groupBy("session_id").agg(F.count("*").alias("n"), F.first("id").alias("id"), F.first("tokens").alias("held")).filter((F.col("n") == 1) & (F.col("held") > 2 * target))
+    tries = told.join(lone.select("session_id", "id"), ["session_id", "id"]).join(stored.select("session_id", "id", "quality"), ["session_id", "id"])
+    tries = tries.select("session_id", "id", "new_text", "new_tokens", F.when(F.col("new_level") == 3, "mechanical").otherwise(F.col("quality")).alias("new_quality"))
+    return D.replaced_summaries(stored, tries, provenance)
+
+
+def pass_outcome(messages: DataFrame, open_messages: DataFrame, leaves: DataFrame, condensed: DataFrame | None = None, ingested: DataFrame | None = None) -> DataFrame:
+    """stored, covered or no-entries for every session, with the number of leaves, and of condensed nodes and ingested messages where these are given."""
     total = messages.groupBy("session_id").agg(F.count("*").alias("n"))
     left = open_messages.groupBy("session_id").agg(F.count("*").alias("open"))
     made = leaves.groupBy("session_id").agg(F.count("*").alias("leaves"))
-    joined = total.join(left, "session_id", "left").join(made, "session_id", "left").na.fill(0)
-    return joined.select("session_id", "leaves", F.when(F.col("leaves") > 0, "stored").when(F.col("n") > 0, "covered").otherwise("no-entries").alias("outcome"))
+    joined = total.join(left, "session_id", "left").join(made, "session_id", "left")
+    more = [(name, df) for name, df in (("condensed", condensed), ("ingested", ingested)) if df is not None]
+    for name, df in more:
+        joined = joined.join(df.groupBy("session_id").agg(F.count("*").alias(name)), "session_id", "left")
+    joined = joined.na.fill(0)
+    some = F.col("leaves") + (F.col("condensed") if condensed is not None else F.lit(0)) > 0
+    return joined.select("session_id", "leaves", *[name for name, _ in more], F.when(some, "stored").when(F.col("n") > 0, "covered").otherwise("no-entries").alias("outcome"))
 
 
 def dangling_links(links: DataFrame, rows: DataFrame, files: DataFrame) -> DataFrame:

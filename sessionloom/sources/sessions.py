@@ -78,6 +78,15 @@ def billed(usage: Column) -> list[Column]:
     return [F.try_variant_get(v, f"$.{name}", "double").alias(alias) for name, alias in (("input", "input"), ("output", "output"), ("cache.read", "cache_read"), ("cost.total", "cost_total"))]
 
 
+def usage_rows(rows: DataFrame) -> DataFrame:
+    """Rows (…, usage) with their counters, only those that were billed at all, and ``estimated`` where the usage says so."""
+    v = F.try_parse_json("usage")
+    counters = {"input": "input", "output": "output", "cache_read": "cacheRead", "cache_write": "cacheWrite", "cost_input": "cost.input", "cost_output": "cost.output", "cost_total": "cost.total"}
+    numbers = {c: F.when(F.schema_of_variant(F.try_variant_get(v, f"$.{name}", "variant")).isin("BIGINT", "DOUBLE", "FLOAT") | F.schema_of_variant(F.try_variant_get(v, f"$.{name}", "variant")).startswith("DECIMAL"), F.try_variant_get(v, f"$.{name}", "double")) for c, name in counters.items()}
+    told = rows.withColumns(numbers | {"estimated": F.coalesce(F.try_variant_get(v, "$.estimated", "boolean"), F.lit(False))})
+    return told.filter(F.coalesce(*counters).isNotNull())
+
+
 def input_tokens(usage: Column) -> Column:
     """Input and cached tokens; null where either is missing."""
     v = F.try_parse_json(usage)
