@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from sessionloom.jobs.dag_queries import _BELOW, _FRONTIER, _graph
+from sessionloom.jobs.dag_queries import _BELOW, _graph
 from sessionloom.operators import dag as D
 from sessionloom.operators import reports as K
 from sessionloom.operators import search as E
