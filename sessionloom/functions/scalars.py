@@ -136,12 +136,27 @@ def snippet(text: Column, most: int = 400, redactor: Callable[[Column], Column]
     return clipped(redact(trimmed(F.regexp_replace(text, r"(?U)\s+", " ")), redactor=redactor), most)
 
 
+def one_decimal(v: Column) -> Column:
+    """A double with one decimal, rounded from its binary value with ties to even, as ``printf`` does.
+
+    ``format_string`` rounds the shortest decimal that tells the double, ties up. The product by ten is told with what its rounding lost: a
+    float's 24 bits and the 29 below them times ten are exact.
+    """
+    size, ten = F.abs(v), F.abs(v) * 10
+    high = size.cast("float").cast("double")
+    lost, whole = high * 10 - ten + (size - high) * 10, F.floor(ten)
+    over = ten - whole - 0.5
+    up = F.when(over != 0, over > 0).when(lost != 0, lost > 0).otherwise(whole % 2 == 1)
+    tenths = whole + up.cast("long")
+    return F.concat(F.when(v < 0, "-").otherwise(""), F.floor(tenths / 10).cast("string"), F.lit("."), (tenths % 10).cast("string"))
+
+
 def fmt_tokens(n: Column) -> Column:
-    return F.when(F.abs(n) >= 1_000_000, F.format_string("%.1fM", n / 1e6)).when(F.abs(n) >= 1_000, F.format_string("%.1fk", n / 1e3)).otherwise(F.round(n).cast("long").cast("string"))
+    return F.when(F.abs(n) >= 1_000_000, F.concat(one_decimal(n / 1e6), F.lit("M"))).when(F.abs(n) >= 1_000, F.concat(one_decimal(n / 1e3), F.lit("k"))).otherwise(F.round(n).cast("long").cast("string"))
 
 
 def fmt_bytes(n: Column) -> Column:
-    return F.when(n >= 1 << 20, F.format_string("%.1fM", n / float(1 << 20))).when(n >= 1024, F.concat(F.round(n / 1024.0).cast("long").cast("string"), F.lit("K"))).otherwise(F.round(n).cast("long").cast("string"))
+    return F.when(n >= 1 << 20, F.concat(one_decimal(n / float(1 << 20)), F.lit("M"))).when(n >= 1024, F.concat(F.round(n / 1024.0).cast("long").cast("string"), F.lit("K"))).otherwise(F.round(n).cast("long").cast("string"))
 
 
 def fmt_duration(ms: Column) -> Column:
@@ -149,7 +164,7 @@ def fmt_duration(ms: Column) -> Column:
     n = F.greatest(F.lit(0), F.round(ms).cast("long"))
     minutes, seconds = F.floor(n / 60_000).cast("string"), F.round(F.pmod(n, F.lit(60_000)) / 1000.0).cast("long")
     long = F.when(seconds == 0, F.concat(minutes, F.lit("m"))).otherwise(F.concat(minutes, F.lit("m "), seconds.cast("string"), F.lit("s")))
-    return F.when(n < 1000, F.concat(n.cast("string"), F.lit("ms"))).when(n < 60_000, F.format_string("%.1fs", n / 1000.0)).otherwise(long)
+    return F.when(n < 1000, F.concat(n.cast("string"), F.lit("ms"))).when(n < 60_000, F.concat(one_decimal(n / 1000.0), F.lit("s"))).otherwise(long)
 
 
 def fts_phrase(text: Column) -> Column:
