@@ -162,6 +162,9 @@ def heal_windows(texts: DataFrame, most_chars: int, most_windows: int = 8) -> Da
     A slice that doesn't fit into the current window begins the next. A node that needs more than ``most_windows`` has none, as has
     one with more characters than these hold, so what stands together in a task is bounded; null and empty
     texts have no slices. Texts stream through in order and only the window's fill is held.
+
+    Nodes are dealt by a hash of their own: a shuffle by the node itself is dropped behind the join by node, and where that join turns
+    into a broadcast one at run time its rows stand as they were read, a node's in several tasks.
     """
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -183,7 +186,7 @@ def heal_windows(texts: DataFrame, most_chars: int, most_windows: int = 8) -> Da
 
     some = texts.filter(F.length("text") > 0).select("node", "item", "text")
     able = some.groupBy("node").agg(F.sum(F.length("text")).alias("chars")).filter(F.col("chars") <= most_chars * most_windows).select("node")
-    dealt = some.join(able, "node").repartition("node").sortWithinPartitions("node", "item")
+    dealt = some.join(able, "node").repartition(F.xxhash64("node")).sortWithinPartitions("node", "item")
     found = dealt.mapInPandas(cut, f"node {some.schema['node'].dataType.simpleString()}, item long, part long, start long, end long, window long")
     many = found.filter(F.col("window") >= most_windows).select("node").distinct()
     return found.join(many, "node", "left_anti")
