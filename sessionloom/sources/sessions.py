@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sessionloom.functions import scalars as S
-from sessionloom.functions.redact import redact
+from sessionloom.functions.redact import once, redact
 
 
 def read_messages(spark: SparkSession, path: str) -> DataFrame:
@@ -160,8 +160,12 @@ FOREIGN_FIELDS = ("error", "errorMessage", "message", "detail", "note")
 
 def sanitize_path(value: Column, home: str) -> Column:
     """The home folder becomes ``~``; another absolute path ``<path>``."""
-    inside = (value == home) | value.startswith(f"{home}/")
-    return F.when(inside, F.concat(F.lit("~"), F.substring(value, len(home) + 1, 1 << 30))).when(value.rlike(r"^(/|[A-Za-z]:[\\/])"), "<path>").otherwise(value)
+
+    def bound(v: Column) -> Column:
+        inside = (v == home) | v.startswith(f"{home}/")
+        return F.when(inside, F.concat(F.lit("~"), F.substring(v, len(home) + 1, 1 << 30))).when(v.rlike(r"^(/|[A-Za-z]:[\\/])"), "<path>").otherwise(v)
+
+    return once(value, bound)
 
 
 def sanitized(value: Column, kind: T.DataType, home: str, name: str = "", fields: tuple[str, ...] = FOREIGN_FIELDS, every: bool = False) -> Column:
@@ -194,22 +198,22 @@ def sanitized_json(line: Column, home: str, fields: tuple[str, ...] = FOREIGN_FI
 
     The text is cut into strings and what stands between them. A string before a colon is a name; it holds for the value behind
     it and for all elements of an array, until the next name; so a string that follows an object within one array goes by that object's
-    last name. Names are left as they are, null stays null.
+    last name. Names are left as they are, null stays null. Strings, gaps and what becomes of them are worked out once a line, not once for
+    each of its strings.
     """
-    names = F.regexp_extract_all(line, F.lit(_STRING), F.lit(0))
-    gaps = F.split(line, _STRING)
-    paired = F.transform(names, lambda s, k: F.struct(s.alias("s"), F.get(gaps, k + 1).rlike(r"^\s*:").alias("is_name")))
 
     def step(state: Column, x: Column) -> Column:
-        plain = F.get(F.from_json(F.concat(F.lit("["), x["s"], F.lit("]")), "array<string>"), F.lit(0))
         inside = F.lit(True) if every else state["name"].isin(*fields)
-        clean = sanitize_path(F.when(inside, redact(plain)).otherwise(plain), home)
-        coded = F.to_json(F.array(clean))
-        coded = F.substring(coded, F.lit(2), F.length(coded) - 2)
-        new = F.when(x["is_name"] | (clean == plain), x["s"]).otherwise(coded)
-        name = F.when(x["is_name"], plain).otherwise(state["name"])
-        return F.struct(F.concat(state["out"], F.array(new)).alias("out"), name.alias("name"))
+        coded = lambda clean: once(F.to_json(F.array(clean)), lambda c: F.substring(c, F.lit(2), F.length(c) - 2))
+        new = lambda plain: once(sanitize_path(F.when(inside, redact(plain)).otherwise(plain), home), lambda clean: F.when(clean == plain, x["s"]).otherwise(coded(clean)))
+        told = lambda plain: F.struct(F.concat(state["out"], F.array(F.when(x["is_name"], x["s"]).otherwise(new(plain)))).alias("out"), F.when(x["is_name"], plain).otherwise(state["name"]).alias("name"))
+        return once(F.get(F.from_json(F.concat(F.lit("["), x["s"], F.lit("]")), "array<string>"), F.lit(0)), told)
 
     begin = F.struct(F.array().cast("array<string>").alias("out"), F.lit("").alias("name"))
-    done = F.aggregate(paired, begin, step, lambda s: s["out"])
-    return F.when(line.isNotNull(), F.array_join(F.transform(gaps, lambda g, k: F.concat(g, F.coalesce(F.get(done, k), F.lit("")))), ""))
+
+    def joined(gaps: Column) -> Column:
+        paired = F.transform(F.regexp_extract_all(line, F.lit(_STRING), F.lit(0)), lambda s, k: F.struct(s.alias("s"), F.get(gaps, k + 1).rlike(r"^\s*:").alias("is_name")))
+        done = F.aggregate(paired, begin, step, lambda s: s["out"])
+        return once(done, lambda d: F.array_join(F.transform(gaps, lambda g, k: F.concat(g, F.coalesce(F.get(d, k), F.lit("")))), ""))
+
+    return F.when(line.isNotNull(), once(F.split(line, _STRING), joined))
