@@ -14,21 +14,21 @@ DEFAULT_CHARS_PER_TOKEN = 4
 # Fixed value: how marks in stored texts begin.
 MARK = "[lcm:"
 TRUNCATED = "\n\n[…truncated…]\n\n"
-# Phrases by which providers state their context window, in the order in which they are tried.
-WINDOW_PHRASES = (
-    r"prompt is too long:[^>]*>\s*([\d,]+)\s*maximum",
-    r"maximum context length of\s*([\d,]+)\s*tokens?",
-    r"maximum context length is\s*([\d,]+)\s*tokens?",
-    r"context length\s*\(([\d,]+)(?:\s*tokens?)?\)",
-    r"maximum number of tokens allowed\s*\(([\d,]+)\)",
-    r"maximum prompt length is\s*([\d,]+)",
-    r"model with\s*([\d,]+)\s*maximum context length",
-    r"configured context size is\s*([\d,]+)\s*tokens?",
-    r"exceeds the limit of\s*([\d,]+)",
-    r"maximum allowed input length of\s*([\d,]+)",
-    r"model token limit:?\s*([\d,]+)",
-    r"range of input length should be\s*\[[\d,]+\s*,\s*([\d,]+)\]",
-)
+# Phrases by which providers state their context window, in the order in which they are tried, and words that stand in each.
+WINDOW_PHRASES = {
+    r"prompt is too long:[^>]*>\s*([\d,]+)\s*maximum": "prompt is too long:",
+    r"maximum context length of\s*([\d,]+)\s*tokens?": "maximum context length of",
+    r"maximum context length is\s*([\d,]+)\s*tokens?": "maximum context length is",
+    r"context length\s*\(([\d,]+)(?:\s*tokens?)?\)": "context length",
+    r"maximum number of tokens allowed\s*\(([\d,]+)\)": "maximum number of tokens allowed",
+    r"maximum prompt length is\s*([\d,]+)": "maximum prompt length is",
+    r"model with\s*([\d,]+)\s*maximum context length": "maximum context length",
+    r"configured context size is\s*([\d,]+)\s*tokens?": "configured context size is",
+    r"exceeds the limit of\s*([\d,]+)": "exceeds the limit of",
+    r"maximum allowed input length of\s*([\d,]+)": "maximum allowed input length of",
+    r"model token limit:?\s*([\d,]+)": "model token limit",
+    r"range of input length should be\s*\[[\d,]+\s*,\s*([\d,]+)\]": "range of input length should be",
+}
 # Failure categories and the words that show them, first match wins.
 FAILURES = (
     ("auth", r"\b(401|403|unauthoriz|forbidden|invalid api key|api key|authentication)\b"),
@@ -86,11 +86,15 @@ def span_fingerprint(first: Column, last: Column, chain: Column) -> Column:
 
 
 def window_from_error(message: Column) -> Column:
-    """The first stated window between a thousand and a hundred million tokens."""
-    found = []
-    for phrase in WINDOW_PHRASES:
+    """The first stated window between a thousand and a hundred million tokens.
+
+    A phrase is tried where its fixed words stand in the text, and its number is told once and held while it is judged.
+    """
+    low, found = F.lower(message), []
+    for phrase, words in WINDOW_PHRASES.items():
         n = F.regexp_replace(F.regexp_extract(message, f"(?i){phrase}", 1), ",", "").try_cast("long")
-        found.append(F.when(n.between(1_000, 100_000_000), n))
+        stated = F.get(F.filter(F.array(n), lambda x: x.between(1_000, 100_000_000)), F.lit(0))
+        found.append(F.when(F.contains(low, F.lit(words)), stated))
     return F.coalesce(*found)
 
 
