@@ -3,7 +3,11 @@
 from __future__ import annotations
 
 import uuid
+from urllib.parse import quote
 
+import pandas as pd
+from pyarrow import fs
+from pyspark import TaskContext
 from pyspark.sql import functions as F
 
 from sessionloom.jobs.dag_queries import _BELOW, _FRONTIER, _graph
@@ -47,9 +51,32 @@ def headers(spark, d):
 
 
 def _session_files(spark, d, rows):
-    """Rows (session_id, row_id, line) written as text files, one a session, and their folder."""
+    """Rows (session_id, row_id, line) written as text files, one a session, and their folder.
+
+    Tasks write the files themselves, all of a task in one folder: a folder for each session would have to be moved by the driver and listed
+    on its own. A task that runs again replaces its files.
+    """
     path = f"{D.shared_folder(spark)}/files-{uuid.uuid4().hex}"
-    rows.repartition("session_id").sortWithinPartitions("session_id", "row_id").select("session_id", "line").write.partitionBy("session_id").text(path)
+
+    def write(batches):
+        store, base = fs.FileSystem.from_uri(path)
+        folder = f"{base}/part-{TaskContext.get().partitionId():05d}"
+        store.create_dir(folder)
+        last = out = None
+        n = 0
+        for pdf in batches:
+            for session, line in zip(pdf["session_id"], pdf["line"], strict=True):
+                if session != last:
+                    if out is not None:
+                        out.close()
+                    last, n = session, n + 1
+                    out = store.open_output_stream(f"{folder}/session_id={quote(session, safe='')}.txt", compression=None)
+                out.write(((line or "") + "\n").encode())
+        if out is not None:
+            out.close()
+        yield pd.DataFrame({"n": [n]})
+
+    rows.repartition(F.xxhash64("session_id")).sortWithinPartitions("session_id", "row_id").mapInPandas(write, "n long").agg(F.sum("n")).collect()
     return path
 
 
@@ -75,7 +102,7 @@ def read_inventory(spark, d):
     """Sizes of files written of each session's texts."""
     m = _messages(spark, d)
     files = A.read_inventory(spark, _session_files(spark, d, m.select("session_id", "row_id", F.translate("text", "\n\r", "  ").alias("line"))))
-    return files.select(F.regexp_extract("path", "session_id=([^/]*)/", 1).alias("session_id"), "bytes")
+    return files.select(F.url_decode(F.regexp_extract("path", r"session_id=([^/]*)\.txt$", 1)).alias("session_id"), "bytes")
 
 
 @query("a08_inventory", "SELECT path, CAST(length(text) AS BIGINT) AS mtime_ms FROM fx_files WHERE doc_id <> 7 ORDER BY mtime_ms DESC, path")
