@@ -98,22 +98,36 @@ def closure(provenance: DataFrame) -> DataFrame:
 def above(seeds: DataFrame, edges: DataFrame, longest: int = 16) -> DataFrame:
     """(session_id, id): the seeds and every node above one, out of edges (session_id, id, parent).
 
-    Steps go upwards from what is new only, so rows follow the part above the seeds. From the third step on they take shortcuts
-    of up to ``longest`` edges, so deep chains take few rounds and shortcuts stay within ``longest`` times the edges. Cycles end.
+    Only sessions with a seed take part. Steps go upwards from what is new only, so rows follow the part above the seeds. Where three steps
+    don't reach the end, shortcuts of exactly 2, 4, ... up to ``longest`` edges are made, in a chain no more of each than edges; the longest
+    are taken until nothing is new, then each shorter kind once from all that was seen, which makes up every distance. Cycles end.
     """
     key = ["session_id", "id"]
-    jumps, hops, steps = cut_lineage(edges.select(*key, "parent").filter("parent is not null").distinct()), 1, 0
     seen = new = cut_lineage(seeds.select(*key).distinct())
-    while True:
-        up = new.join(jumps, key).select("session_id", F.col("parent").alias("id")).distinct()
-        new = cut_lineage(up.join(seen, key, "left_anti"))
+    own = edges.select(*key, "parent").filter("parent is not null").join(seen.select("session_id").distinct(), "session_id", "left_semi")
+    kinds = [cut_lineage(own.distinct())]
+
+    def step(some: DataFrame, by: DataFrame, seen: DataFrame) -> DataFrame:
+        up = some.join(by, key).select("session_id", F.col("parent").alias("id")).distinct()
+        return cut_lineage(up.join(seen, key, "left_anti"))
+
+    for _ in range(3):
+        new = step(new, kinds[0], seen)
         if new.isEmpty():
             return seen
-        seen, steps = seen.unionByName(new), steps + 1
-        if steps > 2 and hops < longest:
-            far = jumps.select("session_id", F.col("id").alias("parent"), F.col("parent").alias("far"))
-            jumps = cut_lineage(jumps.unionByName(jumps.join(far, ["session_id", "parent"]).select(*key, F.col("far").alias("parent"))).distinct())
-            hops *= 2
+        seen = seen.unionByName(new)
+    while 2 ** len(kinds) <= longest:
+        far = kinds[-1].select("session_id", F.col("id").alias("parent"), F.col("parent").alias("far"))
+        longer = cut_lineage(kinds[-1].join(far, ["session_id", "parent"]).select(*key, F.col("far").alias("parent")).distinct())
+        if longer.isEmpty():
+            break
+        kinds.append(longer)
+    new = seen
+    while not (new := step(new, kinds[-1], seen)).isEmpty():
+        seen = seen.unionByName(new)
+    for by in reversed(kinds[:-1]):
+        seen = seen.unionByName(step(seen, by, seen))
+    return seen
 
 
 def covered_edges(provenance: DataFrame, paths: DataFrame) -> DataFrame:

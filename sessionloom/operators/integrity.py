@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sessionloom.operators.dag import above, with_rows
+from sessionloom.operators.dag import above, cut_lineage, with_rows
 
 KEY = ["session_id", "first_entry_id", "last_entry_id", "kind"]
 _WRONG_SHAPE = "kind = 'leaf' and (depth <> 0 or n_messages = 0) or kind = 'condensed' and n_children = 0 or first_row > last_row"
@@ -82,10 +82,12 @@ def dedupe_spans(summaries: DataFrame, provenance: DataFrame) -> DataFrame:
 def drop_orphan_parents(summaries: DataFrame, provenance: DataFrame) -> DataFrame:
     """Summaries without those that name a missing child, and so on upwards until none is left.
 
-    A lost node is one with a missing child, or a committed one above; the walk starts at the former.
+    A lost node is one with a missing child, or a committed one above; the walk starts at the former. Ids and edges are worked out once.
     """
-    edges = provenance.filter("child_type = 'summary'").join(summaries.filter("status = 'committed'").select("session_id", F.col("id").alias("summary_id")), ["session_id", "summary_id"], "left_semi")
-    lost = above(orphan_parents(summaries, provenance), edges.select("session_id", F.col("child_id").alias("id"), F.col("summary_id").alias("parent")))
+    nodes = cut_lineage(summaries.select("session_id", "id", "status"))
+    children = cut_lineage(provenance.filter("child_type = 'summary'").select("session_id", "summary_id", "child_type", "child_id"))
+    edges = children.join(nodes.filter("status = 'committed'").select("session_id", F.col("id").alias("summary_id")), ["session_id", "summary_id"], "left_semi")
+    lost = above(orphan_parents(nodes, children), edges.select("session_id", F.col("child_id").alias("id"), F.col("summary_id").alias("parent")))
     return summaries.join(lost, ["session_id", "id"], "left_anti")
 
 
