@@ -156,6 +156,14 @@ def slice_end(text: str, start: int, most: int) -> int:
     return limit - 1 if inside else limit
 
 
+def slices(text: str, most: int) -> Iterator[tuple[int, int]]:
+    at = 0
+    while at < len(text):
+        end = slice_end(text, at, most)
+        yield at, end
+        at = end
+
+
 def heal_windows(texts: DataFrame, most_chars: int, most_windows: int = 8) -> DataFrame:
     """(node, item, part, start, end, window): slices of the texts (node, item, text) of each node, packed in order into windows of ``most_chars``.
 
@@ -165,7 +173,19 @@ def heal_windows(texts: DataFrame, most_chars: int, most_windows: int = 8) -> Da
 
     Nodes are dealt by a hash of their own: a shuffle by the node itself is dropped behind the join by node, and where that join turns
     into a broadcast one at run time its rows stand as they were read, a node's in several tasks.
+
+    Texts (node, text) without items stand alone: each slice is a window, (node, window, start, end), however many there are.
     """
+    some = texts.filter(F.length("text") > 0)
+    kind = some.schema["node"].dataType.simpleString()
+
+    def alone(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows = [(node, n, at, end) for node, text in zip(pdf["node"], pdf["text"], strict=True) for n, (at, end) in enumerate(slices(text, most_chars))]
+            yield pd.DataFrame(rows, columns=["node", "window", "start", "end"])
+
+    if "item" not in texts.columns:
+        return some.select("node", "text").mapInPandas(alone, f"node {kind}, window long, start long, end long")
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         last, window, fill = None, 0, 0
@@ -174,20 +194,17 @@ def heal_windows(texts: DataFrame, most_chars: int, most_windows: int = 8) -> Da
             for node, item, text in zip(pdf["node"], pdf["item"], pdf["text"], strict=True):
                 if node != last:
                     last, window, fill = node, 0, 0
-                at = part = 0
-                while at < len(text):
-                    end = slice_end(text, at, most_chars)
+                for part, (at, end) in enumerate(slices(text, most_chars)):
                     if fill and fill + end - at > most_chars:
                         window, fill = window + 1, 0
                     fill += end - at
                     rows.append((node, item, part, at, end, window))
-                    at, part = end, part + 1
             yield pd.DataFrame(rows, columns=["node", "item", "part", "start", "end", "window"])
 
-    some = texts.filter(F.length("text") > 0).select("node", "item", "text")
+    some = some.select("node", "item", "text")
     able = some.groupBy("node").agg(F.sum(F.length("text")).alias("chars")).filter(F.col("chars") <= most_chars * most_windows).select("node")
     dealt = some.join(able, "node").repartition(F.xxhash64("node")).sortWithinPartitions("node", "item")
-    found = dealt.mapInPandas(cut, f"node {some.schema['node'].dataType.simpleString()}, item long, part long, start long, end long, window long")
+    found = dealt.mapInPandas(cut, f"node {kind}, item long, part long, start long, end long, window long")
     many = found.filter(F.col("window") >= most_windows).select("node").distinct()
     return found.join(many, "node", "left_anti")
 
