@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sessionloom.functions import scalars as S
+from sessionloom.functions.redact import once
 from sessionloom.operators.dag import covering_leaf
 
 K1, B = 1.2, 0.75
@@ -116,16 +117,16 @@ class Leaf(NamedTuple):
     prefix: bool = False
 
     def count(self, t: Column) -> Column:
-        """How often it stands in the terms ``t``."""
+        """How often it stands in the terms ``t``, which are worked out once: a filter on the count would work them out again for each term."""
 
-        def here(x: Column, i: Column) -> Column:
+        def here(words: Column, x: Column, i: Column) -> Column:
             hit = F.lit(True)
             for k, term in enumerate(self.terms):
-                word = x if k == 0 else F.get(t, i + k)
+                word = x if k == 0 else F.get(words, i + k)
                 hit = hit & F.coalesce(F.startswith(word, F.lit(term)) if self.prefix and k == len(self.terms) - 1 else word == term, F.lit(False))
             return hit
 
-        return F.size(F.filter(t, here))
+        return once(t, lambda words: F.size(F.filter(words, lambda x, i: here(words, x, i))))
 
 
 class Both(NamedTuple):
