@@ -2,6 +2,13 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+from urllib.parse import quote
+
+import pandas as pd
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -16,24 +23,125 @@ def read_messages(spark: SparkSession, path: str) -> DataFrame:
 
 def session_headers(lines: DataFrame) -> DataFrame:
     """(file, session_id, cwd, when_ms) from the first line of each file; files without a valid one are left out."""
-    first = lines.groupBy("file").agg(F.min_by("line", "line_no").alias("line"), F.min("mtime_ms").alias("mtime_ms"))
+    return _headers(lines.groupBy("file").agg(F.min_by("line", "line_no").alias("line"), F.min("mtime_ms").alias("mtime_ms")))
+
+
+def _headers(first: DataFrame) -> DataFrame:
     h = F.from_json("line", "type string,cwd string,id string,timestamp string")
     parsed = first.withColumn("h", h).filter("h.type = 'session' and h.id is not null and h.cwd is not null")
     stamp = F.try_to_timestamp(F.col("h.timestamp"))
     return parsed.select("file", F.col("h.id").alias("session_id"), F.col("h.cwd").alias("cwd"), F.coalesce(F.unix_millis(stamp), "mtime_ms").alias("when_ms"))
 
 
+#: Rows of a listing that stand in memory as a data frame.
+ROWS = 10_000
+#: Bytes that are read at a time until the first line ends, and characters of lines that stand in memory besides the last.
+BLOCK, HELD = 8_192, 1 << 22
+#: What ``Path.toUri`` of Hadoop escapes in a name.
+_ESCAPED = re.compile(r'[\x00-\x20"#%<>?\[\\\]^`{|}\x7f]')
+
+
+def _uri(spark: SparkSession, path: str) -> str | None:
+    """The folder ``path`` as a URI where Arrow reads its store too; null for patterns, single files, names that URIs escape and other stores."""
+    if path.startswith("/"):
+        path = spark.sparkContext._jsc.hadoopConfiguration().get("fs.defaultFS").rstrip("/") + path
+    if not re.fullmatch(r"[a-z0-9]+:/[\w./:=@+-]+", path, re.ASCII):
+        return None
+    try:
+        store, base = fs.FileSystem.from_uri(path)
+        if store.get_file_info(base).type != fs.FileType.Directory:
+            return None
+    except (pa.ArrowInvalid, pa.ArrowNotImplementedError, OSError):
+        return None
+    return re.sub("^file:/+", "file:/", path).rstrip("/")
+
+
+def _files(spark: SparkSession, uri: str) -> DataFrame:
+    """(path, bytes, mtime_ms) of all files below a folder, without the hidden ones that Spark's readers pass over.
+
+    A task lists the folder, others what stands in it, one folder at a time; so no list of all files is made on the driver, as Spark's own would be.
+    """
+    kind = "path string,folder boolean,bytes long,mtime_ms long"
+
+    def entries(at: str) -> pd.DataFrame:
+        store, base = fs.FileSystem.from_uri(uri)
+        seen = [x for x in store.get_file_info(fs.FileSelector(base + at)) if x.type in (fs.FileType.File, fs.FileType.Directory) and not re.match(r"\.|_(?!.*=)|.*\._COPYING_$", x.base_name)]
+        rows = [(x.path[len(base) :], x.type == fs.FileType.Directory, x.size, x.mtime_ns // 1_000_000) for x in seen]
+        return pd.DataFrame(rows, columns=["path", "folder", "bytes", "mtime_ms"]).astype({"folder": bool})
+
+    def parts(found: pd.DataFrame) -> Iterator[pd.DataFrame]:
+        return (found[k : k + ROWS] for k in range(0, len(found), ROWS))
+
+    def top(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for _ in range(len(pdf)):
+                yield from parts(entries(""))
+
+    def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            yield pdf[~pdf["folder"]]
+            todo = list(pdf["path"][pdf["folder"]])
+            while todo:
+                found = entries(todo.pop())
+                todo.extend(found["path"][found["folder"]])
+                yield from parts(found[~found["folder"]])
+
+    listed = _dealt(spark.range(0, 1, 1, 1).mapInPandas(top, kind)).mapInPandas(walk, kind)
+    return listed.select(F.concat(F.lit(uri), "path").alias("path"), "bytes", "mtime_ms")
+
+
+def _dealt(rows: DataFrame) -> DataFrame:
+    """Few small rows that stand for much work, one after the other to as many tasks as a shuffle has."""
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+
+def _first_lines(files: DataFrame, uri: str) -> DataFrame:
+    """(file, mtime_ms, line) of files below ``uri``, as Spark's reader of texts gives them; what stands behind the first line isn't read."""
+
+    def first(f: pa.NativeFile) -> str:
+        line = []
+        while block := f.read(BLOCK):
+            end = re.search(rb"[\r\n]", block)
+            line.append(block[: end.start()] if end else block)
+            if end:
+                break
+        return b"".join(line).decode("utf-8-sig", "replace")
+
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        store, base = fs.FileSystem.from_uri(uri)
+        for pdf in batches:
+            rows, size = [], 0
+            for path, mtime_ms in zip(pdf["path"], pdf["mtime_ms"], strict=True):
+                with store.open_input_stream(base + path[len(uri) :]) as f:
+                    rows.append((_ESCAPED.sub(lambda m: quote(m[0]), path), mtime_ms, first(f)))
+                size += len(rows[-1][-1])
+                if size > HELD:
+                    yield pd.DataFrame(rows, columns=names)
+                    rows, size = [], 0
+            if rows:
+                yield pd.DataFrame(rows, columns=names)
+
+    names = ["file", "mtime_ms", "line"]
+    return _dealt(files.select("path", "mtime_ms")).mapInPandas(read, "file string,mtime_ms long,line string")
+
+
 def read_session_headers(spark: SparkSession, path: str) -> DataFrame:
     """``session_headers`` of the files below ``path``, the file's time standing in for an unreadable stamp.
 
-    Only the first block of a file holds its first line, and rows come in the order of the file; the others are dropped in the scan.
+    Tasks open the files themselves: Spark's reader of texts takes several times as long to open one as its header takes to read, and reads it to
+    its end. It is left to stores that only Spark reads. There only the first block of a file holds its first line, and rows come in the order of the file; the
+    others are dropped in the scan.
     """
+    if uri := _uri(spark, path):
+        return _headers(_first_lines(_files(spark, uri), uri))
     lines = spark.read.text(path, recursiveFileLookup=True).select(F.col("_metadata.file_path").alias("file"), F.unix_millis("_metadata.file_modification_time").alias("mtime_ms"), F.col("value").alias("line"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("line_no"))
     return session_headers(lines.filter("block = 0"))
 
 
 def read_inventory(spark: SparkSession, path: str, but: str | None = None) -> DataFrame:
-    """(path, bytes, mtime_ms) of all files below ``path``, newest first, but one; contents aren't read."""
+    """(path, bytes, mtime_ms) of all files below ``path``, newest first, but one; contents aren't read. In stores that only Spark reads, empty files are left out."""
+    if uri := _uri(spark, path):
+        return inventory(_files(spark, uri), but)
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
     return inventory(files.select("path", F.col("length").alias("bytes"), F.unix_millis("modificationTime").alias("mtime_ms")), but)
 
