@@ -84,6 +84,11 @@ def segments(fps: DataFrame) -> DataFrame:
     return fps.select(F.explode(F.array(*[_half(F.col("fp"), half) + F.lit(half << HALF) for half in (0, 1)])).alias("segment"), "fp")
 
 
+def shuffled_join(exploded: DataFrame, other: DataFrame, key: str) -> DataFrame:
+    """An inner join by ``key`` that shuffles both sides: Spark takes exploded rows for as few as those they come from, and would broadcast up to a thousand times what it allows."""
+    return exploded.hint("merge").join(other, key)
+
+
 def variants(parts: DataFrame) -> DataFrame:
     """(key, fp): each segment as it is, and with one of its ones deleted."""
     ones = F.filter(F.array(*[F.lit(1 << bit) for bit in range(HALF)]), lambda b: F.col("segment").bitwiseAND(b) != 0)
@@ -92,7 +97,7 @@ def variants(parts: DataFrame) -> DataFrame:
 
 def variant_links(parts: DataFrame, most: int = MOST_BITS) -> DataFrame:
     """Pairs (a, b) of linked fingerprints, each once, out of segments (segment, fp) of which no value is crowded."""
-    met = variants(parts).withColumnRenamed("fp", "x").join(parts.select(F.col("segment").alias("key"), F.col("fp").alias("y")), "key")
+    met = shuffled_join(variants(parts).withColumnRenamed("fp", "x"), parts.select(F.col("segment").alias("key"), F.col("fp").alias("y")), "key")
     differing = F.col("x").bitwiseXOR(F.col("y"))
     low, high = (F.bit_count(_half(differing, half)) for half in (0, 1))
     upper = F.shiftright("key", HALF) == 1
@@ -111,7 +116,7 @@ def centre_links(fps: DataFrame) -> DataFrame:
     two = [1 << half + a | 1 << half + b for half in (0, HALF) for a in range(HALF) for b in range(a)]
     near = stored(_flips(fps, one), "centres")
     least = near.groupBy("centre").agg(F.min("fp").alias("a"))
-    return near.unionByName(_flips(fps, two)).join(least, "centre").filter("a <> fp").select("a", F.col("fp").alias("b")).distinct()
+    return shuffled_join(near.unionByName(_flips(fps, two)), least, "centre").filter("a <> fp").select("a", F.col("fp").alias("b")).distinct()
 
 
 def links(fps: DataFrame, crowded: int = CROWDED) -> DataFrame:
