@@ -389,10 +389,11 @@ def _cut_sql(size: int) -> str:
     return f"CASE WHEN done + {size} >= length(text) THEN length(text) ELSE coalesce({behind('chr(10) || chr(10)', 2)}, {behind('chr(10)', 1)}, {behind(chr(39) + '. ' + chr(39), 2)}, {behind(chr(39) + ' ' + chr(39), 1)}, {limit}) END"
 
 
-def _windows_sql(items: str, size: int) -> str:
-    """Slices of ``items`` (node, item, text) packed into windows of ``size``: p (node, item, part, start, fin, pack)."""
-    return f"""WITH RECURSIVE items AS ({items}), able AS (SELECT node FROM items GROUP BY 1 HAVING sum(length(text)) <= {8 * size}),
- w AS (SELECT node, item, text, CAST(-1 AS BIGINT) AS n, CAST(0 AS BIGINT) AS start, CAST(0 AS BIGINT) AS done FROM items WHERE text IS NOT NULL AND node IN (SELECT node FROM able)
+def _windows_sql(items: str, size: int, most: int | None = None) -> str:
+    """Slices of ``items`` (node, item, text) packed into windows of ``size``, of nodes that ``most`` of these can hold where that is given: p (node, item, part, start, fin, pack)."""
+    able = f", able AS (SELECT node FROM items GROUP BY 1 HAVING sum(length(text)) <= {most * size})" if most else ""
+    return f"""WITH RECURSIVE items AS ({items}){able},
+ w AS (SELECT node, item, text, CAST(-1 AS BIGINT) AS n, CAST(0 AS BIGINT) AS start, CAST(0 AS BIGINT) AS done FROM items WHERE text IS NOT NULL AND node {"IN (SELECT node FROM able)" if most else "IS NOT NULL"}
  UNION ALL SELECT node, item, text, n + 1, done, CAST({_cut_sql(size)} AS BIGINT) FROM w WHERE done < length(text)),
  s AS (SELECT node, item, n AS part, start, done AS fin, row_number() OVER (PARTITION BY node ORDER BY item, n) AS k FROM w WHERE n >= 0),
  p AS (SELECT *, CAST(0 AS BIGINT) AS pack, fin - start AS fill FROM s WHERE k = 1
@@ -401,17 +402,17 @@ def _windows_sql(items: str, size: int) -> str:
 
 @query(
     "j06_heal_windows",
-    _windows_sql("SELECT doc_id // 3 AS node, doc_id AS item, text FROM documents", 2000) + """ SELECT node, item, part, start, fin AS "end", pack AS "window" FROM p WHERE node NOT IN (SELECT node FROM p WHERE pack >= 8)""",
+    _windows_sql("SELECT doc_id // 3 AS node, doc_id AS item, text FROM documents", 2000) + """ SELECT node, item, part, start, fin AS "end", pack AS "window" FROM p""",
 )
 def windows(spark, d):
-    """Three documents a node."""
+    """Three documents a node, however many windows these need."""
     docs = spark.read.parquet(f"{d}/documents.parquet").select(F.floor(F.col("doc_id") / 3).alias("node"), F.col("doc_id").alias("item"), "text")
     return V.heal_windows(docs, 2000)
 
 
 @query(
     "j05_source_facts",
-    _windows_sql("SELECT concat(p.session_id, '#', p.summary_id) AS node, m.row_id AS item, m.text FROM fx_provenance p JOIN fx_messages m ON m.session_id = p.session_id AND m.row_id = p.child_id AND m.row_id <> 5 WHERE p.child_type = 'message'", 250)
+    _windows_sql("SELECT concat(p.session_id, '#', p.summary_id) AS node, m.row_id AS item, m.text FROM fx_provenance p JOIN fx_messages m ON m.session_id = p.session_id AND m.row_id = p.child_id AND m.row_id <> 5 WHERE p.child_type = 'message'", 250, 8)
     + """, c AS (SELECT p.session_id, p.summary_id AS id, count(*) AS named, count(coalesce(m.row_id, s.id)) AS found, coalesce(sum(length(coalesce(m.text, concat('told ', s.id)))), 0) AS chars, bool_or(coalesce(s.quality, 'clean') <> 'clean') AS unclean
   FROM fx_provenance p LEFT JOIN fx_messages m ON p.child_type = 'message' AND m.session_id = p.session_id AND m.row_id = p.child_id AND m.row_id <> 5 LEFT JOIN fx_summaries s ON p.child_type = 'summary' AND s.session_id = p.session_id AND s.id = p.child_id GROUP BY 1, 2),
  x AS (SELECT node, max(pack) + 1 AS windows FROM p GROUP BY node HAVING max(pack) < 8),

@@ -164,14 +164,16 @@ def slices(text: str, most: int) -> Iterator[tuple[int, int]]:
         at = end
 
 
-def heal_windows(texts: DataFrame, most_chars: int, most_windows: int = 8) -> DataFrame:
-    """(node, item, part, start, end, window): slices of the texts (node, item, text) of each node, packed in order into windows of ``most_chars``.
+def heal_windows(texts: DataFrame, most_chars: int, most_windows: int | None = None) -> DataFrame:
+    """(node, item, part, start, end, window): slices of the texts (node, item, text) of each node, packed in order into as many windows of ``most_chars`` as these need.
 
-    A slice that doesn't fit into the current window begins the next. A node that needs more than ``most_windows`` has none, as has
-    one with more characters than these hold, so what stands together in a task is bounded; null and empty
-    texts have no slices. Texts stream through in order and only the window's fill is held.
+    A slice that doesn't fit into the current window begins the next. Only where ``most_windows`` is given has a node that needs more
+    none. Null and empty texts have no slices, nor have those of no node.
 
-    Nodes are dealt by a hash of their own: a shuffle by the node itself is dropped behind the join by node, and where that join turns
+    Texts are cut where they stand; only the places of their slices are brought together by node, and stream through in order while the window's fill is held,
+    so a node may be of any size.
+
+    Nodes are dealt by a hash of their own: a shuffle by the node itself is dropped behind a join by node, and where that join turns
     into a broadcast one at run time its rows stand as they were read, a node's in several tasks.
 
     Texts (node, text) without items stand alone: each slice is a window, (node, window, start, end), however many there are.
@@ -188,23 +190,28 @@ def heal_windows(texts: DataFrame, most_chars: int, most_windows: int = 8) -> Da
         return some.select("node", "text").mapInPandas(alone, f"node {kind}, window long, start long, end long")
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows = [(node, item, part, at, end) for node, item, text in zip(pdf["node"], pdf["item"], pdf["text"], strict=True) for part, (at, end) in enumerate(slices(text, most_chars))]
+            yield pd.DataFrame(rows, columns=["node", "item", "part", "start", "end"])
+
+    def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         last, window, fill = None, 0, 0
         for pdf in batches:
-            rows = []
-            for node, item, text in zip(pdf["node"], pdf["item"], pdf["text"], strict=True):
+            windows = []
+            for node, chars in zip(pdf["node"], pdf["end"] - pdf["start"], strict=True):
                 if node != last:
                     last, window, fill = node, 0, 0
-                for part, (at, end) in enumerate(slices(text, most_chars)):
-                    if fill and fill + end - at > most_chars:
-                        window, fill = window + 1, 0
-                    fill += end - at
-                    rows.append((node, item, part, at, end, window))
-            yield pd.DataFrame(rows, columns=["node", "item", "part", "start", "end", "window"])
-
-    some = some.select("node", "item", "text")
-    able = some.groupBy("node").agg(F.sum(F.length("text")).alias("chars")).filter(F.col("chars") <= most_chars * most_windows).select("node")
-    dealt = some.join(able, "node").repartition(F.xxhash64("node")).sortWithinPartitions("node", "item")
-    found = dealt.mapInPandas(cut, f"node {kind}, item long, part long, start long, end long, window long")
+                if fill and fill + chars > most_chars:
+                    window, fill = window + 1, 0
+                fill += chars
+                windows.append(window)
+            yield pdf.assign(window=windows)
+
+    places = f"node {kind}, item long, part long, start long, end long"
+    parts = some.filter(F.col("node").isNotNull()).select("node", "item", "text").mapInPandas(cut, places)
+    found = parts.repartition(F.xxhash64("node")).sortWithinPartitions("node", "item", "part").mapInPandas(pack, f"{places}, window long")
+    if most_windows is None:
+        return found
     many = found.filter(F.col("window") >= most_windows).select("node").distinct()
     return found.join(many, "node", "left_anti")
 
